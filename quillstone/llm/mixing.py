@@ -80,14 +80,19 @@ def _targets(wanted: dict[str, float], names: tuple[str, ...], have: list[float]
     return [x / (sum(raw) or 1.0) for x in raw]
 
 
-def numbers(values: list[float]) -> Column:
-    """A literal array: unlike single literals it stays out of the generated code, which so is compiled once for all passes."""
-    return F.lit([float(x) for x in values])
+def literal(values: list[float]) -> str:
+    return "array(" + ", ".join(f"{float(x)!r}D" for x in values) + ")"
 
 
-def _dot(cells: Column, factors: list[float]) -> Column:
-    f = numbers(factors)
-    return sum((F.get(cells, F.lit(k)) * F.get(f, F.lit(k)) for k in range(len(factors))), F.lit(0.0))
+def _dot(factors: list[float]) -> Column:
+    return F.expr(f"aggregate(zip_with(cells, {literal(factors)}, (c, f) -> c * f), 0D, (a, x) -> a + x)")
+
+
+def _sums(vectors: DataFrame, factor: Column) -> list[float]:
+    """The sum over all sources of factor * cells: one number for each (language, topic)."""
+    rows = vectors.select(factor.alias("u"), F.posexplode("cells").alias("k", "c")).groupBy("k").agg(F.sum(F.col("u") * F.col("c")).alias("s")).collect()
+    found = {r["k"]: r["s"] for r in rows}
+    return [found.get(k) or 0.0 for k in range(len(LANGS) * len(TOPICS))]
 
 
 def rake(vectors: DataFrame, lang_targets=None, topic_targets=None, temperature: float = SOURCE_TEMPERATURE, cycles: int = CYCLES) -> tuple[list[float], float]:
@@ -97,8 +102,7 @@ def rake(vectors: DataFrame, lang_targets=None, topic_targets=None, temperature:
     """
     nl, nt = len(LANGS), len(TOPICS)
     tempered = F.when(F.col("total") > 0, F.pow("total", F.lit(temperature))).otherwise(0.0)
-    first = vectors.agg(F.sum(tempered).alias("z"), *[F.sum(F.get("cells", F.lit(k))).alias(f"c{k}") for k in range(nl * nt)]).first()
-    z, have = first["z"] or 0.0, [first[f"c{k}"] or 0.0 for k in range(nl * nt)]
+    z, have = vectors.agg(F.sum(tempered)).first()[0] or 0.0, _sums(vectors, F.lit(1.0))
     if not sum(have):
         return [1.0] * (nl * nt), 1.0
     lang = _targets(lang_targets or LANG_TARGETS, LANGS, [sum(have[i * nt : (i + 1) * nt]) for i in range(nl)])
@@ -106,9 +110,8 @@ def rake(vectors: DataFrame, lang_targets=None, topic_targets=None, temperature:
     v, w = [1.0] * nl, [1.0] * nt
     for _ in range(cycles):
         f = [v[i] * w[j] for i in range(nl) for j in range(nt)]
-        u = F.when(F.col("total") > 0, tempered / F.lit(z) / _dot(F.col("cells"), f)).otherwise(0.0)
-        sums = vectors.select(u.alias("u"), "cells").agg(*[F.sum(F.col("u") * F.get("cells", F.lit(k))).alias(f"c{k}") for k in range(nl * nt)]).first()
-        m = [[(sums[i * nt + j] or 0.0) * f[i * nt + j] for j in range(nt)] for i in range(nl)]
+        sums = _sums(vectors, F.when(F.col("total") > 0, tempered / F.lit(z) / _dot(f)).otherwise(0.0))
+        m = [[sums[i * nt + j] * f[i * nt + j] for j in range(nt)] for i in range(nl)]
         a = [lang[i] / s if (s := sum(m[i])) > 0 else 0.0 for i in range(nl)]
         b = [topic[j] / s if (s := sum(m[i][j] * a[i] for i in range(nl))) > 0 else 0.0 for j in range(nt)]
         v, w = [x * y for x, y in zip(v, a, strict=True)], [x * y for x, y in zip(w, b, strict=True)]
@@ -124,7 +127,7 @@ def fit(slim: DataFrame, budget: float = BUDGET, temperature: float = SOURCE_TEM
     factors, z = rake(vectors, temperature=temperature)
     total = vectors.agg(F.sum("total")).first()[0] or 0.0
     tempered = F.when(F.col("total") > 0, F.pow("total", F.lit(temperature))).otherwise(0.0)
-    u = F.when(F.col("total") > 0, tempered / F.lit(z or 1.0) / _dot(F.col("cells"), factors)).otherwise(0.0)
+    u = F.when(F.col("total") > 0, tempered / F.lit(z or 1.0) / _dot(factors)).otherwise(0.0)
     names = [(a, b) for a in LANGS for b in TOPICS]
     pieces = F.array(*[F.struct(F.lit(a).alias("_lang"), F.lit(b).alias("_topic"), (F.col("u") * F.lit(float(total * f))).alias("weight"), F.get("cells", F.lit(k)).alias("cell_tokens")) for k, ((a, b), f) in enumerate(zip(names, factors, strict=True))])
     fitted = materialize(vectors.withColumn("u", u).select("_source", F.inline(pieces)), "mix-cells")
@@ -162,8 +165,9 @@ def calibrate(fitted: DataFrame, wanted: float, steps: int = 6, fan: int = 32) -
     lo, hi = 0.0, 1.0 / top["w"]
     for _ in range(steps):
         tries = [lo + (hi - lo) * (k + 1) / fan for k in range(fan)]
-        sums = fitted.agg(*[F.sum(F.col("cell_tokens") * F.least(F.lit(1.0), F.col("weight") * F.get(numbers(tries), F.lit(k)))).alias(f"s{k}") for k in range(fan)]).first()
-        k = next((k for k in range(fan) if (sums[k] or 0.0) >= wanted), fan - 1)
+        rows = fitted.select("cell_tokens", "weight", F.posexplode(F.expr(literal(tries))).alias("k", "x")).groupBy("k").agg(F.sum(F.col("cell_tokens") * F.least(F.lit(1.0), F.col("weight") * F.col("x"))).alias("s")).collect()
+        sums = {r["k"]: r["s"] or 0.0 for r in rows}
+        k = next((k for k in range(fan) if sums[k] >= wanted), fan - 1)
         lo, hi = (tries[k - 1] if k else lo), tries[k]
         if hi - lo < 1e-12 * hi:
             break

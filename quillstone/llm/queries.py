@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import mixing, quality, sharding
+from quillstone.llm import chat, mixing, quality, secrets, sharding
 from quillstone.llm.common import table
 
 
+def op3_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judge(table(spark, sf_dir, "documents"))
     return out.select(
@@ -20,11 +24,23 @@ def op7_mixing_ipf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.weights(table(spark, sf_dir, "documents"))
 
 
+def op8_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hard).alias("text"))
+    back = chat.read_back(chat.format_texts(rows.unionByName(extra)))
+    digest = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(digest, 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), "n_tokens",
+    )
+
+
 def op10_sharding_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op6_quality_rules, op7_mixing_ipf, op10_sharding_ring)}
+QUERIES = {f.__name__: f for f in (op3_secret_ownership, op6_quality_rules, op7_mixing_ipf, op8_chat_parts, op10_sharding_ring)}
 
 _STOP = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
 ORACLE = {
@@ -50,4 +66,15 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        AND (n_words < 50 OR n_stop >= 0.01 * n_words) AND (n_words < 50 OR n_dup_lines <= 0.5 * n_lines)
        AND (n_words < 20 OR n_upper <= 0.6 * n_words) AS kept
 FROM f""",
+    "op8_chat_parts": r"""
+WITH c AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL
+           SELECT -1, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]' FROM range(2) r(i)),
+e AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM c),
+x AS (SELECT *, replace(replace(replace(replace(replace(replace(text, '~', '~0'), '<|', '~1'), '</s>', '~2'), '<s>', '~3'), '[INST]', '~4'), '[/INST]', '~5') AS body FROM e)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, body)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, body) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(length(role) + length(body) + 16)::BIGINT AS formatted_chars,
+       sum(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')))::BIGINT AS n_tokens
+FROM x GROUP BY conv_id""",
 }
