@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import chat, mixing, quality, secrets, sharding
+from quillstone.llm import chat, html_text, mixing, pii, quality, secrets, sharding
 from quillstone.llm.common import table
 
 
+def op1_pii_skip_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -36,11 +40,15 @@ def op8_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_html_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_sharding_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_secret_ownership, op6_quality_rules, op7_mixing_ipf, op8_chat_parts, op10_sharding_ring)}
+QUERIES = {f.__name__: f for f in (op1_pii_skip_chain, op3_secret_ownership, op6_quality_rules, op7_mixing_ipf, op8_chat_parts, op9_html_tree_scoring, op10_sharding_ring)}
 
 _STOP = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
 ORACLE = {
