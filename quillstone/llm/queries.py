@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import chat, html_text, mixing, pii, quality, secrets, sharding
+from quillstone.llm import chat, decontaminate, html_text, mixing, near_dup, pii, quality, secrets, sharding
 from quillstone.llm.common import table
 
 
@@ -17,6 +17,14 @@ def op3_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op4_near_dup_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.groups(table(spark, sf_dir, "documents"), size=4).drop("text_hash")
+
+
+def op5_decontaminate_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judge(table(spark, sf_dir, "documents"))
     return out.select(
@@ -48,10 +56,22 @@ def op10_sharding_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_skip_chain, op3_secret_ownership, op6_quality_rules, op7_mixing_ipf, op8_chat_parts, op9_html_tree_scoring, op10_sharding_ring)}
+QUERIES = {f.__name__: f for f in (op1_pii_skip_chain, op3_secret_ownership, op4_near_dup_bayes, op5_decontaminate_spaced_seeds, op6_quality_rules, op7_mixing_ipf, op8_chat_parts, op9_html_tree_scoring, op10_sharding_ring)}
 
 _STOP = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
 ORACLE = {
+    "op4_near_dup_bayes": r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+        ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 80 * (nx.n + ny.n - c)),
+u AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
+r(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, u.y FROM r JOIN u ON u.x = r.b),
+m AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept
+FROM d JOIN m ON m.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""",
     "op6_quality_rules": rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT rid, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
