@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import chat, decontaminate, html_text, mixing, near_dup, pii, quality, secrets, sharding
+from quillstone.llm import chat, decontaminate, html_text, mixing, near_dup, pii, quality, secrets, sharding, suffix_dedup
 from quillstone.llm.common import table
 
 
@@ -13,6 +13,10 @@ def op1_pii_skip_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicate(table(spark, sf_dir, "documents")).drop("removed")
+
+
 def op3_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -56,7 +60,7 @@ def op10_sharding_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_skip_chain, op3_secret_ownership, op4_near_dup_bayes, op5_decontaminate_spaced_seeds, op6_quality_rules, op7_mixing_ipf, op8_chat_parts, op9_html_tree_scoring, op10_sharding_ring)}
+QUERIES = {f.__name__: f for f in (op1_pii_skip_chain, op2_suffix_dedup, op3_secret_ownership, op4_near_dup_bayes, op5_decontaminate_spaced_seeds, op6_quality_rules, op7_mixing_ipf, op8_chat_parts, op9_html_tree_scoring, op10_sharding_ring)}
 
 _STOP = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
 ORACLE = {
