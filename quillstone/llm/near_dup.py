@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 
 from quillstone.llm.common import materialize, text_or_empty
 from quillstone.llm.components import components
+from quillstone.llm.decontaminate import without
 
 BANDS, ROWS, BATCH = 24, 4, 24
 HASHES = BANDS * ROWS
@@ -212,17 +213,34 @@ def similar_classes(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame
 
 
 def groups(docs: DataFrame, size: int = 4) -> DataFrame:
-    """doc_id, text_hash, n_shingles, component_id and kept of every document."""
+    """doc_id, text_hash, n_shingles, component_id, kept and stays (of a component's rows with the smallest id only the first) of every document."""
     held = materialize(sets(docs, size), "nd-sets")
     per_class = held.where("key is not null").groupBy("key").agg(F.min(F.struct("doc_id", "text_hash")).alias("r"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
     classes = materialize(per_class.select("key", F.col("r.doc_id").alias("doc_id"), F.col("r.text_hash").alias("text_hash"), "n_shingles", "signature"), "nd-classes")
     links = similar_classes(docs, classes, size)
-    home = classes.select("key", F.col("doc_id").alias("component_id"))
+    home = classes.select("key", F.struct("doc_id", "text_hash").alias("first"))
     if links is not None:
         labels = components(links)
         named = labels.withColumnRenamed("node", "key").join(home, "key")
-        least = named.groupBy("component").agg(F.min("component_id").alias("smallest"))
-        home = home.join(named.drop("component_id").join(least, "component").select("key", "smallest"), "key", "left").select("key", F.coalesce("smallest", "component_id").alias("component_id"))
+        least = named.groupBy("component").agg(F.min("first").alias("smallest"))
+        home = home.join(named.drop("first").join(least, "component").select("key", "smallest"), "key", "left").select("key", F.coalesce("smallest", "first").alias("first"))
     out = held.select("doc_id", "text_hash", "n_shingles", "key").join(home, "key", "left")
-    out = out.select("doc_id", "text_hash", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    own = F.struct("doc_id", "text_hash")
+    out = out.withColumn("first", F.coalesce("first", own)).withColumn("component_id", F.col("first.doc_id"))
+    return out.select("doc_id", "text_hash", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), own.eqNullSafe(F.col("first")).alias("stays"))
+
+
+def keep_one(docs: DataFrame, size: int = 5) -> DataFrame:
+    """One document of each component, columns as they are; of equal rows one.
+
+    The rest is told to the rows by (doc_id, text hash): in a broadcast if few, by shuffles beyond.
+    """
+    found = materialize(groups(docs, size), "nd-groups")
+    left = without(docs, found.where("not stays"))
+    twice = found.where("stays and n_shingles > 0").groupBy("doc_id", "text_hash").count().where("count > 1")
+    if not twice.limit(1).count():
+        return left
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text_or_empty()) == F.col("_hash"))
+    again = twice.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    once = left.join(again, same, "left_semi").withColumns({"_id": F.col("doc_id"), "_hash": F.xxhash64(text_or_empty())}).dropDuplicates(["_id", "_hash"]).drop("_id", "_hash")
+    return left.join(again, same, "left_anti").unionByName(once)

@@ -22,7 +22,7 @@ def op3_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_near_dup_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.groups(table(spark, sf_dir, "documents"), size=4).drop("text_hash")
+    return near_dup.groups(table(spark, sf_dir, "documents"), size=4).drop("text_hash", "stays")
 
 
 def op5_decontaminate_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
