@@ -6,7 +6,7 @@ import json
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: White space that separates words: a space and the control characters 09 to 0D.
@@ -38,6 +38,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_counted(df: DataFrame, label: str, what: Column) -> tuple[DataFrame, int]:
+    """materialize, and the count of rows for which `what` holds, taken in the same job.
+
+    A repeated task may count twice, so use it to tell none from some.
+    """
+    seen = Observation()
+    out = materialize(df.observe(seen, F.count_if(what).alias("n")), label)
+    return out, int(seen.get["n"])
+
+
 def small_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     """A table of few rows made of a literal, so no Python runs on the executors."""
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))

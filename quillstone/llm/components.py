@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import materialize
+from quillstone.llm.common import materialize, materialize_counted
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -23,7 +23,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         told = both.join(labels.select(F.col("node").alias("near"), F.col("component").alias("heard")), "near").groupBy("node").agg(F.min("heard").alias("heard"))
         new = labels.join(told, "node").select("node", F.col("component").alias("before"), F.least("component", "heard").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("component").alias("beyond"))
-        new = materialize(new.join(jump, "label").select("node", "before", F.least("label", "beyond").alias("component")), "cc-labels")
+        new = new.join(jump, "label").select("node", "before", F.least("label", "beyond").alias("component"))
+        new, changed = materialize_counted(new, "cc-labels", F.col("before") != F.col("component"))
         labels = new.select("node", "component")
-        if not new.where("before <> component").limit(1).count():
+        if not changed:
             return labels

@@ -1,19 +1,22 @@
 """Near-duplicates by MinHash bands with sequential Bayesian verification.
 
 1. Each text's set of word shingles is hashed (one Arrow map over the texts); kept
-   are its size, a 128-bit hash of the whole set and a MinHash signature.
+   are its size, a 128-bit hash of the whole set and a hash of each MinHash band.
 2. Texts with equal sets form a class, by that hash.  From here on one row stands
    for a class, so exact copies cost nothing.
-3. Signatures are cut into bands; classes that share a band meet in a bucket.
-4. In rounds, each bucket compares its members with a few pivots: never all pairs.
-   A round's pivots are the smallest keys of the bucket; a pivot that has met every
-   member of another component is done and leaves the bucket, and a bucket whose
-   members lie in one component is done.  The rounds end when no bucket is left, so
-   every two classes that share a bucket have been compared or are connected: no
-   link between components is lost, and nothing is capped.
-5. A comparison reads the signatures in batches and drops the pair as soon as the
-   posterior probability (uniform prior) that its similarity reaches the threshold
-   is below `miss`; the survivors' full shingle sets are compared exactly.
+3. Classes that share a band meet in a bucket.  Every bucket is tied to its smallest
+   class (one row for each member, never all pairs), and the ties' components are the
+   clusters: classes that share a band lie in one cluster.
+4. A cluster of bounded size is settled in one task.  One member after the other, the
+   most central first, is compared with all others by sequential Bayesian
+   verification: signatures are read in batches, and a pair is dropped as soon as the
+   posterior probability (uniform prior) that its similarity reaches the threshold is
+   below `miss`; the survivors' full sets are compared exactly.  Members that are
+   connected already need no comparison, so near copies cost about one pass.
+5. A larger cluster is settled by distributed rounds: each bucket compares its members
+   with a few pivots in the same way.  A pivot that has met every member of another
+   component leaves the bucket, and a bucket whose members lie in one component is
+   done.  The rounds end when no bucket is left; nothing is capped.
 6. Confirmed links make components; the smallest doc_id of a component is kept.
 
 A pair at the threshold of 0.8 shares none of the 24 bands of 4 with probability
@@ -36,15 +39,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import materialize, text_or_empty
+from quillstone.llm.common import materialize, materialize_counted, text_or_empty
 from quillstone.llm.components import components
 from quillstone.llm.decontaminate import without
 
 BANDS, ROWS, BATCH = 24, 4, 24
 HASHES = BANDS * ROWS
-PERCENT, MISS = 80, 1e-7
+PERCENT, MISS = 80, 1e-5
 #: Pivots of a bucket in each round; the last number holds from there on.
 PIVOTS = (1, 8, 64, 256)
+#: Classes and shingles of a cluster that one task settles (some 200 MB at work).
+MOST_CLASSES, MOST_SHINGLES = 30_000, 4_000_000
 
 _RNG = np.random.default_rng(20240607)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -119,22 +124,111 @@ def least_matches(percent: int = PERCENT, miss: float = MISS) -> list[tuple[int,
 
 
 def sets(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, text_hash, n_shingles, key (hash of the set, null if empty) and signature."""
-    schema = "doc_id long, text_hash long, n_shingles long, key binary, signature binary"
+    """doc_id, text_hash, n_shingles, key (hash of the set, null if empty) and bands (a hash of each)."""
+    schema = "doc_id long, text_hash long, n_shingles long, key binary, bands array<long>"
+    number = np.arange(BANDS, dtype=np.uint64)
+
+    def banded(sig: np.ndarray) -> np.ndarray:
+        h = number + np.uint64(1)
+        for column in sig.reshape(BANDS, ROWS).astype(np.uint64).T:
+            h = _mixed(h * _STEP + column)
+        return h.view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, key, sig = [], [], []
+            n, key, bands = [], [], []
             for t in b.column("text"):
                 found = shingles(t.as_py(), size)
                 n.append(len(found))
                 key.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
-                sig.append(signature(found).tobytes() if len(found) else None)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary())], names=["doc_id", "text_hash", "n_shingles", "key", "signature"])
+                bands.append(banded(signature(found)) if len(found) else None)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "n_shingles", "key", "bands"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("text_hash"), "text").mapInArrow(run, schema)
 
 
+def settled(sets_of: list[np.ndarray]) -> np.ndarray:
+    """The component (its first member's number) of each of a cluster's sets."""
+    n = len(sets_of)
+    size = np.array([len(x) for x in sets_of])
+    ends = np.cumsum(size)
+    _, code = np.unique(np.concatenate(sets_of), return_inverse=True)
+    sig = np.array([signature(x) for x in sets_of])
+    central = np.zeros(n, dtype=np.int64)
+    for k in range(BANDS):
+        _, same, count = np.unique(np.ascontiguousarray(sig[:, ROWS * k : ROWS * (k + 1)]).view(f"V{4 * ROWS}").ravel(), return_inverse=True, return_counts=True)
+        central += count[same]
+    order = np.argsort(-central, kind="stable")
+    needed = least_matches()
+    label, open_ones, mark = np.arange(n), np.ones(n, dtype=bool), np.zeros(code.max() + 1, dtype=bool)
+    while True:
+        left = order[open_ones[order]]
+        labels, count = np.unique(label[left], return_counts=True)
+        if len(labels) < 2:
+            return label
+        x = int(left[np.argmax(label[left] != labels[count.argmax()])] if count.max() > 1 else left[0])
+        open_ones[x] = False
+        alive = np.flatnonzero(open_ones & (label != label[x]))
+        alive = alive[PERCENT * np.maximum(size[alive], size[x]) <= 100 * np.minimum(size[alive], size[x])]
+        matches, at = np.zeros(n, dtype=np.int64), 0
+        for read, least in needed:
+            matches[alive] += (sig[alive, at:read] == sig[x, at:read]).sum(axis=1)
+            alive, at = alive[matches[alive] >= least], read
+        if not len(alive):
+            continue
+        mark[code[ends[x] - size[x] : ends[x]]] = True
+        both = np.add.reduceat(np.concatenate([mark[code[ends[i] - size[i] : ends[i]]] for i in alive]).astype(np.int64), np.cumsum(size[alive]) - size[alive])
+        mark[code[ends[x] - size[x] : ends[x]]] = False
+        linked = alive[100 * both >= PERCENT * (size[alive] + size[x] - both)]
+        if len(linked):
+            joined = np.unique(np.append(label[linked], label[x]))
+            label[np.isin(label, joined)] = joined[0]
+
+
+def _settled_clusters(rows: DataFrame, size: int) -> DataFrame:
+    """node and component of the members (cluster, key, text) of clusters of bounded size, one cluster after the other."""
+
+    def settle(keys: list[bytes], texts: list[str]) -> tuple[list[bytes], list[bytes]]:
+        unique = dict(zip(keys, texts, strict=True))  # repeated rows give a class's text twice
+        names = list(unique)
+        label = settled([shingles(t, size) for t in unique.values()])
+        return names, [names[k] for k in label]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, keys, texts, out = None, [], [], ([], [])
+
+        def flush() -> None:
+            if len(keys) > 1:
+                for column, x in zip(out, settle(keys, texts), strict=True):
+                    column.extend(x)
+
+        for b in batches:
+            for c, k, t in zip(b.column("cluster").to_pylist(), b.column("key").to_pylist(), b.column("text"), strict=True):
+                if c != now:
+                    flush()
+                    now, keys, texts = c, [], []
+                keys.append(k)
+                texts.append(t.as_py())
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in out], names=["node", "component"])
+                out = ([], [])
+        flush()
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in out], names=["node", "component"])
+
+    return rows.select("cluster", "key", "text").repartition("cluster").sortWithinPartitions("cluster").mapInArrow(run, "node binary, component binary")
+
+
+def _signed(store: DataFrame, size: int) -> DataFrame:
+    """key, n_shingles and signature of the classes of `store`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [shingles(t.as_py(), size) for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array([len(x) for x in found], pa.int64()), pa.array([signature(x).tobytes() for x in found], pa.binary())], names=["key", "n_shingles", "signature"])
+
+    return store.select("key", "text").mapInArrow(run, "key binary, n_shingles long, signature binary").dropDuplicates(["key"])
+
+
 def _pruned(pairs: DataFrame) -> DataFrame:
     """Pairs (a, b with signatures) whose posterior stays above the miss probability in every batch."""
     needed = least_matches()
@@ -176,54 +270,70 @@ def _as(df: DataFrame, side: str, **columns: str) -> DataFrame:
     return df.select(F.col("key").alias(side), *[F.col(v).alias(k) for k, v in columns.items()])
 
 
-def similar_classes(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame | None:
-    """Links (a, b) between classes; None if no two share a bucket."""
-    keys = [F.xxhash64(F.lit(k), F.substring("signature", 4 * ROWS * k + 1, 4 * ROWS)) for k in range(BANDS)]
-    bands = classes.select("key", F.explode(F.array(*keys)).alias("band"))
-    shared = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    members = materialize(bands.join(shared, "band"), "nd-members")
-    wanted = members.select("key").distinct().join(classes.select("key", "doc_id", "text_hash"), "key")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("text_hash"), "text")
-    same = texts["doc_id"].eqNullSafe(wanted["doc_id"]) & (texts["text_hash"] == wanted["text_hash"])
-    # repeated rows give the same text twice; one of them is enough
-    store = materialize(texts.join(wanted, same).select("key", "text"), "nd-texts")
+def _settled_by_rounds(members: DataFrame, store: DataFrame, size: int) -> DataFrame:
+    """node and component of the members (band, key) of clusters of any size."""
+    classes = materialize(_signed(store, size), "nd-signed")
+    counts = members.groupBy("band").agg(F.count("*").alias("n"))
+    central = materialize(members.join(counts, "band").groupBy("key").agg(F.sum("n").alias("central")), "nd-central")
     links, tested, labels, step = None, None, None, 0
     while True:
         label = F.col("key") if labels is None else F.coalesce("component", F.col("key"))
         now = (members if labels is None else members.join(labels.withColumnRenamed("node", "key"), "key", "left")).select("band", "key", label.alias("component"))
         open_bands = now.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
-        members = materialize(now.join(open_bands, "band"), "nd-members")
-        if not members.limit(1).count():
-            return links
+        members, rows = materialize_counted(now.join(open_bands, "band"), "nd-members", F.lit(True))
+        if not rows:
+            return labels
         n = PIVOTS[min(step, len(PIVOTS) - 1)]
-        pivots = members.withColumn("rank", F.row_number().over(Window.partitionBy("band").orderBy("key"))).where(F.col("rank") <= n).select("band", F.col("key").alias("b"), F.col("component").alias("of"))
+        ranked = members.join(central, "key").withColumn("rank", F.row_number().over(Window.partitionBy("band").orderBy(F.desc("central"), "key")))
+        pivots = ranked.where(F.col("rank") <= n).select("band", F.col("key").alias("b"), F.col("component").alias("of"))
         pairs = members.join(pivots, "band").where("key <> b and component <> of").select(F.greatest("key", "b").alias("a"), F.least("key", "b").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "nd-pairs")
+        pairs, new = materialize_counted(pairs, "nd-pairs", F.lit(True))
+        members = members.join(pivots.select("band", F.col("b").alias("key")), ["band", "key"], "left_anti").select("band", "key")
+        step += 1
+        if not new:  # all of them have met before
+            continue
         tested = pairs if tested is None else tested.unionByName(pairs)
         joined = pairs.join(_as(classes, "a", na="n_shingles", sa="signature"), "a").join(_as(classes, "b", nb="n_shingles", sb="signature"), "b")
         alive = _pruned(joined.where(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")))
         full = alive.join(_as(store, "a", ta="text"), "a").join(_as(store, "b", tb="text"), "b")
-        found = materialize(_confirmed(full, size).distinct(), "nd-links")
+        found, new = materialize_counted(_confirmed(full, size).distinct(), "nd-links", F.lit(True))
+        if links is not None and not new:
+            continue
         links = found if links is None else links.unionByName(found)
         labels = components(links)
-        members = members.join(pivots.select("band", F.col("b").alias("key")), ["band", "key"], "left_anti").select("band", "key")
-        step += 1
 
 
-def groups(docs: DataFrame, size: int = 4) -> DataFrame:
+def linked_classes(docs: DataFrame, classes: DataFrame, size: int, most_classes: int = MOST_CLASSES, most_shingles: int = MOST_SHINGLES) -> DataFrame:
+    """node and component of the classes that share a band with another one."""
+    bands = classes.select("key", F.explode("bands").alias("band"))
+    shared = bands.groupBy("band").agg(F.count("*").alias("n"), F.min("key").alias("least")).where("n > 1").select("band", "least")
+    members = materialize(bands.join(shared, "band"), "nd-members")
+    clusters = components(members.where("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b")).distinct()).select(F.col("node").alias("key"), F.col("component").alias("cluster"))
+    wanted = classes.select("key", "doc_id", "text_hash", "n_shingles").join(clusters, "key")
+    large = materialize(wanted.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("t")).where((F.col("n") > most_classes) | (F.col("t") > most_shingles)).select("cluster"), "nd-large")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("text_hash"), "text")
+    same = texts["doc_id"].eqNullSafe(wanted["doc_id"]) & (texts["text_hash"] == wanted["text_hash"])
+    rows = texts.join(wanted, same).select("cluster", "key", "text")
+    if not large.limit(1).count():
+        return _settled_clusters(rows, size)
+    store = materialize(rows, "nd-texts")
+    apart = store.join(large, "cluster", "left_semi").select("key", "text").dropDuplicates(["key"])
+    open_ones = members.join(apart.select("key"), "key", "left_semi").select("band", "key")
+    return _settled_clusters(store.join(large, "cluster", "left_anti"), size).unionByName(_settled_by_rounds(open_ones, apart, size))
+
+
+def groups(docs: DataFrame, size: int = 4, most_classes: int = MOST_CLASSES, most_shingles: int = MOST_SHINGLES) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id, kept and stays (of a component's rows with the smallest id only the first) of every document."""
     held = materialize(sets(docs, size), "nd-sets")
-    per_class = held.where("key is not null").groupBy("key").agg(F.min(F.struct("doc_id", "text_hash")).alias("r"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
-    classes = materialize(per_class.select("key", F.col("r.doc_id").alias("doc_id"), F.col("r.text_hash").alias("text_hash"), "n_shingles", "signature"), "nd-classes")
-    links = similar_classes(docs, classes, size)
+    per_class = held.where("key is not null").groupBy("key").agg(F.min(F.struct("doc_id", "text_hash")).alias("r"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
+    classes = materialize(per_class.select("key", F.col("r.doc_id").alias("doc_id"), F.col("r.text_hash").alias("text_hash"), "n_shingles", "bands"), "nd-classes")
+    labels = materialize(linked_classes(docs, classes, size, most_classes, most_shingles), "nd-labels")
     home = classes.select("key", F.struct("doc_id", "text_hash").alias("first"))
-    if links is not None:
-        labels = components(links)
-        named = labels.withColumnRenamed("node", "key").join(home, "key")
-        least = named.groupBy("component").agg(F.min("first").alias("smallest"))
-        home = home.join(named.drop("first").join(least, "component").select("key", "smallest"), "key", "left").select("key", F.coalesce("smallest", "first").alias("first"))
+    named = labels.withColumnRenamed("node", "key").join(home, "key")
+    least = named.groupBy("component").agg(F.min("first").alias("smallest"))
+    home = home.join(named.drop("first").join(least, "component").select("key", "smallest"), "key", "left").select("key", F.coalesce("smallest", "first").alias("first"))
     out = held.select("doc_id", "text_hash", "n_shingles", "key").join(home, "key", "left")
     own = F.struct("doc_id", "text_hash")
     out = out.withColumn("first", F.coalesce("first", own)).withColumn("component_id", F.col("first.doc_id"))
