@@ -50,8 +50,8 @@ BEFORE = LENGTH - GRAM
 STEP, SHALLOW = 50, 64
 CORE = LENGTH - STEP
 STARTS = tuple(range(0, BEFORE, STEP))
-#: Distinct contexts of a gram that one task sorts (15 MB); beyond, the distributed way.
-MOST_CONTEXTS = 20_000
+#: Distinct contexts of a gram that one task sorts (45 MB of text); beyond, the distributed way.
+MOST_CONTEXTS = 60_000
 #: Bytes of contexts sorted at once.
 CHUNK = 6 << 20
 
@@ -217,7 +217,7 @@ def repeats(contexts: list[bytes], before: np.ndarray, group: np.ndarray) -> tup
     """
     n = np.array([len(c) for c in contexts], dtype=np.int64)
     begin = np.cumsum(n) - n
-    data = np.frombuffer(b"".join(contexts) + bytes(CORE + 16), dtype=np.uint8)
+    data = np.frombuffer(b"".join(contexts) + bytes(LENGTH + 16), dtype=np.uint8)
     t = np.array(STARTS, dtype=np.int64)
     fits = (t[None, :] <= before[:, None]) & (CORE - t[None, :] <= (n - before)[:, None])
     owner, which = np.nonzero(fits)
@@ -227,23 +227,24 @@ def repeats(contexts: list[bytes], before: np.ndarray, group: np.ndarray) -> tup
     first, last = np.full(len(n), LENGTH), np.full(len(n), -LENGTH)
     if not len(members):
         return first, last
-    used, row = np.unique(owner[members], return_inverse=True)
-    table = np.zeros((len(used), int(n[used].max())), dtype=np.uint8)
-    for k, u in enumerate(used):
-        table[k, : n[u]] = data[begin[u] : begin[u] + n[u]]
-    prefix, (_, down) = prefixes(table), POWERS.reach(table.shape[1] + 1)
-    at = start[members] - begin[owner[members]]
-    who = owner[members]
+    who, base = owner[members], begin[owner[members]]
+    at, own = start[members] - base, _mixed(classes.astype(np.uint64) + np.uint64(1))
+    top = np.uint64(pow(_M, LENGTH - 1, 1 << 64))
+    # the window that ends STEP bytes after the core, then one byte to the left at a time, its hash rolled along
+    h = np.zeros(len(members), dtype=np.uint64)
+    place = start[members]
+    for k in range(LENGTH - 1, -1, -1):
+        h = h * np.uint64(_M) + _BYTE[data[np.minimum(place + k, len(data) - 1)]]
     for a in range(STEP + 1):
         lo = at - a
         ok = np.flatnonzero((lo >= 0) & (lo + LENGTH <= n[who]))
-        if not len(ok):
-            continue
-        h = _mixed((prefix[row[ok], lo[ok] + LENGTH] - prefix[row[ok], lo[ok]]) * down[lo[ok]]) ^ _mixed(classes[ok].astype(np.uint64) + np.uint64(1))
-        _, back, size = np.unique(h, return_inverse=True, return_counts=True)
-        hit = ok[size[back] > 1]
-        np.minimum.at(first, who[hit], lo[hit] - before[who[hit]])
-        np.maximum.at(last, who[hit], lo[hit] - before[who[hit]])
+        if len(ok):
+            _, back, size = np.unique(_mixed(h[ok]) ^ own[ok], return_inverse=True, return_counts=True)
+            hit = ok[size[back] > 1]
+            np.minimum.at(first, who[hit], lo[hit] - before[who[hit]])
+            np.maximum.at(last, who[hit], lo[hit] - before[who[hit]])
+        gone = _BYTE[data[np.clip(place - a + LENGTH - 1, 0, len(data) - 1)]] * top
+        h = (h - gone) * np.uint64(_M) + _BYTE[data[np.maximum(place - a - 1, 0)]]
     return first, last
 
 
