@@ -1,4 +1,4 @@
 """Queries over the driver's tables."""
 
-from quillstone.plans import texts  # noqa: F401
+from quillstone.plans import flagship, scores, spaces, texts  # noqa: F401
 from quillstone.plans.registry import ORACLE, QUERIES  # noqa: F401
