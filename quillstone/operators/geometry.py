@@ -150,7 +150,7 @@ def convex_hull(points: DataFrame) -> DataFrame:
 
     kind = dict(points.dtypes)["x"]
     parts = points.select("x", "y").mapInPandas(part, f"x {kind}, y {kind}")
-    return parts.groupBy(F.lit(1)).applyInPandas(last, f"pos int, x {kind}, y {kind}")
+    return parts.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(last, f"pos int, x {kind}, y {kind}")
 
 
 def largest_triangle(points: DataFrame) -> DataFrame:
@@ -194,7 +194,7 @@ def bright_components(pixels: DataFrame, thresholds=tuple(range(250, 49, -20)))
 
     width = pixels.agg(F.max("j")).first()[0] + 1
     levels = F.explode(F.filter(F.lit(list(thresholds)), lambda t: t <= F.col("v")))
-    lit = pixels.select("i", "j", "v", levels.alias("t")).withColumn("node", (F.col("t").cast("long") << 40) + F.col("i") * width + F.col("j"))
+    lit = pixels.select("i", "j", "v", levels.alias("t")).withColumn("node", F.shiftleft(F.col("t").cast("long"), 40) + F.col("i") * width + F.col("j"))
     moves = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 1), (1, -1), (1, 0), (1, 1))]))
     sent = lit.select("t", "node", "i", "j", moves.alias("m")).select("t", F.col("node").alias("a"), (F.col("i") + F.col("m.a")).alias("i"), (F.col("j") + F.col("m.b")).alias("j"))
     edges = sent.join(lit.select("t", "i", "j", F.col("node").alias("b")), ["t", "i", "j"]).select("a", "b")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import numeric
 from quillstone.operators import metrics
+from quillstone.sources.shared import materialize
 
 #: Inverse penalties tried, 10^-4 to 10^4.
 PENALTIES = tuple(10 ** (-4 + 8 * k / 9) for k in range(10))
@@ -58,7 +59,7 @@ def fit_head(df: DataFrame, features: list[str], label: str, key: str, n: int =
     stats = filled.agg(*[F.avg(c) for c in features], *[F.stddev_pop(c) for c in features]).first()
     means, deviations = list(stats[: len(features)]), [s if s else 1.0 for s in stats[len(features) :]]
     head = Head(features, medians, means, deviations, [], [])
-    ready = head.prepared(held).select(F.col(label).cast("double").alias("label"), "fold", "_x").checkpoint()
+    ready = materialize(head.prepared(held).select(F.col(label).cast("double").alias("label"), "fold", "_x"), "head")
     count = ready.count()
 
     def fit(rows: DataFrame, c: float) -> LogisticRegressionModel:
@@ -92,7 +93,7 @@ def ablation(df: DataFrame, families: dict[str, list[str]], label: str, key: str
     spark, every = df.sparkSession, [f for fs in families.values() for f in fs]
     rows = []
     for name, gone in [("all", []), *families.items()]:
-        held = out_of_fold(df, [f for f in every if f not in gone], label, key, penalties=penalties).checkpoint()
+        held = materialize(out_of_fold(df, [f for f in every if f not in gone], label, key, penalties=penalties), "fold")
         rows.append((name, metrics.roc_auc(held, "p", label).first()["auc"], metrics.average_precision(held, "p", label).first()[0], metrics.calibration_error(held, "p", label).first()[0]))
     return spark.createDataFrame(rows, "dropped string, auc double, ap double, ece double")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import numeric
+from quillstone.sources.shared import materialize
 
 
 def band_pairs(df: DataFrame, key: str, gap: int) -> DataFrame:
@@ -72,9 +73,9 @@ def nearest_distances(points: DataFrame, k: int, cell: float, id_column: str = "
     for _ in range(doublings):
         near = _sent_to(open_points, every, width, list(axes))
         w = Window.partitionBy("id").orderBy("d2", "near")
-        best = near.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).groupBy("id").agg(F.count("*").alias("n"), F.avg(F.sqrt("d2")).alias("mean_distance")).where(F.col("n") == k).select("id", "mean_distance").checkpoint()
+        best = materialize(near.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).groupBy("id").agg(F.count("*").alias("n"), F.avg(F.sqrt("d2")).alias("mean_distance")).where(F.col("n") == k).select("id", "mean_distance"), "nearest")
         done = best if done is None else done.unionByName(best)
-        open_points = open_points.join(best, "id", "left_anti").checkpoint()
+        open_points = materialize(open_points.join(best, "id", "left_anti"), "open")
         if not open_points.limit(1).count():
             break
         width *= 2
@@ -97,14 +98,14 @@ def statistical_inliers(distances: DataFrame, sigmas: float = 2.0) -> DataFrame:
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """node and the smallest node of its component; labels are checkpointed each round to the shared folder."""
-    both = edges.select(F.col(a).alias("node"), F.col(b).alias("near")).unionByName(edges.select(F.col(b).alias("node"), F.col(a).alias("near"))).distinct().checkpoint()
-    labels = both.groupBy("node").agg(F.least(F.min("near"), F.first("node")).alias("component")).checkpoint()
+    """node and the smallest node of its component; labels are written to the shared folder each round."""
+    both = materialize(edges.select(F.col(a).alias("node"), F.col(b).alias("near")).unionByName(edges.select(F.col(b).alias("node"), F.col(a).alias("near"))).distinct(), "links")
+    labels = materialize(both.groupBy("node").agg(F.least(F.min("near"), F.first("node")).alias("component")), "labels")
     while True:
         told = both.join(labels.select(F.col("node").alias("near"), F.col("component").alias("heard")), "near").groupBy("node").agg(F.min("heard").alias("heard"))
         new = labels.join(told, "node").select("node", F.col("component").alias("before"), F.least("component", "heard").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("component").alias("beyond"))
-        new = new.join(jump, "label").select("node", "before", F.least("label", "beyond").alias("component")).checkpoint()
+        new = materialize(new.join(jump, "label").select("node", "before", F.least("label", "beyond").alias("component")), "labels")
         labels = new.select("node", "component")
         if not new.where("before <> component").limit(1).count():
             return labels

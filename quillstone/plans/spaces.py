@@ -62,29 +62,20 @@ def q_radius_outliers(spark, sf_dir):
 @query(f"""WITH {_PTS}, d AS (SELECT a.id, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS d, row_number() OVER (PARTITION BY a.id ORDER BY (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2, b.id) AS r FROM pts a JOIN pts b ON a.id <> b.id),
 m AS (SELECT id, avg(d) AS m FROM d WHERE r <= 5 GROUP BY id) SELECT id, round(m, 5) AS mean_distance FROM m WHERE m <= (SELECT avg(m) + 2 * stddev_pop(m) FROM m)""")
 def q_statistical_outliers(spark, sf_dir):
-    spark.sparkContext.setCheckpointDir(_checkpoints(spark))
     return K.statistical_inliers(K.nearest_distances(cloud(spark, sf_dir), 5, 0.8)).select("id", F.round("mean_distance", 5).alias("mean_distance"))
 
 
-def _checkpoints(spark) -> str:
-    """The shared folder; one of our own only where none is set."""
-    import tempfile
-
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillstone-")
-
-
-@query("""WITH RECURSIVE e AS (SELECT s_suppkey AS a, s_suppkey * 7 % 97 AS b FROM supplier), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), n AS (SELECT a AS node FROM u),
+@query("""WITH RECURSIVE e AS (SELECT s_suppkey AS a, floor(s_suppkey * s_suppkey / 7 % 61)::BIGINT AS b FROM supplier), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), n AS (SELECT a AS node FROM u),
 r(node, c) AS (SELECT node, node FROM n UNION SELECT r.node, u.b FROM r JOIN u ON u.a = r.c) SELECT node, min(c) AS component FROM r GROUP BY node""")
 def q_components(spark, sf_dir):
-    spark.sparkContext.setCheckpointDir(_checkpoints(spark))
-    return K.components(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("a"), (F.col("s_suppkey") * 7 % 97).alias("b")))
+    return K.components(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("a"), F.floor(F.col("s_suppkey") * F.col("s_suppkey") / 7 % 61).alias("b")))
 
 
-@query("""SELECT floor(l_quantity / 5)::BIGINT AS vx, floor(l_discount / 0.02)::BIGINT AS vy, floor(l_extendedprice / 20000)::BIGINT AS vz, round(avg(l_quantity), 5) AS x, round(avg(l_discount), 5) AS y, round(avg(l_extendedprice), 3) AS z, avg(l_linenumber)::DOUBLE::INT AS dummy, count(*) AS n
+@query("""SELECT floor(l_quantity / 5)::BIGINT AS vx, floor(l_discount / 0.02)::BIGINT AS vy, floor(l_extendedprice / 20000)::BIGINT AS vz, round(avg(l_quantity), 5) AS x, round(avg(l_discount), 5) AS y, round(avg(l_extendedprice), 1) AS z, avg(l_linenumber)::DOUBLE::INT AS dummy, count(*) AS n
 FROM lineitem GROUP BY 1, 2, 3""".replace(" avg(l_linenumber)::DOUBLE::INT AS dummy,", " floor(avg(l_linenumber))::INT AS r,"))
 def q_voxel(spark, sf_dir):
     p = table(spark, sf_dir, "lineitem").select((F.col("l_quantity") / 5).alias("x"), (F.col("l_discount") / 0.02).alias("y"), (F.col("l_extendedprice") / 20000).alias("z"), F.col("l_linenumber").alias("r"))
-    return G.voxels(p, 1.0).select("vx", "vy", "vz", F.round(F.col("x") * 5, 5).alias("x"), F.round(F.col("y") * 0.02, 5).alias("y"), F.round(F.col("z") * 20000, 3).alias("z"), "r", "n")
+    return G.voxels(p, 1.0).select("vx", "vy", "vz", F.round(F.col("x") * 5, 5).alias("x"), F.round(F.col("y") * 0.02, 5).alias("y"), F.round(F.col("z") * 20000, 1).alias("z"), "r", "n")
 
 
 @query(f"WITH {_PTS} SELECT count(*) AS n, " + ", ".join(f"round(min({a}), 6) AS min_{a}, round(max({a}), 6) AS max_{a}, round(avg({a}), 6) AS mean_{a}, round(max({a}) - min({a}), 6) AS extent_{a}" for a in "xyz") + " FROM pts")
@@ -182,7 +173,6 @@ def q_pixel_colour(spark, sf_dir):
 
 @query()
 def q_find_square(spark, sf_dir):
-    spark.sparkContext.setCheckpointDir(_checkpoints(spark))
     i, j = F.floor(F.col("id") / 40).cast("int"), (F.col("id") % 40).cast("int")
     lit = i.between(8, 24) & j.between(10, 26)
     return G.find_square(spark.range(1600).select(i.alias("i"), j.alias("j"), F.when(lit, 240).otherwise((F.col("id") * 7919 % 40).cast("int")).alias("v")))
@@ -328,7 +318,6 @@ def q_ridge(spark, sf_dir):
 def q_out_of_fold(spark, sf_dir):
     from quillstone.plans import scores
 
-    spark.sparkContext.setCheckpointDir(_checkpoints(spark))
     return models.out_of_fold(scores.scored(spark, sf_dir), ["s", "n"], "y", "doc_id", n=3).select("doc_id", "y", F.round("p", 4).alias("p"))
 
 
