@@ -74,13 +74,14 @@ def cusum_peak(values: DataFrame, key: str, order: str, value: str, slack: float
 
     Closed form: S_t - min(0, min over k <= t of S_k), two windows instead of a recursion.
     """
-    w = Window.partitionBy(key).orderBy(order)
-    held = values.select(key, order, F.col(value).cast("double").alias("s"), F.row_number().over(w).alias("i"), F.count("*").over(Window.partitionBy(key)).alias("n"))
-    base = held.where(F.col("i") <= F.greatest(F.lit(2), F.floor(F.col("n") / 2))).groupBy(key).agg(F.median("s").alias("mu"))
+    w = Window.partitionBy(key).orderBy("_at")
+    held = values.select(key, F.col(order).alias("_at"), F.col(value).cast("double").alias("_s"))
+    held = held.select(key, "_at", "_s", F.row_number().over(w).alias("_i"), F.count("*").over(Window.partitionBy(key)).alias("_n"))
+    base = held.where(F.col("_i") <= F.greatest(F.lit(2), F.floor(F.col("_n") / 2))).groupBy(key).agg(F.median("_s").alias("_mu"))
     up_to = w.rowsBetween(Window.unboundedPreceding, 0)
-    run = held.join(base, key).withColumn("run", F.sum(F.col("mu") - F.col("s") - slack).over(up_to))
-    run = run.withColumn("g", F.col("run") - F.least(F.lit(0.0), F.min("run").over(up_to)))
-    return run.groupBy(key).agg(F.when(F.first("n") >= least, F.max("g")).alias("cusum_peak"))
+    run = held.join(base, key).withColumn("_run", F.sum(F.col("_mu") - F.col("_s") - slack).over(up_to))
+    run = run.withColumn("_g", F.col("_run") - F.least(F.lit(0.0), F.min("_run").over(up_to)))
+    return run.groupBy(key).agg(F.when(F.first("_n") >= least, F.max("_g")).alias("cusum_peak"))
 
 
 def ordinal_slope(values: DataFrame, key: str, order: str, value: str, least: int = 3) -> DataFrame:
