@@ -4,9 +4,9 @@
    are its size, a 128-bit hash of the whole set and a hash of each MinHash band.
 2. Texts with equal sets form a class, by that hash.  From here on one row stands
    for a class, so exact copies cost nothing.
-3. Classes that share a band meet in a bucket.  Every bucket is tied to its most
-   central class (one row for each member, never all pairs), and the ties' components are the
-   clusters: classes that share a band lie in one cluster.
+3. Classes that share a band meet in a bucket.  Each class is tied to the most
+   central class of each of its buckets (never to all members), and the ties' components
+   are the clusters: classes that share a band lie in one cluster.
 4. A cluster of bounded size is settled in one task.  One member after the other, the
    most central first, is compared with all others by sequential Bayesian
    verification: signatures are read in batches, and a pair is dropped as soon as the
@@ -310,11 +310,14 @@ def linked_classes(docs: DataFrame, classes: DataFrame, size: int, most_classes:
     bands = classes.select("key", F.explode("bands").alias("band"))
     shared = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     members = materialize(bands.join(shared, "band"), "nd-members")
-    # the member with the most companions is in nearly every bucket of its group, so ties to it coincide
+    # the member with the most companions is in nearly every bucket of its group, so one hub stands for most of them
     ranked = members.join(members.groupBy("key").agg(F.sum("n").alias("central")), "key").select("band", "key", "central")
-    hubs = ranked.groupBy("band").agg(F.max(F.struct("central", "key")).alias("h")).select("band", F.col("h.key").alias("hub"))
-    ties = members.join(hubs, "band").where("key <> hub").select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct()
-    clusters = components(ties).select(F.col("node").alias("key"), F.col("component").alias("cluster"))
+    hubs = ranked.groupBy("band").agg(F.max(F.struct("central", "key")).alias("hub"))
+    # a class has at most BANDS hubs; its most central one is its home, and only homes are tied to the others
+    homes = materialize(members.join(hubs, "band").groupBy("key").agg(F.max("hub").alias("home"), F.collect_set("hub.key").alias("hubs")).select("key", F.col("home.key").alias("home"), "hubs"), "nd-homes")
+    ties = homes.select(F.col("home").alias("a"), F.explode("hubs").alias("b")).where("a <> b").distinct()
+    tied = components(ties).select(F.col("node").alias("home"), "component")
+    clusters = homes.join(tied, "home", "left").select("key", F.coalesce("component", "home").alias("cluster"))
     wanted = classes.select("key", "doc_id", "text_hash", "n_shingles").join(clusters, "key")
     large = materialize(wanted.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("t")).where((F.col("n") > most_classes) | (F.col("t") > most_shingles)).select("cluster"), "nd-large")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("text_hash"), "text")
