@@ -63,3 +63,17 @@ def page_article(df: DataFrame, id_column: str, html: str, least: int = 40) -> D
     body = F.regexp_replace(F.regexp_extract(F.col(html), r"(?is)<article[^>]*>(.*)</article>", 1), r"(?s)<[^>]*>", " ")
     out = df.select(id_column, title.alias("title"), T.stripped(F.regexp_replace(body, r"\s+", " ")).alias("text"))
     return out.where(T.n_words(F.col("text")) >= least)
+
+
+def question_answers(df: DataFrame, id_column: str, human: str, machine: str, most_each: int, seed: int = 0) -> DataFrame:
+    """id, text, label from lists of answers of people (0) and machines (1): cut to whole sentences, shuffled by a seeded hash, at most 2 * most_each."""
+    one = lambda c, y: df.select(id_column, F.posexplode(c).alias("k", "text"), F.lit(y).alias("label"))
+    both = one(human, 0).unionByName(one(machine, 1)).withColumn("text", T.truncated(F.col("text"))).where("text is not null")
+    return both.orderBy(F.xxhash64(F.lit(seed), id_column, "label", "k"), id_column, "label", "k").limit(2 * most_each).select(id_column, "text", "label")
+
+
+def inferred_label(column: Column | None, split: Column, dataset: Column) -> Column:
+    """A label from its column, else from the split's name, else from the data set's name; null if none tells."""
+    tell = lambda c: F.when(F.lower(c).rlike("non|no|benign|normal|legit"), 0).when(F.lower(c).rlike("scam|fraud|phish"), 1)
+    parts = [tell(split), tell(dataset)]
+    return F.coalesce(*([column.cast("int")] if column is not None else []), *parts)

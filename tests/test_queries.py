@@ -5,7 +5,7 @@ from quillstone.plans import ORACLE, QUERIES
 
 from tests.compare import DATA, rows_of, rows_of_sql
 
-SLOW = {"q_stage_model", "q_out_of_fold", "q_components", "q_curvature"}
+SLOW = {"q_comment_features", "q_conversation_features", "q_stage_model", "q_out_of_fold", "q_components", "q_curvature"}
 
 
 @pytest.mark.parametrize("name", [n for n in QUERIES if n in ORACLE and n not in SLOW])
