@@ -72,3 +72,22 @@ def pid(error: Column, integral: Column, slope: Column, kp: float, ki: float, kd
 
 def quadratic_cost(x: Column, u: Column, q: float, r: float) -> Column:
     return q * x * x + r * u * u
+
+
+def planar_arm_angles(x: Column, y: Column, heading: Column, lengths: tuple[float, float, float]) -> tuple[Column, Column, Column]:
+    """Joint angles (radians, elbow down) that reach a point with a heading; null beyond reach."""
+    wx, wy = x - lengths[2] * F.cos(heading), y - lengths[2] * F.sin(heading)
+    c2 = (wx * wx + wy * wy - lengths[0] ** 2 - lengths[1] ** 2) / (2 * lengths[0] * lengths[1])
+    a2 = F.when(F.abs(c2) <= 1, F.acos(c2))
+    a1 = F.atan2(wy, wx) - F.atan2(lengths[1] * F.sin(a2), lengths[0] + lengths[1] * F.cos(a2))
+    return a1, a2, heading - a1 - a2
+
+
+def elbow_determinant(a2: Column, l1: float, l2: float) -> Column:
+    """Determinant of a two-link Jacobian."""
+    return l1 * l2 * F.sin(a2)
+
+
+def counterflow_outlet(hot_in: Column, cold_in: Column, effectiveness: Column, ratio_hot: Column) -> Column:
+    """Outlet of the hot stream; ratio_hot is C_min / C_hot."""
+    return hot_in - effectiveness * ratio_hot * (hot_in - cold_in)

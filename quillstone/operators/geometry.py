@@ -338,3 +338,20 @@ def promoted_tracks(links: DataFrame, keypoints: DataFrame, matrices: dict[int,
     first = named.groupBy("component", "image").agg(F.min_by(F.struct("u", "v"), "node").alias("p")).select(F.col("component").alias("track"), "image", "p.*")
     enough = first.groupBy("track").agg(F.count("*").alias("n")).where(F.col("n") >= least_views)
     return triangulated(first.join(enough, "track", "left_semi"), matrices).where(F.col("worst") <= most_error)
+
+
+def pose_check(poses: DataFrame, k: list[list[float]], ahead: float = 100.0, aside: float = 25.0) -> DataFrame:
+    """index and whether three probe points land where a camera should see them.
+
+    A point straight ahead within 5 pixels of the centre; one to the right more than 50 to
+    the right of it; one up more than 50 above it.
+    """
+
+    def seen(right: float, up: float) -> tuple[Column, Column]:
+        d = [F.zip_with(F.transform("forward", lambda f: f * ahead), F.zip_with("right", "up", lambda r, u: r * right + u * up), lambda a, b: a + b)]
+        dot = lambda v: numeric.dot(d[0], F.col(v))
+        return k[0][2] + k[0][0] * dot("right") / dot("forward"), k[1][2] - k[1][1] * dot("up") / dot("forward")
+
+    (cx, cy), (rx, _), (_, uy) = seen(0, 0), seen(aside, 0), seen(0, aside)
+    ok = (F.hypot(cx - k[0][2], cy - k[1][2]) <= 5) & (rx > cx + 50) & (uy < cy - 50)
+    return poses.select("index", ok.alias("ok"))

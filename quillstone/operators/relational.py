@@ -72,3 +72,13 @@ def corners_match(got: Column, expected: Column, tolerance: int = 1) -> Column:
 
     near = lambda i, j: (F.abs(F.get(got, F.lit(i))["x"] - F.get(expected, F.lit(j))["x"]) <= tolerance) & (F.abs(F.get(got, F.lit(i))["y"] - F.get(expected, F.lit(j))["y"]) <= tolerance)
     return reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [near(i, p[i]) for i in range(4)]) for p in permutations(range(4))])
+
+
+def sample_rows(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
+    """n rows without replacement, the same for the same seed: the first n by a seeded hash."""
+    return df.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+
+
+def picked_file(files: DataFrame, by: str = "length") -> DataFrame:
+    """The path of the largest (length) or newest (modificationTime) file of a binaryFile listing."""
+    return files.agg(F.max_by("path", F.struct(by, "path")).alias("path"))

@@ -337,3 +337,27 @@ def q_gaps(spark, sf_dir):
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     e = table(spark, sf_dir, "events").withColumn("gap", us - F.lag(us).over(Window.partitionBy("user_id").orderBy("ts")))
     return e.groupBy("user_id").agg(F.count("*").alias("n"), F.max("gap").alias("longest"))
+
+
+_ARM = (1.0, 0.8, 0.5)
+
+
+@query("""WITH a AS (SELECT event_id, radians(10 + event_id % 40) AS a1, radians(20 + event_id % 60) AS a2, radians(-30 + event_id % 50) AS a3 FROM events)
+SELECT event_id, round(cos(a1) + 0.8 * cos(a1 + a2) + 0.5 * cos(a1 + a2 + a3), 6) AS x, round(sin(a1) + 0.8 * sin(a1 + a2) + 0.5 * sin(a1 + a2 + a3), 6) AS y,
+round(degrees(a1), 4) AS a1, round(degrees(a2), 4) AS a2, round(degrees(a3), 4) AS a3, abs(0.8 * sin(a2)) > 0.5 AS far_from_singular FROM a""")
+def q_planar_arm(spark, sf_dir):
+    i = F.col("event_id")
+    e = table(spark, sf_dir, "events").select("event_id", F.radians(10 + i % 40).alias("a1"), F.radians(20 + i % 60).alias("a2"), F.radians(-30 + i % 50).alias("a3"))
+    x, y = E.planar_arm((F.col("a1"), F.col("a2"), F.col("a3")), _ARM)
+    p = e.select("event_id", x.alias("x"), y.alias("y"), (F.col("a1") + F.col("a2") + F.col("a3")).alias("h"))
+    back = E.planar_arm_angles(F.col("x"), F.col("y"), F.col("h"), _ARM)
+    out = p.select("event_id", *texts.r6("x", "y"), *[b.alias(n) for n, b in zip(("a1", "a2", "a3"), back, strict=True)])
+    return out.select("event_id", "x", "y", *[F.round(F.degrees(n), 4).alias(n) for n in ("a1", "a2", "a3")], (F.abs(E.elbow_determinant(F.col("a2"), 1.0, 0.8)) > 0.5).alias("far_from_singular"))
+
+
+@query("""WITH s AS (SELECT generate_series * 0.25 AS ntu FROM generate_series(1, 20)), e AS (SELECT ntu, (1 - exp(-ntu * 0.4)) / (1 - 0.6 * exp(-ntu * 0.4)) AS e FROM s)
+SELECT ntu::DOUBLE AS ntu, round(e, 6) AS effectiveness, round(120 - e * 0.6 * (120 - 20), 4) AS hot_out, round(105.6 * 30 / 24, 6) AS rescaled FROM e""")
+def q_heat_exchanger(spark, sf_dir):
+    e = E.counterflow_effectiveness(F.col("ntu"), F.lit(0.6))
+    s = spark.range(1, 21).select((F.col("id") * 0.25).alias("ntu")).withColumn("e", e)
+    return s.select("ntu", F.round("e", 6).alias("effectiveness"), F.round(E.counterflow_outlet(F.lit(120.0), F.lit(20.0), F.col("e"), F.lit(0.6)), 4).alias("hot_out"), F.round(E.rescaled_frequency(F.lit(105.6), F.lit(30.0), F.lit(24.0)), 6).alias("rescaled"))

@@ -219,3 +219,22 @@ def test_language_model_shares(spark):
     ranks = {(r.prev, r.token): r["rank"] for r in m.collect()}
     assert ranks["a", "b"] == 1 and ranks["a", "c"] == 2
     assert L.perplexity(L.score(tok, m, 3)).first().perplexity > 1
+
+
+def test_pose_check_and_picks(spark):
+    from quillstone.operators import relational as R
+
+    good = (1, [1.0, 2.0, 3.0], [0.0, 1.0, 0.0], [1.0, 0.0, 0.0], [0.0, 0.0, 1.0])
+    flat = (2, [1.0, 2.0, 3.0], [0.0, 1.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0])
+    poses = spark.createDataFrame([good, flat], "index int, position array<double>, forward array<double>, right array<double>, up array<double>")
+    assert {r["index"]: r.ok for r in G.pose_check(poses, [[500.0, 0, 320.0], [0, 500.0, 240.0], [0, 0, 1]]).collect()} == {1: True, 2: False}
+    files = spark.createDataFrame([("a", 3), ("b", 9)], "path string, length long")
+    assert R.picked_file(files).first().path == "b" and R.sample_rows(files, 1, "path").count() == 1
+
+
+def test_answers_and_labels(spark):
+    long = "one two three four five six seven eight nine. "
+    df = spark.createDataFrame([(1, [long, "short."], [long * 2])], "id int, h array<string>, m array<string>")
+    assert sorted(r.label for r in P.question_answers(df, "id", "h", "m", 5).collect()) == [0, 1]
+    names = spark.createDataFrame([(None, "train_scam", "x"), (None, "non_scam", "x"), (1, "normal", "x"), (None, "a", "b")], "l int, s string, d string")
+    assert [r.y for r in names.select(P.inferred_label(F.col("l"), F.col("s"), F.col("d")).alias("y")).collect()] == [1, 0, 1, None]
