@@ -1,19 +1,21 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 The tokens of each (source, language, topic) cell are raked until the shares of
-sources, languages and topics meet their targets; the factors give each cell a
-weight, the weights are calibrated to inclusion probabilities for a token budget,
-and each document is drawn on its own by a hash of its id (Poisson sampling).
+sources, languages and topics meet their targets; the factors give each cell its
+inclusion probability for a token budget, and each document is drawn on its own by
+a hash of its id (Poisson sampling).
 
 How it runs.  Languages and topics are closed lists (parameters; what is not
 listed counts as "other"), so the (language, topic) table is bounded by them.
 Sources are not bounded: they stay distributed, one row each with its vector of
-(language, topic) tokens.  One fitting cycle is one aggregation over that table:
-every source's factor follows from the current language and topic factors, and
-only the (language, topic) sums, a fixed count of numbers, reach the driver.
+(language, topic) tokens.  One fitting cycle is two aggregations over that table
+(languages, topics): every source's factor follows from the current language and topic
+factors, and only the (language, topic) sums, a fixed count of numbers, reach the driver.
 
-Calibration.  p = min(1, scale * weight); the scale that meets the budget is
-found by narrowing a bracket: each pass over the cells tries 32 scales at once.  Since weights are capped at 1, the fit is exact where no cell is capped.
+Probabilities.  p = min(1, product of the factors).  Cells that reach 1 are held there and
+the others are raked again, so the expected drawn tokens meet the targets, not only
+the weights.  A document is drawn once at most, so a category with few tokens bounds
+the budget: it is lowered to the largest one that the targets leave feasible.
 
 Defined results.  Null source, language or topic: "other".  Null or empty text: no
 tokens, drawn with its cell's probability.  Repeated rows (equal id and text) share one draw.
@@ -42,9 +44,13 @@ TOPIC_TARGETS = {"table": 0.05, "contact": 0.05, "code": 0.05, "article": 0.7, "
 NOTE_WORDS = 100
 #: Sources: targets are their token shares raised to this power and rescaled.
 SOURCE_TEMPERATURE = 0.7
-#: Share of all tokens to draw.
+#: Share of all tokens to draw, where the targets can be met with so many.
 BUDGET = 0.6
-CYCLES, TOLERANCE = 25, 1e-6
+CYCLES, TOLERANCE = 60, 1e-6
+#: Raking stops where so many cycles lessen the miss by under a tenth: the targets exclude each other.
+STALL = 3
+#: A budget is feasible if every marginal share is met to this; else it is searched by so many halvings.
+MOST_MISSED, HALVINGS = 1e-4, 6
 #: A cell row takes some 100 bytes: 10 MB of broadcast at most.
 MOST_CELLS_TO_BROADCAST = 100_000
 
@@ -84,55 +90,103 @@ def literal(values: list[float]) -> str:
     return "array(" + ", ".join(f"{float(x)!r}D" for x in values) + ")"
 
 
-def _dot(factors: list[float]) -> Column:
-    return F.expr(f"aggregate(zip_with(cells, {literal(factors)}, (c, f) -> c * f), 0D, (a, x) -> a + x)")
+def _source_factor(factors: list[float]) -> Column:
+    """The factor u of a source with sum of cells * min(1, u * factors) = wanted, exact.
 
+    With the cells of the k largest factors held at 1, u = (wanted - their tokens) / (the others' weighted
+    tokens); min() is concave, so the largest of these over k is the one where just those cells reach 1.
+    """
+    order = sorted((k for k, f in enumerate(factors) if f > 0), key=lambda k: factors[k])
+    pairs = ", ".join(f"named_struct('c', cells[{k}], 'f', {factors[k]!r}D)" for k in order)
+    step = "named_struct('cap', a.cap - x.c, 'free', a.free + x.c * x.f, 'u', IF(a.free + x.c * x.f > 0D, greatest(a.u, (wanted - a.cap + x.c) / (a.free + x.c * x.f)), a.u))"
+    held = " + ".join(f"cells[{k}]" for k in order)
+    return F.expr(f"aggregate(array({pairs}), named_struct('cap', {held}, 'free', 0D, 'u', 0D), (a, x) -> {step}, a -> a.u)") if order else F.lit(0.0)
+
+
+def _drawn_tokens(vectors: DataFrame, factors: list[float]) -> tuple[list[float], list[float]]:
+    """Over all sources, the tokens that each (language, topic) draws in cells capped at 1 and in the others."""
+    rows = vectors.select(_source_factor(factors).alias("u"), F.posexplode(F.expr(f"zip_with(cells, {literal(factors)}, (c, f) -> named_struct('c', c, 'f', f))")).alias("k", "x"))
+    p = F.col("u") * F.col("x.f")
+    sums = rows.groupBy("k").agg(F.sum(F.when(p >= 1, F.col("x.c")).otherwise(0.0)).alias("cap"), F.sum(F.when(p >= 1, 0.0).otherwise(F.col("x.c") * p)).alias("free")).collect()
+    found = {r["k"]: (r["cap"], r["free"]) for r in sums}
+    both = [found.get(k) or (0.0, 0.0) for k in range(len(factors))]
+    return [c for c, _ in both], [f for _, f in both]
 
-def _sums(vectors: DataFrame, factor: Column) -> list[float]:
-    """The sum over all sources of factor * cells: one number for each (language, topic)."""
-    rows = vectors.select(factor.alias("u"), F.posexplode("cells").alias("k", "c")).groupBy("k").agg(F.sum(F.col("u") * F.col("c")).alias("s")).collect()
-    found = {r["k"]: r["s"] for r in rows}
-    return [found.get(k) or 0.0 for k in range(len(LANGS) * len(TOPICS))]
 
+def _step(wanted: float, cap: float, free: float) -> float:
+    """The change of a factor: the uncapped part is scaled to what the capped part leaves; never beyond the solution."""
+    if cap + free <= 0:
+        return 1.0 if wanted > 0 else 0.0
+    return (wanted - cap) / free if wanted > cap and free > 0 else wanted / (cap + free)
 
-def rake(vectors: DataFrame, lang_targets=None, topic_targets=None, temperature: float = SOURCE_TEMPERATURE, cycles: int = CYCLES) -> tuple[list[float], float]:
-    """Factors of the (language, topic) cells and the sum of tempered source totals.
 
-    The factor of a source is target / (its tokens weighted by these factors).
+def rake(vectors: DataFrame, lang: list[float], topic: list[float], start: tuple[list[float], list[float]] | None = None, cycles: int = CYCLES) -> tuple[list[float], list[float], float]:
+    """Factors of languages and topics for the tokens wanted of each, and the largest miss as a share of all wanted.
+
+    Sources have their wanted tokens as a column and meet them exactly at any factors.
     """
-    nl, nt = len(LANGS), len(TOPICS)
-    tempered = F.when(F.col("total") > 0, F.pow("total", F.lit(temperature))).otherwise(0.0)
-    z, have = vectors.agg(F.sum(tempered)).first()[0] or 0.0, _sums(vectors, F.lit(1.0))
-    if not sum(have):
-        return [1.0] * (nl * nt), 1.0
-    lang = _targets(lang_targets or LANG_TARGETS, LANGS, [sum(have[i * nt : (i + 1) * nt]) for i in range(nl)])
-    topic = _targets(topic_targets or TOPIC_TARGETS, TOPICS, [sum(have[j::nt]) for j in range(nt)])
-    v, w = [1.0] * nl, [1.0] * nt
+    nl, nt, total = len(LANGS), len(TOPICS), sum(lang) or 1.0
+    v, w = start or ([1.0] * nl, [1.0] * nt)
+    best, misses = (v, w, float("inf")), []
     for _ in range(cycles):
-        f = [v[i] * w[j] for i in range(nl) for j in range(nt)]
-        sums = _sums(vectors, F.when(F.col("total") > 0, tempered / F.lit(z) / _dot(f)).otherwise(0.0))
-        m = [[sums[i * nt + j] * f[i * nt + j] for j in range(nt)] for i in range(nl)]
-        a = [lang[i] / s if (s := sum(m[i])) > 0 else 0.0 for i in range(nl)]
-        b = [topic[j] / s if (s := sum(m[i][j] * a[i] for i in range(nl))) > 0 else 0.0 for j in range(nt)]
-        v, w = [x * y for x, y in zip(v, a, strict=True)], [x * y for x, y in zip(w, b, strict=True)]
-        if max(abs(x - 1) for x, t in zip([*a, *b], [*lang, *topic], strict=True) if t > 0) < TOLERANCE:
+        cap, free = _drawn_tokens(vectors, [x * y for x in v for y in w])
+        sums = [c + f for c, f in zip(cap, free, strict=True)]
+        miss = max(abs(x - t) for x, t in zip([*(sum(sums[i * nt : (i + 1) * nt]) for i in range(nl)), *(sum(sums[j::nt]) for j in range(nt))], [*lang, *topic], strict=True)) / total
+        if miss < best[2]:
+            best = (v, w, miss)
+        misses.append(miss)
+        if miss < TOLERANCE or (len(misses) > STALL and misses[-1 - STALL] < 1.1 * miss):
             break
-    return [v[i] * w[j] for i in range(nl) for j in range(nt)], z
+        v = [x * _step(lang[i], sum(cap[i * nt : (i + 1) * nt]), sum(free[i * nt : (i + 1) * nt])) for i, x in enumerate(v)]
+        cap, free = _drawn_tokens(vectors, [x * y for x in v for y in w])
+        w = [x * _step(topic[j], sum(cap[j::nt]), sum(free[j::nt])) for j, x in enumerate(w)]
+    return best
+
+
+def feasible(vectors: DataFrame, budget: float, temperature: float, lang_targets=None, topic_targets=None) -> tuple[DataFrame, list[float], float]:
+    """vectors with the tokens wanted of each source, the (language, topic) factors, and the budget they meet the targets at.
+
+    No category can give more tokens than it has, so the budget is at most its share / its target.
+    Where the targets do not fit together at that budget, the largest one they do is searched by halving.  Targets that exclude each other at every budget are met as nearly as raking can.
+    """
+    nl, nt = len(LANGS), len(TOPICS)
+    tempered = F.when(F.col("total") > 0, F.pow("total", F.lit(temperature))).otherwise(0.0)
+    sums = vectors.agg(F.sum(tempered).alias("z"), F.min(F.when(F.col("total") > 0, F.col("total") / tempered)).alias("least"), *[F.sum(F.get("cells", F.lit(k))).alias(f"c{k}") for k in range(nl * nt)]).first()
+    have = [sums[f"c{k}"] or 0.0 for k in range(nl * nt)]
+    total, z = sum(have), sums["z"] or 1.0
+    if not total:
+        return vectors.withColumn("wanted", F.lit(0.0)), [1.0] * (nl * nt), min(1.0, budget)
+    langs, topics = [sum(have[i * nt : (i + 1) * nt]) for i in range(nl)], [sum(have[j::nt]) for j in range(nt)]
+    lang, topic = _targets(lang_targets or LANG_TARGETS, LANGS, langs), _targets(topic_targets or TOPIC_TARGETS, TOPICS, topics)
+    most = min([sums["least"] * z / total, *(h / total / t for h, t in zip([*langs, *topics], [*lang, *topic], strict=True) if t > 0)])
+
+    def tried(b: float, start=None):
+        rows = vectors.withColumn("wanted", tempered / F.lit(z) * F.lit(b * total))
+        return rows, *rake(rows, [b * total * t for t in lang], [b * total * t for t in topic], start)
+
+    hi = min(budget, most)
+    rows, v, w, miss = tried(hi)
+    if miss > MOST_MISSED:
+        lo = hi * 1e-6
+        low = tried(lo)
+        if low[3] <= MOST_MISSED:
+            for _ in range(HALVINGS):
+                middle = (lo + hi) / 2
+                found = tried(middle, (low[1], low[2]))
+                lo, hi, low = (middle, hi, found) if found[3] <= MOST_MISSED else (lo, middle, low)
+            (rows, v, w, _), hi = low, lo
+    return rows, [x * y for x in v for y in w], hi
 
 
 def fit(slim: DataFrame, budget: float = BUDGET, temperature: float = SOURCE_TEMPERATURE) -> DataFrame:
-    """_source, _lang, _topic, weight (wanted share / present share) and probability of every cell."""
+    """_source, _lang, _topic, weight (drawn share / present share) and probability of every cell."""
     cells = slim.groupBy("_source", "_lang", "_topic").agg(F.sum("_tokens").alias("_tokens"))
     vectors = materialize(_vector(cells), "mix-sources")
-    factors, z = rake(vectors, temperature=temperature)
-    total = vectors.agg(F.sum("total")).first()[0] or 0.0
-    tempered = F.when(F.col("total") > 0, F.pow("total", F.lit(temperature))).otherwise(0.0)
-    u = F.when(F.col("total") > 0, tempered / F.lit(z or 1.0) / _dot(factors)).otherwise(0.0)
+    rows, factors, most = feasible(vectors, budget, temperature)
     names = [(a, b) for a in LANGS for b in TOPICS]
-    pieces = F.array(*[F.struct(F.lit(a).alias("_lang"), F.lit(b).alias("_topic"), (F.col("u") * F.lit(float(total * f))).alias("weight"), F.get("cells", F.lit(k)).alias("cell_tokens")) for k, ((a, b), f) in enumerate(zip(names, factors, strict=True))])
-    fitted = materialize(vectors.withColumn("u", u).select("_source", F.inline(pieces)), "mix-cells")
-    scale = calibrate(fitted, budget * total)
-    return fitted.select("_source", "_lang", "_topic", "weight", F.when(F.col("cell_tokens") > 0, F.least(F.lit(1.0), F.col("weight") * scale)).otherwise(F.lit(min(1.0, budget))).alias("probability"))
+    pieces = F.array(*[F.struct(F.lit(a).alias("_lang"), F.lit(b).alias("_topic"), F.least(F.lit(1.0), F.col("u") * F.lit(f)).alias("p"), F.get("cells", F.lit(k)).alias("cell_tokens")) for k, ((a, b), f) in enumerate(zip(names, factors, strict=True))])
+    fitted = materialize(rows.withColumn("u", _source_factor(factors)).select("_source", F.inline(pieces)), "mix-cells")
+    return fitted.select("_source", "_lang", "_topic", (F.col("p") / F.lit(most or 1.0)).alias("weight"), F.when(F.col("cell_tokens") > 0, F.col("p")).otherwise(F.lit(most)).alias("probability"))
 
 
 def drawn(rows: DataFrame, fitted: DataFrame, seed: int = 7) -> DataFrame:
@@ -154,26 +208,6 @@ def weights(docs: DataFrame, budget: float = BUDGET, seed: int = 7, temperature:
     return out.select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("tokens"), "weight", "probability", "sampled")
 
 
-def calibrate(fitted: DataFrame, wanted: float, steps: int = 6, fan: int = 32) -> float:
-    """The scale with sum of cell_tokens * min(1, scale * weight) = wanted, or the largest useful one.
-
-    Each pass tries `fan` scales at once inside the bracket: steps passes narrow it by fan ** steps.
-    """
-    top = fitted.where("cell_tokens > 0 and weight > 0").agg(F.min("weight").alias("w"), F.sum("cell_tokens").alias("n")).first()
-    if not top["w"]:
-        return 1.0
-    lo, hi = 0.0, 1.0 / top["w"]
-    for _ in range(steps):
-        tries = [lo + (hi - lo) * (k + 1) / fan for k in range(fan)]
-        rows = fitted.select("cell_tokens", "weight", F.posexplode(F.expr(literal(tries))).alias("k", "x")).groupBy("k").agg(F.sum(F.col("cell_tokens") * F.least(F.lit(1.0), F.col("weight") * F.col("x"))).alias("s")).collect()
-        sums = {r["k"]: r["s"] or 0.0 for r in rows}
-        k = next((k for k in range(fan) if sums[k] >= wanted), fan - 1)
-        lo, hi = (tries[k - 1] if k else lo), tries[k]
-        if hi - lo < 1e-12 * hi:
-            break
-    return hi
-
-
 def sample(docs: DataFrame, budget: float = BUDGET, seed: int = 7, temperature: float = SOURCE_TEMPERATURE) -> DataFrame:
     """The drawn documents, columns as they are."""
     every = F.struct(*[F.col(f"`{c}`") for c in docs.columns])

@@ -201,6 +201,25 @@ def test_raking_meets_the_marginals(spark):
     assert mixing.sample(df, budget=0.3).count() == int(w.sampled.sum())
 
 
+def drawn_shares(w, by):
+    t = w.tokens * w.probability
+    return t.groupby(w[by]).sum() / t.sum()
+
+
+def test_drawn_tokens_meet_the_targets_where_cells_are_capped(spark):
+    w = mixing.weights(spark.read.parquet(f"{DATA}/documents.parquet")).toPandas()
+    total, topics = w.tokens.sum(), w.tokens.groupby(w.topic).sum()
+    wanted = {k: v for k, v in mixing.TOPIC_TARGETS.items() if topics.get(k, 0) > 0}
+    wanted = {k: v / sum(wanted.values()) for k, v in wanted.items()}
+    t = w.tokens.groupby(w.source).sum() ** mixing.SOURCE_TEMPERATURE
+    assert (w.probability >= 1).any() and w.probability.max() <= 1
+    assert all(abs(drawn_shares(w, "topic")[k] - v) < 2e-4 for k, v in wanted.items())
+    assert all(abs(drawn_shares(w, "lang")[k] - v) < 2e-4 for k, v in mixing.LANG_TARGETS.items())
+    assert ((drawn_shares(w, "source") - t / t.sum()).abs() < 2e-4).all()
+    # the budget is the largest feasible: the scarcest category is drawn whole
+    assert abs((w.tokens * w.probability).sum() / total - min(topics[k] / total / v for k, v in wanted.items())) < 1e-4
+
+
 def test_chat_round_trip_and_parts(spark):
     hard = "~0 <| <|end|> ~ </s>[INST] ok [/INST]\n~1"
     rows = [(1, 0, "us\ner", hard), (1, 1, "assistant", hard), (1, 2, None, None), (2, 0, "assistant", "")]
