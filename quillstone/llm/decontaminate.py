@@ -1,10 +1,11 @@
-"""Benchmark decontamination by spaced-seed hashing, in DataFrame expressions only.
+"""Benchmark decontamination by seeds of few words, in DataFrame expressions only.
 
-A mask picks some of the words of a window and ignores the others, so a hash of the
-picked words survives substitutions at the ignored places.  The masks' hashes of all
-benchmark items meet those of all training windows; around each hit the item is laid
-along the document on the hit's diagonal, and the words are compared.  A hit counts
-if some stretch of 20 words (the whole item, if it is shorter) agrees in 80 percent.
+A seed is a run of words so short that whatever substitutions the rule below allows,
+some run of the item stays whole (pigeonhole; see `run_length`), so nothing is missed.
+The seeds of all benchmark items meet those of all training windows; around each hit
+the item is laid along the document on the hit's diagonal, and the words are compared.
+A hit counts if some stretch of 20 words (the whole item, if it is shorter) agrees in
+80 percent.
 
 How it runs.  A document's words become 64-bit hashes, its windows are generated,
 probed against the benchmark's seeds and verified in one stage; texts are never
@@ -14,7 +15,7 @@ first of successive hits on a diagonal is verified, and only verified hits leave
 stage, where they are reduced to the best one for each document and item.
 
 Defined results.  Words are runs of letters and digits, in lower case.  Null or empty
-texts: no hits.  Items shorter than the shortest mask (7 words) are not searched.
+texts: no hits.  Items under 5 words must occur as they are.
 Equal items: each is reported.  Equal overlaps: the first place in the document.
 Repeated rows: reported once for each (doc_id, item_id).  Empty tables: empty result.
 Extra columns are not read.
@@ -27,8 +28,6 @@ from pyspark.sql import functions as F
 
 from quillstone.llm.common import materialize, text_or_empty
 
-#: Three masks of seven words; the first has no gaps.
-MASKS = ("1111111", "110100110101", "101011010011")
 STRETCH, LEAST_PERCENT = 20, 80
 #: Seeds in one broadcast: 24 bytes each, some 100 MB in a hash table.
 MOST_SEEDS = 1_000_000
@@ -36,11 +35,10 @@ MOST_SEEDS = 1_000_000
 MOST_IDS = 500_000
 
 
-def offsets(mask: str) -> list[int]:
-    return [k for k, c in enumerate(mask) if c == "1"]
-
-
-SHORTEST = min(map(len, MASKS))
+def run_length(n: int) -> int:
+    """The longest run of equal words that is certain in n words with as many substitutions as the rule allows."""
+    wrong = n - -(-n * LEAST_PERCENT // 100)
+    return -(-(n - wrong) // (wrong + 1))
 
 
 def word_hashes(text: Column) -> Column:
@@ -48,30 +46,31 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _seeds(h: Column, at: Column) -> Column:
-    """The hash of each mask's words at a place; past the end of the words there are nulls, which no benchmark seed has."""
-    return F.array(*[F.xxhash64(F.lit(m), *[F.get(h, at + o) for o in offsets(mask)]) for m, mask in enumerate(MASKS)])
+def _seed(h: Column, at: Column, n: int) -> Column:
+    """The hash of n words from a place on; past the end of the words there are nulls, which no benchmark seed has."""
+    return F.xxhash64(F.lit(n), *[F.get(h, at + o) for o in range(n)])
 
 
-def _windows(rows: DataFrame, h: str) -> DataFrame:
-    placed = rows.where(F.size(h) >= SHORTEST).withColumn("at", F.explode(F.sequence(F.lit(0), F.size(h) - SHORTEST)))
-    return placed.select("*", F.posexplode(_seeds(F.col(h), F.col("at"))).alias("mask", "seed"))
+def benchmark_seeds(items: DataFrame) -> DataFrame:
+    """One seed for each place of an item where a run of the item's length fits: seed, run, item_id, item_at."""
+    size = F.least(F.size("item_words"), F.lit(STRETCH))
+    runs = F.get(F.array(*[F.lit(run_length(n)) for n in range(1, STRETCH + 1)]), size - 1)
+    placed = items.where(F.size("item_words") > 0).withColumn("run", runs).withColumn("item_at", F.explode(F.sequence(F.lit(0), F.size("item_words") - F.col("run"))))
+    seed = F.coalesce(*[F.when(F.col("run") == n, _seed(F.col("item_words"), F.col("item_at"), n)) for n in sorted({run_length(n) for n in range(1, STRETCH + 1)})])
+    return placed.select(seed.alias("seed"), "run", "item_id", "item_at")
 
 
-def benchmark_seeds(items: DataFrame) -> DataFrame:
-    spans = F.get(F.array(*[F.lit(len(m)) for m in MASKS]), F.col("mask"))
-    return _windows(items, "item_words").where(F.col("at") + spans <= F.size("item_words")).select("seed", "mask", "item_id", F.col("at").alias("item_at"))
+def _windows(rows: DataFrame, runs: list[int]) -> DataFrame:
+    """The seeds of every place of a document, for the run lengths that the benchmark has."""
+    placed = rows.where(F.size("words") > 0).withColumn("at", F.explode(F.sequence(F.lit(0), F.size("words") - 1)))
+    seeds = F.array(*[F.struct(F.lit(n).alias("run"), _seed(F.col("words"), F.col("at"), n).alias("seed")) for n in runs])
+    return placed.select("*", F.inline(seeds))
 
 
 def _follows_a_hit() -> Column:
-    """Whether the same mask also hits one word earlier on the diagonal."""
-    out = F.lit(False)
-    for m, mask in enumerate(MASKS):
-        same = F.lit(True)
-        for o in offsets(mask):
-            same = same & (F.get("words", F.col("at") - 1 + o) == F.get("item_words", F.col("item_at") - 1 + o))
-        out = F.when(F.col("mask") == m, same).otherwise(out)
-    return (F.col("at") > 0) & (F.col("item_at") > 0) & F.coalesce(out, F.lit(False))
+    """Whether the seed one word earlier on the diagonal hits too: its other words are equal already."""
+    before = F.get("words", F.col("at") - 1) == F.get("item_words", F.col("item_at") - 1)
+    return (F.col("at") > 0) & (F.col("item_at") > 0) & F.coalesce(before, F.lit(False))
 
 
 def _best_stretch() -> Column:
@@ -92,12 +91,13 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("text_hash"), word_hashes(text_or_empty()).alias("words"))
     items = materialize(benchmark.select(F.col("item_id").cast("long").alias("item_id"), word_hashes(text_or_empty()).alias("item_words")), "bench-items")
     seeds = materialize(benchmark_seeds(items), "bench-seeds")
-    blocks = max(1, -(-seeds.count() // MOST_SEEDS))
-    windows = _windows(rows, "words")
+    counts = {r["run"]: r["count"] for r in seeds.groupBy("run").count().collect()}
+    blocks = max(1, -(-sum(counts.values()) // MOST_SEEDS))
+    windows = _windows(rows, sorted(counts) or [1])
     found = None
     for k in range(blocks):
         mine = F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k
-        near = windows.join(F.broadcast(seeds.where(mine)), ["seed", "mask"]).join(F.broadcast(items.where(mine)), "item_id")
+        near = windows.join(F.broadcast(seeds.where(mine)), ["seed", "run"]).join(F.broadcast(items.where(mine)), "item_id")
         hits = near.where(~_follows_a_hit()).select("doc_id", "text_hash", "item_id", (F.col("at") - F.col("item_at")).alias("shift"), _best_stretch().alias("s"))
         hits = hits.where(100 * F.col("s.n_matched") >= LEAST_PERCENT * F.col("s.n_compared"))
         found = hits if found is None else found.unionByName(hits)

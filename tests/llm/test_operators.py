@@ -177,6 +177,23 @@ def test_decontamination_tolerates_substitutions(spark):
     assert sorted(r.doc_id for r in decontaminate.clean(docs, bench).collect()) == [3, 4, 5]
 
 
+def test_decontamination_finds_every_allowed_substitution(spark):
+    """Short items by every pattern that leaves 80 percent of the words, longer ones by the patterns of four substitutions in 20."""
+    from itertools import combinations
+
+    docs, items = [], []
+    for n in (1, 3, 5, 6, 7, 8, 10, 11, 12, 15, 20):
+        item = [f"i{n}x{k}" for k in range(n)]
+        items.append((n, " ".join(item)))
+        patterns = list(combinations(range(n), n // 5))
+        for wrong in patterns[:: max(1, len(patterns) // 300)] + [(4, 9, 14, 19)] * (n == 20):
+            docs.append((1000 * n + len(docs), "p q " + " ".join("zz" if k in wrong else w for k, w in enumerate(item)) + " r"))
+        docs.append((-n, " ".join("zz" if k <= n // 5 else w for k, w in enumerate(item))))
+    df, bench = (spark.createDataFrame(rows, f"{name} long, text string") for rows, name in ((docs, "doc_id"), (items, "item_id")))
+    got = decontaminate.overlaps(df, bench).collect()
+    assert len(got) == sum(d > 0 for d, _ in docs) and all(r.doc_id > 0 for r in got)
+
+
 def test_decontamination_in_blocks_and_by_shuffles(spark, monkeypatch):
     docs, bench = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/benchmark.parquet")
     one = sorted(map(tuple, decontaminate.overlaps(docs, bench).collect()))
