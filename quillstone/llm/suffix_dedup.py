@@ -1,12 +1,14 @@
 """Removal of repeated 400-byte strings with a sparse, deep-shallow sorted suffix array.
 
 A byte goes if some 400-byte string that covers it also starts anywhere else.
-
-1. Anchors.  In every 400-byte window the 48-byte gram with the least hash (the
-   leftmost of equals) is its anchor.  Equal windows have the same anchor at the same
-   place, so all repeats meet at anchors, and about one byte in 177 is an anchor.
-   An anchor's context is what windows through it can cover: 352 bytes before its
-   start and 400 from there.
+Beside that, passages of 50 words that stand anywhere else byte for byte, which may
+take fewer bytes than 400, are found and reported, not removed.
+
+1. Anchors.  In every window (of 400 bytes, or of 50 words) the 48-byte gram with the
+   least hash (the leftmost of equals) is its anchor.  Equal windows have the same
+   anchor at the same place, so all repeats meet at anchors, and about one byte in 135
+   is an anchor.  An anchor's context is what windows through it can cover: 352 bytes
+   before its start and 400 from there, or more where 50 words reach further.
 2. Anchors whose gram occurs once are dropped.  If the whole context occurs again
    (by its hash), all of it goes, and no byte of it needs to be read again.
 3. The rest are edges of repeats.  One context for each distinct one is brought
@@ -17,18 +19,22 @@ A byte goes if some 400-byte string that covers it also starts anywhere else.
    bytes make a class: every repeat of 400 bytes that runs through the anchor shows
    in one of the eight.
 4. In a class, the 51 windows of 400 bytes that hold the common 350 are compared by
-   hash; those found twice are covered.
+   hash; those found twice are covered.  A gram's windows of 50 words are compared by
+   hash likewise.
 5. Each document's covered stretches are joined and cut out.
 
 A gram with more than MOST_CONTEXTS distinct contexts is not sorted in one task: its
 windows' hashes are counted by a distributed aggregation instead, which is exact and
 linear as well.  Hashes have 64 bits.
 
-How it runs.  One Arrow map finds the anchors.  Anchors (some 30 bytes for each 177
+How it runs.  One Arrow map finds the anchors.  Anchors (some 30 bytes for each 135
 of text) are grouped twice; the texts are shuffled once, by document, for the edge
-contexts and again for the result (Spark reuses the exchange).
+contexts and again for the result (Spark reuses the exchange).  Both sides of the
+joins back to the anchors are plain tables, so that Spark may split a gram that very
+many anchors have over several tasks.
 
-Defined results.  Null text: empty.  Texts under 400 bytes: nothing removed.  Repeated
+Defined results.  Null text: empty.  Texts under 400 bytes: nothing removed.  Texts
+under 50 words (runs of what is not white space): no passages.  Repeated
 rows: each is a copy of the other.  Rows with equal doc_id and different text are told
 apart by the text's hash.  Empty table: empty result.  Extra columns are not read.
 """
@@ -49,11 +55,15 @@ LENGTH, GRAM = 400, 48
 BEFORE = LENGTH - GRAM
 STEP, SHALLOW = 50, 64
 CORE = LENGTH - STEP
+#: Words of a passage that is reported where it repeats.
+PASSAGE = 50
 STARTS = tuple(range(0, BEFORE, STEP))
 #: Distinct contexts of a gram that one task sorts (45 MB of text); beyond, the distributed way.
 MOST_CONTEXTS = 60_000
-#: Bytes of contexts sorted at once.
-CHUNK = 6 << 20
+#: Bytes of contexts sorted at once, and contexts whose words are looked at at once.
+CHUNK, FEW = 6 << 20, 1000
+#: Sorts of covered stretches.
+REMOVED, REPEATED = 0, 1
 
 _RNG = np.random.default_rng(41)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -94,53 +104,86 @@ def prefixes(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def anchors(data: np.ndarray, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places and gram hashes of the anchors of all windows."""
-    n, width = len(data) - GRAM + 1, BEFORE + 1
+def least_in(key: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The least key from lo to hi (inclusive) of each window; one doubling of the keys is held at a time."""
+    out = np.empty(len(lo), dtype=key.dtype)
+    level = np.frexp((hi - lo + 1).astype(np.float64))[1] - 1
+    width = 1
+    for k in range(int(level.max(initial=-1)) + 1):
+        mine = np.flatnonzero(level == k)
+        out[mine] = np.minimum(key[lo[mine]], key[hi[mine] - width + 1])
+        key, width = np.minimum(key[: max(len(key) - width, 0)], key[width:]), 2 * width
+    return out
+
+
+def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words."""
+    word = np.concatenate(([False], ~((data == 32) | ((data >= 9) & (data <= 13))), [False]))
+    edges = np.flatnonzero(word[1:] != word[:-1])
+    return edges[::2], edges[1::2]
+
+
+def anchors(data: np.ndarray, prefix: np.ndarray, words: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Places and gram hashes of the anchors of all windows, of bytes and of words."""
+    n = max(len(data) - GRAM + 1, 0)
     _, down = POWERS.reach(n)
     gram = _mixed((prefix[GRAM:] - prefix[:-GRAM]) * down[:n])
     # the place in the low half makes the least key the leftmost of equals
     key = (gram & np.uint64(0xFFFFFFFF00000000)) | np.arange(n, dtype=np.uint64)
-    blocks = -(-n // width)
-    padded = np.full(blocks * width, np.uint64(0xFFFFFFFFFFFFFFFF))
-    padded[:n] = key
-    rows = padded.reshape(blocks, width)
-    left = np.minimum.accumulate(rows, axis=1).ravel()
-    right = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
-    least = np.minimum(right[: n - width + 1], left[width - 1 : n])
-    places = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    places = places[np.concatenate(([True], places[1:] != places[:-1]))]
+    begin, end = words
+    lo = np.concatenate((np.arange(max(len(data) - LENGTH + 1, 0)), begin[: max(len(begin) - PASSAGE + 1, 0)]))
+    hi = np.concatenate((np.arange(max(len(data) - LENGTH + 1, 0)) + BEFORE, end[PASSAGE - 1 :] - GRAM))
+    places = np.unique((least_in(key, lo, hi) & np.uint64(0xFFFFFFFF)).astype(np.int64))
     return places, gram[places]
 
 
+def passage_reach(words: tuple[np.ndarray, np.ndarray], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last byte (exclusive) of the windows of PASSAGE words that hold the gram at each place; equal where there is none."""
+    begin, end = words
+    first = np.searchsorted(begin, at, side="right") - 1  # the word that the gram starts in
+    last = np.searchsorted(end, at + GRAM)  # the word that it ends in
+    most = len(begin) - PASSAGE
+    lowest, highest = np.maximum(last - PASSAGE + 1, 0), np.minimum(first, most)
+    some = (first >= 0) & (last < len(begin)) & (lowest <= highest)
+    lowest, highest = np.where(some, lowest, 0), np.where(some, highest, 0)
+    if not len(begin):
+        return at, at
+    return np.where(some, begin[lowest], at), np.where(some, end[np.minimum(highest + PASSAGE - 1, len(end) - 1)], at)
+
+
+ANCHOR = "doc_id long, text_hash long, place int, before int, after int, words_before int, words_after int, gram long, context long"
+
+
 def found_anchors(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, place, before, after, gram and context (hash) of every anchor."""
-    schema = "doc_id long, text_hash long, place int, before int, after int, gram long, context long"
+    """Every anchor's place, gram and context (hash), how far the context reaches, and how far the windows of words do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (np.int32,) * 5 + (np.int64,) * 2
         for b in batches:
-            out: list[list[np.ndarray]] = [[] for _ in range(7)]
+            out: list[list[np.ndarray]] = [[] for _ in kinds]
             ids, hashes = b.column("doc_id").to_pylist(), b.column("text_hash").to_pylist()
             rows = [[], []]
             for k, t in enumerate(b.column("text")):
                 data = np.frombuffer((t.as_py() or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
-                if len(data) < LENGTH:
+                words = word_bounds(data)
+                if len(data) < LENGTH and len(words[0]) < PASSAGE:
                     continue
                 prefix = prefixes(data)
-                at, gram = anchors(data, prefix)
-                lo, hi = np.maximum(at - BEFORE, 0), np.minimum(at + LENGTH, len(data))
+                at, gram = anchors(data, prefix, words)
+                w_lo, w_hi = passage_reach(words, at)
+                lo, hi = np.minimum(np.maximum(at - BEFORE, 0), w_lo), np.maximum(np.minimum(at + LENGTH, len(data)), w_hi)
                 _, down = POWERS.reach(len(data) + 1)
-                size = (at - lo).astype(np.uint64) * np.uint64(1 << 20) + (hi - at).astype(np.uint64)
+                # equal contexts have the same windows, so how far either sort reaches is part of them
+                size = _mixed((at - lo).astype(np.uint64) * np.uint64(1 << 32) + (hi - at).astype(np.uint64)) + _mixed((at - w_lo).astype(np.uint64) * np.uint64(1 << 32) + (w_hi - at).astype(np.uint64) + np.uint64(1 << 31))
                 context = _mixed(_mixed((prefix[hi] - prefix[lo]) * down[lo]) + size)
-                for column, x in zip(out[2:], (at.astype(np.int32), (at - lo).astype(np.int32), (hi - at).astype(np.int32), gram.view(np.int64), context.view(np.int64)), strict=True):
-                    column.append(x)
+                for column, x, kind in zip(out, (at, at - lo, hi - at, at - w_lo, w_hi - at, gram.view(np.int64), context.view(np.int64)), kinds, strict=True):
+                    column.append(x.astype(kind))
                 rows[0] += [ids[k]] * len(at)
                 rows[1] += [hashes[k]] * len(at)
-            kinds = (np.int32, np.int32, np.int32, np.int64, np.int64)
-            columns = [np.concatenate(x) if x else np.empty(0, kind) for x, kind in zip(out[2:], kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), *map(pa.array, columns)], names=[x.split()[0] for x in schema.split(", ")])
+            columns = [np.concatenate(x) if x else np.empty(0, kind) for x, kind in zip(out, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), *map(pa.array, columns)], names=[x.split()[0] for x in ANCHOR.split(", ")])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, ANCHOR)
 
 
 def words_at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -248,13 +291,46 @@ def repeats(contexts: list[bytes], before: np.ndarray, group: np.ndarray) -> tup
     return first, last
 
 
-INTERVAL = "doc_id long, text_hash long, lo int, hi int"
-CONTEXT = "doc_id long, text_hash long, place int, before int, gram long, bytes binary"
+def repeated_passages(contexts: list[bytes], before: np.ndarray, words_before: np.ndarray, words_after: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last byte (exclusive), relative to the anchor, of each context's windows of PASSAGE words that its group has twice or more.
+
+    Contexts without any have first > last.
+    """
+    first, last = np.full(len(contexts), 1 << 30), np.full(len(contexts), -(1 << 30))
+    lows, highs, whose, codes = [], [], [], []
+    for k in range(0, len(contexts), FEW):
+        parts = [c[b - x : b + y] for c, b, x, y in zip(contexts[k : k + FEW], before[k : k + FEW], words_before[k : k + FEW], words_after[k : k + FEW], strict=True)]
+        begin = np.cumsum([0, *(len(p) + 1 for p in parts)])
+        data = np.frombuffer(b" ".join(parts), dtype=np.uint8)
+        if not len(data):
+            continue
+        low, high = word_bounds(data)
+        owner = np.searchsorted(begin, low, side="right") - 1
+        i = np.flatnonzero(owner[: max(len(low) - PASSAGE + 1, 0)] == owner[PASSAGE - 1 :])
+        lo, hi, own = low[i], high[i + PASSAGE - 1], owner[i]
+        prefix, (_, down) = prefixes(data), POWERS.reach(len(data) + 1)
+        # a window that holds its gram twice is in two contexts, so its place by the anchor belongs to it
+        lows.append(lo - begin[own] - words_before[k + own])
+        codes.append(_mixed(_mixed(_mixed((prefix[hi] - prefix[lo]) * down[lo]) + (hi - lo).astype(np.uint64)) + lows[-1].view(np.uint64)))
+        highs.append(hi - begin[own] - words_before[k + own])
+        whose.append(k + own)
+    if whose:
+        lo, hi, who = np.concatenate(lows), np.concatenate(highs), np.concatenate(whose)
+        code = _mixed(np.concatenate(codes) + _mixed(group[who].astype(np.uint64) + np.uint64(1)))
+        _, back, size = np.unique(code, return_inverse=True, return_counts=True)
+        hit = np.flatnonzero(size[back] > 1)
+        np.minimum.at(first, who[hit], lo[hit])
+        np.maximum.at(last, who[hit], hi[hit])
+    return first, last
+
+
+INTERVAL = "doc_id long, text_hash long, kind int, lo int, hi int"
+CONTEXT = "doc_id long, text_hash long, place int, before int, words_before int, words_after int, gram long, bytes binary"
 
 
 def _contexts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """The bytes of the wanted contexts, cut out of their documents."""
-    lists = wanted.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("place", "before", "after", "gram")).alias("wanted")).withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
+    lists = wanted.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("place", "before", "after", "words_before", "words_after", "gram")).alias("wanted")).withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
     joined = texts.join(lists, texts["doc_id"].eqNullSafe(lists["_id"]) & (texts["text_hash"] == lists["_hash"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,9 +341,9 @@ def _contexts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
                 i, h = i.as_py(), h.as_py()
                 for w in wanted.as_py():
                     p = w["place"]
-                    rows.append((i, h, p, w["before"], w["gram"], data[p - w["before"] : p + w["after"]]))
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
+                    rows.append((i, h, p, w["before"], w["words_before"], w["words_after"], w["gram"], data[p - w["before"] : p + w["after"]]))
+            kinds = (pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.int64(), pa.binary())
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in CONTEXT.split(", ")])
 
     return joined.select("doc_id", "text_hash", "text", "wanted").mapInArrow(run, CONTEXT)
@@ -276,63 +352,74 @@ def _contexts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 def _sorted_edges(contexts: DataFrame) -> DataFrame:
     """Covered stretches of contexts, gram by gram, in chunks of bounded size."""
 
-    def resolve(rows: list[tuple]) -> pa.RecordBatch:
-        ids, hashes, place, before, gram, data = zip(*rows, strict=True)
+    def resolve(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        ids, hashes, place, before, words_before, words_after, gram, data = zip(*rows, strict=True)
         _, group = np.unique(np.array(gram, dtype=np.int64), return_inverse=True)
-        first, last = repeats(list(data), np.array(before, dtype=np.int64), group)
-        hit = np.flatnonzero(first <= last)
-        place = np.array(place, dtype=np.int64)
-        take = lambda x: pa.array([x[k] for k in hit], pa.int64())
-        return pa.RecordBatch.from_arrays([take(ids), take(hashes), pa.array((place + first)[hit].astype(np.int32)), pa.array((place + last)[hit].astype(np.int32) + np.int32(LENGTH))], names=["doc_id", "text_hash", "lo", "hi"])
+        place, before, words_before, words_after = (np.array(x, dtype=np.int64) for x in (place, before, words_before, words_after))
+        first, last = repeats(list(data), before, group)
+        for kind, lo, hi in ((REMOVED, first, last + LENGTH), (REPEATED, *repeated_passages(list(data), before, words_before, words_after, group))):
+            hit = np.flatnonzero(lo < hi)
+            take = lambda x: pa.array([x[k] for k in hit], pa.int64())  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([take(ids), take(hashes), pa.array(np.full(len(hit), kind, np.int32)), pa.array((place + lo)[hit].astype(np.int32)), pa.array((place + hi)[hit].astype(np.int32))], names=[x.split()[0] for x in INTERVAL.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        cut = size = 0  # rows before `cut` are of grams that are complete
+        size = 0
         for b in batches:
             for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                if held and row[4] != held[-1][4]:
-                    cut = len(held)
-                    if size >= CHUNK:
-                        yield resolve(held)
-                        held, cut, size = [], 0, 0
+                if held and size >= CHUNK and row[6] != held[-1][6]:
+                    yield from resolve(held)
+                    held, size = [], 0
                 held.append(row)
-                size += len(row[5])
+                size += len(row[7])
         if held:
-            yield resolve(held)
+            yield from resolve(held)
 
     return contexts.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, INTERVAL)
 
 
 def _counted_edges(contexts: DataFrame) -> DataFrame:
     """The same for grams with very many contexts: every window's hash is counted over the cluster."""
-    schema = "doc_id long, text_hash long, place int, start int, window long"
+    schema = "doc_id long, text_hash long, place int, kind int, lo int, hi int, window long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, h, place, before, gram, data in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                n = len(data) - LENGTH + 1
-                prefix, (_, down) = prefixes(np.frombuffer(data, dtype=np.uint8)), POWERS.reach(len(data) + 1)
-                start = np.arange(n) - before
+            for i, h, place, before, words_before, words_after, gram, raw in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                data = np.frombuffer(raw, dtype=np.uint8)
+                low, high = word_bounds(data[before - words_before : before + words_after])
+                many, some = max(len(data) - LENGTH + 1, 0), max(len(low) - PASSAGE + 1, 0)
+                lo = np.concatenate((np.arange(many), low[:some] + before - words_before))
+                hi = np.concatenate((np.arange(many) + LENGTH, high[len(high) - some :] + before - words_before))
+                prefix, (_, down) = prefixes(data), POWERS.reach(len(data) + 1)
+                kind = np.repeat(np.array([REMOVED, REPEATED], dtype=np.int32), (many, some))
                 code = np.array([gram], dtype=np.int64).view(np.uint64)
-                window = _mixed(_mixed((prefix[LENGTH:] - prefix[:-LENGTH]) * down[:n]) + _mixed(start.astype(np.int64).view(np.uint64)) * np.uint64(_M) + code)
-                yield pa.RecordBatch.from_arrays([pa.array([i] * n, pa.int64()), pa.array([h] * n, pa.int64()), pa.array([place] * n, pa.int32()), pa.array(start.astype(np.int32)), pa.array(window.view(np.int64))], names=[x.split()[0] for x in schema.split(", ")])
+                window = _mixed(_mixed((prefix[hi] - prefix[lo]) * down[lo]) + _mixed((hi - lo).astype(np.uint64) * np.uint64(2) + kind.astype(np.uint64)) + _mixed((lo - before).view(np.uint64)) * np.uint64(_M) + code)
+                n = many + some
+                yield pa.RecordBatch.from_arrays([pa.array([i] * n, pa.int64()), pa.array([h] * n, pa.int64()), pa.array([place] * n, pa.int32()), pa.array(kind), pa.array((lo - before).astype(np.int32)), pa.array((hi - before).astype(np.int32)), pa.array(window.view(np.int64))], names=[x.split()[0] for x in schema.split(", ")])
 
-    windows = contexts.where(F.octet_length("bytes") >= LENGTH).mapInArrow(run, schema)
+    windows = contexts.mapInArrow(run, schema)
     twice = windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
-    hit = windows.join(twice, "window").groupBy("doc_id", "text_hash", "place").agg(F.min("start").alias("a"), F.max("start").alias("z"))
-    return hit.select("doc_id", "text_hash", (F.col("place") + F.col("a")).alias("lo"), (F.col("place") + F.col("z") + LENGTH).alias("hi"))
+    hit = windows.join(twice, "window").groupBy("doc_id", "text_hash", "place", "kind").agg(F.min("lo").alias("a"), F.max("hi").alias("z"))
+    return hit.select("doc_id", "text_hash", "kind", (F.col("place") + F.col("a")).alias("lo"), (F.col("place") + F.col("z")).alias("hi"))
 
 
 def covered(docs: DataFrame, most_contexts: int = MOST_CONTEXTS) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, text_hash, text) and the covered stretches (doc_id, text_hash, lo, hi), in bytes."""
+    """(doc_id, text_hash, text) and the covered stretches (doc_id, text_hash, kind, lo, hi), in bytes."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("text_hash"), "text")
     every = materialize(found_anchors(texts), "sd-anchors")
     grams = every.groupBy("gram").agg(F.count("*").alias("n"), F.min("context").alias("c0"), F.max("context").alias("c1")).where("n > 1").select("gram", (F.col("c0") != F.col("c1")).alias("mixed"))
-    again = materialize(every.join(grams, "gram"), "sd-again")
-    distinct = again.groupBy("gram", "context", "mixed").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_hash", "place", "before", "after")).alias("r"))
+    again = materialize(every.join(materialize(grams, "sd-grams"), "gram"), "sd-again")
+    reach = ("place", "before", "after", "words_before", "words_after")
+    distinct = again.groupBy("gram", "context", "mixed").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_hash", *reach)).alias("r"))
     distinct = materialize(distinct, "sd-contexts")
-    whole = again.join(distinct.where("n > 1").select("gram", "context"), ["gram", "context"]).where(F.col("before") + F.col("after") >= LENGTH)
-    found = whole.select("doc_id", "text_hash", (F.col("place") - F.col("before")).alias("lo"), (F.col("place") + F.col("after")).alias("hi"))
+    whole = again.join(distinct.where("n > 1").select("gram", "context"), ["gram", "context"])
+    of = lambda kind, lo, hi, some: F.when(some, F.struct(F.lit(kind).alias("kind"), lo.alias("lo"), hi.alias("hi")))
+    place, before, after = F.col("place"), F.least("before", F.lit(BEFORE)), F.least("after", F.lit(LENGTH))
+    both = F.array(
+        of(REMOVED, place - before, place + after, before + after >= LENGTH),
+        of(REPEATED, place - F.col("words_before"), place + F.col("words_after"), F.col("words_before") + F.col("words_after") > 0),
+    )
+    found = whole.select("doc_id", "text_hash", F.inline(F.array_compact(both)))
     edges = distinct.where("mixed").select("gram", "r.*")
     wide = materialize(edges.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > most_contexts).select("gram"), "sd-wide")
     if wide.limit(1).count():
@@ -353,26 +440,27 @@ def stretches(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def deduplicate(docs: DataFrame, most_contexts: int = MOST_CONTEXTS) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed stretches of every document."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, the removed stretches of every document, and the bytes in repeated passages."""
     texts, found = covered(docs, most_contexts)
-    lists = found.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("lo", "hi")).alias("found")).withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
+    lists = found.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("kind", "lo", "hi")).alias("found")).withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
     joined = texts.join(lists, texts["doc_id"].eqNullSafe(lists["_id"]) & (texts["text_hash"] == lists["_hash"]), "left")
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<lo:long,hi:long>>"
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<lo:long,hi:long>>, n_passage_bytes long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for i, t, f in zip(*[b.column(c) for c in ("doc_id", "text", "found")], strict=True):
-                data = (t.as_py() or "").encode("utf-8", "surrogatepass")
-                runs = stretches([(x["lo"], x["hi"]) for x in f.as_py() or ()])
+                data, mine = (t.as_py() or "").encode("utf-8", "surrogatepass"), f.as_py() or ()
+                runs, passages = (stretches([(x["lo"], x["hi"]) for x in mine if x["kind"] == kind]) for kind in (REMOVED, REPEATED))
                 kept, at = hashlib.sha256(), 0
                 for lo, hi in runs:
                     kept.update(data[at:lo])
                     at = hi
                 kept.update(data[at:])
-                rows.append((i.as_py(), len(data), sum(hi - lo for lo, hi in runs), len(runs), kept.hexdigest(), [{"lo": lo, "hi": hi} for lo, hi in runs]))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"])
+                length = lambda x: sum(hi - lo for lo, hi in x)
+                rows.append((i.as_py(), len(data), length(runs), len(runs), kept.hexdigest(), [{"lo": lo, "hi": hi} for lo, hi in runs], length(passages)))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])), pa.int64())
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed", "n_passage_bytes"])
 
     return joined.select("doc_id", "text", "found").mapInArrow(run, schema)

@@ -98,19 +98,31 @@ def test_suffix_dedup_equals_brute_force(spark):
     passage = " ".join(word() for _ in range(110))
     docs = [(d, t) for d, t in documents(spark)[:60]] + [(1000 + k, " ".join(word() for _ in range(40 + k)) + " " + passage + " é" * k + " ".join(word() for _ in range(30))) for k in range(6)]
     docs += [(2000, "x" * 1500), (2001, passage[:399]), (2002, passage[:400])]
+    short = [word()[:3] for _ in range(52)]  # 52 words in under 400 bytes
+    docs += [(3000 + k, f"{word()}{sep}" * 9 + " ".join(short[k % 2 :]) + " end" * k) for k, sep in enumerate(" \n\t  ")]
+    docs += [(3010, "a " * 300), (3011, " ".join(f"{k}" * 60 for k in range(55))), (3012, "new " + " ".join(f"{k}" * 60 for k in range(55)))]
     L = suffix_dedup.LENGTH
     raw = {d: t.encode() for d, t in docs}
     count = Counter(b[i : i + L] for b in raw.values() for i in range(len(b) - L + 1))
+    windows = {}
+    for d, b in raw.items():
+        at = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", b)]
+        windows[d] = [(at[k][0], at[k + suffix_dedup.PASSAGE - 1][1]) for k in range(len(at) - suffix_dedup.PASSAGE + 1)]
+    passages = Counter(raw[d][lo:hi] for d, spans in windows.items() for lo, hi in spans)
     df = spark.createDataFrame(docs, "doc_id long, text string")
     for most in (suffix_dedup.MOST_CONTEXTS, 2):
-        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.deduplicate(df, most).collect()}
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_passage_bytes) for r in suffix_dedup.deduplicate(df, most).collect()}
         for d, b in raw.items():
+            again = bytearray(len(b))
+            for lo, hi in windows[d]:
+                if passages[b[lo:hi]] > 1:
+                    again[lo:hi] = b"\1" * (hi - lo)
             gone = bytearray(len(b))
             for i in range(len(b) - L + 1):
                 if count[b[i : i + L]] > 1:
                     gone[i : i + L] = b"\1" * L
             kept = bytes(x for x, y in zip(b, gone, strict=True) if not y)
-            assert got[d] == (len(b), sum(gone), len([x for x in bytes(gone).split(b"\0") if x]), hashlib.sha256(kept).hexdigest()), d
+            assert got[d] == (len(b), sum(gone), len([x for x in bytes(gone).split(b"\0") if x]), hashlib.sha256(kept).hexdigest(), sum(again)), d
 
 
 def test_secret_spans_equal_plain_patterns(spark):
