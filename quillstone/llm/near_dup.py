@@ -357,7 +357,9 @@ def keep_one(docs: DataFrame, size: int = 5) -> DataFrame:
     twice = found.where("stays and n_shingles > 0").groupBy("doc_id", "text_hash").count().where("count > 1")
     if not twice.limit(1).count():
         return left
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text_or_empty()) == F.col("_hash"))
-    again = twice.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    once = left.join(again, same, "left_semi").withColumns({"_id": F.col("doc_id"), "_hash": F.xxhash64(text_or_empty())}).dropDuplicates(["_id", "_hash"]).drop("_id", "_hash")
-    return left.join(again, same, "left_anti").unionByName(once)
+    # the row travels as one struct, so that no name of its own can clash
+    key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("text_hash"))
+    rows = left.select(F.struct(*[F.col(f"`{c}`") for c in left.columns]).alias("row"), key.alias("row_key"))
+    again, same = twice.select(F.struct("doc_id", "text_hash").alias("again_key")), F.col("row_key").eqNullSafe(F.col("again_key"))
+    once = rows.join(again, same, "left_semi").dropDuplicates(["row_key"])
+    return rows.join(again, same, "left_anti").unionByName(once).select("row.*")

@@ -206,6 +206,48 @@ def test_decontamination_finds_every_allowed_substitution(spark):
     assert len(got) == sum(d > 0 for d, _ in docs) and all(r.doc_id > 0 for r in got)
 
 
+def test_masks_meet_every_allowed_pattern():
+    from itertools import combinations
+
+    for n in range(1, decontaminate.STRETCH + 1):
+        placed = [{k + o for o in m} for m in decontaminate.masks_for(n) for k in range(n - m[-1])]
+        assert n < 5 or all(m[-1] >= len(m) for m in decontaminate.masks_for(n))  # every mask ignores some position
+        assert all(any(not p & set(wrong) for p in placed) for wrong in combinations(range(n), n // 5)), n
+
+
+def test_decontamination_equals_all_diagonals(spark):
+    rng = random.Random(12)
+    items = [[f"v{rng.randrange(30)}" for _ in range(rng.choice((2, 4, 5, 7, 9, 12, 15, 19, 24, 33)))] for _ in range(25)]
+    items.append(list(items[7]))
+    docs = []
+    for _ in range(60):
+        w = [f"v{rng.randrange(30)}" for _ in range(rng.randint(0, 25))]
+        for _ in range(rng.randint(0, 3)):
+            part = [x if rng.random() > 0.18 else "zz" for x in rng.choice(items)]
+            w += part[rng.randint(0, 2) :] + [f"v{rng.randrange(30)}" for _ in range(rng.randint(0, 9))]
+        docs.append(w)
+    want = set()
+    for d, w in enumerate(docs):
+        for i, x in enumerate(items):
+            size = min(20, len(x))
+            for shift in range(-len(x) + 1, len(w)):
+                hit = [0 <= shift + j < len(w) and w[shift + j] == y for j, y in enumerate(x)]
+                if any(100 * sum(hit[k : k + size]) >= 80 * size for k in range(len(x) - size + 1)):
+                    want.add((d, i))
+    df, bench = (spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(rows)], f"{name} long, text string") for rows, name in ((docs, "doc_id"), (items, "item_id")))
+    assert {(r.doc_id, r.item_id) for r in decontaminate.overlaps(df, bench).collect()} == want and len(want) > 40
+
+
+def test_decontamination_without_spaces_and_with_clashing_names(spark):
+    item = "".join(chr(0x4E00 + 37 * k) for k in range(24))
+    rows = [(1, "前文" + item[:11] + "誤" + item[12:], 1, 2), (2, "別の文章です", 1, 2), (1, "前文" + item[:11] + "誤" + item[12:], 1, 2)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string, _id int, _hash int"), spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert [(r.doc_id, r.n_matched_item) for r in decontaminate.overlaps(docs, bench).collect()] == [(1, 23)]
+    left = decontaminate.clean(docs, bench)
+    assert left.columns == docs.columns and [r.doc_id for r in left.collect()] == [2]
+    assert sorted(r.doc_id for r in near_dup.keep_one(docs).collect()) == [1, 2]
+
+
 def test_decontamination_in_blocks_and_by_shuffles(spark, monkeypatch):
     docs, bench = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/benchmark.parquet")
     one = sorted(map(tuple, decontaminate.overlaps(docs, bench).collect()))
