@@ -62,6 +62,8 @@ STARTS = tuple(range(0, BEFORE, STEP))
 MOST_CONTEXTS = 60_000
 #: Bytes of contexts sorted at once, and contexts whose words are looked at at once.
 CHUNK, FEW = 6 << 20, 1000
+#: Bytes of texts whose anchors are looked for at once, if no text alone has more.
+GROUP = 1 << 17
 #: Sorts of covered stretches.
 REMOVED, REPEATED = 0, 1
 
@@ -104,16 +106,22 @@ def prefixes(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def least_in(key: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """The least key from lo to hi (inclusive) of each window; one doubling of the keys is held at a time."""
-    out = np.empty(len(lo), dtype=key.dtype)
-    level = np.frexp((hi - lo + 1).astype(np.float64))[1] - 1
-    width = 1
-    for k in range(int(level.max(initial=-1)) + 1):
+def least_in(key: np.ndarray, lo: np.ndarray, hi: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """The places of the least keys in the windows of BEFORE + 1 keys where `whole` holds, and in those from lo to hi (inclusive); each place once.
+
+    One doubling of the keys is held at a time.  Windows are in order, so their places are too.
+    """
+    level, fixed = np.frexp((hi - lo + 1).astype(np.float64))[1] - 1, (BEFORE + 1).bit_length() - 1
+    many = len(whole) if whole.any() else 0
+    best, found, width = np.empty(len(lo), dtype=key.dtype), [], 1
+    for k in range(max(int(level.max(initial=-1)), fixed if many else -1) + 1):
         mine = np.flatnonzero(level == k)
-        out[mine] = np.minimum(key[lo[mine]], key[hi[mine] - width + 1])
+        best[mine] = np.minimum(key[lo[mine]], key[hi[mine] - width + 1])
+        if k == fixed and many:
+            found.append(np.minimum(key[:many], key[BEFORE + 1 - width : BEFORE + 1 - width + many])[whole])
         key, width = np.minimum(key[: max(len(key) - width, 0)], key[width:]), 2 * width
-    return out
+    places = [(x[np.concatenate(([True], x[1:] != x[:-1]))] & np.uint64(0xFFFFFFFF)).astype(np.int64) for x in (*found, best) if len(x)]
+    return np.unique(np.concatenate((np.empty(0, dtype=np.int64), *places)))
 
 
 def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,34 +131,56 @@ def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
-def anchors(data: np.ndarray, prefix: np.ndarray, words: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Places and gram hashes of the anchors of all windows, of bytes and of words."""
-    n = max(len(data) - GRAM + 1, 0)
-    _, down = POWERS.reach(n)
-    gram = _mixed((prefix[GRAM:] - prefix[:-GRAM]) * down[:n])
-    # the place in the low half makes the least key the leftmost of equals
-    key = (gram & np.uint64(0xFFFFFFFF00000000)) | np.arange(n, dtype=np.uint64)
-    begin, end = words
-    lo = np.concatenate((np.arange(max(len(data) - LENGTH + 1, 0)), begin[: max(len(begin) - PASSAGE + 1, 0)]))
-    hi = np.concatenate((np.arange(max(len(data) - LENGTH + 1, 0)) + BEFORE, end[PASSAGE - 1 :] - GRAM))
-    places = np.unique((least_in(key, lo, hi) & np.uint64(0xFFFFFFFF)).astype(np.int64))
-    return places, gram[places]
+def same_owner(owner: np.ndarray) -> np.ndarray:
+    """The words that a window of PASSAGE words starts with, all of one owner."""
+    return np.flatnonzero(owner[: max(len(owner) - PASSAGE + 1, 0)] == owner[PASSAGE - 1 :])
 
 
-def passage_reach(words: tuple[np.ndarray, np.ndarray], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def passage_reach(begin: np.ndarray, end: np.ndarray, owner: np.ndarray, at: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and last byte (exclusive) of the windows of PASSAGE words that hold the gram at each place; equal where there is none."""
-    begin, end = words
+    if not len(begin):
+        return at, at
     first = np.searchsorted(begin, at, side="right") - 1  # the word that the gram starts in
     last = np.searchsorted(end, at + GRAM)  # the word that it ends in
-    most = len(begin) - PASSAGE
-    lowest, highest = np.maximum(last - PASSAGE + 1, 0), np.minimum(first, most)
-    some = (first >= 0) & (last < len(begin)) & (lowest <= highest)
+    lowest = np.maximum(last - PASSAGE + 1, np.searchsorted(owner, of))
+    highest = np.minimum(first, np.searchsorted(owner, of, side="right") - PASSAGE)
+    some = (first >= 0) & (lowest <= highest)
     lowest, highest = np.where(some, lowest, 0), np.where(some, highest, 0)
-    if not len(begin):
-        return at, at
     return np.where(some, begin[lowest], at), np.where(some, end[np.minimum(highest + PASSAGE - 1, len(end) - 1)], at)
 
 
+def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Of the anchors of all windows: the text's number, place, reach before and after it, reach of words before and after it, gram and context.
+
+    The texts are laid end to end, a space between, so that short ones cost no calls of their own.
+    """
+    size = np.array([len(t) for t in texts], dtype=np.int64)
+    start = np.cumsum(size + 1) - size - 1
+    data = np.frombuffer(b" ".join(texts), dtype=np.uint8)
+    n = len(data) - GRAM + 1
+    nothing = np.empty(0, dtype=np.int64)
+    if n <= 0:
+        return (nothing,) * 8
+    begin, end = word_bounds(data)
+    owner = np.searchsorted(start, begin, side="right") - 1
+    prefix, (_, down) = prefixes(data), POWERS.reach(len(data) + 1)
+    gram = _mixed((prefix[GRAM:] - prefix[:-GRAM]) * down[:n])
+    # the place in the low half makes the least key the leftmost of equals
+    key = (gram & np.uint64(0xFFFFFFFF00000000)) | np.arange(n, dtype=np.uint64)
+    whole = np.zeros(max(len(data) - LENGTH + 1, 0), dtype=bool)  # where a window lies in one text
+    for lo, m in zip(start[size >= LENGTH], size[size >= LENGTH], strict=True):
+        whole[lo : lo + m - LENGTH + 1] = True
+    passage = same_owner(owner)
+    at = least_in(key, begin[passage], end[passage + PASSAGE - 1] - GRAM, whole)
+    of = np.searchsorted(start, at, side="right") - 1
+    w_lo, w_hi = passage_reach(begin, end, owner, at, of)
+    lo, hi = np.minimum(np.maximum(at - BEFORE, start[of]), w_lo), np.maximum(np.minimum(at + LENGTH, (start + size)[of]), w_hi)
+    # equal contexts have the same windows, so how far either sort reaches is part of them
+    reach = _mixed((at - lo).astype(np.uint64) * np.uint64(1 << 32) + (hi - at).astype(np.uint64)) + _mixed((at - w_lo).astype(np.uint64) * np.uint64(1 << 32) + (w_hi - at).astype(np.uint64) + np.uint64(1 << 31))
+    context = _mixed(_mixed((prefix[hi] - prefix[lo]) * down[lo]) + reach)
+    return of, at - start[of], at - lo, hi - at, at - w_lo, w_hi - at, gram[at].view(np.int64), context.view(np.int64)
+
+
 ANCHOR = "doc_id long, text_hash long, place int, before int, after int, words_before int, words_after int, gram long, context long"
 
 
@@ -159,29 +189,17 @@ def found_anchors(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (np.int32,) * 5 + (np.int64,) * 2
+        names = [x.split()[0] for x in ANCHOR.split(", ")]
         for b in batches:
-            out: list[list[np.ndarray]] = [[] for _ in kinds]
-            ids, hashes = b.column("doc_id").to_pylist(), b.column("text_hash").to_pylist()
-            rows = [[], []]
-            for k, t in enumerate(b.column("text")):
-                data = np.frombuffer((t.as_py() or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
-                words = word_bounds(data)
-                if len(data) < LENGTH and len(words[0]) < PASSAGE:
-                    continue
-                prefix = prefixes(data)
-                at, gram = anchors(data, prefix, words)
-                w_lo, w_hi = passage_reach(words, at)
-                lo, hi = np.minimum(np.maximum(at - BEFORE, 0), w_lo), np.maximum(np.minimum(at + LENGTH, len(data)), w_hi)
-                _, down = POWERS.reach(len(data) + 1)
-                # equal contexts have the same windows, so how far either sort reaches is part of them
-                size = _mixed((at - lo).astype(np.uint64) * np.uint64(1 << 32) + (hi - at).astype(np.uint64)) + _mixed((at - w_lo).astype(np.uint64) * np.uint64(1 << 32) + (w_hi - at).astype(np.uint64) + np.uint64(1 << 31))
-                context = _mixed(_mixed((prefix[hi] - prefix[lo]) * down[lo]) + size)
-                for column, x, kind in zip(out, (at, at - lo, hi - at, at - w_lo, w_hi - at, gram.view(np.int64), context.view(np.int64)), kinds, strict=True):
-                    column.append(x.astype(kind))
-                rows[0] += [ids[k]] * len(at)
-                rows[1] += [hashes[k]] * len(at)
-            columns = [np.concatenate(x) if x else np.empty(0, kind) for x, kind in zip(out, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), *map(pa.array, columns)], names=[x.split()[0] for x in ANCHOR.split(", ")])
+            texts, first, held, size = b.column("text"), 0, [], 0
+            for k, t in enumerate(texts):
+                held.append((t.as_py() or "").encode("utf-8", "surrogatepass"))
+                size += len(held[-1])
+                if k + 1 == len(texts) or size >= GROUP:
+                    of, *columns = anchors(held)
+                    rows = pa.array(of + first)
+                    yield pa.RecordBatch.from_arrays([b.column("doc_id").take(rows), b.column("text_hash").take(rows), *[pa.array(x.astype(kind)) for x, kind in zip(columns, kinds, strict=True)]], names=names)
+                    held, first, size = [], k + 1, 0
 
     return docs.mapInArrow(run, ANCHOR)
 
@@ -306,7 +324,7 @@ def repeated_passages(contexts: list[bytes], before: np.ndarray, words_before: n
             continue
         low, high = word_bounds(data)
         owner = np.searchsorted(begin, low, side="right") - 1
-        i = np.flatnonzero(owner[: max(len(low) - PASSAGE + 1, 0)] == owner[PASSAGE - 1 :])
+        i = same_owner(owner)
         lo, hi, own = low[i], high[i + PASSAGE - 1], owner[i]
         prefix, (_, down) = prefixes(data), POWERS.reach(len(data) + 1)
         # a window that holds its gram twice is in two contexts, so its place by the anchor belongs to it
