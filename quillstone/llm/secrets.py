@@ -2,16 +2,18 @@
 
 Every text is searched for candidates.  A candidate's value is hashed, and the
 hashes are counted over the whole corpus: in how many distinct repositories (by
-default each document is one) and under how many distinct owners (the source).
-A value that looks live (mixed characters, no run of a filler) and belongs to few
-owners is owner-specific and gets a span `owned`; one that many owners share is a
-widely copied example.  The base spans stay as they are.
+default each distinct text is one, so copies of a document count once) and under how
+many distinct owners (the source; of a repository under several owners the first by
+name).  A value that looks live (mixed characters, no run of a filler) and has few
+owners and few repositories is owner-specific and gets a span `owned`; one that many
+owners share, or that one owner repeats over many repositories, is a widely copied
+example.  The base spans stay as they are.
 
 How it runs.  One pass over the texts makes a slim table of spans and candidate
 hashes, written to the shared folder; all later steps work on it.  Counting first
-removes repeats by (hash, owner, repository), then sums by owner, then by hash,
-each with partial aggregation, so a value in a third of all rows costs one row for
-each task.  The counts return to the occurrences by a join that Spark may split.
+reduces to one row for each (hash, repository), then for each (hash, owner), then by
+hash, each with partial aggregation and under a key of its own, so that no task holds
+all repositories of a hash.  The counts return to the occurrences by a join that Spark may split.
 
 Defined results.  Null or empty text: no spans.  Null owner or repository: an owner
 or repository named "".  Ties in start: base kinds in their listed order, then
@@ -47,8 +49,10 @@ BASE = (
 #: Bare runs that may be keys: counted over the corpus like the base values.
 BARE = Kind("bare", r"[A-Za-z0-9_-]{24,}")
 OWNED = "owned"
-#: A value under more owners than this is an example.
-MOST_OWNERS = 1
+#: A value under more owners, or in more repositories, than these is an example.
+MOST_OWNERS, MOST_REPOSITORIES = 2, 10
+#: Matches whose places are added up at once.
+BLOCK = 128
 #: Distinct characters that a live-looking value has at least.
 LEAST_DISTINCT = 8
 
@@ -59,16 +63,23 @@ def located(text: Column, kind: Kind) -> Column:
     The pieces between the matches and the matches themselves add up to the text, which gives the places.
     """
 
-    def walk(found: Column) -> Column:
-        values = F.regexp_extract_all(text, F.lit(f"({kind.pattern})"), F.lit(1 + kind.value_group))
-        nothing = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+    place = "array<struct<start:int,end:int>>"
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + x["gap"]
+        return F.struct((start + x["n"]).alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), (start + x["n"]).alias("end")))).alias("out"))
 
-        def step(acc: Column, x: Column) -> Column:
-            start = acc["at"] + x["gap"]
-            return F.struct((start + x["n"]).alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), (start + x["n"]).alias("end")))).alias("out"))
+    def places(pieces: Column) -> Column:
+        """Running sums block by block, since every addition to an array copies it."""
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / BLOCK).cast("int")), lambda k: F.aggregate(F.slice(pieces, k * BLOCK + 1, BLOCK), F.struct(F.lit(0).alias("at"), F.array().cast(place).alias("out")), step))
+        begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<struct<at:int,out:{place}>>").alias("out"))
+        based = F.aggregate(blocks, begin, lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("at"), x["out"].alias("out")))).alias("out")), lambda acc: acc["out"])
+        return F.flatten(F.transform(based, lambda b: F.transform(b["out"], lambda p: F.struct((b["at"] + p["start"]).alias("start"), (b["at"] + p["end"]).alias("end")))))
 
-        places = F.aggregate(let(F.split(text, kind.pattern), lambda g: F.transform(found, lambda m, i: F.struct(F.length(F.get(g, i)).alias("gap"), F.length(m).alias("n")))), nothing, step, lambda acc: acc["out"])
-        return F.zip_with(places, values, lambda p, v: F.struct(p["start"].alias("start"), p["end"].alias("end"), v.alias("value")))
+    def walk(found: Column) -> Column:
+        values = F.regexp_extract_all(text, F.lit(f"({kind.pattern})"), F.lit(1 + kind.value_group))
+        pieces = let(F.split(text, kind.pattern), lambda g: F.transform(found, lambda m, i: F.struct(F.length(F.get(g, i)).alias("gap"), F.length(m).alias("n"))))
+        return F.zip_with(let(pieces, places), values, lambda p, v: F.struct(p["start"].alias("start"), p["end"].alias("end"), v.alias("value")))
 
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
     # texts without a match, the most by far, are read once by the cheapest call
@@ -88,11 +99,12 @@ def looks_live(value: Column) -> Column:
     )
 
 
-def candidates(docs: DataFrame, repository: str = "doc_id", owner: str = "source") -> DataFrame:
+def candidates(docs: DataFrame, repository: str | None = None, owner: str = "source") -> DataFrame:
     """One slim row for each document: id, repository, owner, base spans and hashed candidates."""
+    place = F.col(repository).cast("string") if repository else F.hex(F.xxhash64(text_or_empty()))
     spans = {k.name: located(F.col("_text"), k) for k in BASE}
     held = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(repository).cast("string"), F.lit("")).alias("repository"), F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"), text_or_empty().alias("_text")
+        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(place, F.lit("")).alias("repository"), F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"), text_or_empty().alias("_text")
     ).select("*", *[v.alias(f"_{k}") for k, v in spans.items()], located(F.col("_text"), BARE).alias("_bare"))
     base = F.concat(*[_named(F.col(f"_{k.name}"), i, k.name) for i, k in enumerate(BASE)])
     # the value of an assignment ends where its match ends
@@ -105,20 +117,22 @@ def candidates(docs: DataFrame, repository: str = "doc_id", owner: str = "source
 
 def ownership(found: DataFrame) -> DataFrame:
     """hash, n_repositories and n_owners of every candidate value."""
-    once = found.select("hash", "owner", "repository").distinct()
+    once = found.groupBy("hash", "repository").agg(F.min("owner").alias("owner"))
     return once.groupBy("hash", "owner").count().groupBy("hash").agg(F.sum("count").alias("n_repositories"), F.count("*").alias("n_owners"))
 
 
-def scan(docs: DataFrame, repository: str = "doc_id", owner: str = "source", most_owners: int = MOST_OWNERS) -> DataFrame:
+def scan(docs: DataFrame, repository: str | None = None, owner: str = "source", most_owners: int = MOST_OWNERS, most_repositories: int = MOST_REPOSITORIES) -> DataFrame:
     """Base counts and spans of each document, with the spans of owner-specific live-looking values and how many values are examples."""
     slim = materialize(candidates(docs, repository, owner), "secret-spans")
     found = slim.where(F.size("found") > 0).select("row_id", "owner", "repository", F.inline("found"))
-    judged = found.join(ownership(found), "hash").withColumn("owned", F.col("live") & (F.col("n_owners") <= most_owners))
+    counts = materialize(ownership(found), "secret-counts")  # a plain table, so that Spark may split the join on a hot hash
+    example = (F.col("n_owners") > most_owners) | (F.col("n_repositories") > most_repositories)
+    judged = found.join(counts, "hash").withColumns({"example": example, "owned": F.col("live") & ~example})
     span = F.struct("start", F.lit(len(BASE)).alias("ord"), F.lit(OWNED).alias("kind"), "end")
     added = judged.groupBy("row_id").agg(
         F.collect_set(F.when(F.col("owned"), span)).alias("added"),
         F.sum(F.col("owned").cast("long")).alias("n_owned"),
-        F.sum((F.col("n_owners") > most_owners).cast("long")).alias("n_copied"),
+        F.sum(F.col("example").cast("long")).alias("n_copied"),
         F.max("n_repositories").alias("most_repositories"),
     )
     out = slim.join(added, "row_id", "left")

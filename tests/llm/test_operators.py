@@ -171,10 +171,44 @@ def test_secret_spans_equal_plain_patterns(spark):
 
 
 def test_secret_ownership(spark):
-    own, copied = "Zx9Qw7Er5Ty3Ui1Op8As6Df4", "Mn2Bv4Cx6Zl8Kj1Hg3Fd5Sa7"
-    rows = [(1, f"use {own} here", "a"), (2, f"and {own} too", "a"), (3, f"see {copied}", "a"), (4, f"see {copied}", "b"), (5, "token: token: abcdefgh", "b")]
+    own, copied, pasted = "Zx9Qw7Er5Ty3Ui1Op8As6Df4", "Mn2Bv4Cx6Zl8Kj1Hg3Fd5Sa7", "Qa1Ws2Ed3Rf4Tg5Yh6Uj7Ik8"
+    rows = [(1, f"use {own} here", "a"), (2, f"and {own} too", "b"), (5, "token: token: abcdefgh", "b")]
+    rows += [(10 + k, f"see {copied}" + " x" * k, f"s{k}") for k in range(3)] + [(20 + k, f"the same {own}x text", f"s{k}") for k in range(9)]
+    rows += [(100 + k, f"paste {k} {pasted}", "a") for k in range(secrets.MOST_REPOSITORIES + 1)]
     r = {x.doc_id: x for x in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
-    assert r[1].spans == "owned:4:28" and r[1].most_repositories == 2 and r[3].spans == "" and r[3].n_copied == 1 and r[5].n_assign == 0
+    assert r[1].spans == "owned:4:28" and r[1].most_repositories == 2 and r[5].n_assign == 0
+    assert r[10].spans == "" and r[10].n_copied == 1  # three owners
+    assert r[100].spans == "" and r[100].n_copied == 1  # one owner, many repositories
+    assert r[20].spans == "owned:9:34" and r[20].most_repositories == 1  # copies of one document are one repository
+
+
+def test_secret_owned_spans_equal_brute_force(spark):
+    bare = r"[A-Za-z0-9_-]{24,}"
+    kinds = (*((k.pattern, k.value_group, k.least) for k in secrets.BASE), (bare, 0, 0))
+    live = lambda v: bool(re.search("[0-9]", v) and re.search("[A-Za-z]", v) and len(set(v)) >= secrets.LEAST_DISTINCT and not re.search(r"(.)\1{3}", v) and not re.search("example|sample|dummy|changeme|placeholder|your", v.lower()))
+    data = DATA.replace("sf0.001", "sf0.01")
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "source").collect()
+    found = {r.doc_id: {(m.end() - len(m[g]), m.end(), m[g]) for p, g, least in kinds for m in re.finditer(p, r.text or "") if len(m[g]) >= least} for r in docs}
+    first = {}
+    for r in docs:
+        first[r.text] = min(first.get(r.text, r.source), r.source)
+    at = {}
+    for r in docs:
+        for _, _, v in found[r.doc_id]:
+            at.setdefault(v, set()).add((r.text, first[r.text]))
+    n = 0
+    for r in queries.QUERIES["op3_secret_ownership"](spark, data).collect():
+        want = sorted((s, e) for s, e, v in found[r.doc_id] if live(v) and len(at[v]) <= secrets.MOST_REPOSITORIES and len({o for _, o in at[v]}) <= secrets.MOST_OWNERS)
+        assert [x for x in r.spans.split(",") if x.startswith("owned")] == [f"owned:{s}:{e}" for s, e in want]
+        n += len(want)
+    assert n > 5
+
+
+def test_secret_spans_of_very_many_matches(spark):
+    text = "é token: abcdef7\n" * 5000
+    r = secrets.scan(spark.createDataFrame([(1, text, "a")], "doc_id long, text string, source string")).first()
+    want = ",".join(f"assign:{m.start()}:{m.end()}" for m in re.finditer("token: abcdef7", text))
+    assert r.n_assign == 5000 and r.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
 
 
 def test_near_dup_paths_agree(spark):
