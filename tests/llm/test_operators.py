@@ -385,6 +385,42 @@ def test_page_text():
     assert html_text.main_text("<article><header><h1>H</h1><p>by x</p></header><p>Short.</p><aside>no</aside></article>") == "H\n\nShort."
 
 
+PLAIN_PAGE = """<body class="has-sidebar"><div id=top><a href=1>One</a> <a href=2>Two</a></div><div class="page"><div><div><h2>Part one</h2><p>The first part, with commas, and words enough to be a paragraph of its own.</p>
+<p>More, and more, of the first part, which goes on for quite a while, as parts do.</p></div><div><p>Second part, a single one.</p></div><ul><li>item one<li>item two</ul><pre>code  here</pre></div>
+<p>Short end.</p><ul><li><a href=3>Link</a><li><a href=4>Link</a></ul></div>bare words<div class="sidebar">Other</div></body>"""
+
+
+def test_page_text_without_article_keeps_all_parts():
+    assert html_text.main_text(PLAIN_PAGE).split("\n\n") == [
+        "Part one", "The first part, with commas, and words enough to be a paragraph of its own.", "More, and more, of the first part, which goes on for quite a while, as parts do.",
+        "Second part, a single one.", "item one", "item two", "code here", "Short end.", "bare words",
+    ]
+    whole = '<div class="related content"><p>All of the text of this page, in fact, stands in a part with an odd name.</p></div>'
+    assert html_text.main_text(whole).startswith("All of the text") and html_text.main_text(f"{whole}<p>{'The longer part, by far. ' * 9}</p>").startswith("The longer part")
+
+
+def test_pages_of_a_megabyte_take_linear_time():
+    import time
+
+    body = "<p>Some text, and more, that is long enough to count.</p>"
+    hostile = {
+        "nesting": "<div>" * 100_000 + body, "inline nesting": "<b><p>" + "<i></b>" * 120_000 + body, "open quotes": body + '<a href="x ' * 90_000, "quotes with an end": body + "<a '" * 200_000 + "'>'",
+        "open tags": body + "<a b=c " * 140_000, "lone signs": body + "< " * 500_000, "end tags": "</p></b>" * 120_000 + body, "lists": "<ul><li>" * 100_000 + body, "tables": "<table><tr><td>" * 60_000 + body, "comments": body + "<!-- " * 200_000,
+    }
+    for name, page in hostile.items():
+        t = time.process_time()
+        text = html_text.main_text(page)
+        assert time.process_time() - t < 15, name
+        assert "Some text, and more" in text, name
+
+
+def test_pages_with_nulls_ties_and_clashing_columns(spark):
+    rows = [(1, None, None), (2, "u", ""), (None, "u", "<p>Same text, twice.</p>"), (2, "u", "<p>Same text, twice.</p>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"text": F.lit(1), "n_chars": F.lit("x")})
+    got = html_text.extract(df)
+    assert sorted(r.n_chars for r in got.collect()) == [0, 0, 17, 17] and html_text.extract(df.limit(0)).count() == 0
+
+
 def test_page_text_equals_articles(spark):
     import html
 
