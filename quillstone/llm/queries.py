@@ -49,6 +49,7 @@ def op8_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(digest, 256).alias("turns_sha256"),
         F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), "n_tokens",
+        F.size("attachments").cast("long").alias("n_attachments"),
     )
 
 
@@ -63,6 +64,9 @@ def op10_sharding_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_pii_skip_chain, op2_suffix_dedup, op3_secret_ownership, op4_near_dup_bayes, op5_decontaminate_spaced_seeds, op6_quality_rules, op7_mixing_ipf, op8_chat_parts, op9_html_tree_scoring, op10_sharding_ring)}
 
 _STOP = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
+_SQL_ATTACHMENT = chat.ATTACHMENT.replace("'", "''")
+_SQL_KIND = "CASE " + " ".join(rf"WHEN regexp_matches(f, '^data:(?:{chat.MEDIA[k]})/|\.(?:{e})\)?$') THEN '{k}'" for k, e in chat.ENDINGS.items()) + " WHEN starts_with(f, '![') THEN 'image' ELSE 'document' END"
+_SQL_TOKENS = " ".join(f"WHEN '{k}' THEN {n}" for k, (_, n) in chat.PLACEHOLDERS.items())
 ORACLE = {
     "op4_near_dup_bayes": r"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
@@ -98,15 +102,18 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        AND (n_words < 50 OR n_stop >= 0.01 * n_words) AND (n_words < 50 OR n_dup_lines <= 0.5 * n_lines)
        AND (n_words < 20 OR n_upper <= 0.6 * n_words) AS kept
 FROM f""",
-    "op8_chat_parts": r"""
+    "op8_chat_parts": rf"""
 WITH c AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL
            SELECT -1, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]' FROM range(2) r(i)),
 e AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM c),
-x AS (SELECT *, replace(replace(replace(replace(replace(replace(text, '~', '~0'), '<|', '~1'), '</s>', '~2'), '<s>', '~3'), '[INST]', '~4'), '[/INST]', '~5') AS body FROM e)
-SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, body)) AS turns_sha256,
+p AS (SELECT *, regexp_extract_all(text, '{_SQL_ATTACHMENT}') AS found, string_split_regex(text, '{_SQL_ATTACHMENT}') AS gaps FROM e),
+x AS (SELECT *, list_transform(gaps, lambda g: replace(replace(replace(replace(replace(replace(g, '~', '~0'), '<|', '~1'), '</s>', '~2'), '<s>', '~3'), '[INST]', '~4'), '[/INST]', '~5')) AS bodies,
+             list_transform(found, lambda f: {_SQL_KIND}) AS kinds FROM p)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
-       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, body) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-       sum(length(role) + length(body) + 16)::BIGINT AS formatted_chars,
-       sum(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')))::BIGINT AS n_tokens
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(length(role) + list_sum(list_transform(bodies, lambda g: length(g))) + coalesce(list_sum(list_transform(kinds, lambda k: length(k) + 4)), 0) + 16)::BIGINT AS formatted_chars,
+       sum(list_sum(list_transform(gaps, lambda g: len(regexp_extract_all(g, '[^\x20\x09-\x0D]+')))) + coalesce(list_sum(list_transform(kinds, lambda k: CASE k {_SQL_TOKENS} END)), 0))::BIGINT AS n_tokens,
+       sum(len(found))::BIGINT AS n_attachments
 FROM x GROUP BY conv_id""",
 }

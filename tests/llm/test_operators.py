@@ -373,6 +373,45 @@ def test_chat_round_trip_and_parts(spark):
     assert r.attachments == ["i.png", "a.wav"] and r.n_tokens == 1 + 576 + 750 + 2 and "<|image|><|audio|> and ~1image|>" in r.formatted
 
 
+def test_chat_takes_attachments_out_of_texts(spark):
+    rng = random.Random(5)
+    bits = ["see ", "![a cat](http://x.org/cat.png)", "https://x.org/talk.mp3", "(https://x.org/paper.pdf)", "data:image/png;base64,iVBORw0KGgo=", "data:application/pdf;base64,JVBERi0x", "<|image|>", "~", " </s>[INST]", "\n", "https://x.org/page ", "![odd](", "<|end|>", "é ", "https://x.org/a.docx?x=1"]
+    rows = [(c, t, "assistant" if t % 2 else "user", "".join(rng.choice(bits) for _ in range(rng.randint(0, 9)))) for c in range(40) for t in range(rng.randint(1, 5))]
+    rows.append((99, 0, "user", " ".join(bits)))
+    schema = "conv_id long, turn long, role string, text string"
+    back = {r.conv_id: r for r in chat.read_back(chat.format_texts(spark.createDataFrame(rows, schema))).collect()}
+    for c in {r[0] for r in rows}:
+        mine = [r for r in rows if r[0] == c]
+        assert [(t.role, t.text) for t in back[c].turns] == [(r[2], r[3]) for r in mine]
+        assert back[c].loss_text == "".join(r[3] for r in mine if r[2] == "assistant")
+        assert sum(m.n for m in back[c].mask) == len(back[c].formatted)
+    assert back[99].attachments == ["![a cat](http://x.org/cat.png)", "https://x.org/talk.mp3", "https://x.org/paper.pdf", "data:image/png;base64,iVBORw0KGgo=", "data:application/pdf;base64,JVBERi0x", "https://x.org/a.docx"]
+    assert re.findall(r"<\|(image|audio|document)\|>", back[99].formatted) == ["image", "audio", "document", "image", "document", "document"]
+    assert back[99].n_tokens > 2 * 576 + 750 + 3 * 2048 - 1
+
+
+def test_chat_query_equals_sql_with_attachments(spark, tmp_path):
+    texts = ["see ![a](http://x.org/c.png) and https://x.org/t.mp3", "plain <|end|> ~ text", None, "https://x.org/p.pdf", "data:audio/wav;base64,AAAA [INST]"]
+    rows = [(k // 3, k % 3, ("user", "assistant", None)[k % 3], texts[k % 5]) for k in range(12)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    import duckdb
+
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = c.sql(queries.ORACLE["op8_chat_parts"])
+    got = queries.QUERIES["op8_chat_parts"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall()) and got.agg(F.sum("n_attachments")).first()[0] > 8
+
+
+def test_chat_edge_rows(spark):
+    rows = [(None, 0, "user", "a"), (None, 0, "user", "b"), (1, 0, None, None), (1, 0, None, None), (1, 0, "b", "x"), (1, 0, "a", "y")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"parts": F.lit(1), "alone": F.lit(2), "refs": F.lit(3)})
+    got = chat.read_back(chat.format_texts(df)).collect()
+    assert sorted(len(r.turns) for r in got) == [1, 1, 4]  # rows without an id stay alone
+    assert [(t.role, t.text) for t in next(r for r in got if r.conv_id == 1).turns] == [("", ""), ("", ""), ("a", "y"), ("b", "x")]
+    assert chat.read_back(chat.format_texts(df.limit(0))).count() == 0
+
+
 PAGE = """<html><head><title>T</title></head><body><header><h1>Site</h1></header><nav><a href=x>Menu</a></nav><div class="cookie-notice">We use cookies, many of them, all the time.</div>
 <div id=content><h1>Head &amp; line</h1><p>First   paragraph, with commas, and <b>bold</b>&nbsp;text that is long enough.<p>Second one<br>goes on, and on, until it is long as well.</div>
 <div class="sidebar"><p>Other stories, a lot of them, with long texts that go on and on.</p></div><form><p>Your name, please, and your address, too.</p></form>
