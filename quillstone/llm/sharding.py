@@ -14,8 +14,10 @@ segment in a broadcast join of that bounded table.  Texts are never shuffled.
 
 Hot arcs.  Ranks inside an arc are counted in blocks: an arc's rows are spread
 over `blocks` by a second hash, ranked inside (arc, block), and shifted by the
-counts of the blocks before.  A doc_id that is null for many rows (or repeated)
-takes its place by the text's hash instead, so one id cannot fill one arc.
+counts of the blocks before.  Rows without a doc_id take their place by the text's
+hash, so they cannot fill one arc.  Equal rows (or rows without an id and equal text)
+are one group with a count before they are ranked; a group of more than CHUNK rows is
+dealt out in chunks of ranks before it becomes rows again.
 
 Defined results.  Null text: 16 bytes, no crc32 input but the empty text's.  Null
 doc_id: placed by its text.  Equal rows: both are placed, in either order.  Empty
@@ -35,6 +37,8 @@ from quillstone.llm.common import materialize, small_table
 RING = 1 << 16
 #: Bytes that a row needs besides its text.
 ROW_BYTES = 16
+#: Equal rows that one task turns into rows at once.
+CHUNK = 10_000
 
 
 def ring_points(shards: int, virtual_nodes: int) -> list[tuple[int, int]]:
@@ -109,8 +113,13 @@ def assign(docs: DataFrame, shards: int = 40, virtual_nodes: int = 64, blocks: i
     before = F.sum("count").over(Window.partitionBy("arc").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
     where = counts.select("arc", "block", F.coalesce(before, F.lit(0)).alias("before"))
     pieces = small_table(spark, segments, "arc int, lo long, hi long, shard int, base long")
-    order = Window.partitionBy("arc", "block").orderBy("doc_id", "text_crc32", "size")
-    ranked = slim.withColumn("rank", F.row_number().over(order).cast("long") - 1)
+    groups = slim.groupBy("arc", "block", "doc_id", "text_crc32", "size").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("arc", "block").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
+    groups = materialize(groups.withColumn("first", F.coalesce(F.sum("n").over(earlier), F.lit(0))), "shard-groups")
+    rows = lambda g: g.withColumn("rank", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)))
+    chunks = groups.where(F.col("n") > CHUNK).withColumn("offset", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(CHUNK))))
+    chunks = chunks.select("arc", "block", "doc_id", "text_crc32", "size", F.least(F.lit(CHUNK), F.col("n") - F.col("offset")).alias("n"), (F.col("first") + F.col("offset")).alias("first"))
+    ranked = rows(groups.where(F.col("n") <= CHUNK)).unionByName(rows(chunks.repartition("arc", "block", "doc_id", "text_crc32", "size", "first")))
     ranked = ranked.join(F.broadcast(where), ["arc", "block"]).withColumn("rank", F.col("rank") + F.col("before"))
     found_in = (ranked["arc"] == pieces["arc"]) & (ranked["rank"] >= pieces["lo"]) & (ranked["rank"] < pieces["hi"])
     placed = ranked.join(F.broadcast(pieces), found_in)

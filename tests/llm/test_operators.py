@@ -472,22 +472,35 @@ def test_page_text_equals_articles(spark):
         assert r.text == truth(pages[r.page_id]) and r.n_chars == len(r.text)
 
 
-def test_ring_equals_one_by_one(spark):
-    """Rows in rank order, each walking clockwise to the first shard with room, by rounds as the law says."""
-    df = spark.read.parquet(f"{DATA}/documents.parquet")
-    got = sharding.assign(df, shards=7, virtual_nodes=8, blocks=3).collect()
-    counts = Counter(r.shard for r in got)
-    assert max(counts.values()) - min(counts.values()) <= 1 and len(got) == df.count()
-    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(n)) for s, n in counts.items())
-    points = sharding.ring_points(7, 8)
-    home = {}
-    for r in got:
-        place = int(hashlib.md5(str(r.doc_id).encode()).hexdigest()[:4], 16)
-        home[r.doc_id] = next((s for p, s in points if p >= place), points[0][1])
-    want = Counter(home.values())
-    room = {s: n for s, n in enumerate(sharding.quotas(len(got), 7))}
-    stay = sum(r.shard == home[r.doc_id] for r in got)
-    assert stay >= sum(min(want[s], room[s]) for s in range(7))
+@pytest.mark.parametrize("chunk", (sharding.CHUNK, 3))
+def test_ring_equals_one_by_one(spark, monkeypatch, chunk):
+    """Every row walks clockwise by itself, round by round, to the first shard with room."""
+    monkeypatch.setattr(sharding, "CHUNK", chunk)
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    odd = spark.createDataFrame([(None, "no id")] * 7 + [(5, "twice")] * 9 + [(5, None), (None, None)], "doc_id long, text string")
+    df = docs.unionByName(odd)
+    shards, nodes, blocks = 7, 8, 3
+    got = sharding.assign(df, shards, nodes, blocks).collect()
+    text = F.coalesce("text", F.lit(""))
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.md5(text)))
+    keyed = df.select("doc_id", "text", key.alias("key"), F.pmod(F.xxhash64(key, F.crc32(text)), F.lit(blocks)).alias("block"), F.crc32(text).alias("crc"), F.octet_length(text).alias("n")).collect()
+    points = sharding.ring_points(shards, nodes)
+    place = lambda k: int(hashlib.md5(k.encode()).hexdigest()[:4], 16)
+    arc = lambda k: next((i for i, (p, _) in enumerate(points) if p >= place(k)), 0)
+    least = lambda r: (r.block, r.doc_id is not None, r.doc_id or 0, r.crc, r.n)
+    waiting = sorted(((arc(r.key), arc(r.key), least(r), r) for r in keyed), key=lambda x: x[:3])
+    room, slots, want = sharding.quotas(len(keyed), shards), Counter(), []
+    while waiting:
+        again = []
+        for a, at, rank, r in waiting:
+            s = points[at][1]
+            if slots[s] < room[s]:
+                want.append((r.doc_id, r.n + sharding.ROW_BYTES, r.crc, s, slots[s]))
+                slots[s] += 1
+            else:
+                again.append((a, (at + 1) % len(points), rank, r))
+        waiting = sorted(again, key=lambda x: (x[1], x[0], x[2]))
+    assert sorted(map(repr, want)) == sorted(repr((r.doc_id, r["size"], r.text_crc32, r.shard, r.slot)) for r in got)
 
 
 def test_ring_moves_little_when_it_grows(spark):
