@@ -53,16 +53,25 @@ def power_mod(base: Column, exponent: Column, modulus: int = MODULUS) -> Column:
 
 
 def undistorted_radius(k1: Column, k2: Column, rd: Column, steps: int = 80) -> Column:
-    """r with r * (1 + k1 r^2 + k2 r^4) = rd, by bisection on [0, rd]."""
+    """r with r * (1 + k1 r^2 + k2 r^4) = rd: by bisection on [0, rd], or, if no coefficient is negative, by Newton steps.
+
+    The steps start at a bound above the root, where the curve is convex, so they fall to it.
+    """
     start = F.struct(F.lit(0.0).alias("lo"), rd.alias("hi"))
 
-    def step(acc: Column, _: Column) -> Column:
+    def halve(acc: Column, _: Column) -> Column:
         mid = 0.5 * (acc["lo"] + acc["hi"])
         r2 = mid * mid
         low = mid * (1.0 + r2 * k1 + r2 * r2 * k2) < rd
         return F.struct(F.when(low, mid).otherwise(acc["lo"]).alias("lo"), F.when(low, acc["hi"]).otherwise(mid).alias("hi"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda acc: 0.5 * (acc["lo"] + acc["hi"]))
+    def newton(r: Column, _: Column) -> Column:
+        r2 = r * r
+        return r - (r * (1.0 + r2 * (k1 + r2 * k2)) - rd) / (1.0 + r2 * (3.0 * k1 + 5.0 * r2 * k2))
+
+    above = F.least(rd, F.when(k2 > 0, F.pow(rd / k2, F.lit(0.2))), F.when(k1 > 0, F.pow(rd / k1, F.lit(1 / 3))))
+    fast = F.aggregate(F.sequence(F.lit(1), F.lit(8)), above, newton)
+    return F.when((k1 >= 0) & (k2 >= 0), fast).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda acc: 0.5 * (acc["lo"] + acc["hi"])))
 
 
 def undistorted(k1: Column, k2: Column, xd: Column, yd: Column) -> tuple[Column, Column]:

@@ -1,7 +1,8 @@
 """Text primitives as Column expressions: tokens, sentences, counts, rates.
 
 Tokens are runs of Unicode letters, digits and underscores in lower case; the class is
-spelled out, since `\\w` is ASCII only in this engine.
+spelled out, since `\\w` is ASCII only in this engine.  Word boundaries are spelled out
+too (`bounded`), since what `\\b` means hangs on the Java version.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 TOKEN = r"[\p{L}\p{N}_]+"
 SENTENCE_END = r"(?<=[.!?])\s+"
+BOUNDARY = r"(?:(?<=[\p{L}\p{N}_])(?![\p{L}\p{N}_])|(?<![\p{L}\p{N}_])(?=[\p{L}\p{N}_]))"
 CAPS_RUN = r"\b[A-Z]{3,}\b"
 #: Openers of a rhetorical question.
 QUESTION_OPENERS = (
@@ -38,8 +40,13 @@ NUMERAL = r"\b\d[\d.,]*\b"
 QUOTED = "[\"“][^\"“”]{3,}[\"”]"
 
 
+def bounded(pattern: str) -> str:
+    """The pattern with boundaries of words of any letters in the place of each `\\b`."""
+    return pattern.replace(r"\b", BOUNDARY)
+
+
 def count(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit(pattern))
+    return F.regexp_count(text, F.lit(bounded(pattern)))
 
 
 def occurrences(text: Column, part: str) -> Column:
@@ -116,7 +123,7 @@ def punctuation_rates(text: Column) -> dict[str, Column]:
 
 def is_rhetorical(sentence: Column) -> Column:
     s = stripped(sentence)
-    return F.endswith(s, F.lit("?")) & s.rlike("(?i)^(" + "|".join(f"(?:{p})" for p in QUESTION_OPENERS) + ")")
+    return F.endswith(s, F.lit("?")) & s.rlike(bounded("(?i)^(" + "|".join(f"(?:{p})" for p in QUESTION_OPENERS) + ")"))
 
 
 def rhetoric(text: Column) -> Column:
@@ -150,11 +157,11 @@ def neutral(text: Column, strong_words: list[str]) -> Column:
         r"\bthese (clowns|idiots|morons|fools)\b",
         r"\b(omg|wtf|smh)\b",
     ):
-        text = F.regexp_replace(text, f"(?i){p}", "")
+        text = F.regexp_replace(text, bounded(f"(?i){p}"), "")
     # pieces between capital runs alternate with the runs, which are lowered
-    pieces = F.split(F.regexp_replace(text, f"({CAPS_RUN})", "\u0001$1\u0001"), "\u0001")
+    pieces = F.split(F.regexp_replace(text, bounded(f"({CAPS_RUN})"), "\u0001$1\u0001"), "\u0001")
     text = F.array_join(F.transform(pieces, lambda x, i: F.when(i % 2 == 1, F.lower(x)).otherwise(x)), "")
-    text = F.regexp_replace(text, HYPERBOLE, "")
+    text = F.regexp_replace(text, bounded(HYPERBOLE), "")
     if strong_words:
         text = F.regexp_replace(text, r"(?i)(?<![\p{L}\p{N}_])(" + "|".join(sorted(strong_words)) + r")(?![\p{L}\p{N}_])", "")
     return stripped(F.regexp_replace(F.regexp_replace(text, r"([!?]){2,}", "$1"), r"\s+", " "))
@@ -166,7 +173,7 @@ def length_ratio(part: Column, whole: Column) -> Column:
 
 def distinct_pattern_hits(text: Column, patterns) -> Column:
     """How many of the patterns match at least once."""
-    return sum((text.rlike(f"(?i){p}").cast("int") for p in patterns), F.lit(0))
+    return sum((text.rlike(bounded(f"(?i){p}")).cast("int") for p in patterns), F.lit(0))
 
 
 def slug(name: Column) -> Column:

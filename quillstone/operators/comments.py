@@ -11,9 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import numeric, text as T
+from quillstone.sources.shared import materialize
 
 #: Lexicon rows that may be broadcast (some 50 bytes each).
 MOST_BROADCAST_ROWS = 200_000
+#: Templates (vectors of some 500 bytes) that meet a row in one array.
+MOST_TEMPLATES = 20_000
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -76,20 +79,26 @@ def hedging(text: Column, patterns) -> Column:
     return F.when(T.stripped(text) != "", T.distinct_pattern_hits(text, patterns) / (F.greatest(F.lit(1), F.size(T.tokens(text))) / 100.0))
 
 
-def punctuation_long(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, pattern, rate: the ten punctuation rates, one row each."""
-    rates = T.punctuation_rates(F.col(text))
-    return df.where(T.stripped(F.col(text)) != "").select(id_column, F.explode(F.create_map(*[x for k, v in rates.items() for x in (F.lit(k), v.cast("double"))])).alias("pattern", "rate"))
+def punctuation_wide(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """id and the ten punctuation rates of each text, written out so that they are counted once."""
+    held = df.where(T.stripped(F.col(text)) != "")
+    return materialize(held.select(id_column, *[v.cast("double").alias(k) for k, v in T.punctuation_rates(F.col(text)).items()]), "punctuation")
 
 
 def punctuation_baseline(rates: DataFrame) -> DataFrame:
-    return rates.groupBy("pattern").agg(F.avg("rate").alias("mu"), (F.stddev_pop("rate") + 1e-6).alias("sigma"))
+    """pattern, mu, sigma of the ten rates, by one aggregation."""
+    names = list(T.punctuation_rates(F.lit("")))
+    sums = rates.agg(*[F.struct(F.lit(n).alias("pattern"), F.avg(n).alias("mu"), (F.stddev_pop(n) + 1e-6).alias("sigma")).alias(n) for n in names])
+    return sums.select(F.inline(F.array(*names)))
 
 
 def punctuation_regularity(rates: DataFrame, baseline: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """Mean absolute z-score over the patterns that the baseline has."""
-    joined = rates.join(small(baseline), "pattern")
-    return joined.groupBy(id_column).agg(F.avg(F.abs(F.col("rate") - F.col("mu")) / F.col("sigma")).alias("regularity"))
+    """Mean absolute z-score over the patterns that the baseline has; its few rows come as one map."""
+    table = baseline.agg(F.map_from_entries(F.collect_list(F.struct("pattern", F.struct("mu", "sigma")))).alias("_b"))
+    z = F.array(*[F.abs(F.col(n) - F.col("_b")[n]["mu"]) / F.col("_b")[n]["sigma"] for n in T.punctuation_rates(F.lit(""))])
+    held = F.array_compact(F.col("_z"))
+    scored = rates.join(F.broadcast(table)).select(id_column, z.alias("_z"))
+    return scored.select(id_column, (numeric.total(held) / F.when(F.size(held) > 0, F.size(held))).alias("regularity"))
 
 
 def affect_to_information(df: DataFrame, stats: DataFrame, id_column: str = "doc_id", text: str = "text", edge: float = 1e-3) -> DataFrame:
@@ -120,36 +129,47 @@ def neutralization_gap(df: DataFrame, strong_words: list[str], embed=hashed_embe
 def template_similarity(vectors: DataFrame, templates: DataFrame, share_above: float = 0.5, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Largest cosine to any template and the share of templates above a threshold.
 
-    All templates as one array meet each vector in one row, so no pairs are made.  The
-    templates are a bounded set by definition (a curated list), checked here.
+    The templates meet each vector as one array, so no pairs are made; beyond a bounded
+    number in blocks of them, whose results are put together by vector.
     """
-    n = templates.limit(MOST_BROADCAST_ROWS // 10 + 1).count()
-    if n > MOST_BROADCAST_ROWS // 10:
-        raise ValueError("templates are a curated list; split a larger one and take the maximum of the parts")
-    unit = templates.agg(F.collect_list(numeric.normalized(F.col("embedding"))).alias("_templates"))
-    sims = vectors.join(F.broadcast(unit)).select(id_column, numeric.normalized(F.col(vector)).alias("_v"), "_templates")
-    sims = sims.select(id_column, F.transform("_templates", lambda t: numeric.dot(t, F.col("_v"))).alias("_s"))
-    return sims.select(id_column, F.array_max("_s").alias("max_cosine"), F.when(F.size("_s") > 0, F.size(F.filter("_s", lambda s: s > share_above)) / F.size("_s")).alias("share_above"))
+    blocks = max(1, -(-templates.count() // MOST_TEMPLATES))
+    parts = None
+    for k in range(blocks):
+        mine = templates if blocks == 1 else templates.where(F.pmod(F.xxhash64("embedding"), F.lit(blocks)) == k)
+        unit = mine.agg(F.collect_list(numeric.normalized(F.col("embedding"))).alias("_templates"))
+        sims = vectors.join(F.broadcast(unit)).select(id_column, numeric.normalized(F.col(vector)).alias("_v"), "_templates")
+        sims = sims.select(id_column, F.transform("_templates", lambda t: numeric.dot(t, F.col("_v"))).alias("_s"))
+        part = sims.select(id_column, F.array_max("_s").alias("_max"), F.size(F.filter("_s", lambda s: s > share_above)).alias("_above"), F.size("_s").alias("_n"))
+        parts = part if parts is None else parts.unionByName(part)
+    if blocks > 1:
+        parts = parts.groupBy(id_column).agg(F.max("_max").alias("_max"), F.sum("_above").alias("_above"), F.sum("_n").alias("_n"))
+    return parts.select(id_column, F.col("_max").alias("max_cosine"), F.when(F.col("_n") > 0, F.col("_above") / F.col("_n")).alias("share_above"))
 
 
 def ridge(df: DataFrame, features: str, target: str, width: int, penalty: float = 1.0, least: int = 20) -> tuple[list[float], float]:
     """Ridge weights without centring, intercept afterwards; under `least` rows the mean alone.
 
-    X'X and X'y are one distributed aggregation of width * (width + 3) / 2 + 2 sums; the
-    bounded system is solved on the driver.
+    X'X, X'y and the means are one distributed sum of vectors with (width + 1)^2 entries (the
+    products of (x, 1) and (x, y), row by row); the bounded system is solved on the driver.
     """
     import numpy as np
-
-    x = [F.get(F.col(features), F.lit(i)).cast("double") for i in range(width)]
-    pairs = [(i, j) for i in range(width) for j in range(i, width)]
-    sums = df.agg(F.count("*").alias("n"), F.avg(target).alias("y"), *[F.sum(x[i] * x[j]).alias(f"g{i}_{j}") for i, j in pairs], *[F.sum(x[i] * F.col(target)).alias(f"b{i}") for i in range(width)], *[F.avg(x[i]).alias(f"m{i}") for i in range(width)]).first()
-    if sums["n"] < least:
-        return [0.0] * width, float(sums["y"] or 0.0)
-    g = np.zeros((width, width))
-    for i, j in pairs:
-        g[i, j] = g[j, i] = sums[f"g{i}_{j}"]
-    beta = np.linalg.solve(g + penalty * np.eye(width), np.array([sums[f"b{i}"] for i in range(width)]))
-    return beta.tolist(), float(sums["y"] - np.array([sums[f"m{i}"] for i in range(width)]) @ beta)
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Summarizer
+
+    x = F.transform(F.slice(features, 1, width), lambda v: v.cast("double"))
+    y = F.array(F.col(target).cast("double"))
+    rows = df.where(F.col(target).isNotNull() & (F.size(features) >= width)).select(F.concat(x, F.array(F.lit(1.0))).alias("a"), F.concat(x, y).alias("b"))
+    products = F.flatten(F.transform("a", lambda u: F.transform("b", lambda v: u * v)))
+    got = rows.select(array_to_vector(products).alias("p")).agg(Summarizer.sum(F.col("p")).alias("s"), F.count("*").alias("n")).first()
+    n = got["n"]
+    if not n:
+        return [0.0] * width, 0.0
+    sums = got["s"].toArray().reshape(width + 1, width + 1)
+    mean_y = sums[width, width] / n
+    if n < least:
+        return [0.0] * width, float(mean_y)
+    beta = np.linalg.solve(sums[:width, :width] + penalty * np.eye(width), sums[:width, width])
+    return beta.tolist(), float(mean_y - sums[width, :width] / n @ beta)
 
 
 def topic_residual(arousal: Column, topic_vector: Column, beta: list[float] | None, intercept: float) -> Column:

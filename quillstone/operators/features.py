@@ -38,6 +38,10 @@ class Lexicons:
     embed: Callable = field(default=comments.hashed_embedding)
 
 
+#: A text has a perplexity from two tokens on.
+LEAST_SCORED = "n_tokens >= 2"
+
+
 class Stages:
     """Tokens and scores that several extractors share, each made once and written to the shared folder."""
 
@@ -63,22 +67,27 @@ class Stages:
 
     def sentence_perplexity(self) -> DataFrame:
         """ln perplexity of each sentence of more than three characters."""
-        parts = self.df.select(self.key, F.posexplode(T.sentences(F.col("text"), "over_three")).alias("s", "text")).withColumn("part", F.concat_ws(":", self.key, "s"))
+        parts = self.df.select(self.key, F.posexplode(T.sentences(F.col("text"), "over_three")).alias("s", "text")).withColumn("part", F.struct(self.key, "s"))
         scored = L.score(comments.token_table(parts, "part"), self.model(), self.lex.vocabulary, id_column="part")
-        return L.perplexity(scored, "part").join(parts.select("part", self.key), "part").select(self.key, F.ln("perplexity").alias("x"))
+        return L.perplexity(scored, "part").where(LEAST_SCORED).select(F.col(f"part.{self.key}").alias(self.key), F.ln("perplexity").alias("x"))
 
 
 def _psi_1(s: Stages) -> DataFrame:
-    pp = L.perplexity(s.scored(), s.key)
+    pp = L.perplexity(s.scored(), s.key).where(LEAST_SCORED)
     near = L.nearest_bucket(pp, L.length_baseline(pp).withColumn("ord", F.col("center")))
     return near.select(s.key, L.normalized_perplexity(F.col("perplexity"), F.col("mu"), F.col("sigma")).alias("psi_1"))
 
 
+def _curvatures(s: Stages, copies: int) -> DataFrame:
+    """Of texts of five words and more; copies: perturbations of each."""
+    held = s.df.where(T.n_words(F.col("text")) >= 5).select(s.key)
+    parts = L.perturbed(s.tokens().join(held, s.key), s.model(), copies, id_column=s.key).withColumn("part", F.struct(s.key, "copy"))
+    sums = L.score(parts, s.model(), s.lex.vocabulary, id_column="part").groupBy("part").agg(F.sum("log_p").alias("log_p"))
+    return L.curvature(sums.select(F.col(f"part.{s.key}").alias(s.key), "part.copy", "log_p"), s.key)
+
+
 def _psi_3(s: Stages) -> DataFrame:
-    copies = L.perturbed(s.tokens(), s.model(), id_column=s.key).withColumn("part", F.concat_ws(":", s.key, "copy"))
-    sums = L.score(copies, s.model(), s.lex.vocabulary, id_column="part").groupBy("part").agg(F.sum("log_p").alias("log_p"), F.count("*").alias("n"))
-    held = sums.where("n >= 10").select(F.split_part("part", F.lit(":"), F.lit(1)).cast(dict(s.df.dtypes)[s.key]).alias(s.key), F.split_part("part", F.lit(":"), F.lit(2)).cast("int").alias("copy"), "log_p")
-    return L.curvature(held, s.key).withColumnRenamed("curvature", "psi_3")
+    return _curvatures(s, 20).withColumnRenamed("curvature", "psi_3")
 
 
 def _row(name: str, value: Callable[[Stages], object]) -> Callable[[Stages], DataFrame]:
@@ -105,7 +114,7 @@ COMMENT_FEATURES: tuple[tuple[str, tuple[str, ...], Callable[[Stages], DataFrame
     ("curvature", ("psi_3",), _psi_3),
     ("ranks", ("psi_4", "psi_5"), lambda s: L.rank_shares(s.scored(), s.key).withColumnsRenamed({"top10_share": "psi_4", "top100_share": "psi_5"})),
     ("phrases", ("psi_6",), _row("psi_6", lambda s: comments.fingerprint(F.col("text"), s.lex.ai_patterns))),
-    ("punctuation", ("psi_7",), lambda s: (lambda r: comments.punctuation_regularity(r, comments.punctuation_baseline(r), s.key))(comments.punctuation_long(s.df, s.key)).withColumnRenamed("regularity", "psi_7")),
+    ("punctuation", ("psi_7",), lambda s: (lambda r: comments.punctuation_regularity(r, comments.punctuation_baseline(r), s.key))(comments.punctuation_wide(s.df, s.key)).withColumnRenamed("regularity", "psi_7")),
     ("hedges", ("psi_8",), _row("psi_8", lambda s: comments.hedging(F.col("text"), s.lex.hedges))),
     ("affect", ("chi_1", "chi_2"), lambda s: s.affect().select(s.key, comments.arousal_intensity(s.affect()).alias("chi_1"), F.col("negative_share").alias("chi_2"))),
     ("moral", ("chi_3",), lambda s: comments.prefix_share(s.tokens(), s.lex.stems, s.key).withColumnRenamed("prefix_share", "chi_3")),
@@ -156,11 +165,41 @@ def _message_tokens(s: Stages) -> DataFrame:
     return halves.join(enough, s.key).select(s.key, "late", F.explode(T.tokens(F.col("text"))).alias("token"))
 
 
+def _message_stages(s: Stages) -> Stages:
+    """The stages over the own messages, each a text of its own with the id (conversation, turn)."""
+    if "message_stages" not in s._made:
+        parts = _own(s).select(F.struct(s.key, "turn").alias("part"), "text")
+        s._made["message_stages"] = Stages(parts, "part", s.lex)
+    return s._made["message_stages"]
+
+
+def _by_conversation(s: Stages, messages: DataFrame) -> DataFrame:
+    return messages.withColumn(s.key, F.col(f"part.{s.key}"))
+
+
 def _message_perplexity(s: Stages) -> DataFrame:
-    o = _own_text(s)
-    parts = _own(s).withColumn("part", F.concat_ws(":", s.key, "turn"))
-    pp = L.perplexity(L.score(comments.token_table(parts, "part"), o.model(), s.lex.vocabulary, id_column="part"), "part")
-    return pp.join(parts.select("part", s.key), "part").groupBy(s.key).agg(F.avg("perplexity").alias("phi_1"))
+    """Mean perplexity of the own messages."""
+    pp = L.perplexity(_message_stages(s).scored(), "part").where(LEAST_SCORED)
+    return _by_conversation(s, pp).groupBy(s.key).agg(F.avg("perplexity").alias("phi_1"))
+
+
+def _message_burstiness(s: Stages) -> DataFrame:
+    """Over the sentences of all own messages; no sentence runs across messages."""
+    return L.burstiness(_by_conversation(s, _message_stages(s).sentence_perplexity()), s.key, "x").withColumnRenamed("burstiness", "phi_2")
+
+
+def _message_curvature(s: Stages) -> DataFrame:
+    """Mean curvature of the own messages of 20 words and more."""
+    m = _message_stages(s)
+    held = Stages(m.df.where(T.n_words(F.col("text")) >= 20), "part", s.lex)
+    held._made.update({"bigrams": m.model()})
+    return _by_conversation(s, _curvatures(held, 10)).groupBy(s.key).agg(F.avg("curvature").alias("phi_3"))
+
+
+def _message_ranks(s: Stages) -> DataFrame:
+    """Over the tokens of all own messages, but for each message's first."""
+    ranks = L.rank_shares(_by_conversation(s, _message_stages(s).scored()), s.key)
+    return ranks.withColumnsRenamed({"top10_share": "phi_4", "top100_share": "phi_5"})
 
 
 def _stages(s: Stages) -> DataFrame:
@@ -185,9 +224,9 @@ def _sentiment(s: Stages) -> DataFrame:
 
 CONVERSATION_FEATURES: tuple[tuple[str, tuple[str, ...], Callable[[Stages], DataFrame]], ...] = (
     ("perplexity", ("phi_1",), _message_perplexity),
-    ("burstiness", ("phi_2",), lambda s: L.burstiness(_own_text(s).sentence_perplexity(), s.key, "x").withColumnRenamed("burstiness", "phi_2")),
-    ("curvature", ("phi_3",), lambda s: _psi_3(_own_text(s)).withColumnRenamed("psi_3", "phi_3")),
-    ("ranks", ("phi_4", "phi_5"), lambda s: L.rank_shares(_own_text(s).scored(), s.key).withColumnsRenamed({"top10_share": "phi_4", "top100_share": "phi_5"})),
+    ("burstiness", ("phi_2",), _message_burstiness),
+    ("curvature", ("phi_3",), _message_curvature),
+    ("ranks", ("phi_4", "phi_5"), _message_ranks),
     ("mattr", ("phi_6",), lambda s: C.moving_ttr(_own_text(s).tokens(), s.key).withColumnRenamed("mattr", "phi_6")),
     ("yule", ("phi_7",), lambda s: C.yule_k(C.type_counts(_own_text(s).tokens(), s.key), s.key).withColumnRenamed("yule_k", "phi_7")),
     ("zipf", ("phi_8",), lambda s: C.zipf_deviation(C.type_counts(_own_text(s).tokens(), s.key), s.key).withColumnRenamed("zipf_deviation", "phi_8")),

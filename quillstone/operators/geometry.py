@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Window
@@ -89,12 +90,12 @@ def plane_counts(points: DataFrame, planes: DataFrame, within: float) -> DataFra
 
 
 def sampled_planes(points: DataFrame, candidates: int = 2000, seed: int = 0) -> DataFrame:
-    """Planes through triples of a hash-ordered sample of three points for each candidate (a bounded sample)."""
-    spark = points.sparkSession
+    """Planes through as many random triples of a hash-ordered sample of at most three points for each candidate (a bounded sample)."""
+    spark, rng = points.sparkSession, random.Random(seed)
     few = points.select("x", "y", "z").orderBy(F.xxhash64(F.lit(seed), "x", "y", "z")).limit(3 * candidates).collect()
     rows = []
-    for k in range(len(few) // 3):
-        p, q, r = few[3 * k : 3 * k + 3]
+    for k in range(candidates if len(few) >= 3 else 0):
+        p, q, r = rng.sample(few, 3)
         u, v = [q[i] - p[i] for i in range(3)], [r[i] - p[i] for i in range(3)]
         n = [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
         size = math.sqrt(sum(x * x for x in n))
@@ -104,9 +105,9 @@ def sampled_planes(points: DataFrame, candidates: int = 2000, seed: int = 0) ->
     return spark.createDataFrame(rows, "plane_id int, a double, b double, c double, d double")
 
 
-def without_plane(points: DataFrame, within: float, least_share: float = 0.15, candidates: int = 2000, seed: int = 0) -> DataFrame:
-    """points without the inliers of the best plane, if it holds enough of them; the first of equals."""
-    planes = sampled_planes(points, candidates, seed)
+def without_plane(points: DataFrame, within: float, least_share: float = 0.15, candidates: int = 2000, seed: int = 0, planes: DataFrame | None = None) -> DataFrame:
+    """points without the inliers of the best plane (of the given ones, or of sampled ones), if it holds enough of them; the first of equals."""
+    planes = sampled_planes(points, candidates, seed) if planes is None else planes
     best = plane_counts(points, planes, within).join(planes, "plane_id").orderBy(F.desc("inliers"), "plane_id").first()
     if best is None or best["inliers"] < least_share * points.count():
         return points

@@ -9,15 +9,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstone.sources.shared import materialize
+
 
 def with_previous(tokens: DataFrame, id_column: str = "doc_id") -> DataFrame:
     return tokens.withColumn("prev", F.coalesce(F.lag("token").over(Window.partitionBy(id_column).orderBy("pos")), F.lit("")))
 
 
 def fit_bigrams(tokens: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """prev, token, n, n_prev, rank (1 + tokens that follow prev strictly more often)."""
+    """prev, token, n, n_prev, rank (1 + tokens that follow prev strictly more often).
+
+    Written out, so that it meets the tokens by (prev, token) and a frequent word is spread
+    over its followers, and Spark may split what is still too large.
+    """
     pairs = with_previous(tokens, id_column).groupBy("prev", "token").agg(F.count("*").alias("n"))
-    return pairs.join(pairs.groupBy("prev").agg(F.sum("n").alias("n_prev")), "prev").withColumn("rank", F.rank().over(Window.partitionBy("prev").orderBy(F.desc("n"))))
+    held = pairs.join(pairs.groupBy("prev").agg(F.sum("n").alias("n_prev")), "prev").withColumn("rank", F.rank().over(Window.partitionBy("prev").orderBy(F.desc("n"))))
+    return materialize(held, "bigrams")
 
 
 def score(tokens: DataFrame, model: DataFrame, vocabulary: int, alpha: float = 0.1, id_column: str = "doc_id") -> DataFrame:
@@ -32,8 +39,8 @@ def perplexity(scored: DataFrame, id_column: str = "doc_id") -> DataFrame:
 
 
 def rank_shares(scored: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """Shares of tokens from the second on that rank among the first 10 and 100; null under two tokens."""
-    rest = scored.groupBy(id_column).agg((F.count("*") - 1).alias("n"), F.count_if((F.col("pos") > 0) & (F.col("rank") <= 10)).alias("a"), F.count_if((F.col("pos") > 0) & (F.col("rank") <= 100)).alias("b"))
+    """Shares of tokens, but for the first of each text, that rank among the first 10 and 100; null where there are none."""
+    rest = scored.groupBy(id_column).agg(F.count_if(F.col("pos") > 0).alias("n"), F.count_if((F.col("pos") > 0) & (F.col("rank") <= 10)).alias("a"), F.count_if((F.col("pos") > 0) & (F.col("rank") <= 100)).alias("b"))
     return rest.select(id_column, F.when(F.col("n") >= 1, F.col("a") / F.col("n")).alias("top10_share"), F.when(F.col("n") >= 1, F.col("b") / F.col("n")).alias("top100_share"))
 
 

@@ -19,9 +19,18 @@ PENALTIES = tuple(10 ** (-4 + 8 * k / 9) for k in range(10))
 
 
 def folds(df: DataFrame, label: str, key: str, n: int = 5, seed: int = 0) -> DataFrame:
-    """df with a stratified fold number: places within a label's hash order, modulo n."""
-    w = Window.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), key), key)
-    return df.withColumn("fold", F.pmod(F.row_number().over(w), F.lit(n)))
+    """df with a stratified fold number: places within a label's hash order, modulo n.
+
+    The order is counted in buckets of the hash, so that no task holds a whole label.
+    """
+    h = F.xxhash64(F.lit(seed), key)
+    held = df.withColumn("_bucket", F.shiftrightunsigned(h, 56).cast("int"))
+    counts = held.groupBy(F.col(label).alias("_label"), "_bucket").count()  # at most 256 rows a label
+    before = F.coalesce(F.sum("count").over(Window.partitionBy("_label").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    where = counts.select("_label", F.col("_bucket").alias("_b"), before.alias("_before"))
+    placed = held.withColumn("_place", F.row_number().over(Window.partitionBy(label, "_bucket").orderBy(h, key)))
+    joined = placed.join(F.broadcast(where), F.col(label).eqNullSafe(F.col("_label")) & (F.col("_bucket") == F.col("_b")))
+    return joined.withColumn("fold", F.pmod(F.col("_place") + F.col("_before"), F.lit(n)).cast("int")).drop("_bucket", "_b", "_label", "_before", "_place")
 
 
 @dataclass
@@ -51,26 +60,35 @@ class Head:
 
 
 def fit_head(df: DataFrame, features: list[str], label: str, key: str, n: int = 5, penalties=PENALTIES, seed: int = 0) -> Head:
-    """The penalty with the best mean AUC over folds, then one model and one Platt line for each fold."""
-    held = folds(df.where(F.col(label).isNotNull()), label, key, n, seed)
+    """One model and one Platt line for each fold; each fold's training rows choose their penalty by the mean AUC over folds of their own."""
+    held = folds(folds(df.where(F.col(label).isNotNull()), label, key, n, seed + 100).withColumnRenamed("fold", "inner"), label, key, n, seed)
     medians = list(held.agg(*[F.median(F.col(c).cast("double")) for c in features]).first())
     medians = [m if m is not None else 0.0 for m in medians]
-    filled = held.select(key, label, "fold", *[F.coalesce(F.col(c).cast("double"), F.lit(m)).alias(c) for c, m in zip(features, medians, strict=True)])
+    filled = held.select(key, label, *[F.coalesce(F.col(c).cast("double"), F.lit(m)).alias(c) for c, m in zip(features, medians, strict=True)])
     stats = filled.agg(*[F.avg(c) for c in features], *[F.stddev_pop(c) for c in features]).first()
     means, deviations = list(stats[: len(features)]), [s if s else 1.0 for s in stats[len(features) :]]
     head = Head(features, medians, means, deviations, [], [])
-    ready = materialize(head.prepared(held).select(F.col(label).cast("double").alias("label"), "fold", "_x"), "head")
-    count = ready.count()
+    ready = materialize(head.prepared(held).select(F.col(label).cast("double").alias("label"), "fold", "inner", "_x"), "head")
 
     def fit(rows: DataFrame, c: float) -> LogisticRegressionModel:
-        return LogisticRegression(featuresCol="_x", labelCol="label", regParam=1 / (c * count), elasticNetParam=0.0, standardization=False, maxIter=100).fit(rows)
+        return LogisticRegression(featuresCol="_x", labelCol="label", regParam=1 / (c * max(1, rows.count())), elasticNetParam=0.0, standardization=False, maxIter=100).fit(rows)
 
     def margin(m: LogisticRegressionModel) -> Column:
         return numeric.dot(vector_to_array(F.col("_x")), F.lit([float(v) for v in m.coefficients])) + float(m.intercept)
 
-    best = max(((sum(metrics.roc_auc(ready.where(F.col("fold") == k).withColumn("s", margin(fit(ready.where(F.col("fold") != k), c))), "s", "label").first()["auc"] or 0.0 for k in range(n)), -c) for c in penalties)) if len(penalties) > 1 else (0, -penalties[0])
+    def auc(rows: DataFrame, c: float, k: int) -> float:
+        tried = rows.where(F.col("inner") == k).withColumn("s", margin(fit(rows.where(F.col("inner") != k), c)))
+        return metrics.roc_auc(tried, "s", "label").first()["auc"] or 0.0
+
+    def chosen(rows: DataFrame) -> float:
+        """Of equals the strongest penalty."""
+        if len(penalties) == 1:
+            return penalties[0]
+        return -max((sum(auc(rows, c, k) for k in range(n)), -c) for c in penalties)[1]
+
     for k in range(n):
-        m = fit(ready.where(F.col("fold") != k), -best[1])
+        training = ready.where(F.col("fold") != k)
+        m = fit(training, chosen(training))
         line = VectorAssembler(inputCols=["s"], outputCol="v").transform(ready.where(F.col("fold") == k).select("label", margin(m).alias("s")))
         p = LogisticRegression(featuresCol="v", labelCol="label", standardization=False).fit(line)
         head.models.append(m)

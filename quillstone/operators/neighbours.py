@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,20 +21,37 @@ def band_pairs(df: DataFrame, key: str, gap: int) -> DataFrame:
     return a.join(df.select(F.col(key).alias("j")), "j").select("i", "j")
 
 
+#: Rows that meet others as one array (some 500 bytes each); more come in blocks.
+MOST_IN_ONE = 20_000
+
+
+def in_blocks(df: DataFrame, key: str) -> list[DataFrame]:
+    """df as parts of at most about MOST_IN_ONE rows each; one part if it has few."""
+    n = -(-df.count() // MOST_IN_ONE)
+    return [df] if n <= 1 else [df.where(F.pmod(F.xxhash64(key), F.lit(n)) == k) for k in range(n)]
+
+
 def ordered_pairs(df: DataFrame, key: str) -> DataFrame:
-    """All pairs of different keys of a bounded set (the images of one scene)."""
-    every = df.agg(F.collect_list(key).alias("_all"))
-    return df.join(F.broadcast(every)).select(F.col(key).alias("i"), F.explode("_all").alias("j")).where("i <> j")
+    """All pairs of different keys: the result itself has the square of the rows, so it is for the images of one scene."""
+    parts = [df.join(F.broadcast(part.agg(F.collect_list(key).alias("_all")))).select(F.col(key).alias("i"), F.explode("_all").alias("j")).where("i <> j") for part in in_blocks(df, key)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def two_nearest(queries: DataFrame, targets: DataFrame, id_column: str = "id", vector: str = "v", ratio: float = 0.75) -> DataFrame:
     """Each query's nearest target if it is nearer than ratio times the second one.
 
-    The targets (the descriptors of one image, a bounded set) meet each query as one array.
+    The targets (the descriptors of one image) meet each query as one array; more of them
+    in blocks, of which each query keeps its two nearest.
     """
-    every = targets.agg(F.collect_list(F.struct(F.col(id_column).alias("id"), F.col(vector).alias("v"))).alias("_t"))
     far = lambda t: F.sqrt(numeric.total(F.zip_with(t["v"], F.col(vector), lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))))
-    ranked = queries.join(F.broadcast(every)).select(F.col(id_column).alias("query"), F.array_sort(F.transform("_t", lambda t: F.struct(far(t).alias("d"), t["id"].alias("id")))).alias("r"))
+
+    def nearest(part: DataFrame) -> DataFrame:
+        every = part.agg(F.collect_list(F.struct(F.col(id_column).alias("id"), F.col(vector).alias("v"))).alias("_t"))
+        found = F.array_sort(F.transform("_t", lambda t: F.struct(far(t).alias("d"), t["id"].alias("id"))))
+        return queries.join(F.broadcast(every)).select(F.col(id_column).alias("query"), F.slice(found, 1, 2).alias("r"))
+
+    parts = [nearest(part) for part in in_blocks(targets, id_column)]
+    ranked = parts[0] if len(parts) == 1 else reduce(DataFrame.unionByName, parts).groupBy("query").agg(F.array_sort(F.flatten(F.collect_list("r"))).alias("r"))
     first, second = F.get("r", F.lit(0)), F.get("r", F.lit(1))
     return ranked.where(second.isNotNull() & (first["d"] < ratio * second["d"])).select("query", first["id"].alias("target"), first["d"].alias("distance"))
 
@@ -62,24 +81,25 @@ def radius_counts(points: DataFrame, radius: float, id_column: str = "id", axes:
     return within_radius(points, radius, id_column, axes).groupBy("id").agg(F.count("*").alias("neighbours"))
 
 
-def nearest_distances(points: DataFrame, k: int, cell: float, id_column: str = "id", axes: tuple[str, ...] = ("x", "y", "z"), doublings: int = 30) -> DataFrame:
-    """id and the mean distance of the k nearest others, exact.
+def nearest_distances(points: DataFrame, k: int, cell: float, id_column: str = "id", axes: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
+    """id and the mean distance of the k nearest others, exact; 0 for all if there are not k others.
 
     Points with k neighbours within the cell width are done; the rest look again with
-    the width doubled, until all are done or the width covers everything.
+    the width doubled, until all are done: at the latest when the width covers everything.
     """
-    done, open_points, width = None, points.select(F.col(id_column).alias("id"), *axes), cell
-    every = open_points
-    for _ in range(doublings):
-        near = _sent_to(open_points, every, width, list(axes))
+    points = points.select(F.col(id_column).alias("id"), *axes)
+    if points.count() < k + 1:
+        return points.select("id", F.lit(0.0).alias("mean_distance"))
+    done, open_points, width = None, points, cell
+    while True:
+        near = _sent_to(open_points, points, width, list(axes))
         w = Window.partitionBy("id").orderBy("d2", "near")
         best = materialize(near.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).groupBy("id").agg(F.count("*").alias("n"), F.avg(F.sqrt("d2")).alias("mean_distance")).where(F.col("n") == k).select("id", "mean_distance"), "nearest")
         done = best if done is None else done.unionByName(best)
         open_points = materialize(open_points.join(best, "id", "left_anti"), "open")
         if not open_points.limit(1).count():
-            break
+            return done
         width *= 2
-    return done
 
 
 def _sent_to(sources: DataFrame, targets: DataFrame, width: float, axes: list[str]) -> DataFrame:

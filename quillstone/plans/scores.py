@@ -17,7 +17,7 @@ _S = f"{texts.TOK}, sc AS (SELECT doc_id, round(least(1.0, 5.0 * avg((token IN (
 
 def scored(spark, sf_dir):
     hit = F.col("token").isin(*INSULTS).cast("int")
-    s = texts.english_tokens(spark, sf_dir).groupBy("doc_id").agg(F.round(F.least(F.lit(1.0), 5.0 * F.avg(hit)), 4).alias("s"), F.count("*").alias("n"))
+    s = texts.document_tokens(spark, sf_dir).groupBy("doc_id").agg(F.round(F.least(F.lit(1.0), 5.0 * F.avg(hit)), 4).alias("s"), F.count("*").alias("n"))
     return s.join(table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "s", "n", F.col("toxic").alias("y"), F.col("quality").alias("q"))
 
 

@@ -29,11 +29,11 @@ def q_conv_similarity(spark, sf_dir):
     return s.groupBy("label").agg(F.round(F.max("max_cosine"), 6).alias("max_sim"), F.round(F.avg("max_cosine"), 6).alias("mean_sim"), F.round(F.avg((F.col("max_cosine") > 0.75).cast("int")), 6).alias("share_high"))
 
 
-@query("""WITH d AS (SELECT a.vec_id AS query, b.vec_id AS target, sqrt(list_sum(list_transform(range(1, 65), lambda i: (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE) ** 2))) AS d FROM embeddings a, embeddings b WHERE a.label = 1 AND b.label = 2),
+@query("""WITH d AS (SELECT a.vec_id AS query, b.vec_id AS target, sqrt(list_sum(list_transform(range(1, 65), lambda i: (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE) ** 2))) AS d FROM embeddings a, embeddings b WHERE a.label % 2 = 1 AND b.label % 2 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d, target) AS r, lead(d) OVER (PARTITION BY query ORDER BY d, target) AS d2 FROM d) SELECT query, target, round(d, 6) AS distance FROM r WHERE r = 1 AND d < 0.97 * d2""")
 def q_knn_ratio(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    return K.two_nearest(e.where("label = 1"), e.where("label = 2"), "vec_id", "embedding", 0.97).select("query", "target", *texts.r6("distance"))
+    return K.two_nearest(e.where("label % 2 = 1"), e.where("label % 2 = 0"), "vec_id", "embedding", 0.97).select("query", "target", *texts.r6("distance"))
 
 
 @query("SELECT a.n_nationkey AS i, b.n_nationkey AS j FROM nation a JOIN nation b ON b.n_nationkey > a.n_nationkey AND b.n_nationkey <= a.n_nationkey + 3")
@@ -112,8 +112,15 @@ def q_plane_consensus(spark, sf_dir):
     return G.plane_counts(cloud(spark, sf_dir), listed(spark, _PLANES, "plane_id int, a double, b double, c double, d double"), 0.333)
 
 
-@query()
+@query(f"""WITH {_PTS}, pl(plane_id, a, b, c, d) AS (VALUES {sql_values(_PLANES)}), n AS (SELECT plane_id, a, b, c, d, count(*) AS inliers FROM pts, pl WHERE abs(a * x + b * y + c * z + d) < 0.333 GROUP BY ALL),
+best AS (SELECT * FROM n WHERE inliers >= 0.05 * (SELECT count(*) FROM pts) ORDER BY inliers DESC, plane_id LIMIT 1) SELECT id FROM pts WHERE NOT EXISTS (SELECT 1 FROM best WHERE abs(a * x + b * y + c * z + d) < 0.333)""")
 def q_plane_removal(spark, sf_dir):
+    planes = listed(spark, _PLANES, "plane_id int, a double, b double, c double, d double")
+    return G.without_plane(cloud(spark, sf_dir), 0.333, 0.05, planes=planes).select("id")
+
+
+@query()
+def q_plane_removal_sampled(spark, sf_dir):
     return G.without_plane(cloud(spark, sf_dir), 0.3, 0.05, 200).select("id")
 
 
@@ -147,7 +154,11 @@ def q_blur_mod(spark, sf_dir):
     return G.blurred(grid(spark, sf_dir), 2, 3)
 
 
-@query()
+_R = "list_reduce([d]::DOUBLE[] || list_transform(range(60), lambda i: d), lambda r, w: r - (r * (1 + 0.1 * r * r + 0.01 * r ** 4) - w) / (1 + 0.3 * r * r + 0.05 * r ** 4))"
+
+
+@query(f"""WITH e AS (SELECT event_id, value / 500 - 0.05 AS x, event_id % 17 / 100 - 0.05 AS y FROM events), s AS (SELECT *, sqrt(x * x + y * y) AS d FROM e), r AS (SELECT *, CASE WHEN d < 1e-15 THEN 0 ELSE {_R} / d END AS f FROM s)
+SELECT event_id, round(CASE WHEN abs(x * f) < 5e-4 THEN 0 ELSE x * f END, 3) AS u, round(CASE WHEN abs(y * f) < 5e-4 THEN 0 ELSE y * f END, 3) AS v FROM r""")
 def q_undistort(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", (F.col("value") / 500 - 0.05).alias("x"), (F.col("event_id") % 17 / 100 - 0.05).alias("y"))
     u, v = N.undistorted(F.lit(0.1), F.lit(0.01), F.col("x"), F.col("y"))
@@ -193,10 +204,10 @@ def q_dft(spark, sf_dir):
     return S.spectrum(series(spark, sf_dir), 720, [0, 1, 7, 30, 60]).select("k", F.round("magnitude", 3).alias("magnitude"))
 
 
-@query(f"WITH {_SER} SELECT (x.t - h.t)::INT AS lag, round(sum(h.v * x.v), 3) AS r FROM s h JOIN s x ON x.t - h.t BETWEEN 0 AND 24 WHERE h.t < 100 GROUP BY 1")
+@query(f"WITH {_SER} SELECT (x.t - h.t)::INT AS lag, round(sum(h.v * x.v), 3) AS r FROM s h JOIN s x ON x.t - h.t BETWEEN 0 AND 24 GROUP BY 1")
 def q_xcorr(spark, sf_dir):
     s = series(spark, sf_dir)
-    return S.cross_correlation(s, s.where("t < 100"), 24).select("lag", F.round("r", 3).alias("r"))
+    return S.cross_correlation(s, s, 24).select("lag", F.round("r", 3).alias("r"))
 
 
 @query(f"WITH {_SER}, n AS (SELECT t, v, lag(v) OVER (ORDER BY t) AS a, lead(v) OVER (ORDER BY t) AS b FROM s), p AS (SELECT t, v, row_number() OVER (ORDER BY v DESC, t) AS r FROM n WHERE v > a AND v > b) SELECT t, v FROM p WHERE r <= 3")
@@ -269,10 +280,10 @@ def q_pasted_chat(spark, sf_dir):
     return P.pasted_chat(p, "conv_id", "t").select("conv_id", "turn", "speaker", F.md5("text").alias("digest"))
 
 
-@query(r"""WITH t AS (SELECT conv_id, CASE role WHEN 'assistant' THEN 'Suspect: ' ELSE 'Innocent: ' END AS tag, turn, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text FROM conversations WHERE role <> 'system')
+@query(r"""WITH t AS (SELECT conv_id, CASE role WHEN 'assistant' THEN 'Suspect: ' ELSE 'Innocent: ' END AS tag, turn, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text FROM conversations)
 SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS turn, CASE tag WHEN 'Suspect: ' THEN 'S' ELSE 'V' END AS speaker, md5(text) AS digest FROM t WHERE text <> ''""")
 def q_dialogue_split(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").where("role <> 'system'")
+    c = table(spark, sf_dir, "conversations")
     said = F.concat(F.when(F.col("role") == "assistant", "Suspect: ").otherwise("Innocent: "), "text")
     d = c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", said.alias("l")))), lambda x: x["l"]), " ").alias("t"))
     return P.dialogue(d, "conv_id", "t").select("conv_id", "turn", "speaker", F.md5("text").alias("digest"))
@@ -296,22 +307,32 @@ def q_page_article(spark, sf_dir):
     return P.page_article(table(spark, sf_dir, "pages"), "page_id", "html").select("page_id", "title", F.md5("text").alias("digest"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+k(user_id, i, id, t, accepted, held) AS (SELECT DISTINCT user_id, 0::BIGINT, NULL::BIGINT, NULL::DOUBLE, false, []::DOUBLE[] FROM events UNION ALL
+SELECT user_id, i, event_id, t, len(h) < 5, CASE WHEN len(h) < 5 THEN list_append(h, t) ELSE h END FROM (SELECT e.user_id, e.i, e.event_id, e.t, list_filter(k.held, lambda x: e.t - x <= 604800) AS h FROM k JOIN e ON e.user_id = k.user_id AND e.i = k.i + 1))
+SELECT user_id, t AS "at", id, accepted FROM k WHERE i > 0""")
 def q_rate_limiter(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), F.col("event_id").alias("id"))
     return rates.limited(e, "user_id", "at", 7 * 86400.0, 5)
 
 
-@query()
+@query("SELECT item_id FROM benchmark")
 def q_seeded_shuffle(spark, sf_dir):
     return R.seeded_shuffle(table(spark, sf_dir, "benchmark").select("item_id"), "item_id", 3)
 
 
-@query("""WITH x AS (SELECT embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, label::DOUBLE AS y FROM embeddings), s AS (SELECT sum(a * a) + 1 AS aa, sum(a * b) AS ab, sum(b * b) + 1 AS bb, sum(a * y) AS ay, sum(b * y) AS by_, avg(a) AS ma, avg(b) AS mb, avg(y) AS my FROM x),
-w AS (SELECT (bb * ay - ab * by_) / (aa * bb - ab * ab) AS w1, (aa * by_ - ab * ay) / (aa * bb - ab * ab) AS w2, ma, mb, my FROM s) SELECT round(w1, 5) AS w1, round(w2, 5) AS w2, round(my - ma * w1 - mb * w2, 5) AS intercept FROM w""")
+_RIDGE = """WITH RECURSIVE x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS e, generate_subscripts(embedding, 1) AS i, label::DOUBLE AS y FROM embeddings),
+g AS (SELECT a.i, b.i AS j, sum(a.e * b.e) + max((a.i = b.i)::INT) AS v FROM x a JOIN x b USING (vec_id) GROUP BY ALL UNION ALL SELECT i, 65, sum(e * y) FROM x GROUP BY i),
+rows_ AS (SELECT i, list(v ORDER BY j) AS r FROM g GROUP BY i), s(k, m) AS (SELECT 1, list(r ORDER BY i) FROM rows_ UNION ALL
+SELECT k + 1, list_transform(m, lambda r, i: CASE WHEN i = k THEN p ELSE list_transform(r, lambda v, j: v - r[k] * p[j]) END) FROM (SELECT k, m, list_transform(m[k], lambda v: v / m[k][k]) AS p FROM s WHERE k <= 64)),
+w AS (SELECT list_transform(m, lambda r: r[65]) AS w FROM s WHERE k = 65), mean AS (SELECT avg(y) AS y FROM x), means AS (SELECT list(m ORDER BY i) AS m FROM (SELECT i, avg(e) AS m FROM x GROUP BY i))"""
+
+
+@query(f"{_RIDGE} SELECT i::INT AS dimension, round(w[i], 5) AS weight FROM w, range(1, 65) r(i) UNION ALL SELECT 0, round(mean.y - list_sum(list_transform(range(1, 65), lambda i: w[i] * m[i])), 5) FROM w, mean, means")
 def q_ridge(spark, sf_dir):
-    beta, b0 = comments.ridge(table(spark, sf_dir, "embeddings"), "embedding", "label", 2)
-    return listed(spark, [(round(beta[0], 5), round(beta[1], 5), round(b0, 5))], "w1 double, w2 double, intercept double")
+    """Weights of all dimensions; dimension 0 is the intercept."""
+    beta, b0 = comments.ridge(table(spark, sf_dir, "embeddings"), "embedding", "label", 64)
+    return listed(spark, [(k, round(float(w), 5)) for k, w in enumerate([b0, *beta])], "dimension int, weight double")
 
 
 @query()

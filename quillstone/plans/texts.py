@@ -10,7 +10,9 @@ from quillstone.operators import comments, conversations as C, likelihood as L
 from quillstone.plans.lexicons import AI_PATTERNS, ANCHORS, FINANCE, HEDGES, INSULTS, STEMS, VALUED
 from quillstone.plans.registry import listed, query, sql_list, sql_values, table
 
-EN = "en AS (SELECT doc_id, text FROM documents WHERE lang = 'en')"
+#: Letters and digits beyond ASCII as underscores: what the SQL engine's ASCII word boundaries then take for letters.
+PLAIN = r"regexp_replace(text, '[^\P{L}\x00-\x7F]|[^\P{N}\x00-\x7F]', '_', 'g')"
+EN = f"en AS (SELECT doc_id, text, {PLAIN} AS u FROM documents)"
 TOK = EN + r""",
 tok AS (SELECT doc_id, lower(t) AS token, pos FROM (SELECT doc_id, unnest(l) AS t, generate_subscripts(l, 1) - 1 AS pos
         FROM (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}_]+') AS l FROM en)))"""
@@ -18,12 +20,12 @@ STRIP = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
 SENT = rf"string_split(regexp_replace({STRIP}, '([.!?])\s+', '\1' || chr(31), 'g'), chr(31))"
 
 
-def english(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", "text")
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
-def english_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return comments.token_table(english(spark, sf_dir))
+def document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return comments.token_table(documents(spark, sf_dir))
 
 
 def valued(spark: SparkSession) -> DataFrame:
@@ -69,14 +71,14 @@ _N = "greatest(1, len(regexp_extract_all(text, '[.!?]+')) + (length(text) > 0 AN
 _OCC = lambda x: f"((length(text) - length(replace(text, '{x}', ''))) / {len(x)})"
 _RATES = {
     "em_dash": f"{_OCC('—')} / {_N}", "en_dash": f"{_OCC('–')} / {_N}", "semicolon": f"{_OCC(';')} / {_N}", "ellipsis": f"({_OCC('...')} + {_OCC('…')}) / {_N}",
-    "oxford_comma": rf"len(regexp_extract_all(text, ',\s+and\b')) / {_N}", "multi_excl": f"len(regexp_extract_all(text, '!{{2,}}')) / {_N}", "multi_quest": rf"len(regexp_extract_all(text, '\?{{2,}}')) / {_N}",
-    "all_caps_run": rf"len(regexp_extract_all(text, '\b[A-Z]{{3,}}\b')) / {_N}", "double_space": f"{_OCC('  ')} / greatest(1, length(text))", "smart_quote": f"({_OCC('‘')} + {_OCC('’')} + {_OCC('“')} + {_OCC('”')}) / greatest(1, length(text))",
+    "oxford_comma": rf"len(regexp_extract_all(u, ',\s+and\b')) / {_N}", "multi_excl": f"len(regexp_extract_all(text, '!{{2,}}')) / {_N}", "multi_quest": rf"len(regexp_extract_all(text, '\?{{2,}}')) / {_N}",
+    "all_caps_run": rf"len(regexp_extract_all(u, '\b[A-Z]{{3,}}\b')) / {_N}", "double_space": f"{_OCC('  ')} / greatest(1, length(text))", "smart_quote": f"({_OCC('‘')} + {_OCC('’')} + {_OCC('“')} + {_OCC('”')}) / greatest(1, length(text))",
 }
 
 
 @query(f"WITH {EN} SELECT doc_id, " + ", ".join(f"round({v}, 6) AS {k}" for k, v in _RATES.items()) + " FROM en")
 def q_punct_rates(spark, sf_dir):
-    return english(spark, sf_dir).select("doc_id", *[F.round(v, 6).alias(k) for k, v in T.punctuation_rates(F.col("text")).items()])
+    return documents(spark, sf_dir).select("doc_id", *[F.round(v, 6).alias(k) for k, v in T.punctuation_rates(F.col("text")).items()])
 
 
 _LONG = f"{EN}, r AS (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS pattern, {v} AS rate FROM en WHERE regexp_matches(text, '\\S')" for k, v in _RATES.items()) + ")"
@@ -84,12 +86,12 @@ _LONG = f"{EN}, r AS (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS pattern,
 
 @query(f"WITH {_LONG} SELECT pattern, round(avg(rate), 6) AS mu, round(stddev_pop(rate) + 1e-6, 6) AS sigma FROM r GROUP BY pattern")
 def q_punct_baseline(spark, sf_dir):
-    return comments.punctuation_baseline(comments.punctuation_long(english(spark, sf_dir))).select("pattern", *r6("mu", "sigma"))
+    return comments.punctuation_baseline(comments.punctuation_wide(documents(spark, sf_dir))).select("pattern", *r6("mu", "sigma"))
 
 
 @query(f"WITH {_LONG}, b AS (SELECT pattern, avg(rate) AS mu, stddev_pop(rate) + 1e-6 AS sigma FROM r GROUP BY pattern) SELECT doc_id, round(avg(abs(rate - mu) / sigma), 6) AS regularity FROM r JOIN b USING (pattern) GROUP BY doc_id")
 def q_punct_regularity(spark, sf_dir):
-    rates = comments.punctuation_long(english(spark, sf_dir))
+    rates = comments.punctuation_wide(documents(spark, sf_dir))
     return comments.punctuation_regularity(rates, comments.punctuation_baseline(rates)).select("doc_id", *r6("regularity"))
 
 
@@ -105,70 +107,70 @@ AFF = """aff AS (SELECT doc_id, count(*) AS n, count(v) AS hits, CASE WHEN count
 
 @query(f"WITH {TOK}, {LEX}, {AFF} SELECT doc_id, n AS n_tokens, hits, round(ma * abs(mv), 6) AS arousal_intensity, round(neg, 6) AS negative_share FROM aff")
 def q_affect(spark, sf_dir):
-    s = comments.affect(english_tokens(spark, sf_dir), valued(spark))
+    s = comments.affect(document_tokens(spark, sf_dir), valued(spark))
     return s.select("doc_id", "n_tokens", "hits", F.round(comments.arousal_intensity(s), 6).alias("arousal_intensity"), *r6("negative_share"))
 
 
 @query(f"WITH {TOK}, st(stem) AS (VALUES {sql_values([(s,) for s in STEMS])}) SELECT doc_id, round(avg((EXISTS (SELECT 1 FROM st WHERE length(stem) >= 4 AND starts_with(token, stem)))::INT), 6) AS prefix_share FROM tok GROUP BY doc_id")
 def q_vice_prefix(spark, sf_dir):
-    return comments.prefix_share(english_tokens(spark, sf_dir), words(spark, STEMS, "stem")).select("doc_id", *r6("prefix_share"))
+    return comments.prefix_share(document_tokens(spark, sf_dir), words(spark, STEMS, "stem")).select("doc_id", *r6("prefix_share"))
 
 
 @query(f"""WITH {TOK}, w AS (SELECT doc_id, token, avg((token IN ({sql_list(INSULTS)}))::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS s FROM tok)
 SELECT doc_id, round(avg(s), 6) AS association FROM w WHERE token IN ({sql_list(ANCHORS)}) GROUP BY doc_id""")
 def q_outgroup_window(spark, sf_dir):
-    return comments.neighbourhood_share(english_tokens(spark, sf_dir), words(spark, ANCHORS), words(spark, INSULTS)).select("doc_id", *r6("association"))
+    return comments.neighbourhood_share(document_tokens(spark, sf_dir), words(spark, ANCHORS), words(spark, INSULTS)).select("doc_id", *r6("association"))
 
 
 _RQ = "(?i)^(" + "|".join(f"(?:{p})" for p in T.QUESTION_OPENERS) + ")"
 _Q = lambda s: s.replace("'", "''")
 
 
-@query(rf"""WITH {EN}, s AS (SELECT doc_id, text, list_filter({SENT}, lambda x: x <> '') AS l, greatest(1, len(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+'))) AS t FROM en)
-SELECT doc_id, CASE WHEN regexp_matches(text, '\S') THEN round(len(list_filter(l, lambda x: x LIKE '%?' AND regexp_matches(x, '{_Q(_RQ)}'))) / greatest(1, len(l)) + len(regexp_extract_all(text, '{_Q(T.HYPERBOLE)}')) / greatest(1, len(l))
- + len(regexp_extract_all(text, '\b[A-Z]{{3,}}\b')) / t + len(regexp_extract_all(text, '!')) / greatest(1, len(l)), 6) END AS rhetoric FROM s""")
+@query(rf"""WITH {EN}, s AS (SELECT doc_id, text, u, list_filter({SENT}, lambda x: x <> '') AS l, greatest(1, len(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+'))) AS t FROM en)
+SELECT doc_id, CASE WHEN regexp_matches(text, '\S') THEN round(len(list_filter(l, lambda x: x LIKE '%?' AND regexp_matches(x, '{_Q(_RQ)}'))) / greatest(1, len(l)) + len(regexp_extract_all(u, '{_Q(T.HYPERBOLE)}')) / greatest(1, len(l))
+ + len(regexp_extract_all(u, '\b[A-Z]{{3,}}\b')) / t + len(regexp_extract_all(text, '!')) / greatest(1, len(l)), 6) END AS rhetoric FROM s""")
 def q_rhetoric(spark, sf_dir):
-    return english(spark, sf_dir).select("doc_id", F.round(T.rhetoric(F.col("text")), 6).alias("rhetoric"))
+    return documents(spark, sf_dir).select("doc_id", F.round(T.rhetoric(F.col("text")), 6).alias("rhetoric"))
 
 
-_HITS = lambda ps: "(" + " + ".join(f"regexp_matches(text, '(?i){_Q(p)}')::INT" for p in ps) + ")"
+_HITS = lambda ps: "(" + " + ".join(f"regexp_matches(u, '(?i){_Q(p)}')::INT" for p in ps) + ")"
 _NT = r"greatest(1, len(regexp_extract_all(text, '[\p{L}\p{N}_]+')))"
 
 
 @query(f"WITH {EN} SELECT doc_id, round(ln(1 + {_HITS(AI_PATTERNS)} / ({_NT} / 20.0)), 6) AS fingerprint FROM en")
 def q_ai_phrases(spark, sf_dir):
-    return english(spark, sf_dir).select("doc_id", F.round(comments.fingerprint(F.col("text"), AI_PATTERNS), 6).alias("fingerprint"))
+    return documents(spark, sf_dir).select("doc_id", F.round(comments.fingerprint(F.col("text"), AI_PATTERNS), 6).alias("fingerprint"))
 
 
 @query(f"WITH {EN} SELECT doc_id, round({_HITS(HEDGES)} / ({_NT} / 100.0), 6) AS hedging FROM en")
 def q_hedges(spark, sf_dir):
-    return english(spark, sf_dir).select("doc_id", F.round(comments.hedging(F.col("text"), HEDGES), 6).alias("hedging"))
+    return documents(spark, sf_dir).select("doc_id", F.round(comments.hedging(F.col("text"), HEDGES), 6).alias("hedging"))
 
 
-@query(rf"""WITH {TOK}, {LEX}, {AFF}, i AS (SELECT doc_id, (list_sum(list_transform(list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(31), 'g'), chr(31)), lambda x: x <> ''),
+@query(rf"""WITH {TOK}, {LEX}, {AFF}, i AS (SELECT doc_id, (list_sum(list_transform(list_filter(string_split(regexp_replace(u, '([.!?])\s+', '\1' || chr(31), 'g'), chr(31)), lambda x: x <> ''),
  lambda s: len(regexp_extract_all(substr(s, 2), '\b[A-Z][a-z]+\b')) - regexp_matches(substr(s, 2), '^[A-Z][a-z]+\b')::INT + len(regexp_extract_all(s, '\b[A-Z][a-z]+\s+[A-Z][a-z]+\b'))))
- + len(regexp_extract_all(text, '\b\d[\d.,]*\b')) + len(regexp_extract_all(text, '["“][^"“”]{{3,}}["”]'))) / len(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+')) AS info,
+ + len(regexp_extract_all(u, '\b\d[\d.,]*\b')) + len(regexp_extract_all(text, '["“][^"“”]{{3,}}["”]'))) / len(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+')) AS info,
  len(regexp_extract_all(text, '!')) / greatest(1, len(string_split_regex({STRIP}, '[.!?]+'))) AS ex FROM en)
 SELECT doc_id, round(ln((ma * (abs(mv) + ex) + 1e-3) / (info + 1e-3)), 6) AS affect_ratio FROM i JOIN aff USING (doc_id)""")
 def q_info_affect(spark, sf_dir):
-    en = english(spark, sf_dir)
+    en = documents(spark, sf_dir)
     return comments.affect_to_information(en, comments.affect(comments.token_table(en), valued(spark))).select("doc_id", *r6("affect_ratio"))
 
 
 @query()
 def q_neutralize(spark, sf_dir):
-    return comments.neutralization_gap(english(spark, sf_dir), [w for w, v, a in VALUED if abs(v) >= 0.5 and a >= 0.6]).select("doc_id", *r6("length_ratio", "neutralization_gap"))
+    return comments.neutralization_gap(documents(spark, sf_dir), [w for w, v, a in VALUED if abs(v) >= 0.5 and a >= 0.6]).select("doc_id", *r6("length_ratio", "neutralization_gap"))
 
 
 @query(f"""WITH {TOK}, c AS (SELECT doc_id, token, pos, lag(pos, 1, -1) OVER (PARTITION BY doc_id, token ORDER BY pos) AS b, count(*) OVER (PARTITION BY doc_id) AS n FROM tok)
 SELECT doc_id, round(CASE WHEN first(n) < 100 THEN count(*) FILTER (WHERE b < 0) / first(n) ELSE sum(greatest(0, least(pos, n - 100) - greatest(0, pos - 99, b + 1) + 1)) / (100 * (first(n) - 99)) END, 6) AS mattr FROM c GROUP BY doc_id""")
 def q_mattr(spark, sf_dir):
-    return C.moving_ttr(english_tokens(spark, sf_dir)).select("doc_id", *r6("mattr"))
+    return C.moving_ttr(document_tokens(spark, sf_dir)).select("doc_id", *r6("mattr"))
 
 
 @query(f"WITH {TOK}, c AS (SELECT doc_id, token, count(*) AS c FROM tok GROUP BY ALL) SELECT doc_id, round(1e4 * (sum(c * c) - sum(c)) / (sum(c) * sum(c)), 6) AS yule_k FROM c GROUP BY doc_id")
 def q_yule_k(spark, sf_dir):
-    return C.yule_k(C.type_counts(english_tokens(spark, sf_dir))).select("doc_id", *r6("yule_k"))
+    return C.yule_k(C.type_counts(document_tokens(spark, sf_dir))).select("doc_id", *r6("yule_k"))
 
 
 @query(f"""WITH {TOK}, c AS (SELECT doc_id, token, count(*) AS c FROM tok GROUP BY ALL),
@@ -176,7 +178,7 @@ r AS (SELECT doc_id, c, row_number() OVER (PARTITION BY doc_id ORDER BY c DESC,
 s AS (SELECT doc_id, regr_slope(ln(c), ln(r)) AS s FROM r WHERE n >= 150 AND (CASE WHEN least(k, 1000) - 10 >= 2 THEN r BETWEEN 10 AND 1000 ELSE true END) GROUP BY doc_id)
 SELECT d.doc_id, round(abs(-s - 1), 6) AS zipf_deviation FROM (SELECT DISTINCT doc_id FROM c) d LEFT JOIN s USING (doc_id)""")
 def q_zipf(spark, sf_dir):
-    return C.zipf_deviation(C.type_counts(english_tokens(spark, sf_dir))).select("doc_id", *r6("zipf_deviation"))
+    return C.zipf_deviation(C.type_counts(document_tokens(spark, sf_dir))).select("doc_id", *r6("zipf_deviation"))
 
 
 @query(f"""WITH {TOK}, h AS (SELECT doc_id, token, (row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1) >= count(*) OVER (PARTITION BY doc_id) // 2 AS late FROM tok),
@@ -185,7 +187,7 @@ t AS (SELECT *, sum(l) OVER (PARTITION BY doc_id) AS nl, sum(e) OVER (PARTITION
 SELECT doc_id, CASE WHEN first(nl) > 0 AND first(ne) > 0 THEN round(sum((l + 0.5) / (nl + 0.5 * v) * ln(((l + 0.5) / (nl + 0.5 * v)) / ((e + 0.5) / (ne + 0.5 * v)))), 6) END AS topic_shift,
 CASE WHEN first(nl) > 0 AND first(ne) > 0 THEN round(sum(CASE WHEN token IN ({sql_list(FINANCE)}) THEN l ELSE 0 END) / first(nl), 6) END AS late_mass FROM t GROUP BY doc_id""")
 def q_topic_shift(spark, sf_dir):
-    marked = C.halves(english_tokens(spark, sf_dir), "doc_id", "pos")
+    marked = C.halves(document_tokens(spark, sf_dir), "doc_id", "pos")
     return C.topic_shift(marked, "doc_id", words(spark, FINANCE)).select("doc_id", *r6("topic_shift", "late_mass"))
 
 
@@ -196,7 +198,7 @@ pp AS (SELECT doc_id, count(*) AS n_tokens, exp(-avg(lp)) AS pp FROM sc GROUP BY
 
 
 def scored(spark, sf_dir):
-    t = english_tokens(spark, sf_dir)
+    t = document_tokens(spark, sf_dir)
     return L.score(t, L.fit_bigrams(t), 5000)
 
 
@@ -230,13 +232,13 @@ def q_nearest_bucket(spark, sf_dir):
 b AS (SELECT doc_id, count(*) AS k, stddev_pop(n) AS s, avg(n) AS m FROM s GROUP BY doc_id)
 SELECT doc_id, CASE WHEN k >= 2 THEN round((s - m) / (s + m), 6) END AS burstiness FROM b""")
 def q_burstiness(spark, sf_dir):
-    s = english(spark, sf_dir).select("doc_id", F.explode(T.sentences(F.col("text"), "over_three")).alias("s")).select("doc_id", F.length("s").alias("n"))
+    s = documents(spark, sf_dir).select("doc_id", F.explode(T.sentences(F.col("text"), "over_three")).alias("s")).select("doc_id", F.length("s").alias("n"))
     return L.burstiness(s, "doc_id", "n").select("doc_id", *r6("burstiness"))
 
 
 @query()
 def q_curvature(spark, sf_dir):
-    t = english_tokens(spark, sf_dir)
+    t = document_tokens(spark, sf_dir)
     model = L.fit_bigrams(t)
     copies = L.perturbed(t, model).withColumn("key", F.concat_ws(":", "doc_id", "copy"))
     s = L.score(copies, model, 5000, id_column="key").groupBy("key").agg(F.sum("log_p").alias("log_p"))

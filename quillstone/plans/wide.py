@@ -4,27 +4,91 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillstone.operators import conversations as C, features
+from quillstone.operators import comments, conversations as C, features
 from quillstone.plans import texts
 from quillstone.plans.lexicons import AI_PATTERNS, ANCHORS, FINANCE, HEDGES, INSULTS, STEMS, VALUED
-from quillstone.plans.registry import query, table
+from quillstone.plans.registry import ORACLE, query, sql_list, table
 
 
 def lexicons(spark, sf_dir) -> features.Lexicons:
     return features.Lexicons(
         valued=texts.valued(spark), stems=texts.words(spark, STEMS, "stem"), anchors=texts.words(spark, ANCHORS), negative=texts.words(spark, INSULTS), finance=FINANCE, ai_patterns=AI_PATTERNS, hedges=HEDGES,
-        strong_words=[w for w, v, a in VALUED if abs(v) >= 0.5 and a >= 0.6], templates=table(spark, sf_dir, "benchmark").select("text"), stage_models=(C.StageModel(), C.StageModel()),
+        strong_words=[w for w, v, a in VALUED if abs(v) >= 0.5 and a >= 0.6], templates=table(spark, sf_dir, "benchmark").select("text"),
     )
 
 
+def fitted_topics(docs, lex: features.Lexicons) -> tuple[list[float], float]:
+    """What a text's vector predicts of its arousal, fitted on all texts that have one."""
+    arousal = comments.affect(comments.token_table(docs), lex.valued).where(F.col("mean_arousal").isNotNull())
+    return comments.ridge(docs.select("doc_id", lex.embed(F.col("text")).alias("v")).join(arousal, "doc_id"), "v", "mean_arousal", 64)
+
+
+def fitted_stages(messages) -> tuple[C.StageModel, C.StageModel]:
+    """The two stage models; conversations have no label here, so their own messages' even or odd number stands for it."""
+    own = C.stage_symbols(messages.where("speaker = 'S'"), FINANCE).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "symbol"))).alias("s"))
+    symbols = own.select("conv_id", F.transform("s", lambda x: x["symbol"].cast("int")).alias("symbols"))
+    odd = F.size("symbols") % 2 == 1
+    return C.fit_stages(symbols.where(odd), 5), C.fit_stages(symbols.where(~odd), 5)
+
+
 @query()
 def q_comment_features(spark, sf_dir):
-    out = features.comment_features(texts.english(spark, sf_dir), lexicons(spark, sf_dir))
+    docs, lex = texts.documents(spark, sf_dir), lexicons(spark, sf_dir)
+    lex.topic_model = fitted_topics(docs, lex)
+    out = features.comment_features(docs, lex)
     return out.select("doc_id", *[F.round(c, 5).alias(c) for c in out.columns[1:]])
 
 
 @query()
 def q_conversation_features(spark, sf_dir):
     m = texts.messages(spark, sf_dir).withColumn("timestamp", F.timestamp_seconds(1_700_000_000 + F.col("conv_id") * 7 + F.col("turn") * F.col("turn") * 60))
-    out = features.conversation_features(m, lexicons(spark, sf_dir))
+    lex = lexicons(spark, sf_dir)
+    lex.stage_models = fitted_stages(m)
+    out = features.conversation_features(m, lex)
     return out.select("conv_id", *[F.round(c, 5).alias(c) for c in out.columns[1:]])
+
+
+def _sentences(bigrams: str, group: str) -> str:
+    """SQL of the burstiness of ln perplexity over sentences, by an expression of doc_id."""
+    return rf"""(WITH {bigrams}, st AS (SELECT doc_id, unnest(l) AS s, generate_subscripts(l, 1) AS k FROM (SELECT doc_id, list_filter({texts.SENT}, lambda x: length(x) > 3) AS l FROM en)),
+t AS (SELECT doc_id, k, lower(t) AS token, pos FROM (SELECT doc_id, k, unnest(l) AS t, generate_subscripts(l, 1) AS pos FROM (SELECT doc_id, k, regexp_extract_all(s, '[\p{{L}}\p{{N}}_]+') AS l FROM st))),
+q AS (SELECT *, coalesce(lag(token) OVER (PARTITION BY doc_id, k ORDER BY pos), '') AS prev FROM t),
+z AS (SELECT doc_id, k, -avg(ln((coalesce(bp.n, 0) + 0.1) / (coalesce(np, 0) + 500.0))) AS x FROM q LEFT JOIN bp USING (prev, token) GROUP BY doc_id, k HAVING count(*) >= 2),
+y AS (SELECT {group} AS id, count(*) AS c, stddev_pop(x) AS s, avg(x) AS m FROM z GROUP BY 1) SELECT id, CASE WHEN c >= 2 THEN round(CASE WHEN s + m = 0 THEN 0 ELSE (s - m) / (s + m) END, 5) END AS burst FROM y)"""
+
+
+_O = {k: f"({v})" for k, v in ORACLE.items()}
+_UNSEEN = ("curvature", "neutralization", "topic", "templates")
+
+
+@query(rf"""SELECT d.doc_id, CASE WHEN p.n_tokens >= 2 THEN psi_1 END AS psi_1, burst AS psi_2, top10_share AS psi_4, top100_share AS psi_5, CASE WHEN regexp_matches(d.text, '\S') THEN fingerprint END AS psi_6, regularity AS psi_7,
+CASE WHEN regexp_matches(d.text, '\S') THEN hedging END AS psi_8, arousal_intensity AS chi_1, negative_share AS chi_2, prefix_share AS chi_3, association AS chi_4, rhetoric AS chi_5, affect_ratio AS chi_6
+FROM documents d LEFT JOIN {_O['q_nearest_bucket']} n USING (doc_id) LEFT JOIN {_O['q_bigram_perplexity']} p USING (doc_id) LEFT JOIN {_sentences(texts._BI, 'doc_id')} b ON b.id = d.doc_id LEFT JOIN {_O['q_rank_share']} r USING (doc_id)
+LEFT JOIN {_O['q_ai_phrases']} f USING (doc_id) LEFT JOIN {_O['q_punct_regularity']} u USING (doc_id) LEFT JOIN {_O['q_hedges']} h USING (doc_id) LEFT JOIN {_O['q_affect']} a USING (doc_id)
+LEFT JOIN {_O['q_vice_prefix']} v USING (doc_id) LEFT JOIN {_O['q_outgroup_window']} o USING (doc_id) LEFT JOIN {_O['q_rhetoric']} q USING (doc_id) LEFT JOIN {_O['q_info_affect']} i USING (doc_id)""")
+def q_comment_row(spark, sf_dir):
+    """The wide row without the features that hash functions of this engine go into, which SQL cannot repeat."""
+    out = features.comment_features(texts.documents(spark, sf_dir), lexicons(spark, sf_dir), skip=_UNSEEN)
+    return out.select("doc_id", *[F.round(c, 5 if c in ("psi_1", "psi_2") else 6).alias(c) for c in out.columns[1:]])
+
+
+_OWN = "en AS (SELECT conv_id AS doc_id, text, regexp_replace(text, '$^', '') AS u FROM (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations WHERE role = 'assistant' GROUP BY 1))"
+_MESSAGES = "en AS (SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations WHERE role = 'assistant')"
+_BIM = texts._BI.replace(texts.EN, _MESSAGES)
+_OWN_O = {k: f"({ORACLE[k].replace(texts.EN, _OWN)})" for k in ("q_mattr", "q_yule_k", "q_zipf")}
+
+
+@query(rf"""SELECT d.conv_id, phi_1, burst AS phi_2, phi_4, phi_5, mattr AS phi_6, yule_k AS phi_7, zipf_deviation AS phi_8, length_asymmetry AS phi_9, phi_13, phi_14 FROM (SELECT DISTINCT conv_id FROM conversations) d
+LEFT JOIN (WITH {_BIM} SELECT doc_id // 1000 AS conv_id, round(avg(pp), 4) AS phi_1 FROM pp WHERE n_tokens >= 2 GROUP BY 1) p USING (conv_id) LEFT JOIN {_sentences(_BIM, 'doc_id // 1000')} b ON b.id = d.conv_id
+LEFT JOIN (WITH {_BIM} SELECT doc_id // 1000 AS conv_id, round(count(*) FILTER (WHERE pos > 0 AND rk <= 10) / nullif(count(*) FILTER (WHERE pos > 0), 0), 6) AS phi_4, round(count(*) FILTER (WHERE pos > 0 AND rk <= 100) / nullif(count(*) FILTER (WHERE pos > 0), 0), 6) AS phi_5 FROM sc GROUP BY 1) r USING (conv_id)
+LEFT JOIN {_OWN_O['q_mattr']} m ON m.doc_id = d.conv_id LEFT JOIN {_OWN_O['q_yule_k']} y ON y.doc_id = d.conv_id LEFT JOIN {_OWN_O['q_zipf']} z ON z.doc_id = d.conv_id LEFT JOIN {_O['q_length_asym']} l USING (conv_id)
+LEFT JOIN (WITH o AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 >= count(*) OVER (PARTITION BY conv_id) // 2 AS late, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations WHERE role = 'assistant'),
+h AS (SELECT conv_id, late, lower(unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+'))) AS token FROM o WHERE n >= 4), c AS (SELECT conv_id, token, count(*) FILTER (WHERE late) AS l, count(*) FILTER (WHERE NOT late) AS e FROM h GROUP BY ALL),
+t AS (SELECT *, sum(l) OVER (PARTITION BY conv_id) AS nl, sum(e) OVER (PARTITION BY conv_id) AS ne, count(*) OVER (PARTITION BY conv_id) AS v FROM c)
+SELECT conv_id, CASE WHEN first(nl) > 0 AND first(ne) > 0 THEN round(sum((l + 0.5) / (nl + 0.5 * v) * ln(((l + 0.5) / (nl + 0.5 * v)) / ((e + 0.5) / (ne + 0.5 * v)))), 6) END AS phi_13,
+CASE WHEN first(nl) > 0 AND first(ne) > 0 THEN round(sum(CASE WHEN token IN ({sql_list(FINANCE)}) THEN l ELSE 0 END) / first(nl), 6) END AS phi_14 FROM t GROUP BY conv_id) s USING (conv_id)""")
+def q_conversation_row(spark, sf_dir):
+    """The wide row without what SQL cannot repeat (hashed vectors, perturbations, the stage models) and what other queries hold against SQL on events."""
+    out = features.conversation_features(texts.messages(spark, sf_dir), lexicons(spark, sf_dir), skip=("curvature", "timing", "cusum", "slope", "stages", "semantic"))
+    digits = {"phi_1": 4, "phi_2": 5}
+    return out.select("conv_id", *[F.round(c, digits.get(c, 6)).alias(c) for c in out.columns[1:]])
