@@ -75,6 +75,11 @@ def n_words(text: Column) -> Column:
     return F.size(F.filter(F.split(stripped(text), r"\s+"), lambda w: w != ""))
 
 
+def within_words(text: Column, least: int = 8, most: int = 80) -> Column:
+    """Whether a text has so many words between white space."""
+    return n_words(text).between(least, most)
+
+
 def n_sentences(text: Column) -> Column:
     """Runs of terminators, one more if the last character is none; at least 1."""
     open_end = (F.length(text) > 0) & ~F.substring(text, -1, 1).isin(".", "!", "?")

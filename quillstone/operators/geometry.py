@@ -65,6 +65,11 @@ def confident(points: DataFrame, confidence: str, share: float = 0.2) -> DataFra
     return points.join(F.broadcast(edge)).where(F.col(confidence) >= F.col("_edge")).drop("_edge")
 
 
+def confident_above(points: DataFrame, confidence: str, least: float = 1.7) -> DataFrame:
+    """Points above a fixed confidence."""
+    return points.where(F.col(confidence) > least)
+
+
 def voxels(points: DataFrame, size: float) -> DataFrame:
     """One point for each voxel: mean place, mean colour cut to an integer."""
     cell = [F.floor(F.col(a) / size).alias(f"v{a}") for a in "xyz"]

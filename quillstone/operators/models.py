@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import asdict, dataclass
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import numeric
@@ -41,7 +42,7 @@ class Head:
     medians: list[float]
     means: list[float]
     deviations: list[float]
-    models: list[LogisticRegressionModel]
+    models: list[tuple[list[float], float]]
     platt: list[tuple[float, float]]
 
     def prepared(self, df: DataFrame) -> DataFrame:
@@ -52,7 +53,7 @@ class Head:
     def probability(self) -> Column:
         """Mean of the calibrated probabilities of the folds' models, from the prepared vector."""
         x = vector_to_array(F.col("_x"))
-        one = [numeric.sigmoid(a * (numeric.dot(x, F.lit([float(v) for v in m.coefficients])) + float(m.intercept)) + b) for m, (a, b) in zip(self.models, self.platt, strict=True)]
+        one = [numeric.sigmoid(a * (numeric.dot(x, F.lit(w)) + c) + b) for (w, c), (a, b) in zip(self.models, self.platt, strict=True)]
         return sum(one, F.lit(0.0)) / len(one)
 
     def score(self, df: DataFrame, out: str) -> DataFrame:
@@ -70,11 +71,12 @@ def fit_head(df: DataFrame, features: list[str], label: str, key: str, n: int =
     head = Head(features, medians, means, deviations, [], [])
     ready = materialize(head.prepared(held).select(F.col(label).cast("double").alias("label"), "fold", "inner", "_x"), "head")
 
-    def fit(rows: DataFrame, c: float) -> LogisticRegressionModel:
-        return LogisticRegression(featuresCol="_x", labelCol="label", regParam=1 / (c * max(1, rows.count())), elasticNetParam=0.0, standardization=False, maxIter=100).fit(rows)
+    def fit(rows: DataFrame, c: float) -> tuple[list[float], float]:
+        m = LogisticRegression(featuresCol="_x", labelCol="label", regParam=1 / (c * max(1, rows.count())), elasticNetParam=0.0, standardization=False, maxIter=100).fit(rows)
+        return [float(v) for v in m.coefficients], float(m.intercept)
 
-    def margin(m: LogisticRegressionModel) -> Column:
-        return numeric.dot(vector_to_array(F.col("_x")), F.lit([float(v) for v in m.coefficients])) + float(m.intercept)
+    def margin(m: tuple[list[float], float]) -> Column:
+        return numeric.dot(vector_to_array(F.col("_x")), F.lit(m[0])) + m[1]
 
     def auc(rows: DataFrame, c: float, k: int) -> float:
         tried = rows.where(F.col("inner") == k).withColumn("s", margin(fit(rows.where(F.col("inner") != k), c)))
@@ -96,6 +98,16 @@ def fit_head(df: DataFrame, features: list[str], label: str, key: str, n: int =
     return head
 
 
+def save_head(spark: SparkSession, head: Head, path: str) -> None:
+    """The bundle of a head as one JSON row."""
+    spark.createDataFrame([(json.dumps(asdict(head)),)], "value string").write.mode("overwrite").text(path)
+
+
+def load_head(spark: SparkSession, path: str) -> Head:
+    got = json.loads(spark.read.text(path).first()["value"])
+    return Head(**got | {"models": [(w, c) for w, c in got["models"]], "platt": [tuple(x) for x in got["platt"]]})
+
+
 def out_of_fold(df: DataFrame, features: list[str], label: str, key: str, n: int = 5, penalties=(1.0,), seed: int = 0) -> DataFrame:
     """key, label and the probability from a head that has not seen the row."""
     held = folds(df.where(F.col(label).isNotNull()), label, key, n, seed).withColumnRenamed("fold", "outer")

@@ -35,6 +35,11 @@ def dialogue(df: DataFrame, id_column: str, text: str) -> DataFrame:
     return df.select(id_column, F.posexplode(turns).alias("turn", "t")).select(id_column, "turn", "t.speaker", "t.text")
 
 
+def of_length(turns: DataFrame, id_column: str, least: int = 4) -> DataFrame:
+    """The turns of conversations that have `least` of them or more (4 of dialogues, 6 of forum posts)."""
+    return turns.join(turns.groupBy(id_column).count().where(F.col("count") >= least).select(id_column), id_column, "left_semi")
+
+
 def dialogue_column(columns: list[str], candidates=("dialogue", "conversation", "text", "content"), least: int = 20) -> Column:
     """The first non-empty candidate, else the longest text over `least` characters."""
     named = [F.when(F.col(c) != "", F.col(c)) for c in candidates if c in columns]
@@ -73,7 +78,12 @@ def question_answers(df: DataFrame, id_column: str, human: str, machine: str, mo
 
 
 def inferred_label(column: Column | None, split: Column, dataset: Column) -> Column:
-    """A label from its column, else from the split's name, else from the data set's name; null if none tells."""
-    tell = lambda c: F.when(F.lower(c).rlike("non|no|benign|normal|legit"), 0).when(F.lower(c).rlike("scam|fraud|phish"), 1)
-    parts = [tell(split), tell(dataset)]
-    return F.coalesce(*([column.cast("int")] if column is not None else []), *parts)
+    """1 for a scam, 0 for none: from the label column (a number, or a word), else from the split's name, else from the data set's name."""
+    name = F.lower(split)
+    by_split = F.when(name.contains("scam") & ~name.contains("no"), 1).when(name.contains("no") | name.contains("benign"), 0)  # "normal" has "no" in it
+    told = F.coalesce(by_split, F.lower(dataset).contains("scam").cast("int"))
+    if column is None:
+        return told
+    word = F.lower(column.cast("string"))
+    number = F.when(word.rlike(r"^\s*[+-]?\d+\s*$"), F.trim(word).cast("int"))
+    return F.when(column.isNotNull(), F.coalesce(number, word.rlike("^(?:scam|1|true)").cast("int"))).otherwise(told)

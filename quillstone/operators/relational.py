@@ -44,6 +44,11 @@ def rollup_report(df: DataFrame, outer: str, inner: str, ok: Column) -> DataFram
     return r.withColumn("percent", 100.0 * F.col("passed") / F.col("total"))
 
 
+def without_label(df: DataFrame, label: str) -> DataFrame:
+    """An auxiliary source before the union: one of its labels is not known there."""
+    return df.withColumn(label, F.lit(None).cast(dict(df.dtypes)[label]))
+
+
 def best_by(df: DataFrame, key: str, value: str, order: list) -> DataFrame:
     """Each key's value under the largest order."""
     return df.groupBy(key).agg(F.max_by(value, F.struct(*order)).alias(value))

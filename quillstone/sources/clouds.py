@@ -45,7 +45,12 @@ def parse_ply(data: bytes):
 
 
 def read_ply(spark: SparkSession, path: str) -> DataFrame:
-    """path, x, y, z, r, g, b of the vertices; colours null where the file has none.  One file is one task's memory."""
+    """path, x, y, z, r, g, b of the vertices of PLY files."""
+    return vertices(spark.read.format("binaryFile").load(path))
+
+
+def vertices(files: DataFrame) -> DataFrame:
+    """The same of files at hand (path, content); colours null where a file has none.  One file is one task's memory."""
     import pandas as pd
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -57,7 +62,7 @@ def read_ply(spark: SparkSession, path: str) -> DataFrame:
                     out[short] = pd.array(v[name].astype("int64"), dtype="Int16") if name in v.dtype.names else pd.array([None] * len(v), dtype="Int16")
                 yield pd.DataFrame(out)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, CLOUD)
+    return files.select(F.col("path").cast("string").alias("path"), F.col("content").cast("binary").alias("content")).mapInPandas(run, CLOUD)
 
 
 def ply_bytes(rows, binary: bool = True) -> bytes:
@@ -100,7 +105,7 @@ _POSE = rf"(?i)(Cam(?:Position|Forward|Right|Up))\s*:?\s*X\s*=\s*({_NUMBER})\s+Y
 
 
 def read_poses(spark: SparkSession, path: str) -> DataFrame:
-    """index and position, forward, right, up (three numbers each) of numbered blocks; `missing` lists absent keys."""
+    """index and position, forward, right, up (three numbers each) of numbered blocks; `missing` lists absent keys, `repeated` tells of a key that stands twice."""
     blocks = spark.read.text(path, wholetext=True).select(F.explode(F.regexp_extract_all("value", F.lit(r"(?m)^[ \t]*(\d+)[ \t]*\)[ \t]*\r?$((?:(?!^[ \t]*\d+[ \t]*\)[ \t]*\r?$)[\s\S])*)"), F.lit(0))).alias("block"))
     index = F.regexp_extract("block", r"(\d+)", 1).cast("int")
     found = [F.regexp_extract_all("block", F.lit(_POSE), F.lit(k)) for k in range(1, 5)]
@@ -108,7 +113,7 @@ def read_poses(spark: SparkSession, path: str) -> DataFrame:
     held = blocks.select(index.alias("index"), entries.alias("e"))
     one = lambda key: F.get(F.filter("e", lambda x: x["k"] == key), F.lit(0))["v"]
     names = F.array(*[F.lit(k) for k in POSE_KEYS])
-    return held.select("index", *[one(k).alias(n) for k, n in POSE_KEYS.items()], F.array_except(names, F.transform("e", lambda x: x["k"])).alias("missing"))
+    return held.select("index", *[one(k).alias(n) for k, n in POSE_KEYS.items()], F.array_except(names, F.transform("e", lambda x: x["k"])).alias("missing"), (F.size("e") > F.size(F.array_distinct(F.transform("e", lambda x: x["k"])))).alias("repeated"))
 
 
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
@@ -136,5 +141,13 @@ def grid_of(numbers: DataFrame, header: int = 2) -> DataFrame:
     return numbers.join(size, "file").where((k >= 0) & (k < F.col("m") * F.col("n"))).select("file", F.floor(k / F.col("n")).cast("int").alias("i"), (k % F.col("n")).cast("int").alias("j"), F.col("value").cast("long").alias("v"))
 
 
+def queries_of(numbers: DataFrame, header: int = 2, width: int = 2) -> DataFrame:
+    """file, q and args (`width` numbers) of the counted list of queries that follows a grid."""
+    sizes = numbers.groupBy("file").agg(F.max(F.when(F.col("pos") == 0, F.col("value"))).alias("m"), F.max(F.when(F.col("pos") == 1, F.col("value"))).alias("n"))
+    k = F.col("pos") - header - (F.col("m") * F.col("n")).cast("int") - 1  # the count of queries stands in between
+    held = numbers.join(sizes, "file").where(k >= 0).select("file", F.floor(k / width).cast("int").alias("q"), (k % width).alias("a"), "value")
+    return held.groupBy("file", "q").agg(F.array_sort(F.collect_list(F.struct("a", "value"))).alias("v")).select("file", "q", F.transform("v", lambda x: x["value"]).alias("args"))
+
+
 def file_stem(path: str) -> str:
     return re.sub(r"\.[^./]*$", "", path)

@@ -90,6 +90,23 @@ def read_baseline(spark: SparkSession, path: str) -> DataFrame:
     return pairs.select("ord", F.col("e.key").alias("name"), F.coalesce(F.get(F.from_json(v, "array<double>"), F.lit(0)), F.get_json_object(v, "$.mu").cast("double")).alias("mu"), F.coalesce(F.get(F.from_json(v, "array<double>"), F.lit(1)), F.get_json_object(v, "$.sigma").cast("double")).alias("sigma"))
 
 
+def write_baseline(baseline: DataFrame, name: str, path: str, mode: str = "overwrite") -> None:
+    """One JSON object of {mu, sigma} by name, in the order of `ord` if there is one; a baseline is a few rows."""
+    order = "ord" if "ord" in baseline.columns else name
+    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(name).cast("string").alias("n"), F.struct("mu", "sigma").alias("v"))))
+    whole = baseline.agg(F.to_json(F.map_from_entries(F.transform(rows, lambda r: F.struct(r["n"], r["v"])))).alias("value"))
+    whole.write.mode(mode).text(path)
+
+
+def read_templates(spark: SparkSession, path: str) -> DataFrame:
+    """text and source of JSON lines; blank texts go."""
+    return spark.read.schema("text string, source string").json(path).where("trim(coalesce(text, '')) <> ''")
+
+
+def write_templates(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    df.select("text", *(["source"] if "source" in df.columns else [])).write.mode(mode).json(path)
+
+
 def write_comments(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """JSON lines; meta's keys stand beside the fields, nulls are dropped."""
     fields = F.struct(*[F.col(c) for c in FIELDS if c in df.columns])
