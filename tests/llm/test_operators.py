@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillstone.llm import chat, decontaminate, html_text, mixing, near_dup, pii, quality, queries, secrets, sharding, suffix_dedup
 
 from tests.compare import DATA, rows_of, rows_of_sql
+from tests.llm import plain
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -343,6 +344,13 @@ def test_raking_meets_the_marginals(spark):
     assert mixing.sample(df, budget=0.3).count() == int(w.sampled.sum())
 
 
+def test_raking_equals_another_fit(spark):
+    w = mixing.weights(spark.read.parquet(f"{DATA}/documents.parquet")).toPandas()
+    cells = w.groupby(["source", "lang", "topic"]).tokens.sum().to_dict()
+    p = plain.raked(cells, (w.tokens * w.probability).sum() / w.tokens.sum())
+    assert all(abs(r.probability - p[r.source, r.lang, r.topic]) < 1e-3 for r in w.itertuples() if r.tokens)
+
+
 def drawn_shares(w, by):
     t = w.tokens * w.probability
     return t.groupby(w[by]).sum() / t.sum()
@@ -481,25 +489,7 @@ def test_ring_equals_one_by_one(spark, monkeypatch, chunk):
     df = docs.unionByName(odd)
     shards, nodes, blocks = 7, 8, 3
     got = sharding.assign(df, shards, nodes, blocks).collect()
-    text = F.coalesce("text", F.lit(""))
-    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.md5(text)))
-    keyed = df.select("doc_id", "text", key.alias("key"), F.pmod(F.xxhash64(key, F.crc32(text)), F.lit(blocks)).alias("block"), F.crc32(text).alias("crc"), F.octet_length(text).alias("n")).collect()
-    points = sharding.ring_points(shards, nodes)
-    place = lambda k: int(hashlib.md5(k.encode()).hexdigest()[:4], 16)
-    arc = lambda k: next((i for i, (p, _) in enumerate(points) if p >= place(k)), 0)
-    least = lambda r: (r.block, r.doc_id is not None, r.doc_id or 0, r.crc, r.n)
-    waiting = sorted(((arc(r.key), arc(r.key), least(r), r) for r in keyed), key=lambda x: x[:3])
-    room, slots, want = sharding.quotas(len(keyed), shards), Counter(), []
-    while waiting:
-        again = []
-        for a, at, rank, r in waiting:
-            s = points[at][1]
-            if slots[s] < room[s]:
-                want.append((r.doc_id, r.n + sharding.ROW_BYTES, r.crc, s, slots[s]))
-                slots[s] += 1
-            else:
-                again.append((a, (at + 1) % len(points), rank, r))
-        waiting = sorted(again, key=lambda x: (x[1], x[0], x[2]))
+    want = plain.walked(plain.ring_keys(df, blocks), shards, nodes)
     assert sorted(map(repr, want)) == sorted(repr((r.doc_id, r["size"], r.text_crc32, r.shard, r.slot)) for r in got)
 
 
