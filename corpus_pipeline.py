@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before
 kept; between stages the documents are written as Parquet to the shared folder.
+
+Defined results.  Null or empty text: rejected by the quality rules.  Repeated rows: one
+stays in the near-dedup stage, of a group of copies the one with the smallest doc_id.
+Null doc_id: told apart by the text.  Null source or language: counts as "other" in the
+mixing stage.  Empty table: empty result.  Extra columns travel along, whatever their
+names, up to the sharding stage, which returns its own columns.
 """
 
 from __future__ import annotations
@@ -39,7 +45,7 @@ STAGES = [
     ("mixing", mixing_stage),
     ("sharding", sharding_stage),
 ]
-#: The MinHash, raking and ring stages are not expressible in SQL; tests hold run() against a brute-force version.
+#: The MinHash, raking and ring stages are not expressible in SQL; tests/llm/test_pipeline.py holds run() against a brute-force version.
 ORACLE_SQL = None
 
 
