@@ -93,16 +93,35 @@ def q_feature_pivot(spark, sf_dir):
     return M.feature_pivot(m, "event_type", ["mean_value", "n"], ["click", "error"]).select("feature", *texts.r6("click", "error"))
 
 
-_F = "f AS (SELECT event_id, CASE WHEN event_id % 11 > 0 THEN round(floor(value) / 20 - 1.5, 2) END AS psi_1, round((event_id % 10) / 4, 2) AS chi_5, round((event_id % 7) / 10, 2) AS chi_9 FROM events)"
+def _flag_values(rules) -> list[tuple[str, int, float, float, int]]:
+    """feature, modulus, divisor, shift and digits: values on both sides of each rule's bound, on it, and missing ones (each eleventh)."""
+    return [(name, 7 + 2 * k, abs(bound) / 3 or 1.0, bound, k % 3) for k, (name, _, bound, _) in enumerate(rules)]
 
 
-@query(f"""WITH {_F} SELECT event_id, list_filter([CASE WHEN psi_1 < -1.0 THEN 'Low length-normalized perplexity z-score (psi_1 = ' || printf('%+.2f', psi_1) || ')' END,
-CASE WHEN chi_5 > 1.0 THEN 'High rhetorical-pattern score (chi_5 = ' || printf('%.2f', chi_5) || ')' END, CASE WHEN chi_9 > 0.75 THEN 'x' END], lambda x: x IS NOT NULL) AS flags FROM f""")
-def q_red_flags(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
+def _flag_sql(rules) -> str:
+    value = ", ".join(f"CASE WHEN (event_id + {rest}) % 11 > 0 THEN round({shift} + ((event_id + {rest}) % {m} - 3) * {d!r}, 4) END AS {name}" for name, m, d, shift, rest in _flag_values(rules))
+    said = lambda name, message: f"printf('{message.replace(chr(39), chr(39) * 2)}', {name})" if "%" in message else "'" + message.replace("'", "''") + "'"
+    rows = ", ".join(f"CASE WHEN {name} {way} {bound} THEN {said(name, message)} END" for name, way, bound, message in rules)
+    return f"WITH f AS (SELECT event_id, {value} FROM events) SELECT event_id, list_filter([{rows}], lambda x: x IS NOT NULL) AS flags FROM f"
+
+
+def _flagged(spark, sf_dir, rules):
     i = F.col("event_id")
-    f = e.select("event_id", F.when(i % 11 > 0, F.round(F.floor("value") / 20 - 1.5, 2)).alias("psi_1"), F.round((i % 10) / 4, 2).alias("chi_5"), F.round((i % 7) / 10, 2).alias("chi_9"))
-    return f.select("event_id", D.red_flags(D.COMMENT_FLAGS, f.columns).alias("flags"))
+    values = [F.when((i + rest) % 11 > 0, F.round(F.lit(shift) + ((i + rest) % m - 3) * F.lit(d), 4)).alias(name) for name, m, d, shift, rest in _flag_values(rules)]
+    f = table(spark, sf_dir, "events").select("event_id", *values)
+    return f.select("event_id", D.red_flags(rules, f.columns).alias("flags"))
+
+
+@query(_flag_sql(D.COMMENT_FLAGS))
+def q_red_flags(spark, sf_dir):
+    """All rules for comments."""
+    return _flagged(spark, sf_dir, D.COMMENT_FLAGS)
+
+
+@query(_flag_sql(D.CONVERSATION_FLAGS))
+def q_conversation_flags(spark, sf_dir):
+    """All rules for conversations."""
+    return _flagged(spark, sf_dir, D.CONVERSATION_FLAGS)
 
 
 _P = "p AS (SELECT event_id, round((event_id % 101) / 100, 2) AS a, round((event_id % 37) / 36, 4) AS r FROM events)"
@@ -215,7 +234,8 @@ def q_positional_zip(spark, sf_dir):
     return R.positional_zip(s, n, "oa", "ob").select("a", "b")
 
 
-@query("SELECT 'case/' || a.p_partkey AS stem, 'case/' || a.p_partkey || '.in' AS left_path, 'case/' || a.p_partkey || '.out' AS right_path FROM part a WHERE p_size % 2 = 0 AND p_size % 3 = 0")
+@query("""WITH l AS (SELECT 'case/' || p_partkey || '.in' AS path FROM part WHERE p_size % 2 = 0), r AS (SELECT 'case/' || p_partkey || '.out' AS path FROM part WHERE p_size % 3 = 0)
+SELECT regexp_extract(l.path, '^(.*)[.][^./]*$', 1) AS stem, l.path AS left_path, r.path AS right_path FROM l JOIN r ON regexp_extract(l.path, '^(.*)[.][^./]*$', 1) = regexp_extract(r.path, '^(.*)[.][^./]*$', 1)""")
 def q_stem_pairs(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     name = lambda ext: F.concat(F.lit("case/"), F.col("p_partkey"), F.lit(ext)).alias("path")
@@ -227,12 +247,16 @@ def q_slug(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", T.slug(F.col("c_name")).alias("slug"))
 
 
-_CORNERS = [(0, 3, 4, True), (1, 1, 2, True), (2, 9, 9, False)]
+_NEAR = "abs(got[i + 1].x - want[p[i + 1]].x) <= 1 AND abs(got[i + 1].y - want[p[i + 1]].y) <= 1"
 
 
-@query(f"SELECT * FROM (VALUES {sql_values([(k, ok) for k, *_, ok in _CORNERS]).replace('True', 'true').replace('False', 'false')}) t(id, ok)")
+@query(f"""WITH c AS (SELECT event_id, [{{'x': 1 + event_id % 3, 'y': 10}}, {{'x': 10, 'y': 11}}, {{'x': 0, 'y': 1}}, {{'x': 9, 'y': event_id % 2}}] AS got, [{{'x': 0, 'y': 0}}, {{'x': 0, 'y': 10}}, {{'x': 10, 'y': 0}}, {{'x': 10, 'y': 10}}] AS want FROM events),
+o AS (SELECT [a, b, c, d] AS p FROM range(1, 5) t(a), range(1, 5) u(b), range(1, 5) v(c), range(1, 5) w(d) WHERE len(list_distinct([a, b, c, d])) = 4)
+SELECT event_id, bool_or(len(list_filter(range(4), lambda i: {_NEAR})) = 4) AS ok FROM c, o GROUP BY event_id""")
 def q_corner_match(spark, sf_dir):
-    want = [(0, 0), (0, 10), (10, 0), (10, 10)]
-    got = lambda k: [(1, 10), (10, 11), (0, 1), (9, 0)] if k < 2 else [(2, 10), (10, 11), (0, 1), (9, 0)]
-    df = listed(spark, [(k, got(k), want) for k, *_ in _CORNERS], "id int, got array<struct<x:int,y:int>>, want array<struct<x:int,y:int>>")
-    return df.select("id", R.corners_match(F.col("got"), F.col("want")).alias("ok"))
+    """Four corners in any order against the true ones, some of them a pixel too far off."""
+    i = F.col("event_id")
+    p = lambda x, y: F.struct(F.lit(x).cast("int").alias("x") if isinstance(x, int) else x.cast("int").alias("x"), F.lit(y).cast("int").alias("y") if isinstance(y, int) else y.cast("int").alias("y"))
+    got = F.array(p(1 + i % 3, 10), p(10, 11), p(0, 1), p(9, i % 2))
+    want = F.array(p(0, 0), p(0, 10), p(10, 0), p(10, 10))
+    return table(spark, sf_dir, "events").select("event_id", R.corners_match(got, want).alias("ok"))

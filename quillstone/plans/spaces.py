@@ -229,10 +229,9 @@ def q_kalman(spark, sf_dir):
     return v.select("user_id", last.alias("k")).select("user_id", F.round("k.x", 5).alias("x"), F.round("k.p", 6).alias("p"))
 
 
-_ENG = [("mohr_radius", 50.0), ("mohr_high", 130.0), ("mohr_low", 30.0), ("resonance", 1591.55), ("carnot", 0.5), ("torque", 15707.96), ("kalman_gain", 0.795)]
-
-
-@query(f"SELECT * FROM (VALUES {sql_values(_ENG)}) t(name, value)")
+@query("""WITH s AS (SELECT (120 - 40) / 2.0 AS d, 30.0 AS t, 50.0 + 8 AS p), r AS (SELECT sqrt(d * d + t * t) AS r, p FROM s)
+SELECT unnest([{'name': 'mohr_radius', 'value': round(r, 3)}, {'name': 'mohr_high', 'value': round((120 + 40) / 2.0 + r, 3)}, {'name': 'mohr_low', 'value': round((120 + 40) / 2.0 - r, 3)},
+{'name': 'resonance', 'value': round(1 / (2 * pi() * sqrt(0.01::DOUBLE * 1e-6)), 2)}, {'name': 'carnot', 'value': round(1 - 300 / 600.0::DOUBLE, 3)}, {'name': 'torque', 'value': round(80e6 * pi() * 0.05::DOUBLE ** 3 / 2, 2)}, {'name': 'kalman_gain', 'value': round((p / (p + 15))::DOUBLE, 3)}], recursive := true) FROM r""")
 def q_engineering(spark, sf_dir):
     f = lambda x: F.lit(float(x))
     r, hi, lo = E.mohr(f(120), f(40), f(30))
