@@ -236,5 +236,120 @@ def test_answers_and_labels(spark):
     long = "one two three four five six seven eight nine. "
     df = spark.createDataFrame([(1, [long, "short."], [long * 2])], "id int, h array<string>, m array<string>")
     assert sorted(r.label for r in P.question_answers(df, "id", "h", "m", 5).collect()) == [0, 1]
-    names = spark.createDataFrame([(None, "train_scam", "x"), (None, "non_scam", "x"), (1, "normal", "x"), (None, "a", "b")], "l int, s string, d string")
-    assert [r.y for r in names.select(P.inferred_label(F.col("l"), F.col("s"), F.col("d")).alias("y")).collect()] == [1, 0, 1, None]
+    names = spark.createDataFrame([(None, "train_scam", "x"), (None, "non_scam", "x"), (1, "normal", "x"), (None, "a", "b"), (None, "a", "Scam-calls")], "l int, s string, d string")
+    assert [r.y for r in names.select(P.inferred_label(F.col("l"), F.col("s"), F.col("d")).alias("y")).collect()] == [1, 0, 1, 0, 1]
+
+
+def test_neutral_equals_python(spark):
+    """The neutral form against the same rules in another regular-expression engine, with letters of all kinds beside the patterns."""
+    import re
+
+    rng = random.Random(9)
+    bits = ["How is this possible?", "why on earth are we here?", "Make it make sense.", "SERIOUSLY??", "really?!", "éreally?", "wake up people", "these clowns", "OMG", "WTFé", "NEVER ever", "always", "ñalways", "vile", "Vile!", "éVILE", "THE END", "ÀBC DEF", "plain words here", "!!!", "  ", "a"]
+    texts_ = [" ".join(rng.choice(bits) for _ in range(rng.randint(0, 9))) for _ in range(300)]
+    strong = ["vile", "clowns"]
+
+    def plain(t):
+        for p in (r"\bhow (is|can|could|on earth|in the world) [^.!?]+\?", r"\bwhy (is|on earth|in the world|would anyone) [^.!?]+\?", r"\bmake it make sense\.?", r"\byou can'?t make this (up|stuff up)\.?", r"\bseriously\?+", r"\breally\?+", r"\bwake up,? (people|sheeple|everyone)\b", r"\bthese (clowns|idiots|morons|fools)\b", r"\b(omg|wtf|smh)\b"):
+            t = re.sub(f"(?i){p}", "", t)
+        t = re.sub(T.CAPS_RUN, lambda m: m[0].lower(), t)
+        t = re.sub(T.HYPERBOLE, "", t)
+        t = re.sub(r"(?i)\b(" + "|".join(strong) + r")\b", "", t)
+        return re.sub(r"\s+", " ", re.sub(r"([!?]){2,}", r"\1", t)).strip()
+
+    df = spark.createDataFrame([(t,) for t in texts_], "t string")
+    for r in df.select("t", T.neutral(F.col("t"), strong).alias("n")).collect():
+        assert r.n == plain(r.t), r.t
+
+
+def test_few_points_are_all_kept(spark):
+    pts = [(i, float(i), 0.0, 0.0) for i in range(4)]
+    df = spark.createDataFrame(pts, "id int, x double, y double, z double")
+    assert K.statistical_inliers(K.nearest_distances(df, 5, 0.1)).count() == 4
+    # a far outlier settles too, however wide the cells must grow
+    far = spark.createDataFrame([*pts, (9, 1e6, 0.0, 0.0)], df.schema)
+    assert {r.id for r in K.nearest_distances(far, 3, 1e-3).collect()} == {0, 1, 2, 3, 9}
+
+
+def test_planes_are_as_many_as_asked(spark):
+    rng = random.Random(8)
+    pts = [(rng.gauss(0, 1), rng.gauss(0, 1), rng.gauss(0, 1)) for _ in range(40)]
+    df = spark.createDataFrame(pts, "x double, y double, z double")
+    assert G.sampled_planes(df, 500).count() == 500 and G.sampled_planes(df.limit(2), 500).count() == 0
+    flat = spark.createDataFrame([(k, rng.random(), rng.random(), 0.0) for k in range(60)] + [(100 + k, rng.random(), rng.random(), 2 + rng.random()) for k in range(20)], "id int, x double, y double, z double")
+    assert {r.id for r in G.without_plane(flat, 1e-6).collect()} == set(range(100, 120))
+
+
+def test_blocks_give_the_same_as_one_array(spark, monkeypatch):
+    rng = random.Random(2)
+    vec = lambda: [rng.gauss(0, 1) for _ in range(6)]
+    a, b = (spark.createDataFrame([(k, vec()) for k in range(n)], "vec_id int, embedding array<double>") for n in (30, 25))
+    run = lambda: (
+        sorted(map(tuple, K.two_nearest(a, b, "vec_id", "embedding", 0.9).collect())), sorted((r.vec_id, round(r.max_cosine, 9), round(r.share_above, 9)) for r in comments.template_similarity(a, b).collect()),
+        sorted(map(tuple, K.ordered_pairs(a, "vec_id").collect())),
+    )
+    one = run()
+    monkeypatch.setattr(K, "MOST_IN_ONE", 4)
+    monkeypatch.setattr(comments, "MOST_TEMPLATES", 4)
+    assert run() == one and len(one[2]) == 30 * 29
+
+
+def test_folds_keep_the_classes_even(spark):
+    from collections import Counter
+
+    from quillstone.operators import models
+
+    df = spark.range(997).select(F.col("id").alias("k"), (F.col("id") % 10 == 0).cast("int").alias("y"))
+    got = models.folds(df, "y", "k").collect()
+    n = Counter((r.y, r.fold) for r in got)
+    assert len(got) == 997 and all(max(n[y, f] for f in range(5)) - min(n[y, f] for f in range(5)) <= 1 for y in (0, 1))
+
+
+def test_head_round_trip_and_choice_of_penalty(spark, tmp_path):
+    from quillstone.operators import models
+
+    rng = random.Random(7)
+    rows = [(k, y, y + rng.gauss(0, 1), rng.gauss(0, 1) if k % 9 else None) for k in range(240) for y in (k % 2,)]
+    df = spark.createDataFrame(rows, "k int, y int, a double, b double")
+    head = models.fit_head(df, ["a", "b"], "y", "k", n=2, penalties=(1e-4, 1.0))
+    models.save_head(spark, head, str(tmp_path / "head"))
+    again = models.load_head(spark, str(tmp_path / "head"))
+    p = {r.k: r.p for r in head.score(df, "p").collect()}
+    assert {r.k: r.p for r in again.score(df, "p").collect()} == p and M.roc_auc(head.score(df, "p"), "p", "y").first().auc > 0.7
+
+
+def test_limiter_stream_equals_table(spark, tmp_path):
+    rng = random.Random(5)
+    hits = [(rng.randrange(3), float(rng.randrange(400)), k) for k in range(120)]
+    df = spark.createDataFrame(hits, "user int, at double, id long")
+    want = sorted((r.user, r.id, r.accepted) for r in rates.limited(df, "user", "at", 30.0, 2).collect())
+    df.coalesce(1).write.json(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).json(str(tmp_path / "in"))
+    q = rates.limited_stream(stream, "user", "at", 30.0, 2).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted((r.user, r.id, r.accepted) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == want
+
+
+LOUD = [
+    "These idiots never learn! EVERYONE should be furious!!! Why is this even allowed?! Vile, disgusting trash!", "Seriously?? The WORST people always win! Pathetic scum! Make it make sense!!!", "NOBODY cares!!! Disgusting! How is this real?! Vile clowns everywhere!",
+]
+CALM = ["The council met on Tuesday and approved the budget for 2024.", "According to the report, rents rose by 3.5 percent in May.", "The library opens at nine and closes at six on weekdays."]
+
+
+def test_features_point_the_right_way(spark):
+    """Made texts of both sorts: every feature that speaks of them lies higher on its side."""
+    from quillstone.operators import features
+    from quillstone.plans import texts
+
+    rows = [(k, t, int(k < 3)) for k, t in enumerate(LOUD + CALM)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, y int")
+    lex = features.Lexicons(
+        valued=spark.createDataFrame([("vile", -0.9, 0.9), ("disgusting", -0.8, 0.8), ("pathetic", -0.7, 0.7), ("trash", -0.7, 0.7), ("furious", -0.8, 0.95), ("budget", 0.1, 0.2), ("library", 0.3, 0.1), ("opens", 0.1, 0.1), ("report", 0.0, 0.2), ("rents", -0.1, 0.2), ("approved", 0.4, 0.2)], "word string, valence double, arousal double"),
+        stems=texts.words(spark, ["disgust", "pathet"], "stem"), anchors=texts.words(spark, ["people", "clowns", "idiots"]), negative=texts.words(spark, ["vile", "scum", "pathetic"]), finance=("budget",), ai_patterns=("according to",), hedges=("perhaps",),
+        strong_words=["vile", "disgusting"], templates=spark.createDataFrame([(LOUD[0],)], "text string"),
+    )
+    got = features.comment_features(df.select("doc_id", "text"), lex, skip=("curvature", "burstiness", "perplexity")).join(df.select("doc_id", "y"), "doc_id")
+    means = {r.y: r for r in got.groupBy("y").agg(*[F.avg(c).alias(c) for c in got.columns if c[:3] in ("chi", "psi")]).collect()}
+    for c in ("chi_1", "chi_2", "chi_3", "chi_5", "chi_6", "chi_7", "chi_9"):
+        assert means[1][c] > means[0][c], c
+    assert means[0]["psi_6"] > means[1]["psi_6"]
