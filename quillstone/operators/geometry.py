@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import numeric
+from quillstone.sources.shared import materialize
 
 
 def projected(p: list[list[float]], x: Column, y: Column, z: Column) -> tuple[Column, Column]:
@@ -315,7 +316,7 @@ def fundamental_inliers(matches: DataFrame, key: str = "pair", threshold: float
 
 
 def triangulated(views: DataFrame, matrices: dict[int, list[list[float]]], key: str = "track") -> DataFrame:
-    """x, y, z of each track from its views (track, image, u, v) by direct linear transform, and its largest reprojection error."""
+    """x, y, z of each track from its views (track, image, u, v) by direct linear transform, its largest reprojection error and its least and greatest depth."""
     import numpy as np
     import pandas as pd
 
@@ -325,15 +326,16 @@ def triangulated(views: DataFrame, matrices: dict[int, list[list[float]]], key:
         rows = [r for i, u, v in zip(group["image"], group["u"], group["v"], strict=True) for r in (u * p[i][2] - p[i][0], v * p[i][2] - p[i][1])]
         h = _null_vector(rows)
         if len(group) < 2 or abs(h[3]) < 1e-12:
-            return pd.DataFrame(columns=[key, "x", "y", "z", "n_views", "worst"])
+            return pd.DataFrame(columns=[key, "x", "y", "z", "n_views", "worst", "near", "far"])
         x = h[:3] / h[3]
-        errors = []
+        errors, depths = [], []
         for i, u, v in zip(group["image"], group["u"], group["v"], strict=True):
             q = p[i] @ np.append(x, 1)
+            depths.append(q[2])
             errors.append(np.hypot(q[0] / q[2] - u, q[1] / q[2] - v) if q[2] > 1e-9 else np.inf)
-        return pd.DataFrame({key: [group[key].iloc[0]], "x": [x[0]], "y": [x[1]], "z": [x[2]], "n_views": [len(group)], "worst": [max(errors)]})
+        return pd.DataFrame({key: [group[key].iloc[0]], "x": [x[0]], "y": [x[1]], "z": [x[2]], "n_views": [len(group)], "worst": [max(errors)], "near": [min(depths)], "far": [max(depths)]})
 
-    return views.groupBy(key).applyInPandas(solve, f"{key} {dict(views.dtypes)[key]}, x double, y double, z double, n_views int, worst double")
+    return views.groupBy(key).applyInPandas(solve, f"{key} {dict(views.dtypes)[key]}, x double, y double, z double, n_views int, worst double, near double, far double")
 
 
 def promoted_tracks(links: DataFrame, keypoints: DataFrame, matrices: dict[int, list[list[float]]], least_views: int = 3, most_error: float = 6.0) -> DataFrame:
@@ -346,6 +348,13 @@ def promoted_tracks(links: DataFrame, keypoints: DataFrame, matrices: dict[int,
     return triangulated(first.join(enough, "track", "left_semi"), matrices).where(F.col("worst") <= most_error)
 
 
+def track_cloud(matches: DataFrame, keypoints: DataFrame, matrices: dict[int, list[list[float]]], near: float, far: float, least_views: int = 3, most_error: float = 6.0, threshold: float = 2.0, tries: int = 500) -> DataFrame:
+    """The sparse cloud of matched keypoints (pair, a, b, ua, va, ub, vb): matches that no fundamental matrix explains go, the
+    rest are linked to tracks, and tracks with enough views, small errors and depths within bounds become points."""
+    good = materialize(fundamental_inliers(matches, threshold=threshold, tries=tries), "matches")
+    return promoted_tracks(good.select("a", "b"), keypoints, matrices, least_views, most_error).where((F.col("near") >= near) & (F.col("far") <= far))
+
+
 def pose_check(poses: DataFrame, k: list[list[float]], ahead: float = 100.0, aside: float = 25.0) -> DataFrame:
     """index and whether three probe points land where a camera should see them.
 

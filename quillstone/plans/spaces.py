@@ -104,6 +104,25 @@ def q_geometric_filter(spark, sf_dir):
     return G.geometric_filter(seen, _PA, _PB, G.camera_center(_RA, _TA), G.camera_center(_RB, _TB), 2.0, 18.0, 1.0, 7.0).select("id")
 
 
+_SHOTS = {k: G.projection_matrix(_K3, *G.world_to_camera([1, 0, 0], [0, -1, 0], [0, 0, 1], at)) for k, at in enumerate(([5, 3, -10], [7, 3.5, -10], [3.5, 4, -11]))}
+
+
+@query(f"WITH {_PTS} SELECT id, round(x, 3) AS x, round(y, 3) AS y, round(z, 3) AS z, 3 AS n_views FROM pts WHERE z + 11 <= 20")
+def q_track_cloud(spark, sf_dir):
+    """Points seen by three cameras, with a tenth of false matches among false keypoints, found again; what of the false ones agrees by chance has negative ids."""
+    pts = cloud(spark, sf_dir)
+    x, y, z = F.col("x"), F.col("y"), F.col("z")
+    views = [pts.select("id", F.lit(k).alias("image"), *[c.alias(n) for c, n in zip(G.projected(m, x, y, z), "uv", strict=True)]) for k, m in _SHOTS.items()]
+    seen = views[0].unionByName(views[1]).unionByName(views[2])
+    false = seen.where("id % 10 = 0").withColumns({"id": -F.col("id") - 1, "u": F.col("u") + 90, "v": F.col("v") - 70})
+    keypoints = seen.unionByName(false).select((F.col("id") * 10 + F.col("image")).cast("long").alias("node"), "id", "image", "u", "v")
+    side = lambda s: keypoints.select(F.col("id").alias("k"), F.col("node").alias(s), F.col("image").alias(f"i{s}"), F.col("u").alias(f"u{s}"), F.col("v").alias(f"v{s}"))
+    pairs = side("a").join(side("b"), "k").where("ia < ib")
+    matches = pairs.select((F.col("ia") * 3 + F.col("ib")).alias("pair"), "a", "b", "ua", "va", "ub", "vb")
+    found = G.track_cloud(matches, keypoints.select("node", "image", "u", "v"), _SHOTS, 2.0, 20.0)
+    return found.where("track >= 0").select(F.floor(F.col("track") / 10).alias("id"), *[F.round(a, 3).alias(a) for a in "xyz"], "n_views")
+
+
 _PLANES = [(0, 1.0, 0.0, 0.0, -5.0), (1, 0.0, 0.6, 0.8, -4.0), (2, 0.0, 0.0, 1.0, -2.0)]
 
 
