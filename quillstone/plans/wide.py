@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillstone.operators import comments, conversations as C, features
+from quillstone.operators import comments, conversations as C, decisions as D, features, models
 from quillstone.plans import texts
 from quillstone.plans.lexicons import AI_PATTERNS, ANCHORS, FINANCE, HEDGES, INSULTS, STEMS, VALUED
 from quillstone.plans.registry import ORACLE, query, sql_list, table
+from quillstone.sources.shared import materialize
 
 
 def lexicons(spark, sf_dir) -> features.Lexicons:
@@ -92,3 +93,20 @@ def q_conversation_row(spark, sf_dir):
     out = features.conversation_features(texts.messages(spark, sf_dir), lexicons(spark, sf_dir), skip=("curvature", "timing", "cusum", "slope", "stages", "semantic"))
     digits = {"phi_1": 4, "phi_2": 5}
     return out.select("conv_id", *[F.round(c, digits.get(c, 6)).alias(c) for c in out.columns[1:]])
+
+
+@query()
+def q_scored_comments(spark, sf_dir):
+    """From texts to answers: features, two heads fitted on the labels, joint score, verdict, red flags and the JSON response."""
+    docs = texts.documents(spark, sf_dir)
+    skip = {name for name, *_ in features.COMMENT_FEATURES} - {"phrases", "punctuation", "hedges", "affect", "rhetoric"}
+    rows = materialize(features.comment_features(docs, lexicons(spark, sf_dir), skip=skip), "scored-features")
+    known = materialize(rows.join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("ai"), F.col("toxic").alias("rb")), "doc_id"), "scored-labels")
+    ai = models.fit_head(known, ["psi_6", "psi_7", "psi_8"], "ai", "doc_id", n=2, penalties=(1.0,))
+    rb = models.fit_head(known, ["chi_1", "chi_2", "chi_5"], "rb", "doc_id", n=2, penalties=(1.0,))
+    scored = models.joint(rows, ai, rb)
+    answer = scored.select(
+        "doc_id", D.verdict(F.col("p_ai"), F.col("p_ragebait")).alias("verdict"), D.light(F.col("p_ai")).alias("light_ai"), D.light(F.col("p_ragebait")).alias("light_ragebait"),
+        *[F.round(c, 4).alias(c) for c in ("p_ai", "p_ragebait", "p_joint")], D.red_flags(D.COMMENT_FLAGS, rows.columns).alias("flags"),
+    )
+    return answer.select("doc_id", "verdict", F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("response"))
