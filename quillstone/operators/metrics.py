@@ -1,8 +1,7 @@
 """Evaluation metrics, imputation and scaling as relational queries.
 
-Ranks and cumulative counts run over the distinct scores, which are aggregated before
-the one global window; with continuous scores round them first (a bounded grid) so that
-the window stays small.
+Ranks and cumulative counts run over the distinct scores, in ranges of them: a window
+inside each range, and one over the ranges' few totals, so no task holds all scores.
 """
 
 from __future__ import annotations
@@ -16,9 +15,20 @@ def score_table(df: DataFrame, score: str, label: str) -> DataFrame:
     return df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).alias("score")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
 
 
+#: Ranges of scores that are counted apart.
+RANGES = 64
+
+
 def _running(table: DataFrame) -> DataFrame:
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    return table.select("score", "pos", "neg", F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"))
+    """score, pos, neg and their running sums tp and fp from the highest score down."""
+    edges = table.agg(F.percentile_approx("score", [k / RANGES for k in range(1, RANGES)], 1000).alias("_edges"))
+    held = table.join(F.broadcast(edges)).withColumn("_range", F.size(F.filter("_edges", lambda e: e < F.col("score")))).drop("_edges")
+    above = Window.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)  # at most RANGES rows
+    totals = held.groupBy("_range").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    before = totals.select("_range", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"_{c}") for c in "pn"])
+    down = Window.partitionBy("_range").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    inside = held.select("score", "pos", "neg", "_range", F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"))
+    return inside.join(F.broadcast(before), "_range").select("score", "pos", "neg", (F.col("tp") + F.col("_p")).alias("tp"), (F.col("fp") + F.col("_n")).alias("fp"))
 
 
 def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:

@@ -118,12 +118,12 @@ def out_of_fold(df: DataFrame, features: list[str], label: str, key: str, n: int
     return out.select(key, label, "p")
 
 
-def ablation(df: DataFrame, families: dict[str, list[str]], label: str, key: str, penalties=(1.0,)) -> DataFrame:
+def ablation(df: DataFrame, families: dict[str, list[str]], label: str, key: str, penalties=(1.0,), n: int = 5) -> DataFrame:
     """AUC, average precision and calibration error with all features and without each family."""
     spark, every = df.sparkSession, [f for fs in families.values() for f in fs]
     rows = []
     for name, gone in [("all", []), *families.items()]:
-        held = materialize(out_of_fold(df, [f for f in every if f not in gone], label, key, penalties=penalties), "fold")
+        held = materialize(out_of_fold(df, [f for f in every if f not in gone], label, key, n, penalties), "fold")
         rows.append((name, metrics.roc_auc(held, "p", label).first()["auc"], metrics.average_precision(held, "p", label).first()[0], metrics.calibration_error(held, "p", label).first()[0]))
     return spark.createDataFrame(rows, "dropped string, auc double, ap double, ece double")
 

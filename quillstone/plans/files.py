@@ -156,10 +156,10 @@ def q_service(spark, sf_dir):
     """Requests come as files of a stream and are answered batch by batch."""
     requests, out, state = fresh(spark, "requests"), fresh(spark, "answers"), fresh(spark, "state")
     table(spark, sf_dir, "documents").select("doc_id", "text").write.json(requests)
-    stream = scoring.file_stream(spark, requests, "doc_id long, text string", files_each=4)
+    stream = scoring.file_stream(spark, requests, "doc_id long, text string", files_each=4)  # a few files a batch
     answer = lambda df: df.select("doc_id", D.request_status(F.col("text"), F.col("doc_id") % 50 != 0).alias("status"))
-    scoring.serve(stream, answer, out, state).awaitTermination()
-    return spark.read.schema("doc_id long, status int").parquet(f"{out}/*")
+    scoring.serve(stream, answer, out, state, form="json").awaitTermination()
+    return spark.read.schema("doc_id long, status int").json(f"{out}/*")
 
 
 @query(f"WITH {spaces._PTS} SELECT (id % 4)::VARCHAR AS path, count(*) AS n, round(sum(x), 3) AS x, round(sum(y), 3) AS y, round(sum(z), 3) AS z, sum(id % 256)::BIGINT AS r FROM pts GROUP BY 1")

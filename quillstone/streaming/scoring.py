@@ -13,11 +13,11 @@ def file_stream(spark: SparkSession, path: str, schema: str, form: str = "json",
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_each).format(form).load(path)
 
 
-def serve(requests: DataFrame, score: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Score each micro-batch and append it as Parquet; a batch that is run again replaces its own folder."""
+def serve(requests: DataFrame, score: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, once: bool = True, form: str = "parquet") -> StreamingQuery:
+    """Score each micro-batch and write it as Parquet, or as JSON responses with nulls kept; a batch that is run again replaces its own folder."""
 
     def put(batch: DataFrame, number: int) -> None:
-        score(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        score(batch).write.mode("overwrite").format(form).options(**({"ignoreNullFields": "false"} if form == "json" else {})).save(f"{out}/batch={number}")
 
     writer = requests.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="5 seconds")).start()

@@ -353,3 +353,25 @@ def test_features_point_the_right_way(spark):
     for c in ("chi_1", "chi_2", "chi_3", "chi_5", "chi_6", "chi_7", "chi_9"):
         assert means[1][c] > means[0][c], c
     assert means[0]["psi_6"] > means[1]["psi_6"]
+
+
+def test_running_counts_over_very_many_scores(spark):
+    rng = random.Random(1)
+    rows = [(rng.random() if k % 3 else round(rng.random(), 1), int(rng.random() < 0.4)) for k in range(3000)]
+    df = spark.createDataFrame(rows, "p double, y int")
+    pos, neg = [p for p, y in rows if y], [p for p, y in rows if not y]
+    want = sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) / (len(pos) * len(neg))
+    assert abs(M.roc_auc(df, "p", "y").first().auc - want) < 1e-12
+    got = {r.threshold: r.tpr for r in M.curve_points(df, "p", "y").collect()}
+    assert len(got) == len({p for p, _ in rows}) and all(abs(got[t] - sum(p >= t for p in pos) / len(pos)) < 1e-12 for t in list(got)[::97])
+    assert M.roc_auc(df.limit(0), "p", "y").first().auc is None
+
+
+def test_ablation_drops_what_tells(spark):
+    from quillstone.operators import models
+
+    rng = random.Random(3)
+    rows = [(k, k % 2, k % 2 + rng.gauss(0, 0.5), rng.gauss(0, 1)) for k in range(160)]
+    df = spark.createDataFrame(rows, "k int, y int, a double, b double")
+    got = {r.dropped: r.auc for r in models.ablation(df, {"telling": ["a"], "noise": ["b"]}, "y", "k", n=2).collect()}
+    assert got["all"] > 0.85 and got["noise"] > 0.85 and got["telling"] < 0.75
