@@ -22,7 +22,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: the session's checkpoint folder; a new one of our own only where none is set and all runs in one process."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
-        if not spark.sparkContext.master.startswith("local["):
+        if not (spark.sparkContext.master + "[").startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         place = tempfile.mkdtemp(prefix="quillstone-")
         spark.conf.set("spark.checkpoint.dir", place)
