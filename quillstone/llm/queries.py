@@ -67,7 +67,29 @@ _STOP = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
 _SQL_ATTACHMENT = chat.ATTACHMENT.replace("'", "''")
 _SQL_KIND = "CASE " + " ".join(rf"WHEN regexp_matches(f, '^data:(?:{chat.MEDIA[k]})/|\.(?:{e})\)?$') THEN '{k}'" for k, e in chat.ENDINGS.items()) + " WHEN starts_with(f, '![') THEN 'image' ELSE 'document' END"
 _SQL_TOKENS = " ".join(f"WHEN '{k}' THEN {n}" for k, (_, n) in chat.PLACEHOLDERS.items())
+_SECRET_PATTERNS = [(k.pattern.replace("'", "''"), 1 + k.value_group, k.name, k.least) for k in (*secrets.BASE, secrets.BARE)]
+_SECRET_MATCHES = " UNION ALL ".join(
+    f"SELECT rid, {n} AS ord, '{name}' AS kind, {least} AS least, unnest(regexp_extract_all(t, '({p})', 1)) AS found, unnest(regexp_extract_all(t, '({p})', {g})) AS value, "
+    f"unnest(list_transform(string_split_regex(t, '{p}')[:-2], lambda x: length(x))) AS gap, unnest(range(len(regexp_extract_all(t, '{p}')))) AS i FROM d WHERE regexp_matches(t, '{p}')"
+    for n, (p, g, name, least) in enumerate(_SECRET_PATTERNS)
+)
 ORACLE = {
+    "op3_secret_ownership": rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, coalesce(source, '') AS owner FROM documents),
+m AS ({_SECRET_MATCHES}),
+p AS (SELECT *, sum(gap + length(found)) OVER (PARTITION BY rid, ord ORDER BY i) AS e FROM m),
+q AS (SELECT rid, ord, kind, value, e - length(found) AS s, e FROM p WHERE length(value) >= least),
+v AS (SELECT DISTINCT rid, value, e - length(value) AS s, e, regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]') AND len(list_distinct(string_split(value, ''))) >= {secrets.LEAST_DISTINCT}
+        AND len(list_filter(range(1, length(value) - 2), lambda k: value[k] = value[k + 1] AND value[k] = value[k + 2] AND value[k] = value[k + 3])) = 0
+        AND NOT regexp_matches(lower(value), 'example|sample|dummy|changeme|placeholder|your') AS live FROM q),
+o AS (SELECT value, count(*) AS repos, count(DISTINCT owner) AS owners FROM (SELECT value, t, min(owner) AS owner FROM v JOIN d USING (rid) GROUP BY value, t) GROUP BY value),
+j AS (SELECT v.*, repos, owners > {secrets.MOST_OWNERS} OR repos > {secrets.MOST_REPOSITORIES} AS example FROM v JOIN o USING (value)),
+b AS (SELECT rid, count(*) FILTER (WHERE ord = 0) AS n0, count(*) FILTER (WHERE ord = 1) AS n1, count(*) FILTER (WHERE ord = 2) AS n2, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, ord) AS base FROM q WHERE ord < 3 GROUP BY rid),
+w AS (SELECT rid, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, ord) AS spans FROM (SELECT rid, ord, kind, s, e FROM q WHERE ord < 3 UNION ALL SELECT DISTINCT rid, 3, 'owned', s, e FROM j WHERE live AND NOT example) GROUP BY rid),
+a AS (SELECT rid, count(*) FILTER (WHERE live AND NOT example) AS n_owned, count(*) FILTER (WHERE example) AS n_copied, max(repos) AS most FROM j GROUP BY rid)
+SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+       coalesce(n_owned, 0) AS n_owned, coalesce(n_copied, 0) AS n_copied, coalesce(most, 0)::BIGINT AS most_repositories
+FROM d LEFT JOIN b USING (rid) LEFT JOIN w USING (rid) LEFT JOIN a USING (rid)""",
     "op4_near_dup_bayes": r"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
