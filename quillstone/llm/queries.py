@@ -102,6 +102,14 @@ r(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, u.y FROM r JOIN u ON
 m AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept
 FROM d JOIN m ON m.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""",
+    "op5_decontaminate_spaced_seeds": r"""
+WITH d AS (SELECT DISTINCT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+i AS (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
+dw AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS p FROM d), iw AS (SELECT item_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS q FROM i),
+g AS (SELECT doc_id, item_id, p - q AS shift, any_value(n) AS n, least(20, any_value(n)) AS size, list(q) AS qs, count(*) AS total FROM dw JOIN iw USING (word) GROUP BY 1, 2, 3 HAVING 100 * count(*) >= 80 * least(20, any_value(n))),
+s AS (SELECT *, list_max(list_transform(range(0, n - size + 1), lambda k: len(list_filter(qs, lambda q: q >= k AND q < k + size)))) AS best FROM g),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY total DESC, best DESC, shift) AS rn FROM s WHERE 100 * best >= 80 * size)
+SELECT doc_id, item_id, best::BIGINT AS n_matched, size::BIGINT AS n_compared, total AS n_matched_item, shift::BIGINT AS first_word FROM r WHERE rn = 1""",
     "op6_quality_rules": rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT rid, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
