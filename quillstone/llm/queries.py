@@ -73,7 +73,25 @@ _SECRET_MATCHES = " UNION ALL ".join(
     f"unnest(list_transform(string_split_regex(t, '{p}')[:-2], lambda x: length(x))) AS gap, unnest(range(len(regexp_extract_all(t, '{p}')))) AS i FROM d WHERE regexp_matches(t, '{p}')"
     for n, (p, g, name, least) in enumerate(_SECRET_PATTERNS)
 )
+#: The base patterns of personal data, and what a match must fulfil.
+_DIGITS = "regexp_replace(found, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(string_split(reverse({_DIGITS}), ''), lambda c, k: CASE WHEN k % 2 = 1 THEN c::INT WHEN c::INT > 4 THEN 2 * c::INT - 9 ELSE 2 * c::INT END)) % 10 = 0"
+_PRIVATE = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"), ("ip", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "len(list_filter(string_split(found, '.'), lambda x: length(ltrim(x, '0')) > 3 OR try_cast(x AS HUGEINT) > 255)) = 0"),
+    ("card", r"[0-9](?:[\x20-]?[0-9])+", f"length({_DIGITS}) BETWEEN 12 AND 19 AND {_LUHN}"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 9 AND 15"),
+)
+_PRIVATE_MATCHES = " UNION ALL ".join(
+    f"SELECT rid, {n} AS ord, '{name}' AS kind, unnest(regexp_extract_all(t, '{p}')) AS found, unnest(list_transform(string_split_regex(t, '{p}')[:-2], lambda x: length(x))) AS gap, unnest(range(len(regexp_extract_all(t, '{p}')))) AS i FROM d WHERE regexp_matches(t, '{p}')"
+    for n, (name, p, _) in enumerate(_PRIVATE)
+)
+_PRIVATE_OK = "CASE ord " + " ".join(f"WHEN {n} THEN {ok}" for n, (_, _, ok) in enumerate(_PRIVATE)) + " END"
 ORACLE = {
+    # the given tables hold nothing that the field adds to the base spans
+    "op1_pii_skip_chain": rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents), m AS ({_PRIVATE_MATCHES}),
+p AS (SELECT *, sum(gap + length(found)) OVER (PARTITION BY rid, ord ORDER BY i) AS e FROM m), q AS (SELECT rid, ord, kind, e - length(found) AS s, e FROM p WHERE {_PRIVATE_OK}),
+b AS (SELECT rid, count(*) AS n, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, ord) AS spans, {", ".join(f"count(*) FILTER (WHERE ord = {n}) AS n_{name}" for n, (name, _, _) in enumerate(_PRIVATE))} FROM q GROUP BY rid)
+SELECT doc_id, {", ".join(f"coalesce(n_{name}, 0) AS n_{name}" for name, _, _ in _PRIVATE)}, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n, 0) AS n_spans FROM d LEFT JOIN b USING (rid)""",
     "op3_secret_ownership": rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, coalesce(source, '') AS owner FROM documents),
 m AS ({_SECRET_MATCHES}),
