@@ -92,6 +92,22 @@ WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t F
 p AS (SELECT *, sum(gap + length(found)) OVER (PARTITION BY rid, ord ORDER BY i) AS e FROM m), q AS (SELECT rid, ord, kind, e - length(found) AS s, e FROM p WHERE {_PRIVATE_OK}),
 b AS (SELECT rid, count(*) AS n, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, ord) AS spans, {", ".join(f"count(*) FILTER (WHERE ord = {n}) AS n_{name}" for n, (name, _, _) in enumerate(_PRIVATE))} FROM q GROUP BY rid)
 SELECT doc_id, {", ".join(f"coalesce(n_{name}, 0) AS n_{name}" for name, _, _ in _PRIVATE)}, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n, 0) AS n_spans FROM d LEFT JOIN b USING (rid)""",
+    "op2_suffix_dedup": r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, encode(coalesce(text, '')) AS b, strlen(coalesce(text, '')) AS n FROM documents),
+w AS (SELECT rid, i, hash(b[i + 1:i + 400]) AS h FROM (SELECT rid, b, unnest(range(n - 399)) AS i FROM d WHERE n >= 400)),
+c AS (SELECT rid, i AS lo, i + 400 AS hi FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
+k AS (SELECT rid, lo, hi, coalesce(lo > max(hi) OVER (PARTITION BY rid ORDER BY lo ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true)::INT AS new FROM c),
+r AS (SELECT rid, g, min(lo) AS lo, max(hi) AS hi FROM (SELECT *, sum(new) OVER (PARTITION BY rid ORDER BY lo) AS g FROM k) GROUP BY rid, g),
+s AS (SELECT rid, lo, hi, coalesce(lag(hi) OVER (PARTITION BY rid ORDER BY lo), 0) AS before FROM r),
+a AS (SELECT rid, sum(hi - lo) AS n_removed, count(*) AS n_spans, string_agg(hex(b[before + 1:lo]), '' ORDER BY lo) AS head, max(hi) AS last FROM s JOIN d USING (rid) GROUP BY rid),
+p AS (SELECT rid, k, strlen(word) AS len, sum(strlen(gap) + strlen(word)) OVER (PARTITION BY rid ORDER BY k) AS e FROM (SELECT rid, unnest(x) AS word, unnest(y[:-2]) AS gap, generate_subscripts(x, 1) AS k FROM
+      (SELECT rid, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS x, string_split_regex(t, '[^\x20\x09-\x0D]+') AS y FROM d))),
+q AS (SELECT rid, e - len AS lo, lead(e, 49) OVER (PARTITION BY rid ORDER BY k) AS hi FROM p),
+v AS (SELECT rid, lo, hi, hash(b[lo + 1:hi]) AS h FROM q JOIN d USING (rid) WHERE hi IS NOT NULL),
+f AS (SELECT rid, lo, hi, max(hi) OVER (PARTITION BY rid ORDER BY lo ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM v WHERE h IN (SELECT h FROM v GROUP BY h HAVING count(*) > 1)),
+z AS (SELECT rid, sum(hi - greatest(lo, coalesce(reach, 0))) AS n_passage_bytes FROM f GROUP BY rid)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(CASE WHEN head IS NULL THEN b ELSE unhex(head || hex(b[last + 1:n])) END) AS kept_sha256, coalesce(n_passage_bytes, 0)::BIGINT AS n_passage_bytes
+FROM d LEFT JOIN a USING (rid) LEFT JOIN z USING (rid)""",
     "op3_secret_ownership": rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, coalesce(source, '') AS owner FROM documents),
 m AS ({_SECRET_MATCHES}),
