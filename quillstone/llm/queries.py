@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import chat, decontaminate, html_text, mixing, near_dup, pii, quality, secrets, sharding, suffix_dedup
+from quillstone.llm import chat, decontaminate, html_text, merkle, mixing, near_dup, pii, quality, secrets, sharding, suffix_dedup
 from quillstone.llm.common import table
 
 
@@ -61,7 +63,20 @@ def op10_sharding_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_skip_chain, op2_suffix_dedup, op3_secret_ownership, op4_near_dup_bayes, op5_decontaminate_spaced_seeds, op6_quality_rules, op7_mixing_ipf, op8_chat_parts, op9_html_tree_scoring, op10_sharding_ring)}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, columns = table(spark, sf_dir, "documents"), ("doc_id", "source", "lang", "n_chars", "text")
+    lower = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    changed = merkle.digest_of([lower if c == "text" else F.col(c) for c in columns])
+    altered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, changed)
+    out = merkle.manifest(docs, columns, "lang", "doc_id", altered)
+    out = out.withColumn("folded_root", merkle.folded(F.coalesce("altered", "leaf")))
+    return out.select(
+        "doc_id", "leaf", "subroot", "root", merkle.siblings_digest().alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_pii_skip_chain, op2_suffix_dedup, op3_secret_ownership, op4_near_dup_bayes, op5_decontaminate_spaced_seeds, op6_quality_rules, op7_mixing_ipf, op8_chat_parts, op9_html_tree_scoring, op10_sharding_ring, op11_merkle_manifest)}
 
 _STOP = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
 _SQL_ATTACHMENT = chat.ATTACHMENT.replace("'", "''")
@@ -85,6 +100,36 @@ _PRIVATE_MATCHES = " UNION ALL ".join(
     for n, (name, p, _) in enumerate(_PRIVATE)
 )
 _PRIVATE_OK = "CASE ord " + " ".join(f"WHEN {n} THEN {ok}" for n, (_, _, ok) in enumerate(_PRIVATE)) + " END"
+
+
+def _merkle_sql(levels: int = 8, upper: int = 3) -> str:
+    """The trees of up to 8 ** levels rows of a language and 8 ** upper languages."""
+    told = lambda text: " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", text))
+    lower = f"translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+    crc = "xor(4294967295, list_reduce([4294967295] || list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT), lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))))"
+    out = [
+        f"WITH d AS (SELECT doc_id, lang, sha256({told('text')}) AS leaf, CASE WHEN {crc} % 3 = 0 THEN sha256({told(lower)}) END AS altered FROM documents)",
+        "a0 AS (SELECT *, coalesce(altered, leaf) AS fold, '' AS proof, coalesce('=' || lang, '') AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM d)",
+        "na0 AS (SELECT tree, place, leaf AS h, count(*) OVER (PARTITION BY tree) AS c FROM a0)",
+    ]
+    for x, n in (("a", levels), ("b", upper)):
+        if x == "b":
+            out += [
+                f"s AS (SELECT tree, h AS subroot, row_number() OVER (ORDER BY tree) - 1 AS place FROM na{levels})",
+                "nb0 AS (SELECT '' AS tree, place, subroot AS h, count(*) OVER () AS c FROM s)",
+                f"b0 AS (SELECT a.doc_id, a.leaf, a.fold, a.proof, s.subroot, '' AS tree, s.place FROM a{levels} a JOIN s USING (tree))",
+            ]
+        for k in range(n):
+            side = lambda rows: f"coalesce(string_agg(h, '') OVER (PARTITION BY tree, place // 8 ORDER BY place ROWS BETWEEN {rows}), '')"
+            out += [
+                f"r{x}{k} AS (SELECT tree, place, c, {side('UNBOUNDED PRECEDING AND 1 PRECEDING')} AS l, {side('1 FOLLOWING AND UNBOUNDED FOLLOWING')} AS r FROM n{x}{k})",
+                f"{x}{k + 1} AS (SELECT f.* REPLACE (CASE WHEN c = 1 THEN fold ELSE sha256(l || fold || r) END AS fold, CASE WHEN c = 1 THEN proof ELSE proof || l || r END AS proof, f.place // 8 AS place) FROM {x}{k} f JOIN r{x}{k} r ON r.tree = f.tree AND r.place = f.place)",
+                f"n{x}{k + 1} AS (SELECT tree, place // 8 AS place, CASE WHEN any_value(c) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY place)) END AS h, (any_value(c) + 7) // 8 AS c FROM n{x}{k} GROUP BY tree, place // 8)",
+            ]
+    last = f"SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = h AS verified FROM b{upper} JOIN nb{upper} USING (tree)"
+    return ",\n".join(out) + "\n" + last
+
+
 ORACLE = {
     # the given tables hold nothing that the field adds to the base spans
     "op1_pii_skip_chain": rf"""
@@ -186,4 +231,5 @@ WITH a AS (SELECT page_id, url, string_split_regex(replace(regexp_extract(coales
 b AS (SELECT page_id, url, list_transform(parts, lambda x: trim(regexp_replace(regexp_replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&quot;', '"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS blocks FROM a),
 c AS (SELECT page_id, url, array_to_string(list_filter(blocks, lambda x: x <> ''), chr(10) || chr(10)) AS text FROM b)
 SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM c""",
+    "op11_merkle_manifest": _merkle_sql(),
 }
