@@ -7,7 +7,7 @@ import string
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import chat, decontaminate, html_text, merkle, mixing, near_dup, pii, quality, secrets, sharding, suffix_dedup
+from quillstone.llm import chat, decontaminate, filter_audit, html_text, merkle, mixing, near_dup, pii, quality, secrets, sharding, substring, suffix_dedup
 from quillstone.llm.common import table
 
 
@@ -76,7 +76,15 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_skip_chain, op2_suffix_dedup, op3_secret_ownership, op4_near_dup_bayes, op5_decontaminate_spaced_seeds, op6_quality_rules, op7_mixing_ipf, op8_chat_parts, op9_html_tree_scoring, op10_sharding_ring, op11_merkle_manifest)}
+def op12_substring_rlz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.deduplicate(table(spark, sf_dir, "documents")).drop("removed")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii_skip_chain, op2_suffix_dedup, op3_secret_ownership, op4_near_dup_bayes, op5_decontaminate_spaced_seeds, op6_quality_rules, op7_mixing_ipf, op8_chat_parts, op9_html_tree_scoring, op10_sharding_ring, op11_merkle_manifest, op12_substring_rlz, op13_filter_audit)}
 
 _STOP = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
 _SQL_ATTACHMENT = chat.ATTACHMENT.replace("'", "''")
@@ -232,4 +240,30 @@ b AS (SELECT page_id, url, list_transform(parts, lambda x: trim(regexp_replace(r
 c AS (SELECT page_id, url, array_to_string(list_filter(blocks, lambda x: x <> ''), chr(10) || chr(10)) AS text FROM b)
 SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM c""",
     "op11_merkle_manifest": _merkle_sql(),
+    "op12_substring_rlz": r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT rid, doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+v AS (SELECT rid, doc_id, i, array_to_string(w[i:i + 19], ' ') AS g FROM (SELECT rid, doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d)),
+f AS (SELECT rid, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) > 1 AS again FROM v),
+k AS (SELECT rid, i, word, coalesce(max(again::INT) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 0) = 1 AS gone FROM p LEFT JOIN f USING (rid, i)),
+r AS (SELECT rid, i, gone, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY rid ORDER BY i), false) AS begins, word FROM k),
+a AS (SELECT rid, count(*) AS n, count(*) FILTER (WHERE gone) AS removed, count(*) FILTER (WHERE begins) AS n_spans, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM r GROUP BY rid)
+SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN a USING (rid)""",
+    "op13_filter_audit": r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY t) AS first FROM d),
+m AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+v AS (SELECT part, (CASE WHEN len(ws) < 100 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(ws)) < 80 * len(ws) THEN 'B' ELSE '' END)
+        || (CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 'C' ELSE '' END) || (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END)
+        || (CASE WHEN doc_id > first THEN 'E' ELSE '' END) AS fails, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic FROM w LEFT JOIN m USING (doc_id)),
+c AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM v GROUP BY part, fails),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, k::INT AS step, substr(filter_order, k, 1) AS filter, substr(filter_order, 1, k - 1) AS before FROM o, range(1, 6) r(k)),
+j AS (SELECT *, contains(fails, filter) AS hit, translate(fails, before, '') = fails AS alive FROM c, s),
+r AS (SELECT part, filter_order, step, filter, coalesce(sum(n) FILTER (WHERE alive AND NOT hit), 0) AS kept, coalesce(sum(n) FILTER (WHERE alive AND hit), 0) AS removed,
+        coalesce(sum(n) FILTER (WHERE hit AND NOT alive), 0) AS redundant, coalesce(sum(n) FILTER (WHERE fails = filter), 0) AS unique_fails,
+        coalesce(sum(good) FILTER (WHERE alive AND hit), 0) AS good_lost, coalesce(sum(toxic) FILTER (WHERE alive AND hit), 0) AS toxic_lost FROM j GROUP BY ALL)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+       good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley FROM r""",
 }
