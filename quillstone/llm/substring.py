@@ -22,9 +22,10 @@ in a row with a smaller doc_id, or before it in the same text.
 A gram with more than MOST_BLOCKS different blocks is not parsed in one task: its windows
 are compared by hash over the whole cluster, which finds the same spans.
 
-How it runs.  One Arrow map finds the blocks (some 20 bytes for every 50 of text), which are
-written once and shuffled by gram twice; map-side counts come first, and both sides of the
-joins are plain tables, so Spark may split a hot gram.  The texts are shuffled once, by
+How it runs.  An Arrow map finds the blocks (some 30 bytes for every 50 of text).  It runs
+twice, which costs less than to write them: for the grams that repeat, which are counted
+map-side first, and for the blocks that have one of these.  Spark may split a hot gram in the
+joins.  The texts are shuffled once, by
 document, for the edges and for the result.  Hashes have 64 bits, so two different windows
 are taken for equal with probability n ** 2 / 2 ** 65 for n of them.
 
@@ -209,6 +210,9 @@ def _parsed(edges: DataFrame) -> DataFrame:
     key = ["gram", "doc_id", "text_hash", "place"]
 
     def resolve(rows: pa.Table) -> pa.RecordBatch:
+        # a document that stands in several rows is one
+        own = [(rows.column(c).fill_null(-(1 << 63)) if c == "doc_id" else rows.column(c)).to_numpy() for c in key]
+        rows = rows.filter(pa.array(np.concatenate(([True], np.any([x[1:] != x[:-1] for x in own], axis=0)))))
         words, before, after, gram, place = _as_arrays(rows)
         row, first, last = factors(words, before, after, gram)
         at, lo = pa.array(row), place[row] - BEFORE
@@ -233,9 +237,7 @@ def _parsed(edges: DataFrame) -> DataFrame:
         if held:
             yield resolve(pa.Table.from_batches(held))
 
-    # a document that stands in several rows is one
-    distinct = edges.dropDuplicates(key)
-    return distinct.repartition("gram").sortWithinPartitions(*key).mapInArrow(run, SPAN)
+    return edges.repartition("gram").sortWithinPartitions(*key).mapInArrow(run, SPAN)
 
 
 def _compared(edges: DataFrame) -> DataFrame:
@@ -261,7 +263,7 @@ def _compared(edges: DataFrame) -> DataFrame:
 def spans(docs: DataFrame, most_blocks: int = MOST_BLOCKS) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text_hash, text) and the duplicate spans (doc_id, text_hash, lo, hi), in words."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("text_hash"), "text")
-    every = materialize(found_blocks(texts), "rlz-blocks")
+    every = found_blocks(texts)
     grams = materialize(every.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "rlz-grams")
     again = materialize(every.join(grams, "gram"), "rlz-again")
     own = F.struct(*OWN)
