@@ -148,20 +148,23 @@ def information(text: Column) -> Column:
     return F.when(t > 0, (names + count(text, NUMERAL) + count(text, QUOTED)) / t)
 
 
+#: Fixed values, in this order: what the neutral form leaves out.
+NEUTRALIZED = (
+    r"\bhow (is|can|could|on earth|in the world) [^.!?]+\?",
+    r"\bwhy (is|on earth|in the world|would anyone) [^.!?]+\?",
+    r"\bmake it make sense\.?",
+    r"\byou can'?t make this (up|stuff up)\.?",
+    r"\bseriously\?+",
+    r"\breally\?+",
+    r"\bwake up,? (people|sheeple|everyone)\b",
+    r"\bthese (clowns|idiots|morons|fools)\b",
+    r"\b(omg|wtf|smh)\b",
+)
+
+
 def neutral(text: Column, strong_words: list[str]) -> Column:
     """The text without rhetorical questions, set phrases, hyperboles and strongly affective words; capitals lowered."""
-    #: Fixed values, in this order.
-    for p in (
-        r"\bhow (is|can|could|on earth|in the world) [^.!?]+\?",
-        r"\bwhy (is|on earth|in the world|would anyone) [^.!?]+\?",
-        r"\bmake it make sense\.?",
-        r"\byou can'?t make this (up|stuff up)\.?",
-        r"\bseriously\?+",
-        r"\breally\?+",
-        r"\bwake up,? (people|sheeple|everyone)\b",
-        r"\bthese (clowns|idiots|morons|fools)\b",
-        r"\b(omg|wtf|smh)\b",
-    ):
+    for p in NEUTRALIZED:
         text = F.regexp_replace(text, bounded(f"(?i){p}"), "")
     # pieces between capital runs alternate with the runs, which are lowered
     pieces = F.split(F.regexp_replace(text, bounded(f"({CAPS_RUN})"), "\u0001$1\u0001"), "\u0001")

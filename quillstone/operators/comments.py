@@ -29,6 +29,16 @@ def token_table(df: DataFrame, id_column: str = "doc_id", text: str = "text") ->
     return df.select(F.col(id_column), F.posexplode(T.tokens(F.col(text))).alias("pos", "token"))
 
 
+def pair_table(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """The same with the token before (prev) and the one before that (prev2), empty where there is none.
+
+    They are taken inside each text's array, so no window over the tokens is needed.
+    """
+    at = lambda w, i: F.when(i >= 0, F.get(w, i)).otherwise("")
+    told = numeric.let(T.tokens(F.col(text)), lambda w: F.transform(w, lambda t, i: F.struct(t.alias("token"), at(w, i - 1).alias("prev"), at(w, i - 2).alias("prev2"))))
+    return df.select(F.col(id_column), F.posexplode(told).alias("pos", "t")).select(id_column, "pos", "t.*")
+
+
 def affect(tokens: DataFrame, lexicon: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """Token count, lexicon hits, mean valence and arousal and the share of strongly negative tokens.
 
@@ -109,12 +119,21 @@ def affect_to_information(df: DataFrame, stats: DataFrame, id_column: str = "doc
     return parts.join(stats, id_column).select(id_column, F.ln((a + edge) / (F.col("information") + edge)).alias("affect_ratio"))
 
 
-def hashed_embedding(text: Column, width: int = 64) -> Column:
-    """Offline substitute for a sentence model: signed hashing of tokens, unit length.  Not equivalent to any neural model."""
-    signed = F.transform(T.tokens(text), lambda w: F.struct(F.pmod(F.xxhash64(w), F.lit(width)).alias("k"), F.when(F.pmod(F.xxhash64(w, F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("s")))
-    places = F.sequence(F.lit(0), F.lit(width - 1))
-    counts = numeric.let(signed, lambda found: F.transform(places, lambda k: F.aggregate(found, F.lit(0.0), lambda a, x: a + F.when(x["k"] == k, x["s"]).otherwise(0.0))))
-    return numeric.normalized(counts)
+#: The 64 digits of base 64, in order: the places of a hashed vector.
+PLACES = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+
+
+def hashed_embedding(text: Column) -> Column:
+    """Offline substitute for a sentence model: signed hashing of tokens to 64 places, unit length.  Not equivalent to any neural model.
+
+    A token's place is the first base-64 digit of its MD5 hash, its sign is by the last
+    hexadecimal digit.  The digits of all tokens are joined to one string for each sign, in
+    which each place is counted by one pass, so no loop over tokens runs for each place.
+    """
+    digits = lambda w, low: F.array_join(F.transform(F.filter(w, lambda t: (F.right(F.md5(t), F.lit(1)) < "8") == low), lambda t: F.left(F.base64(F.unhex(F.md5(t))), F.lit(1))), "")
+    count = lambda s, c: F.length(s) - F.length(F.replace(s, F.lit(c), F.lit("")))
+    both = numeric.let(T.tokens(text), lambda w: F.struct(digits(w, True).alias("p"), digits(w, False).alias("m")))
+    return numeric.normalized(numeric.let(both, lambda s: F.array(*[(count(s["p"], c) - count(s["m"], c)).cast("double") for c in PLACES])))
 
 
 def neutralization_gap(df: DataFrame, strong_words: list[str], embed=hashed_embedding, id_column: str = "doc_id", text: str = "text") -> DataFrame:

@@ -1,14 +1,23 @@
 """The feature registries: 18 comment features and 19 conversation features in one wide row each.
 
 An extractor is a function of the prepared stages that gives a DataFrame with the id and
-its columns.  Callers may skip extractors; what is skipped is not planned at all.  An
-extractor that cannot be planned leaves its own columns null and no others.
+its columns.  Callers may skip extractors; what is skipped is not planned at all.  Callers
+may put their own in place of one.
+
+Failures stay where they happen.  An extractor that cannot be planned leaves its own columns
+null and no others.  Python code (python_feature, back ends of backends.py) that fails on a
+row leaves its own columns null in that row and no others; the failures are counted.  The
+built-in expressions divide and look up only where they may, and values that are no finite
+numbers become null.
+
+Baselines and the language model are fitted on the texts that are scored, unless they come
+fitted on others (fit_baselines).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterable, Mapping
+from dataclasses import dataclass, field, replace
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
@@ -16,6 +25,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import numeric, text as T
 from quillstone.operators import comments, conversations as C, likelihood as L
+from quillstone.operators.backends import Fence, Likelihood
 from quillstone.sources.shared import materialize
 
 
@@ -36,6 +46,10 @@ class Lexicons:
     stage_models: tuple[C.StageModel, C.StageModel] | None = None
     vocabulary: int = 5000
     embed: Callable = field(default=comments.hashed_embedding)
+    #: Fitted elsewhere, or none: then they are fitted on the texts at hand.
+    likelihood: Likelihood | None = None
+    length_baseline: DataFrame | None = None
+    punctuation_baseline: DataFrame | None = None
 
 
 #: A text has a perplexity from two tokens on.
@@ -54,13 +68,15 @@ class Stages:
         return self._made[name]
 
     def tokens(self) -> DataFrame:
-        return self.once("tokens", lambda: comments.token_table(self.df, self.key))
+        return self.once("tokens", lambda: comments.pair_table(self.df, self.key))
 
-    def model(self) -> DataFrame:
-        return self.once("bigrams", lambda: L.fit_bigrams(self.tokens(), self.key))
+    def likelihood(self) -> Likelihood:
+        if self.lex.likelihood is None:
+            self.lex = replace(self.lex, likelihood=L.Bigrams.fit(self.tokens(), self.key, self.lex.vocabulary))
+        return self.lex.likelihood
 
     def scored(self) -> DataFrame:
-        return self.once("scored", lambda: L.score(self.tokens(), self.model(), self.lex.vocabulary, id_column=self.key))
+        return self.once("scored", lambda: self.likelihood().score(self.tokens(), self.key))
 
     def affect(self) -> DataFrame:
         return self.once("affect", lambda: comments.affect(self.tokens(), self.lex.valued, self.key))
@@ -68,28 +84,33 @@ class Stages:
     def sentence_perplexity(self) -> DataFrame:
         """ln perplexity of each sentence of more than three characters."""
         parts = self.df.select(self.key, F.posexplode(T.sentences(F.col("text"), "over_three")).alias("s", "text")).withColumn("part", F.struct(self.key, "s"))
-        scored = L.score(comments.token_table(parts, "part"), self.model(), self.lex.vocabulary, id_column="part")
+        scored = self.likelihood().score(comments.pair_table(parts, "part"), "part")
         return L.perplexity(scored, "part").where(LEAST_SCORED).select(F.col(f"part.{self.key}").alias(self.key), F.ln("perplexity").alias("x"))
 
 
 def _psi_1(s: Stages) -> DataFrame:
     pp = L.perplexity(s.scored(), s.key).where(LEAST_SCORED)
-    near = L.nearest_bucket(pp, L.length_baseline(pp).withColumn("ord", F.col("center")))
+    baseline = L.length_baseline(pp) if s.lex.length_baseline is None else s.lex.length_baseline
+    near = L.nearest_bucket(pp, baseline.withColumn("ord", F.col("center")))
     return near.select(s.key, L.normalized_perplexity(F.col("perplexity"), F.col("mu"), F.col("sigma")).alias("psi_1"))
 
 
 def _curvatures(s: Stages, copies: int) -> DataFrame:
     """Of texts of five words and more; copies: perturbations of each."""
     held = s.df.where(T.n_words(F.col("text")) >= 5).select(s.key)
-    parts = L.perturbed(s.tokens().join(held, s.key), s.model(), copies, id_column=s.key).withColumn("part", F.struct(s.key, "copy"))
-    sums = L.score(parts, s.model(), s.lex.vocabulary, id_column="part").groupBy("part").agg(F.sum("log_p").alias("log_p"))
-    return L.curvature(sums.select(F.col(f"part.{s.key}").alias(s.key), "part.copy", "log_p"), s.key)
+    return L.curvature(s.likelihood().copy_scores(s.tokens().join(held, s.key), s.key, copies), s.key)
 
 
 def _psi_3(s: Stages) -> DataFrame:
     return _curvatures(s, 20).withColumnRenamed("curvature", "psi_3")
 
 
+def _psi_7(s: Stages) -> DataFrame:
+    rates = comments.punctuation_wide(s.df, s.key)
+    baseline = comments.punctuation_baseline(rates) if s.lex.punctuation_baseline is None else s.lex.punctuation_baseline
+    return comments.punctuation_regularity(rates, baseline, s.key).withColumnRenamed("regularity", "psi_7")
+
+
 def _row(name: str, value: Callable[[Stages], object]) -> Callable[[Stages], DataFrame]:
     return lambda s: s.df.select(s.key, value(s).alias(name))
 
@@ -114,7 +135,7 @@ COMMENT_FEATURES: tuple[tuple[str, tuple[str, ...], Callable[[Stages], DataFrame
     ("curvature", ("psi_3",), _psi_3),
     ("ranks", ("psi_4", "psi_5"), lambda s: L.rank_shares(s.scored(), s.key).withColumnsRenamed({"top10_share": "psi_4", "top100_share": "psi_5"})),
     ("phrases", ("psi_6",), _row("psi_6", lambda s: comments.fingerprint(F.col("text"), s.lex.ai_patterns))),
-    ("punctuation", ("psi_7",), lambda s: (lambda r: comments.punctuation_regularity(r, comments.punctuation_baseline(r), s.key))(comments.punctuation_wide(s.df, s.key)).withColumnRenamed("regularity", "psi_7")),
+    ("punctuation", ("psi_7",), _psi_7),
     ("hedges", ("psi_8",), _row("psi_8", lambda s: comments.hedging(F.col("text"), s.lex.hedges))),
     ("affect", ("chi_1", "chi_2"), lambda s: s.affect().select(s.key, comments.arousal_intensity(s.affect()).alias("chi_1"), F.col("negative_share").alias("chi_2"))),
     ("moral", ("chi_3",), lambda s: comments.prefix_share(s.tokens(), s.lex.stems, s.key).withColumnRenamed("prefix_share", "chi_3")),
@@ -127,13 +148,27 @@ COMMENT_FEATURES: tuple[tuple[str, tuple[str, ...], Callable[[Stages], DataFrame
 )
 
 
-def _wide(base: DataFrame, key: str, registry, stages: Stages, skip: Iterable[str]) -> DataFrame:
+def python_feature(fence: Fence) -> Callable[[Stages], DataFrame]:
+    """An extractor in Python: the fence's function gets (text,) tuples."""
+    return lambda s: fence.apply(s.df, s.key, ["text"])
+
+
+def fit_baselines(training: DataFrame, lex: Lexicons, key: str = "doc_id") -> Lexicons:
+    """lex with the language model and both baselines fitted on these texts, for scoring others."""
+    s = Stages(training, key, lex)
+    lex = replace(lex, likelihood=s.likelihood())
+    pp = L.perplexity(s.scored(), key).where(LEAST_SCORED)
+    rates = comments.punctuation_wide(training, key)
+    return replace(lex, length_baseline=materialize(L.length_baseline(pp), "length-baseline"), punctuation_baseline=materialize(comments.punctuation_baseline(rates), "punctuation-baseline"))
+
+
+def _wide(base: DataFrame, key: str, registry, stages: Stages, skip: Iterable[str], instead: Mapping[str, Callable[[Stages], DataFrame]]) -> DataFrame:
     out, skip = base.select(key), set(skip)
     for name, columns, extract in registry:
         if name in skip:
             continue
         try:
-            part = extract(stages)
+            part = instead.get(name, extract)(stages)
         except (PySparkException, AttributeError, ValueError, TypeError):  # this extractor's columns only
             out = out.withColumns({c: F.lit(None).cast("double") for c in columns})
             continue
@@ -141,9 +176,9 @@ def _wide(base: DataFrame, key: str, registry, stages: Stages, skip: Iterable[st
     return out
 
 
-def comment_features(df: DataFrame, lex: Lexicons, key: str = "doc_id", skip: Iterable[str] = ()) -> DataFrame:
-    """id and the 18 features of each text; null where a guard holds."""
-    return _wide(df, key, COMMENT_FEATURES, Stages(df, key, lex), skip)
+def comment_features(df: DataFrame, lex: Lexicons, key: str = "doc_id", skip: Iterable[str] = (), instead: Mapping[str, Callable[[Stages], DataFrame]] | None = None) -> DataFrame:
+    """id and the 18 features of each text; null where a guard holds.  instead: extractors of the caller's by name."""
+    return _wide(df, key, COMMENT_FEATURES, Stages(df, key, lex), skip, instead or {})
 
 
 def _own(s: Stages) -> DataFrame:
@@ -191,8 +226,7 @@ def _message_burstiness(s: Stages) -> DataFrame:
 def _message_curvature(s: Stages) -> DataFrame:
     """Mean curvature of the own messages of 20 words and more."""
     m = _message_stages(s)
-    held = Stages(m.df.where(T.n_words(F.col("text")) >= 20), "part", s.lex)
-    held._made.update({"bigrams": m.model()})
+    held = Stages(m.df.where(T.n_words(F.col("text")) >= 20), "part", replace(s.lex, likelihood=m.likelihood()))
     return _by_conversation(s, _curvatures(held, 10)).groupBy(s.key).agg(F.avg("curvature").alias("phi_3"))
 
 
@@ -240,6 +274,6 @@ CONVERSATION_FEATURES: tuple[tuple[str, tuple[str, ...], Callable[[Stages], Data
 )
 
 
-def conversation_features(messages: DataFrame, lex: Lexicons, key: str = "conv_id", skip: Iterable[str] = ()) -> DataFrame:
+def conversation_features(messages: DataFrame, lex: Lexicons, key: str = "conv_id", skip: Iterable[str] = (), instead: Mapping[str, Callable[[Stages], DataFrame]] | None = None) -> DataFrame:
     """id and the 19 features of each conversation (key, turn, speaker, text and, for timing, timestamp)."""
-    return _wide(messages.select(key).distinct(), key, CONVERSATION_FEATURES, Stages(messages, key, lex), skip)
+    return _wide(messages.select(key).distinct(), key, CONVERSATION_FEATURES, Stages(messages, key, lex), skip, instead or {})

@@ -6,6 +6,8 @@ aggregations of the token table; scoring is two joins on them.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,18 +15,25 @@ from quillstone.sources.shared import materialize
 
 
 def with_previous(tokens: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """tokens with `prev`, unless they have it (comments.pair_table)."""
+    if "prev" in tokens.columns:
+        return tokens
     return tokens.withColumn("prev", F.coalesce(F.lag("token").over(Window.partitionBy(id_column).orderBy("pos")), F.lit("")))
 
 
 def fit_bigrams(tokens: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """prev, token, n, n_prev, rank (1 + tokens that follow prev strictly more often).
 
-    Written out, so that it meets the tokens by (prev, token) and a frequent word is spread
-    over its followers, and Spark may split what is still too large.
+    Ranks and sums run over the different counts of a word's followers, of which there are
+    few even for the most frequent word.  Written out, so that it meets the tokens by (prev,
+    token) and a frequent word is spread over its followers, and Spark may split what is
+    still too large.
     """
     pairs = with_previous(tokens, id_column).groupBy("prev", "token").agg(F.count("*").alias("n"))
-    held = pairs.join(pairs.groupBy("prev").agg(F.sum("n").alias("n_prev")), "prev").withColumn("rank", F.rank().over(Window.partitionBy("prev").orderBy(F.desc("n"))))
-    return materialize(held, "bigrams")
+    sizes = pairs.groupBy("prev", "n").agg(F.count("*").alias("m"))
+    above = Window.partitionBy("prev").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("prev", "n", F.sum(F.col("n") * F.col("m")).over(Window.partitionBy("prev")).alias("n_prev"), (1 + F.coalesce(F.sum("m").over(above), F.lit(0))).alias("rank"))
+    return materialize(pairs.join(sizes, ["prev", "n"]).select("prev", "token", "n", "n_prev", "rank"), "bigrams")
 
 
 def score(tokens: DataFrame, model: DataFrame, vocabulary: int, alpha: float = 0.1, id_column: str = "doc_id") -> DataFrame:
@@ -78,10 +87,64 @@ def curvature(scores: DataFrame, id_column: str) -> DataFrame:
     return s.select(id_column, F.when(F.col("k") >= 2, (F.col("own") - F.col("m")) / F.when(F.col("s") > 0, F.col("s")).otherwise(1e-8)).alias("curvature"))
 
 
-def perturbed(tokens: DataFrame, model: DataFrame, copies: int = 10, share: int = 15, id_column: str = "doc_id") -> DataFrame:
-    """Copies of each text with hash-chosen tokens replaced by the likeliest follower of the token before; copy 0 is the original."""
+#: A token is replaced where two hexadecimal digits are below this: 38 of 256 times.
+REPLACED_BELOW = "26"
+
+
+def spelled(df: DataFrame, id_column: str) -> Column:
+    """The id as a string; of a struct its fields, joined."""
+    kind = df.schema[id_column].dataType
+    return F.concat_ws(":", *[F.col(f"{id_column}.{f}") for f in kind.names]) if hasattr(kind, "names") else F.col(id_column).cast("string")
+
+
+def replaced_in(name: Column, pos: Column, copies: int) -> Column:
+    """Bit c of the number: whether the token at pos is replaced in copy c; copy 0 is the original."""
+    h = F.sha2(F.concat_ws(":", name, pos.cast("string")), 256)
+    return sum((F.when(F.substring(h, 2 * c - 1, 2) < REPLACED_BELOW, F.lit(1 << c)).otherwise(0) for c in range(1, copies + 1)), F.lit(0))
+
+
+#: Copies that one hash of 64 hexadecimal digits can speak for, in the bits of an integer.
+MOST_COPIES = 30
+
+
+def copy_scores(tokens: DataFrame, model: DataFrame, vocabulary: int, copies: int = 10, alpha: float = 0.1, id_column: str = "doc_id") -> DataFrame:
+    """id, copy and log_p of each text and its copies, in which hash-chosen tokens are replaced by the likeliest follower of the token before.
+
+    At a place only four pairs can stand (the token or its replacement, after the token
+    before or its replacement), whatever the number of copies.  Each is looked up once and
+    then goes to the copies that have it.  Sums are rounded to nine digits, so that copies of
+    equal tokens are equal.  tokens are a pair_table.
+    """
     best = model.groupBy("prev").agg(F.max_by("token", F.struct("n", "token")).alias("fill"))
-    held = with_previous(tokens, id_column).join(best, "prev", "left")
-    out = held.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies))))
-    masked = (F.col("copy") > 0) & (F.pmod(F.xxhash64(F.col(id_column), "pos", "copy"), F.lit(100)) < share)
-    return out.select(id_column, "copy", "pos", F.when(masked, F.coalesce("fill", "token")).otherwise(F.col("token")).alias("token"))
+    held = tokens.join(best, "prev", "left").join(best.withColumnsRenamed({"prev": "prev2", "fill": "_before"}), "prev2", "left")
+    name, everywhere = spelled(tokens, id_column), (1 << (copies + 1)) - 1
+    first = F.col("pos") == 0
+    mine, before = replaced_in(name, F.col("pos"), copies), F.when(first, F.lit(0)).otherwise(replaced_in(name, F.col("pos") - 1, copies))
+    fill, fill_before = F.coalesce("fill", "token"), F.when(first, F.lit("")).otherwise(F.coalesce("_before", "prev"))
+    marked = held.select(id_column, "prev", "token", fill.alias("fill"), fill_before.alias("fill_before"), mine.alias("mine"), before.alias("before"))
+    no = lambda bits: F.lit(everywhere) - F.col(bits)
+    pairs = [("prev", "token", no("before"), no("mine")), ("prev", "fill", no("before"), F.col("mine")), ("fill_before", "token", F.col("before"), no("mine")), ("fill_before", "fill", F.col("before"), F.col("mine"))]
+    four = F.array(*[F.struct(F.col(a).alias("prev"), F.col(b).alias("token"), x.bitwiseAND(y).alias("which")) for a, b, x, y in pairs])
+    asked = marked.select(id_column, F.inline(four)).where("which > 0").join(model, ["prev", "token"], "left")
+    p = (F.coalesce("n", F.lit(0)) + alpha) / (F.coalesce("n_prev", F.lit(0)) + alpha * vocabulary)
+    told = asked.select(id_column, "which", F.ln(p).alias("log_p"), F.explode(F.sequence(F.lit(0), F.lit(copies))).alias("copy"))
+    return told.where(F.getbit("which", F.col("copy")) == 1).groupBy(id_column, "copy").agg(F.round(F.sum("log_p"), 9).alias("log_p"))
+
+
+@dataclass
+class Bigrams:
+    """The bigram model behind the interface that the features use (see backends.Likelihood)."""
+
+    model: DataFrame
+    vocabulary: int = 5000
+    alpha: float = 0.1
+
+    @classmethod
+    def fit(cls, tokens: DataFrame, id_column: str, vocabulary: int = 5000, alpha: float = 0.1) -> Bigrams:
+        return cls(fit_bigrams(tokens, id_column), vocabulary, alpha)
+
+    def score(self, tokens: DataFrame, id_column: str) -> DataFrame:
+        return score(tokens, self.model, self.vocabulary, self.alpha, id_column)
+
+    def copy_scores(self, tokens: DataFrame, id_column: str, copies: int) -> DataFrame:
+        return copy_scores(tokens, self.model, self.vocabulary, copies, self.alpha, id_column)

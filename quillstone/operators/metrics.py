@@ -9,10 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstone.operators import sequences
+from quillstone.sources.shared import materialize
+
 
 def score_table(df: DataFrame, score: str, label: str) -> DataFrame:
-    """One row for each distinct score: positives and negatives."""
-    return df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).alias("score")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
+    """One row for each distinct score: positives and negatives.  Written out, as its readers go through it several times."""
+    table = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).alias("score")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
+    return materialize(table, "scores")
 
 
 #: Ranges of scores that are counted apart.
@@ -38,6 +42,15 @@ def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
     return s.select((F.col("u") / (F.col("p") * F.col("n"))).alias("auc"), F.col("p").alias("n_pos"), F.col("n").alias("n_neg"))
 
 
+def auc_by(df: DataFrame, key: str, score: str, label: str) -> DataFrame:
+    """key and the AUC of each key's scores, tie-aware; null if a class is missing.  A key's scores may fill many tasks."""
+    held = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
+    counts = held.groupBy(key, F.col(score).alias("score")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
+    up_to = sequences.Ordered(materialize(counts, "scores"), [key], ["score"]).scan(sequences.RunningSums("neg"))
+    s = up_to.groupBy(key).agg(F.sum(F.col("pos") * (F.col("total") - F.col("neg") / 2)).alias("u"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    return s.select(key, F.try_divide("u", F.col("p") * F.col("n")).alias("auc"))
+
+
 def average_precision(df: DataFrame, score: str, label: str) -> DataFrame:
     """Step sum of precision over the recall gained at each distinct threshold."""
     t = _running(score_table(df, score, label))

@@ -1,13 +1,19 @@
-"""Two-headed classifiers: imputation, scaling, cross-validated logistic regression and Platt calibration."""
+"""Two-headed classifiers: imputation, scaling, cross-validated logistic regression and Platt calibration.
+
+The regressions of all folds and penalties are fitted in the same passes over the rows.
+"""
 
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator, Sequence
 from dataclasses import asdict, dataclass
 
-from pyspark.ml.classification import LogisticRegression
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -60,42 +66,117 @@ class Head:
         return self.prepared(df).withColumn(out, self.probability()).drop("_x")
 
 
+#: Newton steps at most, and the size of a step that ends them.
+MOST_STEPS, SETTLED = 40, 1e-7
+
+
+def _sums(x: np.ndarray, y: np.ndarray, beta: np.ndarray) -> np.ndarray:
+    """Loss, gradient and upper half of the Hessian of the logistic loss of each row of beta; x ends in ones."""
+    z = x @ beta.T
+    p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+    loss = np.logaddexp(0, z) - y[:, None] * z
+    i, j = np.triu_indices(x.shape[1])
+    return np.concatenate([loss.sum(0)[:, None], (p - y[:, None]).T @ x, (p * (1 - p)).T @ (x[:, i] * x[:, j])], axis=1)
+
+
+def newton(rows: DataFrame, allowed: np.ndarray, penalties: Sequence[float]) -> np.ndarray:
+    """Weights (the intercept last) of many logistic regressions over one table, fitted side by side.
+
+    rows: label, fold, inner and x (array of features).  allowed[m, fold, inner] says whether
+    model m sees the rows of that cell; penalties[m] is its inverse penalty, which spares the
+    intercept.  Each step is one aggregation: a partition adds up loss, gradient and Hessian
+    of every model that has not settled, and the sums (models x features ** 2 numbers) go to
+    the driver, which solves the small systems.  A step that makes the loss larger is halved.
+    """
+    first = rows.select(F.size("x")).first()
+    if first is None:
+        return np.zeros((len(allowed), 1))
+    width = first[0] + 1
+    beta, before = np.zeros((len(allowed), width)), np.zeros((len(allowed), width))
+    least, open_ = np.full(len(allowed), np.inf), np.ones(len(allowed), dtype=bool)
+    ridge = np.array([[1 / c] * (width - 1) + [0.0] for c in penalties])
+    half = np.triu_indices(width)
+    for _ in range(MOST_STEPS):
+        models = np.flatnonzero(open_)
+        if not len(models):
+            break
+        now, seen = beta[models], allowed[models]
+
+        def add(batches: Iterator[pa.RecordBatch], models=models, now=now, seen=seen) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((len(models), 1 + width + len(half[0])))
+            for b in batches:
+                y, fold, inner = (b.column(c).to_numpy(zero_copy_only=False) for c in ("label", "fold", "inner"))
+                x = np.concatenate([b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(len(y), width - 1), np.ones((len(y), 1))], axis=1)
+                for k, i in set(zip(fold.tolist(), inner.tolist(), strict=True)):
+                    mine, which = (fold == k) & (inner == i), np.flatnonzero(seen[:, k, i])
+                    if len(which):
+                        total[which] += _sums(x[mine], y[mine], now[which])
+            yield pa.RecordBatch.from_arrays([pa.array(models), pa.array(list(total))], names=["model", "sums"])
+
+        added = rows.select("label", "fold", "inner", "x").mapInArrow(add, "model long, sums array<double>")
+        got = {r.model: r.s.toArray() for r in added.groupBy("model").agg(Summarizer.sum(array_to_vector("sums")).alias("s")).collect()}
+        for m in models:
+            s, w = got[m], beta[m]
+            loss = s[0] + 0.5 * ridge[m] @ (w * w)
+            if loss > least[m] * (1 + 1e-12):
+                beta[m] = (w + before[m]) / 2
+                open_[m] = np.abs(beta[m] - before[m]).max() > SETTLED
+                continue
+            hessian = np.zeros((width, width))
+            hessian[half] = s[1 + width :]
+            hessian = hessian + np.triu(hessian, 1).T + np.diag(ridge[m] + 1e-9)
+            step = np.linalg.solve(hessian, s[1 : 1 + width] + ridge[m] * w)
+            before[m], least[m] = w, loss
+            beta[m] = w - step * min(1.0, 20 / max(np.abs(step).max(), 1e-300))
+            open_[m] = np.abs(step).max() > SETTLED
+    return beta
+
+
 def fit_head(df: DataFrame, features: list[str], label: str, key: str, n: int = 5, penalties=PENALTIES, seed: int = 0) -> Head:
-    """One model and one Platt line for each fold; each fold's training rows choose their penalty by the mean AUC over folds of their own."""
+    """One model and one Platt line for each fold; each fold's training rows choose their penalty by the mean AUC over folds of their own.
+
+    All folds, inner folds and penalties are fitted together, and so are the final models
+    and the Platt lines: three sets of Newton steps, whatever their number.
+    """
     held = folds(folds(df.where(F.col(label).isNotNull()), label, key, n, seed + 100).withColumnRenamed("fold", "inner"), label, key, n, seed)
     medians = list(held.agg(*[F.median(F.col(c).cast("double")) for c in features]).first())
     medians = [m if m is not None else 0.0 for m in medians]
-    filled = held.select(key, label, *[F.coalesce(F.col(c).cast("double"), F.lit(m)).alias(c) for c, m in zip(features, medians, strict=True)])
+    filled = held.select(key, label, "fold", "inner", *[F.coalesce(F.col(c).cast("double"), F.lit(m)).alias(c) for c, m in zip(features, medians, strict=True)])
     stats = filled.agg(*[F.avg(c) for c in features], *[F.stddev_pop(c) for c in features]).first()
-    means, deviations = list(stats[: len(features)]), [s if s else 1.0 for s in stats[len(features) :]]
-    head = Head(features, medians, means, deviations, [], [])
-    ready = materialize(head.prepared(held).select(F.col(label).cast("double").alias("label"), "fold", "inner", "_x"), "head")
-
-    def fit(rows: DataFrame, c: float) -> tuple[list[float], float]:
-        m = LogisticRegression(featuresCol="_x", labelCol="label", regParam=1 / (c * max(1, rows.count())), elasticNetParam=0.0, standardization=False, maxIter=100).fit(rows)
-        return [float(v) for v in m.coefficients], float(m.intercept)
-
-    def margin(m: tuple[list[float], float]) -> Column:
-        return numeric.dot(vector_to_array(F.col("_x")), F.lit(m[0])) + m[1]
-
-    def auc(rows: DataFrame, c: float, k: int) -> float:
-        tried = rows.where(F.col("inner") == k).withColumn("s", margin(fit(rows.where(F.col("inner") != k), c)))
-        return metrics.roc_auc(tried, "s", "label").first()["auc"] or 0.0
-
-    def chosen(rows: DataFrame) -> float:
-        """Of equals the strongest penalty."""
-        if len(penalties) == 1:
-            return penalties[0]
-        return -max((sum(auc(rows, c, k) for k in range(n)), -c) for c in penalties)[1]
-
-    for k in range(n):
-        training = ready.where(F.col("fold") != k)
-        m = fit(training, chosen(training))
-        line = VectorAssembler(inputCols=["s"], outputCol="v").transform(ready.where(F.col("fold") == k).select("label", margin(m).alias("s")))
-        p = LogisticRegression(featuresCol="v", labelCol="label", standardization=False).fit(line)
-        head.models.append(m)
-        head.platt.append((float(p.coefficients[0]), float(p.intercept)))
-    return head
+    means, deviations = [m or 0.0 for m in stats[: len(features)]], [s if s else 1.0 for s in stats[len(features) :]]
+    x = F.array(*[(F.col(c) - m) / s for c, m, s in zip(features, means, deviations, strict=True)])
+    ready = materialize(filled.select(F.col(label).cast("double").alias("label"), "fold", "inner", x.alias("x")), "head")
+    fold, inner = np.arange(n)[None, :, None], np.arange(n)[None, None, :]
+    best = dict.fromkeys(range(n), penalties[0])
+    if len(penalties) > 1:
+        tried = [(k, i, c) for k in range(n) for i in range(n) for c in penalties]
+        seen = np.concatenate([(fold != k) & (inner != i) for k, i, _ in tried])
+        asked = np.concatenate([(fold != k) & (inner == i) for k, i, _ in tried])
+        told = {r.model: r.auc or 0.0 for r in metrics.auc_by(margins(ready, asked, newton(ready, seen, [c for *_, c in tried])), "model", "margin", "label").collect()}
+        for k in range(n):
+            sums = {c: sum(told.get(m, 0.0) for m, (q, _, d) in enumerate(tried) if (q, d) == (k, c)) for c in penalties}
+            best[k] = -max((s, -c) for c, s in sums.items())[1]  # of equals the strongest penalty
+    weights = newton(ready, np.concatenate([(fold != k) & (inner >= 0) for k in range(n)]), [best[k] for k in range(n)])
+    own = np.concatenate([(fold == k) & (inner >= 0) for k in range(n)])
+    lines = materialize(margins(ready, own, weights).select("label", F.col("model").cast("int").alias("fold"), F.lit(0).alias("inner"), F.array("margin").alias("x")), "platt")
+    platt = newton(lines, own[:, :, :1], [1e9] * n)
+    as_pair = lambda w: ([float(v) for v in w[:-1]], float(w[-1]))
+    return Head(features, medians, means, deviations, [as_pair(w) for w in weights], [(float(a), float(b)) for a, b in platt])
+
+
+def margins(rows: DataFrame, asked: np.ndarray, weights: np.ndarray) -> DataFrame:
+    """model, margin and label of the rows of the cells that each model is asked for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            y, fold, inner = (b.column(c).to_numpy(zero_copy_only=False) for c in ("label", "fold", "inner"))
+            x = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(len(y), -1)
+            for k, i in set(zip(fold.tolist(), inner.tolist(), strict=True)):
+                mine, which = np.flatnonzero((fold == k) & (inner == i)), np.flatnonzero(asked[:, k, i])
+                z = x[mine] @ weights[which, :-1].T + weights[which, -1]
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(which, len(mine))), pa.array(z.ravel()), pa.array(np.repeat(y[mine], len(which)))], names=["model", "margin", "label"])
+
+    return rows.select("label", "fold", "inner", "x").mapInArrow(run, "model long, margin double, label double")
 
 
 def save_head(spark: SparkSession, head: Head, path: str) -> None:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import numeric
+from quillstone.operators import octree
 from quillstone.sources.shared import materialize
 
 
@@ -81,34 +82,9 @@ def radius_counts(points: DataFrame, radius: float, id_column: str = "id", axes:
     return within_radius(points, radius, id_column, axes).groupBy("id").agg(F.count("*").alias("neighbours"))
 
 
-def nearest_distances(points: DataFrame, k: int, cell: float, id_column: str = "id", axes: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
-    """id and the mean distance of the k nearest others, exact; 0 for all if there are not k others.
-
-    Points with k neighbours within the cell width are done; the rest look again with
-    the width doubled, until all are done: at the latest when the width covers everything.
-    """
-    points = points.select(F.col(id_column).alias("id"), *axes)
-    if points.count() < k + 1:
-        return points.select("id", F.lit(0.0).alias("mean_distance"))
-    done, open_points, width = None, points, cell
-    while True:
-        near = _sent_to(open_points, points, width, list(axes))
-        w = Window.partitionBy("id").orderBy("d2", "near")
-        best = materialize(near.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).groupBy("id").agg(F.count("*").alias("n"), F.avg(F.sqrt("d2")).alias("mean_distance")).where(F.col("n") == k).select("id", "mean_distance"), "nearest")
-        done = best if done is None else done.unionByName(best)
-        open_points = materialize(open_points.join(best, "id", "left_anti"), "open")
-        if not open_points.limit(1).count():
-            return done
-        width *= 2
-
-
-def _sent_to(sources: DataFrame, targets: DataFrame, width: float, axes: list[str]) -> DataFrame:
-    a = sources.select("id", *axes, *[c.alias(f"_c{x}") for x, c in zip(axes, _cells(sources, width, axes), strict=True)])
-    for x in axes:
-        a = a.withColumn(f"_c{x}", F.explode(F.array(F.col(f"_c{x}") - 1, F.col(f"_c{x}"), F.col(f"_c{x}") + 1)))
-    b = targets.select(F.col("id").alias("near"), *[F.col(x).alias(f"_n{x}") for x in axes], *[c.alias(f"_c{x}") for x, c in zip(axes, _cells(targets, width, axes), strict=True)])
-    d2 = sum(((F.col(x) - F.col(f"_n{x}")) * (F.col(x) - F.col(f"_n{x}")) for x in axes), F.lit(0.0))
-    return a.join(b, [f"_c{x}" for x in axes]).where("id <> near").withColumn("d2", d2).where(F.col("d2") <= width * width).select("id", "near", "d2")
+def nearest_distances(points: DataFrame, k: int, id_column: str = "id", axes: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
+    """id and the mean distance of the k nearest others (octree.mean_distances)."""
+    return octree.mean_distances(points, k, id_column, list(axes))
 
 
 def statistical_inliers(distances: DataFrame, sigmas: float = 2.0) -> DataFrame:

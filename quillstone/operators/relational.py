@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstone.operators.sequences import numbered
+
 
 def union_all(parts: list[DataFrame]) -> DataFrame:
     """Rows of all parts, missing columns null."""
@@ -59,10 +61,13 @@ def seeded_shuffle(df: DataFrame, key: str, seed: int) -> DataFrame:
 
 
 def positional_zip(a: DataFrame, b: DataFrame, order_a: str, order_b: str) -> DataFrame:
-    """Rows side by side in order, as far as the shorter reaches.  For bounded lists (images and poses of one set)."""
-    x = a.withColumn("_n", F.row_number().over(Window.orderBy(order_a)))
-    y = b.withColumn("_n", F.row_number().over(Window.orderBy(order_b)))
-    return x.join(y, "_n").drop("_n")
+    """Rows side by side in order, as far as the shorter reaches; places come from the counts of range partitions."""
+    return numbered(a, [order_a], "_n").join(numbered(b, [order_b], "_n"), "_n").drop("_n")
+
+
+def group_order(df: DataFrame, value: str, first: Column, name: str = "place") -> DataFrame:
+    """Each distinct value and its place in the order (first, value)."""
+    return numbered(df.select(value, first.alias("_first")).distinct(), ["_first", value], name).select(value, name)
 
 
 def paired_by_stem(left: DataFrame, right: DataFrame, path: str) -> DataFrame:

@@ -7,6 +7,9 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstone.functions.engineering import pid as pid_term
+from quillstone.operators.sequences import Neighbours, Ordered, RunningSums
+
 
 def spectrum(samples: DataFrame, n: int, frequencies: list[int], at: str = "t", value: str = "v") -> DataFrame:
     """Magnitude of the discrete Fourier transform at the stated frequencies (a bounded query set); samples are read once."""
@@ -22,25 +25,26 @@ def cross_correlation(x: DataFrame, h: DataFrame, lags: int, at: str = "t", valu
     return sent.join(x.select(at, F.col(value).cast("double").alias("_x")), at).groupBy("lag").agg(F.sum(F.col("_h") * F.col("_x")).alias("r"))
 
 
-def peaks(series: DataFrame, key: str, at: str, value: str, most: int | None = None) -> DataFrame:
-    """Values above both neighbours; the `most` largest of each key."""
-    w = Window.partitionBy(key).orderBy(at)
-    out = series.withColumns({"_a": F.lag(value).over(w), "_b": F.lead(value).over(w)}).where((F.col(value) > F.col("_a")) & (F.col(value) > F.col("_b"))).drop("_a", "_b")
+def peaks(series: DataFrame, key: list[str], at: str, value: str, most: int | None = None) -> DataFrame:
+    """Values above both neighbours; the `most` largest of each key.  A key's samples may fill many tasks."""
+    out = Ordered(series, key, [at]).scan(Neighbours(value))
+    out = out.where((F.col(value) > F.col("before")) & (F.col(value) > F.col("after"))).drop("before", "after")
     if most is None:
         return out
-    return out.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(value), at))).where(F.col("_r") <= most).drop("_r")
+    if not key:
+        return out.orderBy(F.desc(value), at).limit(most)
+    return out.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(value), at))).where(F.col("_r") <= most).drop("_r")
 
 
-def pid(errors: DataFrame, key: str, at: str, error: str, kp: float, ki: float, kd: float) -> DataFrame:
+def pid(errors: DataFrame, key: list[str], at: str, error: str, kp: float, ki: float, kd: float) -> DataFrame:
     """Control output from the running sum and the last difference."""
-    w = Window.partitionBy(key).orderBy(at)
-    total = F.sum(error).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return errors.select(key, at, (kp * F.col(error) + ki * total + kd * (F.col(error) - F.coalesce(F.lag(error).over(w), F.col(error)))).alias("control"))
+    out = Ordered(errors.select(*key, at, error), key, [at]).then(RunningSums(error)).scan(Neighbours(error))
+    return out.select(*key, at, pid_term(F.col(error), F.col("total"), F.col(error) - F.coalesce("before", error), kp, ki, kd).alias("control"))
 
 
-def winding(curve: DataFrame, at: str, re: str, im: str) -> DataFrame:
-    """Turns of a closed curve round the origin; for one curve, a bounded sweep."""
-    w = Window.orderBy(at)
-    turn = F.atan2(im, re) - F.lag(F.atan2(im, re)).over(w)
+def winding(curve: DataFrame, key: list[str], at: str, re: str, im: str) -> DataFrame:
+    """Turns of each curve round the origin; a whole number for a closed one."""
+    angles = curve.select(*key, at, F.atan2(im, re).alias("_angle"))
+    turn = F.col("_angle") - F.col("before")
     wrapped = turn - 2 * math.pi * F.round(turn / (2 * math.pi))
-    return curve.select(wrapped.alias("d")).agg(F.round(F.sum("d") / (2 * math.pi)).cast("int").alias("turns"))
+    return Ordered(angles, key, [at]).scan(Neighbours("_angle")).groupBy(*key).agg((F.coalesce(F.sum(wrapped), F.lit(0.0)) / (2 * math.pi)).alias("turns"))

@@ -199,10 +199,12 @@ def q_poses(spark, sf_dir):
     return clouds.read_poses(spark, path).select("index", "position", "up", F.size("missing").alias("n_missing"), "repeated")
 
 
-@query("SELECT [[800.0, 0.0, 320.5], [0.0, 800.0, 240.25], [0.0, 0.0, 1.0]]::DOUBLE[][] AS k")
+@query("SELECT [[800.0 + n_nationkey, 0.0, 320.5], [0.0, 800.0, 240.25 - n_regionkey], [0.0, 0.0, 1.0]]::DOUBLE[][] AS k FROM nation")
 def q_matrix(spark, sf_dir):
+    """A camera matrix for each nation, each in a file of its own."""
     path = fresh(spark, "matrix")
-    lines(spark.range(1), F.lit("K = [8e2, 0, 320.5;\n 0 800.0 240.25;\n 0 0 1]"), path)
+    told = F.format_string("K = [%de0, 0, 320.5;\n 0 800.0 %s;\n 0 0 1]", 800 + F.col("n_nationkey"), (240.25 - F.col("n_regionkey")).cast("string"))
+    table(spark, sf_dir, "nation").select("n_nationkey", told.alias("value")).write.partitionBy("n_nationkey").text(path)
     return clouds.read_matrix(spark, path)
 
 
@@ -266,12 +268,3 @@ def q_segment_distance(spark, sf_dir):
 @query("SELECT p_partkey, list_reduce([1]::HUGEINT[] || list_transform(range(p_size), lambda i: p_partkey), lambda a, b: a * b % 1000000007)::BIGINT AS v FROM part")
 def q_power_mod(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", N.power_mod(F.col("p_partkey"), F.col("p_size")).alias("v"))
-
-
-_CURVE = "c AS (SELECT generate_series AS t, 3 * cos(4 * pi() * generate_series / 400) + 1 AS re, 3 * sin(4 * pi() * generate_series / 400) AS im FROM generate_series(0, 400))"
-
-
-@query(f"WITH {_CURVE}, d AS (SELECT atan2(im, re) - lag(atan2(im, re)) OVER (ORDER BY t) AS d FROM c) SELECT round(sum(d - 2 * pi() * round(d / (2 * pi()))) / (2 * pi()))::INT AS turns FROM d")
-def q_winding(spark, sf_dir):
-    a = 4 * F.lit(3.141592653589793) * F.col("id") / 400
-    return S.winding(spark.range(401).select(F.col("id").alias("t"), (3 * F.cos(a) + 1).alias("re"), (3 * F.sin(a)).alias("im")), "t", "re", "im")

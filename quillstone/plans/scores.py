@@ -205,8 +205,8 @@ def q_best_by(spark, sf_dir):
 
 @query("SELECT p_brand, row_number() OVER (ORDER BY (p_brand NOT LIKE '%1')::INT, p_brand) AS place FROM (SELECT DISTINCT p_brand FROM part)")
 def q_group_order(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select("p_brand").distinct()
-    return p.select("p_brand", F.row_number().over(Window.orderBy(F.when(F.col("p_brand").endswith("1"), 0).otherwise(1), "p_brand")).alias("place"))
+    last = (~F.col("p_brand").endswith("1")).cast("int")
+    return R.group_order(table(spark, sf_dir, "part"), "p_brand", last)
 
 
 @query(r"SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+'))) AS word FROM (SELECT text FROM benchmark UNION ALL SELECT text FROM conversations)")

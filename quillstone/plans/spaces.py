@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import engineering as E, numeric as N, text as T
-from quillstone.operators import comments, geometry as G, models, neighbours as K, parsers as P, relational as R, signal as S
+from quillstone.operators import comments, geometry as G, models, neighbours as K, parsers as P, relational as R, sequences as Q, signal as S
 from quillstone.plans import texts
 from quillstone.plans.registry import listed, query, sql_values, table
 from quillstone.streaming import rates
@@ -62,7 +62,7 @@ def q_radius_outliers(spark, sf_dir):
 @query(f"""WITH {_PTS}, d AS (SELECT a.id, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS d, row_number() OVER (PARTITION BY a.id ORDER BY (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2, b.id) AS r FROM pts a JOIN pts b ON a.id <> b.id),
 m AS (SELECT id, avg(d) AS m FROM d WHERE r <= 5 GROUP BY id) SELECT id, round(m, 5) AS mean_distance FROM m WHERE m <= (SELECT avg(m) + 2 * stddev_pop(m) FROM m)""")
 def q_statistical_outliers(spark, sf_dir):
-    return K.statistical_inliers(K.nearest_distances(cloud(spark, sf_dir), 5, 0.8)).select("id", F.round("mean_distance", 5).alias("mean_distance"))
+    return K.statistical_inliers(K.nearest_distances(cloud(spark, sf_dir), 5)).select("id", F.round("mean_distance", 5).alias("mean_distance"))
 
 
 @query("""WITH RECURSIVE e AS (SELECT s_suppkey AS a, floor(s_suppkey * s_suppkey / 7 % 61)::BIGINT AS b FROM supplier), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), n AS (SELECT a AS node FROM u),
@@ -201,11 +201,18 @@ def q_pixel_colour(spark, sf_dir):
     return G.pixel_colours(p.withColumnRenamed("w", "v"), grid(spark, sf_dir).withColumnRenamed("v", "colour"), 24, 28).select("p_partkey", F.col("colour").alias("v"))
 
 
-@query()
+_IMAGE = """px AS (SELECT (event_id // 40 % 40)::INT AS i, (event_id % 40)::INT AS j, count(*) AS n, sum(user_id) AS u FROM events GROUP BY ALL),
+im AS (SELECT i, j, CASE WHEN i BETWEEN 8 AND 24 AND j BETWEEN 10 AND 26 THEN 230 + n % 10 ELSE u % 40 END AS v FROM px)"""
+
+
+@query(f"WITH {_IMAGE}, b AS (SELECT min(i) AS a, max(i) AS b, min(j) AS c, max(j) AS d FROM im WHERE v >= 200) SELECT unnest([a, a, b, b])::INT AS \"row\", unnest([c, d, c, d])::INT AS col FROM b")
 def q_find_square(spark, sf_dir):
-    i, j = F.floor(F.col("id") / 40).cast("int"), (F.col("id") % 40).cast("int")
-    lit = i.between(8, 24) & j.between(10, 26)
-    return G.find_square(spark.range(1600).select(i.alias("i"), j.alias("j"), F.when(lit, 240).otherwise((F.col("id") * 7919 % 40).cast("int")).alias("v")))
+    """The squarest bright region of an image that is made of the events."""
+    k = F.col("event_id")
+    px = table(spark, sf_dir, "events").groupBy(F.floor(k / 40 % 40).cast("int").alias("i"), (k % 40).cast("int").alias("j")).agg(F.count("*").alias("n"), F.sum("user_id").alias("u"))
+    lit = F.col("i").between(8, 24) & F.col("j").between(10, 26)
+    found = G.find_square(px.select("i", "j", F.when(lit, 230 + F.col("n") % 10).otherwise(F.col("u") % 40).cast("int").alias("v")))
+    return found.select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"))
 
 
 _SER = "s AS (SELECT (epoch_us(ts) // 3600000000) - (SELECT min(epoch_us(ts)) // 3600000000 FROM events) AS t, count(*)::DOUBLE AS v FROM events GROUP BY 1)"
@@ -231,59 +238,75 @@ def q_xcorr(spark, sf_dir):
 
 @query(f"WITH {_SER}, n AS (SELECT t, v, lag(v) OVER (ORDER BY t) AS a, lead(v) OVER (ORDER BY t) AS b FROM s), p AS (SELECT t, v, row_number() OVER (ORDER BY v DESC, t) AS r FROM n WHERE v > a AND v > b) SELECT t, v FROM p WHERE r <= 3")
 def q_peaks(spark, sf_dir):
-    return S.peaks(series(spark, sf_dir).withColumn("k", F.lit(1)), "k", "t", "v", 3).select("t", "v")
+    return S.peaks(series(spark, sf_dir), [], "t", "v", 3).select("t", "v")
 
 
 @query(f"WITH {_SER} SELECT t, round(2 * v + 0.5 * sum(v) OVER (ORDER BY t) + 0.1 * (v - coalesce(lag(v) OVER (ORDER BY t), v)), 5) AS control FROM s")
 def q_pid(spark, sf_dir):
-    return S.pid(series(spark, sf_dir).withColumn("k", F.lit(1)), "k", "t", "v", 2.0, 0.5, 0.1).select("t", F.round("control", 5).alias("control"))
+    return S.pid(series(spark, sf_dir), [], "t", "v", 2.0, 0.5, 0.1).select("t", F.round("control", 5).alias("control"))
 
 
 @query("""WITH RECURSIVE e AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
 k(user_id, i, x, p) AS (SELECT DISTINCT user_id, 0::BIGINT, 0.0::DOUBLE, 50.0::DOUBLE FROM events UNION ALL SELECT k.user_id, e.i, k.x + (k.p + 8) / (k.p + 8 + 15) * (e.value - k.x), (1 - (k.p + 8) / (k.p + 8 + 15)) * (k.p + 8) FROM k JOIN e ON e.user_id = k.user_id AND e.i = k.i + 1)
 SELECT user_id, round(arg_max(x, i), 5) AS x, round(arg_max(p, i), 6) AS p FROM k GROUP BY user_id""")
 def q_kalman(spark, sf_dir):
-    v = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "value"))).alias("s"))
-    last = F.element_at(N.kalman(F.transform("s", lambda x: x["value"]), 8.0, 15.0, 50.0), -1)
-    return v.select("user_id", last.alias("k")).select("user_id", F.round("k.x", 5).alias("x"), F.round("k.p", 6).alias("p"))
+    states = Q.Ordered(table(spark, sf_dir, "events").select("user_id", "event_id", "value"), ["user_id"], ["event_id"]).scan(Q.Kalman("value", 8.0, 15.0, 50.0))
+    last = states.groupBy("user_id").agg(F.max_by(F.struct("x", "p"), "event_id").alias("k"))
+    return last.select("user_id", F.round("k.x", 5).alias("x"), F.round("k.p", 6).alias("p"))
 
 
-@query("""WITH s AS (SELECT (120 - 40) / 2.0 AS d, 30.0 AS t, 50.0 + 8 AS p), r AS (SELECT sqrt(d * d + t * t) AS r, p FROM s)
-SELECT unnest([{'name': 'mohr_radius', 'value': round(r, 3)}, {'name': 'mohr_high', 'value': round((120 + 40) / 2.0 + r, 3)}, {'name': 'mohr_low', 'value': round((120 + 40) / 2.0 - r, 3)},
-{'name': 'resonance', 'value': round(1 / (2 * pi() * sqrt(0.01::DOUBLE * 1e-6)), 2)}, {'name': 'carnot', 'value': round(1 - 300 / 600.0::DOUBLE, 3)}, {'name': 'torque', 'value': round(80e6 * pi() * 0.05::DOUBLE ** 3 / 2, 2)}, {'name': 'kalman_gain', 'value': round((p / (p + 15))::DOUBLE, 3)}], recursive := true) FROM r""")
-def q_engineering(spark, sf_dir):
-    f = lambda x: F.lit(float(x))
-    r, hi, lo = E.mohr(f(120), f(40), f(30))
-    gain = F.get(N.kalman(F.array(f(1)), 8.0, 15.0, 50.0), F.lit(0))["k"]
-    rows = [
-        ("mohr_radius", F.round(r, 3)), ("mohr_high", F.round(hi, 3)), ("mohr_low", F.round(lo, 3)),
-        ("resonance", F.round(E.resonance(f(0.01), f(1e-6)), 2)), ("carnot", F.round(E.carnot(f(300), f(600)), 3)),
-        ("torque", F.round(E.torsion_torque(f(80e6), f(0.05)), 2)), ("kalman_gain", F.round(gain, 3)),
-    ]
-    return spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(n).alias("name"), v.cast("double").alias("value")) for n, v in rows])))
+_TRACK = "c AS (SELECT user_id, event_id AS t, value - 25.0 AS re, (event_id * 37 % 101 - 50)::DOUBLE AS im FROM events)"
 
 
-_BUCKLE = "s AS (SELECT 0.05 * generate_series AS a FROM generate_series(20, 60))"
+@query(f"""WITH {_TRACK}, d AS (SELECT user_id, atan2(im, re) - lag(atan2(im, re)) OVER (PARTITION BY user_id ORDER BY t) AS d FROM c)
+SELECT user_id, round(coalesce(sum(d - 2 * pi() * round(d / (2 * pi()))), 0) / (2 * pi()), 6) AS turns FROM d GROUP BY user_id""")
+def q_winding(spark, sf_dir):
+    """Turns of each user's track round a point."""
+    e = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("t"), (F.col("value") - 25.0).alias("re"), (F.col("event_id") * 37 % 101 - 50).cast("double").alias("im"))
+    return S.winding(e, ["user_id"], "t", "re", "im").select("user_id", F.round("turns", 6).alias("turns"))
 
 
-@query(f"WITH {_BUCKLE} SELECT round(a, 2) AS support, round(pi() ** 2 * 200e9 * 4e-7 / greatest(a, 4 - a) ** 2, 2) AS load FROM s ORDER BY load DESC, support LIMIT 1")
+@query("""WITH s AS (SELECT event_id, value AS sx, value / 3 AS sy, event_id % 30 AS t FROM events), r AS (SELECT *, sqrt(((sx - sy) / 2) ** 2 + t * t) AS r FROM s)
+SELECT event_id, round(r, 6) AS mohr_radius, round((sx + sy) / 2 + r, 6) AS mohr_high, round((sx + sy) / 2 - r, 6) AS mohr_low, round(1 / (2 * pi() * sqrt((event_id % 9 + 1) * 0.01::DOUBLE * (event_id % 7 + 1) * 1e-6)), 4) AS resonance,
+round(1 - 300 / (301.0::DOUBLE + sx), 6) AS carnot, round(80e6 * pi() * ((event_id % 10 + 1) / 100.0::DOUBLE) ** 3 / 2, 2) AS torque FROM r""")
+def q_engineering(spark, sf_dir):
+    """Stresses, resonance, efficiency and torque of each event's values."""
+    e, k = table(spark, sf_dir, "events"), F.col("event_id")
+    r, hi, lo = E.mohr(F.col("value"), F.col("value") / 3, (k % 30).cast("double"))
+    return e.select(
+        "event_id", F.round(r, 6).alias("mohr_radius"), F.round(hi, 6).alias("mohr_high"), F.round(lo, 6).alias("mohr_low"),
+        F.round(E.resonance((k % 9 + 1) * F.lit(0.01), (k % 7 + 1) * F.lit(1e-6)), 4).alias("resonance"),
+        F.round(E.carnot(F.lit(300.0), 301.0 + F.col("value")), 6).alias("carnot"), F.round(E.torsion_torque(F.lit(80e6), (k % 10 + 1) / 100), 2).alias("torque"),
+    )
+
+
+@query("""WITH s AS (SELECT p_partkey, p_size, 0.05 * k AS a FROM part, range(20, 61) r(k)), l AS (SELECT p_partkey, round(a, 2) AS support, round(pi() ** 2 * 200e9 * (p_size * 1e-8) / greatest(a, 4 - a) ** 2, 2) AS load FROM s)
+SELECT p_partkey, arg_max(support, (load, -support))::DOUBLE AS support, max(load) AS load FROM l GROUP BY p_partkey""")
 def q_buckling_sweep(spark, sf_dir):
-    s = spark.range(20, 61).select((F.col("id") * 0.05).alias("a"))
-    s = s.select(F.round("a", 2).alias("support"), F.round(E.euler_load(F.lit(200e9), F.lit(4e-7), F.lit(4.0), F.col("a")), 2).alias("load"))
-    return s.agg(F.max_by(F.struct("support", "load"), F.struct("load", (-F.col("support")).alias("o"))).alias("b")).select("b.*")
+    """The support that lets each part bear most, of 41 places."""
+    at = F.explode(F.transform(F.sequence(F.lit(20), F.lit(60)), lambda k: k * F.lit(0.05)))
+    s = table(spark, sf_dir, "part").select("p_partkey", "p_size", at.alias("a"))
+    load = E.euler_load(F.lit(200e9), F.col("p_size") * F.lit(1e-8), F.lit(4.0), F.col("a"))
+    s = s.select("p_partkey", F.round("a", 2).alias("support"), F.round(load, 2).alias("load"))
+    return s.groupBy("p_partkey").agg(F.max_by("support", F.struct("load", -F.col("support"))).alias("support"), F.max("load").alias("load"))
 
 
-@query("WITH s AS (SELECT 0.01 * generate_series AS v FROM generate_series(0, 2000)), p AS (SELECT round(v, 2) AS v, round(v * 8.0 * (1 - exp((v - 20.0) / 1.5)), 4) AS p FROM s) SELECT v, p FROM p ORDER BY p DESC, v LIMIT 1")
+@query("""WITH s AS (SELECT p_partkey, p_size, 0.05 * k AS v FROM part, range(401) r(k)), p AS (SELECT p_partkey, round(v, 2) AS v, round(v * p_size * (1 - exp((v - 20.0) / 1.5)), 4) AS p FROM s)
+SELECT p_partkey, arg_max(v, (p, -v))::DOUBLE AS v, max(p)::DOUBLE AS p FROM p GROUP BY p_partkey""")
 def q_power_point(spark, sf_dir):
-    v = (F.col("id") * 0.01).alias("v")
-    p = spark.range(0, 2001).select(v).select(F.round("v", 2).alias("v"), F.round(F.col("v") * E.cell_current(F.col("v"), 8.0, 20.0, 1.5), 4).alias("p"))
-    return p.agg(F.max_by(F.struct("v", "p"), F.struct("p", (-F.col("v")).alias("o"))).alias("b")).select("b.*")
+    """The voltage at which a cell of each part's current gives most, of 401."""
+    at = F.explode(F.transform(F.sequence(F.lit(0), F.lit(400)), lambda k: k * F.lit(0.05)))
+    s = table(spark, sf_dir, "part").select("p_partkey", "p_size", at.alias("v"))
+    s = s.select("p_partkey", F.round("v", 2).alias("v"), F.round(F.col("v") * E.cell_current(F.col("v"), F.col("p_size"), 20.0, 1.5), 4).alias("p"))
+    return s.groupBy("p_partkey").agg(F.max_by("v", F.struct("p", -F.col("v"))).alias("v"), F.max("p").alias("p"))
 
 
-@query("SELECT m AS mach, round(pow(2 / 2.4 * (1 + 0.2 * m * m), 3) / m, 6) AS area, round(sqrt((1 + 0.2 * m * m) / (1.4 * m * m - 0.2)), 6) AS after, round(1 + 2.8 / 2.4 * (m * m - 1), 6) AS pressure FROM (SELECT 1.0 + 0.1 * generate_series::DOUBLE AS m FROM generate_series(0, 20))")
+@query("""SELECT event_id, round(pow(2 / 2.4 * (1 + 0.2 * m * m), 3) / m, 4) AS area, round(sqrt((1 + 0.2 * m * m) / (1.4 * m * m - 0.2)), 6) AS after, round(1 + 2.8 / 2.4 * (m * m - 1), 6) AS pressure
+FROM (SELECT event_id, 1.0 + 0.01 * (event_id % 300)::DOUBLE AS m FROM events)""")
 def q_normal_shock(spark, sf_dir):
     m = F.col("mach")
-    return spark.range(21).select((1.0 + 0.1 * F.col("id")).alias("mach")).select("mach", F.round(E.mach_area(m), 6).alias("area"), F.round(E.mach_after_shock(m), 6).alias("after"), F.round(E.shock_pressure_ratio(m), 6).alias("pressure"))
+    e = table(spark, sf_dir, "events").select("event_id", (1.0 + 0.01 * (F.col("event_id") % 300)).alias("mach"))
+    return e.select("event_id", F.round(E.mach_area(m), 4).alias("area"), F.round(E.mach_after_shock(m), 6).alias("after"), F.round(E.shock_pressure_ratio(m), 6).alias("pressure"))
 
 
 @query(r"""WITH p AS (SELECT conv_id, string_agg(CASE role WHEN 'assistant' THEN 'him: ' WHEN 'user' THEN 'me: ' ELSE '' END || regexp_replace(text, '\s+', ' ', 'g'), chr(10) ORDER BY turn) AS t FROM conversations GROUP BY 1),
@@ -394,9 +417,11 @@ def q_planar_arm(spark, sf_dir):
     return out.select("event_id", "x", "y", *[F.round(F.degrees(n), 4).alias(n) for n in ("a1", "a2", "a3")], (F.abs(E.elbow_determinant(F.col("a2"), 1.0, 0.8)) > 0.5).alias("far_from_singular"))
 
 
-@query("""WITH s AS (SELECT generate_series * 0.25 AS ntu FROM generate_series(1, 20)), e AS (SELECT ntu, (1 - exp(-ntu * 0.4)) / (1 - 0.6 * exp(-ntu * 0.4)) AS e FROM s)
-SELECT ntu::DOUBLE AS ntu, round(e, 6) AS effectiveness, round(120 - e * 0.6 * (120 - 20), 4) AS hot_out, round(105.6 * 30 / 24, 6) AS rescaled FROM e""")
+@query("""WITH s AS (SELECT l_orderkey, l_linenumber, l_quantity::DOUBLE / 10 AS ntu, least(0.95, l_discount::DOUBLE * 8) AS c, l_tax::DOUBLE AS tax FROM lineitem), e AS (SELECT *, (1 - exp(-ntu * (1 - c))) / (1 - c * exp(-ntu * (1 - c))) AS e FROM s)
+SELECT l_orderkey, l_linenumber, round(e, 6) AS effectiveness, round(120 - e * c * (120 - 20), 4) AS hot_out, round(105.6 * 30 / (24 + tax), 6) AS rescaled FROM e""")
 def q_heat_exchanger(spark, sf_dir):
-    e = E.counterflow_effectiveness(F.col("ntu"), F.lit(0.6))
-    s = spark.range(1, 21).select((F.col("id") * 0.25).alias("ntu")).withColumn("e", e)
-    return s.select("ntu", F.round("e", 6).alias("effectiveness"), F.round(E.counterflow_outlet(F.lit(120.0), F.lit(20.0), F.col("e"), F.lit(0.6)), 4).alias("hot_out"), F.round(E.rescaled_frequency(F.lit(105.6), F.lit(30.0), F.lit(24.0)), 6).alias("rescaled"))
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity").cast("double") / 10).alias("ntu"), F.least(F.lit(0.95), F.col("l_discount").cast("double") * 8).alias("c"), F.col("l_tax").cast("double").alias("tax"))
+    l = l.withColumn("e", E.counterflow_effectiveness(F.col("ntu"), F.col("c")))
+    out = E.counterflow_outlet(F.lit(120.0), F.lit(20.0), F.col("e"), F.col("c"))
+    return l.select("l_orderkey", "l_linenumber", F.round("e", 6).alias("effectiveness"), F.round(out, 4).alias("hot_out"), F.round(E.rescaled_frequency(F.lit(105.6), F.lit(30.0), 24 + F.col("tax")), 6).alias("rescaled"))
+

@@ -9,6 +9,7 @@ from quillstone.functions import text as T
 from quillstone.operators import comments, conversations as C, likelihood as L
 from quillstone.plans.lexicons import AI_PATTERNS, ANCHORS, FINANCE, HEDGES, INSULTS, STEMS, VALUED
 from quillstone.plans.registry import listed, query, sql_list, sql_values, table
+from quillstone.sources.shared import materialize
 
 #: Letters and digits beyond ASCII as underscores: what the SQL engine's ASCII word boundaries then take for letters.
 PLAIN = r"regexp_replace(text, '[^\P{L}\x00-\x7F]|[^\P{N}\x00-\x7F]', '_', 'g')"
@@ -197,8 +198,13 @@ sc AS (SELECT doc_id, pos, ln((n + 0.1) / (np + 0.1 * 5000)) AS lp, rk FROM p JO
 pp AS (SELECT doc_id, count(*) AS n_tokens, exp(-avg(lp)) AS pp FROM sc GROUP BY doc_id)"""
 
 
+def document_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens with those before them, written out."""
+    return materialize(comments.pair_table(documents(spark, sf_dir)), "pairs")
+
+
 def scored(spark, sf_dir):
-    t = document_tokens(spark, sf_dir)
+    t = document_pairs(spark, sf_dir)
     return L.score(t, L.fit_bigrams(t), 5000)
 
 
@@ -236,14 +242,20 @@ def q_burstiness(spark, sf_dir):
     return L.burstiness(s, "doc_id", "n").select("doc_id", *r6("burstiness"))
 
 
-@query()
+def curvature_sql(tokens: str, copies: int, name: str = "doc_id", key: str = "doc_id") -> str:
+    """Tables co (log probabilities of the copies) and cu (curvature by `key`) over the pairs p and the model bp of `tokens`."""
+    return f"""{tokens}, be AS (SELECT prev, arg_max(token, (n, token)) AS fill FROM bi GROUP BY prev),
+p2 AS (SELECT *, coalesce(lag(prev) OVER (PARTITION BY {key} ORDER BY pos), '') AS prev2, sha256({name} || ':' || pos) AS h, coalesce(sha256({name} || ':' || (pos - 1)), '') AS hb FROM p),
+fi AS (SELECT p2.{key}, pos, p2.prev, token, coalesce(a.fill, token) AS fill, CASE WHEN pos = 0 THEN '' ELSE coalesce(b.fill, p2.prev) END AS fb, h, hb FROM p2 LEFT JOIN be a ON a.prev = p2.prev LEFT JOIN be b ON b.prev = p2.prev2),
+ce AS (SELECT {key}, c AS copy, CASE WHEN c > 0 AND pos > 0 AND substr(hb, 2 * c - 1, 2) < '{L.REPLACED_BELOW}' THEN fb ELSE prev END AS prev, CASE WHEN c > 0 AND substr(h, 2 * c - 1, 2) < '{L.REPLACED_BELOW}' THEN fill ELSE token END AS token FROM fi, range({copies + 1}) r(c)),
+co AS (SELECT {key}, copy, round(sum(ln((coalesce(n, 0) + 0.1) / (coalesce(np, 0) + 500.0))), 9) AS lp FROM ce LEFT JOIN bp USING (prev, token) GROUP BY {key}, copy),
+cu AS (SELECT {key}, CASE WHEN count(*) >= 3 THEN (max(lp) FILTER (WHERE copy = 0) - avg(lp) FILTER (WHERE copy > 0)) / CASE WHEN stddev_samp(lp) FILTER (WHERE copy > 0) > 0 THEN stddev_samp(lp) FILTER (WHERE copy > 0) ELSE 1e-8 END END AS curvature FROM co GROUP BY {key})"""
+
+
+@query(f"WITH {curvature_sql(_BI, 10)} SELECT doc_id, round(curvature, 4) AS curvature FROM cu")
 def q_curvature(spark, sf_dir):
-    t = document_tokens(spark, sf_dir)
-    model = L.fit_bigrams(t)
-    copies = L.perturbed(t, model).withColumn("key", F.concat_ws(":", "doc_id", "copy"))
-    s = L.score(copies, model, 5000, id_column="key").groupBy("key").agg(F.sum("log_p").alias("log_p"))
-    s = s.select(F.split_part("key", F.lit(":"), F.lit(1)).cast("long").alias("doc_id"), F.split_part("key", F.lit(":"), F.lit(2)).cast("int").alias("copy"), "log_p")
-    return L.curvature(s, "doc_id").select("doc_id", *r6("curvature"))
+    t = document_pairs(spark, sf_dir)
+    return L.curvature(L.copy_scores(t, L.fit_bigrams(t), 5000, 10), "doc_id").select("doc_id", F.round("curvature", 4).alias("curvature"))
 
 
 CONV = "m AS (SELECT conv_id, turn, CASE role WHEN 'assistant' THEN 'S' WHEN 'user' THEN 'V' END AS speaker, text FROM conversations)"

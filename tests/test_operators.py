@@ -87,7 +87,7 @@ def test_grid_radius_and_nearest_equal_brute_force(spark):
     far = lambda a, b: math.dist(a[1:], b[1:])
     got = {r.id: r.neighbours for r in K.radius_counts(df, 0.7).collect()}
     assert got == {a[0]: sum(far(a, b) <= 0.7 for b in pts) for a in pts}
-    near = {r.id: r.mean_distance for r in K.nearest_distances(df, 3, 0.3).collect()}
+    near = {r.id: r.mean_distance for r in K.nearest_distances(df, 3).collect()}
     for a in pts:
         assert abs(near[a[0]] - sum(sorted(far(a, b) for b in pts if b is not a)[:3]) / 3) < 1e-9
 
@@ -265,10 +265,10 @@ def test_neutral_equals_python(spark):
 def test_few_points_are_all_kept(spark):
     pts = [(i, float(i), 0.0, 0.0) for i in range(4)]
     df = spark.createDataFrame(pts, "id int, x double, y double, z double")
-    assert K.statistical_inliers(K.nearest_distances(df, 5, 0.1)).count() == 4
+    assert K.statistical_inliers(K.nearest_distances(df, 5)).count() == 4
     # a far outlier settles too, however wide the cells must grow
     far = spark.createDataFrame([*pts, (9, 1e6, 0.0, 0.0)], df.schema)
-    assert {r.id for r in K.nearest_distances(far, 3, 1e-3).collect()} == {0, 1, 2, 3, 9}
+    assert {r.id for r in K.nearest_distances(far, 3).collect()} == {0, 1, 2, 3, 9}
 
 
 def test_planes_are_as_many_as_asked(spark):
