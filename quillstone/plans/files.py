@@ -11,7 +11,7 @@ from quillstone.operators import decisions as D, geometry as G, parsers as P, re
 from quillstone.plans import scores, spaces, texts
 from quillstone.plans.lexicons import ANCHORS
 from quillstone.plans.registry import ORACLE, listed, query, sql_list, sql_values, table
-from quillstone.sources import clouds, records
+from quillstone.sources import clouds, ply, records
 from quillstone.sources.shared import shared_dir
 from quillstone.streaming import scoring
 
@@ -171,6 +171,16 @@ def q_cloud_files(spark, sf_dir):
     return v.groupBy("path").agg(F.count("*").alias("n"), *[F.round(F.sum(F.round(a, 3)), 3).alias(a) for a in "xyz"], F.sum("r").alias("r"))
 
 
+@query(f"WITH {spaces._PTS} SELECT id % 256 AS r, count(*) AS n, round(sum(x), 3) AS x, round(sum(y), 3) AS y, round(sum(z), 3) AS z FROM pts GROUP BY 1")
+def q_cloud_ranges(spark, sf_dir):
+    """A cloud written and read by the data source; its one file is read in ranges of 100 records by as many tasks."""
+    path = fresh(spark, "cloud")
+    shade = (F.col("id") % 256).cast("short")
+    ply.write(spaces.cloud(spark, sf_dir).select("x", "y", "z", shade.alias("r"), F.lit(0).cast("short").alias("g"), F.lit(255).cast("short").alias("b")).coalesce(1), path)
+    v = ply.read(spark, path, 100)
+    return v.groupBy(F.col("r").cast("long").alias("r")).agg(F.count("*").alias("n"), *[F.round(F.sum(F.round(a, 3)), 3).alias(a) for a in "xyz"])
+
+
 @query(f"WITH {spaces._PTS} SELECT id % 3 = 0 AS third, count(*) AS n, round(sum(x), 3) AS x, round(sum(z), 3) AS z FROM pts GROUP BY 1")
 def q_cloud_text_files(spark, sf_dir):
     """Clouds as ASCII files on disk, without colours."""

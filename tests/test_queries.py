@@ -12,8 +12,8 @@ def test_equals_sql(spark, name):
 
 #: Queries that SQL cannot express, their id and the table that has one row for each of theirs (none: fewer rows).
 WITHOUT_SQL = {
-    "q_comment_features": ("doc_id", "documents"), "q_conversation_features": ("conv_id", None), "q_stage_model": ("conv_id", None), "q_out_of_fold": ("doc_id", "labels"), "q_curvature": ("doc_id", "documents"),
-    "q_neutralize": ("doc_id", "documents"), "q_plane_removal_sampled": ("id", None), "q_find_square": ("row", None), "q_scored_comments": ("doc_id", "documents"),
+    "q_comment_features": ("doc_id", "documents"), "q_conversation_features": ("conv_id", None), "q_stage_model": ("conv_id", None), "q_out_of_fold": ("doc_id", "labels"),
+    "q_plane_removal_sampled": ("id", None), "q_scored_comments": ("doc_id", "documents"),
 }
 
 
