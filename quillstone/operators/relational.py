@@ -57,7 +57,13 @@ def best_by(df: DataFrame, key: str, value: str, order: list) -> DataFrame:
 
 
 def seeded_shuffle(df: DataFrame, key: str, seed: int) -> DataFrame:
-    return df.orderBy(F.xxhash64(F.lit(seed), key), key)
+    """df in an order that the seed decides: by the MD5 hash of seed and key."""
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key)
+
+
+def shuffled_places(df: DataFrame, key: str, seed: int, name: str = "place") -> DataFrame:
+    """df with each row's place in that order, from 1."""
+    return numbered(df.withColumn("_order", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))), ["_order", key], name).drop("_order")
 
 
 def positional_zip(a: DataFrame, b: DataFrame, order_a: str, order_b: str) -> DataFrame:

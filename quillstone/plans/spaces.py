@@ -357,9 +357,10 @@ def q_rate_limiter(spark, sf_dir):
     return rates.limited(e, "user_id", "at", 7 * 86400.0, 5)
 
 
-@query("SELECT item_id FROM benchmark")
+@query("SELECT doc_id, row_number() OVER (ORDER BY md5('3:' || doc_id), doc_id) AS place FROM documents")
 def q_seeded_shuffle(spark, sf_dir):
-    return R.seeded_shuffle(table(spark, sf_dir, "benchmark").select("item_id"), "item_id", 3)
+    """Each document's place in a shuffled order."""
+    return R.shuffled_places(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 3)
 
 
 _RIDGE = """WITH RECURSIVE x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS e, generate_subscripts(embedding, 1) AS i, label::DOUBLE AS y FROM embeddings),
