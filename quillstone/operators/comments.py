@@ -29,14 +29,15 @@ def token_table(df: DataFrame, id_column: str = "doc_id", text: str = "text") ->
     return df.select(F.col(id_column), F.posexplode(T.tokens(F.col(text))).alias("pos", "token"))
 
 
-def pair_table(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """The same with the token before (prev) and the one before that (prev2), empty where there is none.
+def pair_table(df: DataFrame, id_column: str = "doc_id", text: str = "text", back: int = 2) -> DataFrame:
+    """The same with the token before (prev) and, if `back` is 2, the one before that (prev2), empty where there is none.
 
     They are taken inside each text's array, so no window over the tokens is needed.
     """
-    at = lambda w, i: F.when(i >= 0, F.get(w, i)).otherwise("")
-    told = numeric.let(T.tokens(F.col(text)), lambda w: F.transform(w, lambda t, i: F.struct(t.alias("token"), at(w, i - 1).alias("prev"), at(w, i - 2).alias("prev2"))))
-    return df.select(F.col(id_column), F.posexplode(told).alias("pos", "t")).select(id_column, "pos", "t.*")
+    shifted = lambda w, n: F.slice(F.concat(F.array(*[F.lit("")] * n), w), F.lit(1), F.size(w))
+    told = numeric.let(T.tokens(F.col(text)), lambda w: F.arrays_zip(w, *[shifted(w, k + 1) for k in range(back)]))
+    named = told.cast("array<struct<" + ",".join(f"{c}:string" for c in ("token", "prev", "prev2")[: back + 1]) + ">>")
+    return df.select(F.col(id_column), F.posexplode(named).alias("pos", "t")).select(id_column, "pos", "t.*")
 
 
 def affect(tokens: DataFrame, lexicon: DataFrame, id_column: str = "doc_id") -> DataFrame:

@@ -6,6 +6,7 @@ import math
 import random
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -315,27 +316,47 @@ def fundamental_inliers(matches: DataFrame, key: str = "pair", threshold: float
     return matches.groupBy(key).applyInPandas(fit, matches.schema)
 
 
+def smallest_vectors(normal):
+    """The eigenvector of the smallest eigenvalue of each of many symmetric matrices."""
+    import numpy as np
+
+    return np.linalg.eigh(normal)[1][..., 0]
+
+
 def triangulated(views: DataFrame, matrices: dict[int, list[list[float]]], key: str = "track") -> DataFrame:
-    """x, y, z of each track from its views (track, image, u, v) by direct linear transform, its largest reprojection error and its least and greatest depth."""
+    """x, y, z of each track from its views (track, image, u, v) by direct linear transform, its largest reprojection error and its least and greatest depth.
+
+    The two equations of each view add up to a symmetric 4 x 4 matrix for each track, by one
+    aggregation; the null vectors of a whole Arrow batch of tracks are found at once; errors
+    and depths are an aggregation of the views again.  Tracks of one view go, and views of
+    images without a matrix.
+    """
     import numpy as np
-    import pandas as pd
 
-    p = {k: np.array(m) for k, m in matrices.items()}
-
-    def solve(group: pd.DataFrame) -> pd.DataFrame:
-        rows = [r for i, u, v in zip(group["image"], group["u"], group["v"], strict=True) for r in (u * p[i][2] - p[i][0], v * p[i][2] - p[i][1])]
-        h = _null_vector(rows)
-        if len(group) < 2 or abs(h[3]) < 1e-12:
-            return pd.DataFrame(columns=[key, "x", "y", "z", "n_views", "worst", "near", "far"])
-        x = h[:3] / h[3]
-        errors, depths = [], []
-        for i, u, v in zip(group["image"], group["u"], group["v"], strict=True):
-            q = p[i] @ np.append(x, 1)
-            depths.append(q[2])
-            errors.append(np.hypot(q[0] / q[2] - u, q[1] / q[2] - v) if q[2] > 1e-9 else np.inf)
-        return pd.DataFrame({key: [group[key].iloc[0]], "x": [x[0]], "y": [x[1]], "z": [x[2]], "n_views": [len(group)], "worst": [max(errors)], "near": [min(depths)], "far": [max(depths)]})
-
-    return views.groupBy(key).applyInPandas(solve, f"{key} {dict(views.dtypes)[key]}, x double, y double, z double, n_views int, worst double, near double, far double")
+    spark = views.sparkSession
+    cameras = spark.createDataFrame([(int(k), [float(x) for row in m for x in row]) for k, m in matrices.items()], "image long, _m array<double>")
+    seen = views.select(key, F.col("image").cast("long").alias("image"), "u", "v").join(F.broadcast(cameras), "image")
+    m = lambda i, j: F.get("_m", F.lit(4 * i + j))
+    one, two = [F.col("u") * m(2, j) - m(0, j) for j in range(4)], [F.col("v") * m(2, j) - m(1, j) for j in range(4)]
+    half = [(i, j) for i in range(4) for j in range(i, 4)]
+    normal = seen.groupBy(key).agg(F.count("*").cast("int").alias("n_views"), *[F.sum(one[i] * one[j] + two[i] * two[j]).alias(f"_s{i}{j}") for i, j in half])
+
+    def solve(batches: Iterator) -> Iterator:
+        for b in batches:
+            a = np.empty((b.num_rows, 4, 4))
+            for i, j in half:
+                a[:, i, j] = a[:, j, i] = b.column(f"_s{i}{j}").to_numpy(zero_copy_only=False)
+            h = smallest_vectors(a)
+            good = np.flatnonzero(np.abs(h[:, 3]) >= 1e-12)
+            x = h[good, :3] / h[good, 3:]
+            at = pa.array(good)
+            yield pa.RecordBatch.from_arrays([b.column(key).take(at), *[pa.array(x[:, k]) for k in range(3)], b.column("n_views").take(at)], names=[key, "x", "y", "z", "n_views"])
+
+    found = normal.where("n_views >= 2").mapInArrow(solve, f"{key} {dict(views.dtypes)[key]}, x double, y double, z double, n_views int")
+    q = [m(i, 0) * F.col("x") + m(i, 1) * F.col("y") + m(i, 2) * F.col("z") + m(i, 3) for i in range(3)]
+    error = F.when(q[2] > 1e-9, F.hypot(q[0] / q[2] - F.col("u"), q[1] / q[2] - F.col("v"))).otherwise(float("inf"))
+    back = seen.join(found, key).select(key, "x", "y", "z", "n_views", error.alias("_e"), q[2].alias("_d"))
+    return back.groupBy(key).agg(*[F.first(c).alias(c) for c in ("x", "y", "z", "n_views")], F.max("_e").alias("worst"), F.min("_d").alias("near"), F.max("_d").alias("far"))
 
 
 def promoted_tracks(links: DataFrame, keypoints: DataFrame, matrices: dict[int, list[list[float]]], least_views: int = 3, most_error: float = 6.0) -> DataFrame:

@@ -29,7 +29,7 @@ def fit_bigrams(tokens: DataFrame, id_column: str = "doc_id") -> DataFrame:
     token) and a frequent word is spread over its followers, and Spark may split what is
     still too large.
     """
-    pairs = with_previous(tokens, id_column).groupBy("prev", "token").agg(F.count("*").alias("n"))
+    pairs = materialize(with_previous(tokens, id_column).groupBy("prev", "token").agg(F.count("*").alias("n")), "bigram-counts")
     sizes = pairs.groupBy("prev", "n").agg(F.count("*").alias("m"))
     above = Window.partitionBy("prev").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("prev", "n", F.sum(F.col("n") * F.col("m")).over(Window.partitionBy("prev")).alias("n_prev"), (1 + F.coalesce(F.sum("m").over(above), F.lit(0))).alias("rank"))

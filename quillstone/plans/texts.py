@@ -198,9 +198,9 @@ sc AS (SELECT doc_id, pos, ln((n + 0.1) / (np + 0.1 * 5000)) AS lp, rk FROM p JO
 pp AS (SELECT doc_id, count(*) AS n_tokens, exp(-avg(lp)) AS pp FROM sc GROUP BY doc_id)"""
 
 
-def document_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def document_pairs(spark: SparkSession, sf_dir: str, back: int = 1) -> DataFrame:
     """Tokens with those before them, written out."""
-    return materialize(comments.pair_table(documents(spark, sf_dir)), "pairs")
+    return materialize(comments.pair_table(documents(spark, sf_dir), back=back), "pairs")
 
 
 def scored(spark, sf_dir):
@@ -254,7 +254,7 @@ cu AS (SELECT {key}, CASE WHEN count(*) >= 3 THEN (max(lp) FILTER (WHERE copy =
 
 @query(f"WITH {curvature_sql(_BI, 10)} SELECT doc_id, round(curvature, 4) AS curvature FROM cu")
 def q_curvature(spark, sf_dir):
-    t = document_pairs(spark, sf_dir)
+    t = document_pairs(spark, sf_dir, back=2)
     return L.curvature(L.copy_scores(t, L.fit_bigrams(t), 5000, 10), "doc_id").select("doc_id", F.round("curvature", 4).alias("curvature"))
 
 

@@ -79,7 +79,7 @@ def read_category_dictionary(spark: SparkSession, path: str, wanted: str = "vice
     lines = lambda i: F.filter(F.split(F.get("p", F.lit(i)), r"\r?\n"), lambda x: F.trim(x) != "")
     cats = F.filter(F.transform(lines(1), lambda x: F.split(F.trim(x), r"\s+", 2)), lambda x: F.contains(F.lower(F.get(x, F.lit(1))), F.lit(wanted)))
     held = parts.select(F.transform(cats, lambda x: F.get(x, F.lit(0))).alias("ids"), F.explode(lines(2)).alias("line")).select("ids", F.split(F.trim("line"), r"\s+").alias("w"))
-    return held.where(F.arrays_overlap("ids", F.slice("w", 2, 1000))).select(F.regexp_replace(F.lower(F.get("w", F.lit(0))), r"\*$", "").alias("stem")).distinct()
+    return held.where(F.arrays_overlap("ids", F.slice("w", F.lit(2), F.size("w")))).select(F.regexp_replace(F.lower(F.get("w", F.lit(0))), r"\*$", "").alias("stem")).distinct()
 
 
 def read_baseline(spark: SparkSession, path: str) -> DataFrame:
