@@ -148,19 +148,25 @@ def sets(docs: DataFrame, size: int) -> DataFrame:
 
 
 def settled(sets_of: list[np.ndarray]) -> np.ndarray:
-    """The component (its first member's number) of each of a cluster's sets."""
+    """The component (its first member's number) of each of a cluster's sets.  The list is emptied on the way."""
     n = len(sets_of)
     size = np.array([len(x) for x in sets_of])
     ends = np.cumsum(size)
-    _, code = np.unique(np.concatenate(sets_of), return_inverse=True)
     sig = np.array([signature(x) for x in sets_of])
+    # numbers of four bytes for the shingles, set by set, so that no second array of the whole cluster is needed beside them
+    known, code = np.unique(np.concatenate(sets_of)), np.empty(int(ends[-1]), dtype=np.uint32)
+    for k in range(n):
+        code[ends[k] - size[k] : ends[k]] = np.searchsorted(known, sets_of[k])
+        sets_of[k] = None
+    n_known = len(known)
+    del known
     central = np.zeros(n, dtype=np.int64)
     for k in range(BANDS):
         _, same, count = np.unique(np.ascontiguousarray(sig[:, ROWS * k : ROWS * (k + 1)]).view(f"V{4 * ROWS}").ravel(), return_inverse=True, return_counts=True)
         central += count[same]
     order = np.argsort(-central, kind="stable")
     needed = least_matches()
-    label, open_ones, mark = np.arange(n), np.ones(n, dtype=bool), np.zeros(code.max() + 1, dtype=bool)
+    label, open_ones, mark = np.arange(n), np.ones(n, dtype=bool), np.zeros(n_known, dtype=bool)
     while True:
         left = order[open_ones[order]]
         labels, count = np.unique(label[left], return_counts=True)
@@ -177,7 +183,7 @@ def settled(sets_of: list[np.ndarray]) -> np.ndarray:
         if not len(alive):
             continue
         mark[code[ends[x] - size[x] : ends[x]]] = True
-        both = np.add.reduceat(np.concatenate([mark[code[ends[i] - size[i] : ends[i]]] for i in alive]).astype(np.int64), np.cumsum(size[alive]) - size[alive])
+        both = np.array([np.count_nonzero(mark[code[ends[i] - size[i] : ends[i]]]) for i in alive])
         mark[code[ends[x] - size[x] : ends[x]]] = False
         linked = alive[100 * both >= PERCENT * (size[alive] + size[x] - both)]
         if len(linked):
@@ -188,27 +194,26 @@ def settled(sets_of: list[np.ndarray]) -> np.ndarray:
 def _settled_clusters(rows: DataFrame, size: int) -> DataFrame:
     """node and component of the members (cluster, key, text) of clusters of bounded size, one cluster after the other."""
 
-    def settle(keys: list[bytes], texts: list[str]) -> tuple[list[bytes], list[bytes]]:
-        unique = dict(zip(keys, texts, strict=True))  # repeated rows give a class's text twice
-        names = list(unique)
-        label = settled([shingles(t, size) for t in unique.values()])
-        return names, [names[k] for k in label]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, keys, texts, out = None, [], [], ([], [])
+        # of a cluster only the sets are held, never its texts
+        now, held, out = None, {}, ([], [])
 
         def flush() -> None:
-            if len(keys) > 1:
-                for column, x in zip(out, settle(keys, texts), strict=True):
-                    column.extend(x)
+            if len(held) > 1:
+                names, sets_of = list(held), list(held.values())
+                held.clear()
+                label = settled(sets_of)
+                out[0].extend(names)
+                out[1].extend(names[k] for k in label)
+            held.clear()
 
         for b in batches:
             for c, k, t in zip(b.column("cluster").to_pylist(), b.column("key").to_pylist(), b.column("text"), strict=True):
                 if c != now:
                     flush()
-                    now, keys, texts = c, [], []
-                keys.append(k)
-                texts.append(t.as_py())
+                    now = c
+                if k not in held:  # repeated rows give a class's text twice
+                    held[k] = shingles(t.as_py(), size)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in out], names=["node", "component"])
                 out = ([], [])
