@@ -43,8 +43,12 @@ def pid(errors: DataFrame, key: list[str], at: str, error: str, kp: float, ki: f
 
 
 def winding(curve: DataFrame, key: list[str], at: str, re: str, im: str) -> DataFrame:
-    """Turns of each curve round the origin; a whole number for a closed one."""
+    """Turns of each curve round the origin; a whole number for a closed one.
+
+    A half turn is one of pi, whichever way the last bit of its angles points: the step is
+    taken as turns of nine digits, halves away from zero, before it is wrapped.
+    """
     angles = curve.select(*key, at, F.atan2(im, re).alias("_angle"))
     turn = F.col("_angle") - F.col("before")
-    wrapped = turn - 2 * math.pi * F.round(turn / (2 * math.pi))
+    wrapped = turn - 2 * math.pi * F.round(F.round(turn / (2 * math.pi), 9))
     return Ordered(angles, key, [at]).scan(Neighbours("_angle")).groupBy(*key).agg((F.coalesce(F.sum(wrapped), F.lit(0.0)) / (2 * math.pi)).alias("turns"))

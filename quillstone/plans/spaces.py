@@ -259,7 +259,7 @@ _TRACK = "c AS (SELECT user_id, event_id AS t, value - 25.0 AS re, (event_id * 3
 
 
 @query(f"""WITH {_TRACK}, d AS (SELECT user_id, atan2(im, re) - lag(atan2(im, re)) OVER (PARTITION BY user_id ORDER BY t) AS d FROM c)
-SELECT user_id, round(coalesce(sum(d - 2 * pi() * round(d / (2 * pi()))), 0) / (2 * pi()), 6) AS turns FROM d GROUP BY user_id""")
+SELECT user_id, round(coalesce(sum(d - 2 * pi() * round(round(d / (2 * pi()), 9))), 0) / (2 * pi()), 6) AS turns FROM d GROUP BY user_id""")
 def q_winding(spark, sf_dir):
     """Turns of each user's track round a point."""
     e = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("t"), (F.col("value") - 25.0).alias("re"), (F.col("event_id") * 37 % 101 - 50).cast("double").alias("im"))
