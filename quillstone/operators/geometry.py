@@ -369,11 +369,15 @@ def promoted_tracks(links: DataFrame, keypoints: DataFrame, matrices: dict[int,
     return triangulated(first.join(enough, "track", "left_semi"), matrices).where(F.col("worst") <= most_error)
 
 
+DEPTH_DIGITS = 6
+
+
 def track_cloud(matches: DataFrame, keypoints: DataFrame, matrices: dict[int, list[list[float]]], near: float, far: float, least_views: int = 3, most_error: float = 6.0, threshold: float = 2.0, tries: int = 500) -> DataFrame:
     """The sparse cloud of matched keypoints (pair, a, b, ua, va, ub, vb): matches that no fundamental matrix explains go, the
-    rest are linked to tracks, and tracks with enough views, small errors and depths within bounds become points."""
+    rest are linked to tracks, and tracks with enough views, small errors and depths within bounds become points.  Depths
+    are rounded to DEPTH_DIGITS, so that a point on a bound is not left to the noise of the triangulation."""
     good = materialize(fundamental_inliers(matches, threshold=threshold, tries=tries), "matches")
-    return promoted_tracks(good.select("a", "b"), keypoints, matrices, least_views, most_error).where((F.col("near") >= near) & (F.col("far") <= far))
+    return promoted_tracks(good.select("a", "b"), keypoints, matrices, least_views, most_error).where((F.round("near", DEPTH_DIGITS) >= near) & (F.round("far", DEPTH_DIGITS) <= far))
 
 
 def pose_check(poses: DataFrame, k: list[list[float]], ahead: float = 100.0, aside: float = 25.0) -> DataFrame:
