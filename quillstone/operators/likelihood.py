@@ -97,12 +97,17 @@ def spelled(df: DataFrame, id_column: str) -> Column:
     return F.concat_ws(":", *[F.col(f"{id_column}.{f}") for f in kind.names]) if hasattr(kind, "names") else F.col(id_column).cast("string")
 
 
-def replaced_in(name: Column, pos: Column, copies: int) -> Column:
-    """Bit c of the number: whether the token at pos is replaced in copy c; copy 0 is the original."""
-    h = F.sha2(F.concat_ws(":", name, pos.cast("string")), 256)
+def digest(name: Column, pos: Column) -> Column:
+    return F.sha2(F.concat_ws(":", name, pos.cast("string")), 256)
+
+
+def replaced_in(h: Column, copies: int) -> Column:
+    """Bit c of the number: whether the token of that digest is replaced in copy c; copy 0 is the original.  Without a digest in none."""
     return sum((F.when(F.substring(h, 2 * c - 1, 2) < REPLACED_BELOW, F.lit(1 << c)).otherwise(0) for c in range(1, copies + 1)), F.lit(0))
 
 
+#: Words with their likeliest followers that may be broadcast (some 80 bytes each).
+MOST_BROADCAST_WORDS = 1_000_000
 #: Copies that one hash of 64 hexadecimal digits can speak for, in the bits of an integer.
 MOST_COPIES = 30
 
@@ -111,24 +116,38 @@ def copy_scores(tokens: DataFrame, model: DataFrame, vocabulary: int, copies: in
     """id, copy and log_p of each text and its copies, in which hash-chosen tokens are replaced by the likeliest follower of the token before.
 
     At a place only four pairs can stand (the token or its replacement, after the token
-    before or its replacement), whatever the number of copies.  Each is looked up once and
-    then goes to the copies that have it.  Sums are rounded to nine digits, so that copies of
-    equal tokens are equal.  tokens are a pair_table.
+    before or its replacement), whatever the number of copies.  That of the token before and
+    the replacement is told by the token before; the others are looked up once.  A text's row
+    has a sum for each copy, to which a pair is added where its bit is set, so pairs are not
+    repeated by copies.  Sums are rounded to nine digits, so that copies of equal tokens are
+    equal.  tokens are a pair_table.
     """
-    best = model.groupBy("prev").agg(F.max_by("token", F.struct("n", "token")).alias("fill"))
-    held = tokens.join(best, "prev", "left").join(best.withColumnsRenamed({"prev": "prev2", "fill": "_before"}), "prev2", "left")
+    best = model.groupBy("prev").agg(F.max_by(F.struct(F.col("token").alias("fill"), "n", "n_prev"), F.struct("n", "token")).alias("b")).select("prev", "b.*")
+    best = materialize(best, "fills")
+    few = F.broadcast if best.count() <= MOST_BROADCAST_WORDS else lambda df: df
+    p = lambda n, n_prev: F.ln((F.coalesce(n, F.lit(0)) + alpha) / (F.coalesce(n_prev, F.lit(0)) + alpha * vocabulary))
+    told = best.select("prev", "fill", p("n", "n_prev").alias("_fill_p"))
+    held = tokens.join(few(told), "prev", "left").join(few(best.select(F.col("prev").alias("prev2"), F.col("fill").alias("_before"))), "prev2", "left")
     name, everywhere = spelled(tokens, id_column), (1 << (copies + 1)) - 1
     first = F.col("pos") == 0
-    mine, before = replaced_in(name, F.col("pos"), copies), F.when(first, F.lit(0)).otherwise(replaced_in(name, F.col("pos") - 1, copies))
-    fill, fill_before = F.coalesce("fill", "token"), F.when(first, F.lit("")).otherwise(F.coalesce("_before", "prev"))
-    marked = held.select(id_column, "prev", "token", fill.alias("fill"), fill_before.alias("fill_before"), mine.alias("mine"), before.alias("before"))
+    # the hashes stand in a projection of their own, so that they are taken once
+    hashed = held.withColumns({"_h": digest(name, F.col("pos")), "_hb": F.when(~first, digest(name, F.col("pos") - 1))})
+    fill_before = F.when(first, F.lit("")).otherwise(F.coalesce("_before", "prev"))
+    marked = hashed.select(id_column, "prev", "token", "fill", "_fill_p", fill_before.alias("fill_before"), replaced_in(F.col("_h"), copies).alias("mine"), replaced_in(F.col("_hb"), copies).alias("before"))
     no = lambda bits: F.lit(everywhere) - F.col(bits)
-    pairs = [("prev", "token", no("before"), no("mine")), ("prev", "fill", no("before"), F.col("mine")), ("fill_before", "token", F.col("before"), no("mine")), ("fill_before", "fill", F.col("before"), F.col("mine"))]
-    four = F.array(*[F.struct(F.col(a).alias("prev"), F.col(b).alias("token"), x.bitwiseAND(y).alias("which")) for a, b, x, y in pairs])
-    asked = marked.select(id_column, F.inline(four)).where("which > 0").join(model, ["prev", "token"], "left")
-    p = (F.coalesce("n", F.lit(0)) + alpha) / (F.coalesce("n_prev", F.lit(0)) + alpha * vocabulary)
-    told = asked.select(id_column, "which", F.ln(p).alias("log_p"), F.explode(F.sequence(F.lit(0), F.lit(copies))).alias("copy"))
-    return told.where(F.getbit("which", F.col("copy")) == 1).groupBy(id_column, "copy").agg(F.round(F.sum("log_p"), 9).alias("log_p"))
+    known, fill = F.col("_fill_p").isNotNull(), F.coalesce("fill", "token")
+    pairs = [
+        ("prev", F.col("token"), no("before").bitwiseAND(F.when(known, no("mine")).otherwise(everywhere)), None), ("prev", fill, F.when(known, no("before").bitwiseAND(F.col("mine"))).otherwise(0), F.col("_fill_p")),
+        ("fill_before", F.col("token"), F.col("before").bitwiseAND(no("mine")), None), ("fill_before", fill, F.col("before").bitwiseAND(F.col("mine")), None),
+    ]
+    four = F.array(*[F.struct(F.col(x).alias("prev"), y.alias("token"), w.alias("which"), (F.lit(None).cast("double") if v is None else v).alias("log_p")) for x, y, w, v in pairs])
+    every = marked.select(id_column, F.inline(four)).where("which > 0")
+    asked = every.where("log_p IS NULL").drop("log_p").join(model, ["prev", "token"], "left").select(id_column, "which", p("n", "n_prev").alias("log_p"))
+    sums = lambda df, v: df.groupBy(id_column).agg(*[F.sum(v(c)).alias(f"_s{c}") for c in range(copies + 1)])
+    of_pairs = lambda df: sums(df, lambda c: F.when(F.getbit("which", F.lit(c)) == 1, F.col("log_p")))
+    own = of_pairs(every.where("log_p IS NOT NULL").select(id_column, "which", "log_p"))
+    both = sums(of_pairs(asked).unionByName(own), lambda c: F.col(f"_s{c}"))
+    return both.select(id_column, F.posexplode(F.array(*[F.round(f"_s{c}", 9) for c in range(copies + 1)])).alias("copy", "log_p"))
 
 
 @dataclass
