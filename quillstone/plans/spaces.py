@@ -280,15 +280,28 @@ def q_engineering(spark, sf_dir):
     )
 
 
+def sizes(spark, sf_dir):
+    """The different sizes of parts: what a sweep gives hangs on nothing else."""
+    return table(spark, sf_dir, "part").select("p_size").distinct()
+
+
+def best_of_parts(spark, sf_dir, sweep, at: str, value: str):
+    """Each part's largest value of its size's sweep and the least place that has it; of rows of one key the best."""
+    best = lambda df, key: df.groupBy(key).agg(F.max_by(at, F.struct(value, -F.col(at))).alias(at), F.max(value).alias(value))
+    found = best(sweep, "p_size").withColumnRenamed("p_size", "_size")
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    return best(parts.join(found, F.col("p_size").eqNullSafe(F.col("_size")), "left"), "p_partkey")
+
+
 @query("""WITH s AS (SELECT p_partkey, p_size, 0.05 * k AS a FROM part, range(20, 61) r(k)), l AS (SELECT p_partkey, round(a, 2) AS support, round(pi() ** 2 * 200e9 * (p_size * 1e-8) / greatest(a, 4 - a) ** 2, 2) AS load FROM s)
 SELECT p_partkey, arg_max(support, (load, -support))::DOUBLE AS support, max(load) AS load FROM l GROUP BY p_partkey""")
 def q_buckling_sweep(spark, sf_dir):
     """The support that lets each part bear most, of 41 places."""
     at = F.explode(F.transform(F.sequence(F.lit(20), F.lit(60)), lambda k: k * F.lit(0.05)))
-    s = table(spark, sf_dir, "part").select("p_partkey", "p_size", at.alias("a"))
+    s = sizes(spark, sf_dir).select("p_size", at.alias("a"))
     load = E.euler_load(F.lit(200e9), F.col("p_size") * F.lit(1e-8), F.lit(4.0), F.col("a"))
-    s = s.select("p_partkey", F.round("a", 2).alias("support"), F.round(load, 2).alias("load"))
-    return s.groupBy("p_partkey").agg(F.max_by("support", F.struct("load", -F.col("support"))).alias("support"), F.max("load").alias("load"))
+    s = s.select("p_size", F.round("a", 2).alias("support"), F.round(load, 2).alias("load"))
+    return best_of_parts(spark, sf_dir, s, "support", "load")
 
 
 @query("""WITH s AS (SELECT p_partkey, p_size, 0.05 * k AS v FROM part, range(401) r(k)), p AS (SELECT p_partkey, round(v, 2) AS v, round(v * p_size * (1 - exp((v - 20.0) / 1.5)), 4) AS p FROM s)
@@ -296,9 +309,9 @@ SELECT p_partkey, arg_max(v, (p, -v))::DOUBLE AS v, max(p)::DOUBLE AS p FROM p G
 def q_power_point(spark, sf_dir):
     """The voltage at which a cell of each part's current gives most, of 401."""
     at = F.explode(F.transform(F.sequence(F.lit(0), F.lit(400)), lambda k: k * F.lit(0.05)))
-    s = table(spark, sf_dir, "part").select("p_partkey", "p_size", at.alias("v"))
-    s = s.select("p_partkey", F.round("v", 2).alias("v"), F.round(F.col("v") * E.cell_current(F.col("v"), F.col("p_size"), 20.0, 1.5), 4).alias("p"))
-    return s.groupBy("p_partkey").agg(F.max_by("v", F.struct("p", -F.col("v"))).alias("v"), F.max("p").alias("p"))
+    s = sizes(spark, sf_dir).select("p_size", at.alias("v"))
+    s = s.select("p_size", F.round("v", 2).alias("v"), F.round(F.col("v") * E.cell_current(F.col("v"), F.col("p_size"), 20.0, 1.5), 4).alias("p"))
+    return best_of_parts(spark, sf_dir, s, "v", "p")
 
 
 @query("""SELECT event_id, round(pow(2 / 2.4 * (1 + 0.2 * m * m), 3) / m, 4) AS area, round(sqrt((1 + 0.2 * m * m) / (1.4 * m * m - 0.2)), 6) AS after, round(1 + 2.8 / 2.4 * (m * m - 1), 6) AS pressure
