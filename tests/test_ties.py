@@ -46,3 +46,9 @@ def test_stream_files_hold_each_row_once_in_time_order(spark):
     assert sorted(r.id for r in files.collect()) == sorted(r.event_id for r in spark.read.parquet(f"{DATA}/events.parquet").collect())
     spans = sorted((r.a, r.b) for r in files.groupBy("f").agg({"ts": "min"}).withColumnRenamed("min(ts)", "a").join(files.groupBy("f").agg({"ts": "max"}).withColumnRenamed("max(ts)", "b"), "f").collect())
     assert len(spans) == 6 and all(a[1] < b[0] for a, b in zip(spans, spans[1:], strict=False))
+
+
+def test_sweeps_run_over_sizes_not_parts(spark):
+    for name in ("q_power_point", "q_buckling_sweep"):
+        plan = QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Aggregate [p_size" in plan[plan.index("Generate") :]
