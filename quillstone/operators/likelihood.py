@@ -6,8 +6,12 @@ aggregations of the token table; scoring is two joins on them.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import sha256
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,13 +101,28 @@ def spelled(df: DataFrame, id_column: str) -> Column:
     return F.concat_ws(":", *[F.col(f"{id_column}.{f}") for f in kind.names]) if hasattr(kind, "names") else F.col(id_column).cast("string")
 
 
-def digest(name: Column, pos: Column) -> Column:
-    return F.sha2(F.concat_ws(":", name, pos.cast("string")), 256)
+def replaced(name: Column, pos: Column, copies: int) -> Column:
+    """mine and before: bit c says whether this token, and the one before, is replaced in copy c; copy 0 is the original.
 
+    The bytes of a token's digest speak for one copy each.  Some forty comparisons a token are no expression that the
+    engine compiles well, so they are made by NumPy for a batch of tokens.
+    """
+    below, powers = int(REPLACED_BELOW, 16), np.array([1 << c for c in range(1, copies + 1)], dtype=np.int64)
+
+    def taken(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        nothing = b"\xff" * 32
+        for names, places in batches:
+            mine, before, last = [], [], (None, 0, nothing)
+            for n, k in zip(names.to_pylist(), places.to_pylist(), strict=True):
+                head = "" if n is None else f"{n}:"
+                told = last[2] if last[:2] == (n, k - 1) else sha256(f"{head}{k - 1}".encode()).digest() if k > 0 else nothing
+                last = (n, k, sha256(f"{head}{k}".encode()).digest())
+                mine.append(last[2])
+                before.append(told)
+            bits = [(np.frombuffer(b"".join(x), dtype=np.uint8).reshape(-1, 32)[:, :copies] < below) @ powers for x in (mine, before)]
+            yield pa.StructArray.from_arrays([pa.array(v, pa.int32()) for v in bits], names=["mine", "before"])
 
-def replaced_in(h: Column, copies: int) -> Column:
-    """Bit c of the number: whether the token of that digest is replaced in copy c; copy 0 is the original.  Without a digest in none."""
-    return sum((F.when(F.substring(h, 2 * c - 1, 2) < REPLACED_BELOW, F.lit(1 << c)).otherwise(0) for c in range(1, copies + 1)), F.lit(0))
+    return F.arrow_udf(taken, "mine int, before int")(name, pos)
 
 
 #: Words with their likeliest followers that may be broadcast (some 80 bytes each).
@@ -117,9 +136,9 @@ def copy_scores(tokens: DataFrame, model: DataFrame, vocabulary: int, copies: in
 
     At a place only four pairs can stand (the token or its replacement, after the token
     before or its replacement), whatever the number of copies.  That of the token before and
-    the replacement is told by the token before; the others are looked up once.  A text's row
-    has a sum for each copy, to which a pair is added where its bit is set, so pairs are not
-    repeated by copies.  Sums are rounded to nine digits, so that copies of equal tokens are
+    the replacement is told by the token before and travels with the original pair; the others
+    are looked up once.  A text's row has a sum for each copy, to which a pair is added where its
+    bit is set, so pairs are not repeated by copies.  Sums are rounded to nine digits, so that copies of equal tokens are
     equal.  tokens are a pair_table.
     """
     best = model.groupBy("prev").agg(F.max_by(F.struct(F.col("token").alias("fill"), "n", "n_prev"), F.struct("n", "token")).alias("b")).select("prev", "b.*")
@@ -127,27 +146,22 @@ def copy_scores(tokens: DataFrame, model: DataFrame, vocabulary: int, copies: in
     few = F.broadcast if best.count() <= MOST_BROADCAST_WORDS else lambda df: df
     p = lambda n, n_prev: F.ln((F.coalesce(n, F.lit(0)) + alpha) / (F.coalesce(n_prev, F.lit(0)) + alpha * vocabulary))
     told = best.select("prev", "fill", p("n", "n_prev").alias("_fill_p"))
-    held = tokens.join(few(told), "prev", "left").join(few(best.select(F.col("prev").alias("prev2"), F.col("fill").alias("_before"))), "prev2", "left")
-    name, everywhere = spelled(tokens, id_column), (1 << (copies + 1)) - 1
-    first = F.col("pos") == 0
-    # the hashes stand in a projection of their own, so that they are taken once
-    hashed = held.withColumns({"_h": digest(name, F.col("pos")), "_hb": F.when(~first, digest(name, F.col("pos") - 1))})
-    fill_before = F.when(first, F.lit("")).otherwise(F.coalesce("_before", "prev"))
-    marked = hashed.select(id_column, "prev", "token", "fill", "_fill_p", fill_before.alias("fill_before"), replaced_in(F.col("_h"), copies).alias("mine"), replaced_in(F.col("_hb"), copies).alias("before"))
+    marked = tokens.withColumn("_r", replaced(spelled(tokens, id_column), F.col("pos"), copies))
+    held = marked.join(few(told), "prev", "left").join(few(best.select(F.col("prev").alias("prev2"), F.col("fill").alias("_before"))), "prev2", "left")
+    everywhere = (1 << (copies + 1)) - 1
+    fill_before = F.when(F.col("pos") == 0, F.lit("")).otherwise(F.coalesce("_before", "prev"))
+    marked = held.select(id_column, "prev", "token", "fill", "_fill_p", fill_before.alias("fill_before"), "_r.mine", "_r.before")
     no = lambda bits: F.lit(everywhere) - F.col(bits)
-    known, fill = F.col("_fill_p").isNotNull(), F.coalesce("fill", "token")
+    known, fill, none = F.col("_fill_p").isNotNull(), F.coalesce("fill", "token"), F.lit(0)
     pairs = [
-        ("prev", F.col("token"), no("before").bitwiseAND(F.when(known, no("mine")).otherwise(everywhere)), None), ("prev", fill, F.when(known, no("before").bitwiseAND(F.col("mine"))).otherwise(0), F.col("_fill_p")),
-        ("fill_before", F.col("token"), F.col("before").bitwiseAND(no("mine")), None), ("fill_before", fill, F.col("before").bitwiseAND(F.col("mine")), None),
+        ("prev", F.col("token"), F.when(known, no("before").bitwiseAND(no("mine"))).otherwise(no("before")), F.when(known, no("before").bitwiseAND(F.col("mine"))).otherwise(none), F.col("_fill_p")),
+        ("fill_before", F.col("token"), F.col("before").bitwiseAND(no("mine")), none, F.lit(None).cast("double")), ("fill_before", fill, F.col("before").bitwiseAND(F.col("mine")), none, F.lit(None).cast("double")),
     ]
-    four = F.array(*[F.struct(F.col(x).alias("prev"), y.alias("token"), w.alias("which"), (F.lit(None).cast("double") if v is None else v).alias("log_p")) for x, y, w, v in pairs])
-    every = marked.select(id_column, F.inline(four)).where("which > 0")
-    asked = every.where("log_p IS NULL").drop("log_p").join(model, ["prev", "token"], "left").select(id_column, "which", p("n", "n_prev").alias("log_p"))
-    sums = lambda df, v: df.groupBy(id_column).agg(*[F.sum(v(c)).alias(f"_s{c}") for c in range(copies + 1)])
-    of_pairs = lambda df: sums(df, lambda c: F.when(F.getbit("which", F.lit(c)) == 1, F.col("log_p")))
-    own = of_pairs(every.where("log_p IS NOT NULL").select(id_column, "which", "log_p"))
-    both = sums(of_pairs(asked).unionByName(own), lambda c: F.col(f"_s{c}"))
-    return both.select(id_column, F.posexplode(F.array(*[F.round(f"_s{c}", 9) for c in range(copies + 1)])).alias("copy", "log_p"))
+    three = F.array(*[F.struct(F.col(x).alias("prev"), y.alias("token"), w.alias("which"), v.alias("which_fill"), q.alias("fill_p")) for x, y, w, v, q in pairs])
+    asked = marked.select(id_column, F.inline(three)).where("which > 0").join(model, ["prev", "token"], "left").select(id_column, "which", p("n", "n_prev").alias("log_p"), "which_fill", "fill_p")
+    of = lambda bits, c, v: F.when(F.getbit(bits, F.lit(c)) == 1, F.col(v)).otherwise(0.0)
+    sums = asked.groupBy(id_column).agg(*[F.sum(of("which", c, "log_p") + of("which_fill", c, "fill_p")).alias(f"_s{c}") for c in range(copies + 1)])
+    return sums.select(id_column, F.posexplode(F.array(*[F.round(f"_s{c}", 9) for c in range(copies + 1)])).alias("copy", "log_p"))
 
 
 @dataclass

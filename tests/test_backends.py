@@ -183,3 +183,21 @@ def test_store_setting_is_put_back(spark, form):
     with stateful.rocksdb(spark):
         assert spark.conf.get(stateful.STORE) == stateful.ROCKSDB
     assert spark.conf.get(stateful.STORE, None) == before
+
+
+def test_bits_of_replaced_tokens(spark):
+    from hashlib import sha256
+
+    places = [("a", 0), ("a", 1), ("a", 2), ("b", 7), ("b", 9), (None, 0), (None, 1), ("é", 3)]
+    df = spark.createDataFrame([(k, n, p) for k, (n, p) in enumerate(places)], "k int, n string, p int").coalesce(1)
+
+    def bits(n, p):
+        h = sha256(":".join(x for x in (n, str(p)) if x is not None).encode()).hexdigest() if p >= 0 else "f" * 64
+        return sum(1 << c for c in range(1, 21) if h[2 * c - 2 : 2 * c] < L.REPLACED_BELOW)
+
+    got = {r.k: (r.r.mine, r.r.before) for r in df.select("k", L.replaced(F.col("n"), F.col("p"), 20).alias("r")).collect()}
+    assert got == {k: (bits(n, p), bits(n, p - 1)) for k, (n, p) in enumerate(places)}
+    # the tokens are scored in one pass: no second aggregation beside the one of the pairs that are looked up
+    t = comments.pair_table(spark.createDataFrame([(1, "a b c a b d e a b")], "doc_id int, text string"))
+    plan = L.copy_scores(t, L.fit_bigrams(t), 5000, 20)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and "sha2(" not in plan
