@@ -7,6 +7,8 @@ too (`bounded`), since what `\\b` means hangs on the Java version.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,15 +36,67 @@ HYPERBOLE = (
     r"absolutely (everyone|nobody|nothing|everything)|insane|outrageous|unbelievable|insanity|madness)\b"
 )
 #: Capitalised words inside a sentence, pairs of them, numerals and quoted spans.
-INNER_CAPITAL = r"(?<![.!?]\s)(?<!^)\b[A-Z][a-z]+\b"
+INNER_CAPITAL = r"(?=[A-Z])(?<![.!?]\s)(?<!^)\b[A-Z][a-z]+\b"
 CAPITAL_PAIR = r"\b[A-Z][a-z]+\s+[A-Z][a-z]+\b"
 NUMERAL = r"\b\d[\d.,]*\b"
 QUOTED = "[\"“][^\"“”]{3,}[\"”]"
 
 
+WORD = r"[\p{L}\p{N}_]"
+#: One character of a word, not left out by what follows; the end of a pattern that is one.
+_FIRST = re.compile(r"(?:[A-Za-z0-9_]|\[(?:A-Z|a-z|0-9)\]|\\d)(?![*?]|\{0)")
+_LAST = re.compile(r"(?:(?<!\\)[A-Za-z0-9_]|\\d|\[(?:A-Z|a-z|0-9)\](?:\+|\{[1-9]\d*,?\d*\})?)$")
+
+
+def _group(pattern: str, at: int) -> tuple[int, list[str]]:
+    """Where the group that opens there closes, and its alternatives; -1 if it is no plain group."""
+    depth, parts = 0, [""]
+    for k in range(at, len(pattern) if pattern[at + 1 : at + 2] != "?" else at):
+        depth += (pattern[k] == "(") - (pattern[k] == ")")
+        if not depth:
+            return k, parts
+        if k > at:
+            parts = [*parts, ""] if depth == 1 and pattern[k] == "|" else [*parts[:-1], parts[-1] + pattern[k]]
+    return -1, []
+
+
+def _firsts(rest: str) -> list[str] | None:
+    """The characters with which a match of this begins, if each is one of a word."""
+    if rest.startswith("("):
+        end, parts = _group(rest, 0)
+        told = [_firsts(x) for x in parts]
+        return None if end < 0 or None in told or re.match(r"[*?]|\{0", rest[end + 1 :]) else [x for t in told for x in t]
+    m = _FIRST.match(rest)
+    return [m[0].strip("[]")] if m else None
+
+
+def _word_ends(head: str) -> bool:
+    """Whether a match of this ends with a character of a word."""
+    if head.endswith(")"):
+        for k in range(len(head)):
+            if head[k] == "(" and (found := _group(head, k))[0] == len(head) - 1:
+                return all(_word_ends(x) for x in found[1])
+    return bool(_LAST.search(head))
+
+
 def bounded(pattern: str) -> str:
-    """The pattern with boundaries of words of any letters in the place of each `\\b`."""
-    return pattern.replace(r"\b", BOUNDARY)
+    """The pattern with boundaries of words of any letters in the place of each `\\b`.
+
+    Where a character of a word follows for certain, or stands before, one look at the other
+    side is enough; the former is told after a look at the character itself, at which most
+    places fail.
+    """
+    if re.search(r"\\[()|\\xucpPkQ0-9]|\[[^\]]*[()|]", pattern):  # parentheses that are no groups, letters that are no characters
+        return pattern.replace(r"\b", BOUNDARY)
+    parts, out = pattern.split(r"\b"), ""
+    for k, part in enumerate(parts):
+        head, rest = r"\b".join(parts[:k]), part
+        if k and (firsts := _firsts(rest)) is not None:
+            out += f"(?=[{''.join(sorted(set(firsts)))}])(?<!{WORD})"
+        elif k:
+            out += f"(?!{WORD})" if _word_ends(head) else BOUNDARY
+        out += part
+    return out
 
 
 def count(text: Column, pattern: str) -> Column:
