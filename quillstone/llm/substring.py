@@ -22,10 +22,11 @@ in a row with a smaller doc_id, or before it in the same text.
 A gram with more than MOST_BLOCKS different blocks is not parsed in one task: its windows
 are compared by hash over the whole cluster, which finds the same spans.
 
-How it runs.  An Arrow map finds the blocks (some 30 bytes for every 50 of text).  It runs
-twice, which costs less than to write them: for the grams that repeat, which are counted
-map-side first, and for the blocks that have one of these.  Spark may split a hot gram in the
-joins.  The texts are shuffled once, by
+How it runs.  An Arrow map finds the blocks (some 30 bytes for every 50 of text).  They are
+shuffled once, by gram: in the order of gram, block and place, windows tell references from
+later blocks and count a gram's blocks, and what meets no other block is never written.  The
+rows of a gram are sorted in one task, which spills and holds no gram as a whole in memory.
+The texts are shuffled once, by
 document, for the edges and for the result.  Hashes have 64 bits, so two different windows
 are taken for equal with probability n ** 2 / 2 ** 65 for n of them.
 
@@ -43,7 +44,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.llm.common import materialize, text_or_empty
@@ -260,22 +261,22 @@ def _compared(edges: DataFrame) -> DataFrame:
     return windows.join(first, "window").where(~own.eqNullSafe(F.col("first"))).select("doc_id", "text_hash", "lo", "hi")
 
 
+def _met(every: DataFrame) -> DataFrame:
+    """Blocks that others meet, of one shuffle by gram: `later` of an equal block, or the reference of one of several blocks of a gram."""
+    own, by_block = F.struct(*OWN), Window.partitionBy("gram", "block").orderBy(*OWN)
+    told = every.repartition("gram").withColumns({"later": ~own.eqNullSafe(F.first(own).over(by_block)), "nth": F.row_number().over(by_block)})
+    told = told.withColumn("n_blocks", F.sum(F.when(F.col("nth") == 1, 1).otherwise(0)).over(Window.partitionBy("gram")))
+    return told.where(F.col("later") | ((F.col("nth") == 1) & (F.col("n_blocks") > 1))).select(*OWN, "before", "after", "gram", "later", "n_blocks")
+
+
 def spans(docs: DataFrame, most_blocks: int = MOST_BLOCKS) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text_hash, text) and the duplicate spans (doc_id, text_hash, lo, hi), in words."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("text_hash"), "text")
-    every = found_blocks(texts)
-    grams = materialize(every.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "rlz-grams")
-    again = materialize(every.join(grams, "gram"), "rlz-again")
-    own = F.struct(*OWN)
-    index = again.groupBy("gram", "block").agg(F.count("*").alias("n"), F.min(F.struct(*OWN, "before", "after")).alias("r"))
-    index = materialize(index.select("gram", "block", "n", "r.*"), "rlz-index")
-    reference = index.where("n > 1").select("gram", "block", F.struct(*OWN).alias("first"))
-    whole = again.join(reference, ["gram", "block"]).where(~own.eqNullSafe(F.col("first")))
-    found = whole.select("doc_id", "text_hash", (F.col("place") - F.col("before")).alias("lo"), (F.col("place") + F.col("after")).alias("hi"))
-    shared = materialize(index.groupBy("gram").agg(F.count("*").alias("n_blocks")).where("n_blocks > 1"), "rlz-shared")
-    edges = index.join(shared, "gram")
+    met = materialize(_met(found_blocks(texts)), "rlz-met")
+    found = met.where("later").select("doc_id", "text_hash", (F.col("place") - F.col("before")).alias("lo"), (F.col("place") + F.col("after")).alias("hi"))
+    edges = met.where("not later")
     wide = edges.where(F.col("n_blocks") > most_blocks)
-    if shared.where(F.col("n_blocks") > most_blocks).limit(1).count():
+    if wide.limit(1).count():
         found = found.unionByName(_compared(_edges(texts, wide)))
     return texts, found.unionByName(_parsed(_edges(texts, edges.where(F.col("n_blocks") <= most_blocks))))
 

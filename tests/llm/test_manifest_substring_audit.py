@@ -148,6 +148,22 @@ def test_passages_in_odd_rows_and_empty_tables(spark):
     assert substring.deduplicate(odd_documents(spark).limit(0)).count() == 0
 
 
+
+def test_blocks_are_shuffled_once(spark):
+    rows = passages(7) + [(None, "a b c d e " * 9)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("text_hash", F.xxhash64("text"))
+    every = substring.found_blocks(docs.select("doc_id", "text_hash", "text"))
+    met = substring._met(every)
+    assert met._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    own = lambda r: (r.doc_id is not None, r.doc_id or 0, r.text_hash, r.place)
+    grams = {}
+    for r in every.collect():
+        grams.setdefault(r.gram, {}).setdefault(r.block, set()).add(own(r))
+    want = {(own_, True, len(g)) for g in grams.values() for b in g.values() for own_ in b - {min(b)}} | {(min(b), False, len(g)) for g in grams.values() if len(g) > 1 for b in g.values()}
+    got = {(own(r), r.later, r.n_blocks) for r in met.collect()}
+    assert got == want and any(x[1] for x in got) and not all(x[1] for x in got)
+
+
 def test_factors_are_the_longest_earlier_ones():
     rng = np.random.default_rng(2)
     words = rng.integers(1, 3, (300, substring.BLOCK)).astype(np.uint64)
