@@ -47,6 +47,45 @@ def score(tokens: DataFrame, model: DataFrame, vocabulary: int, alpha: float = 0
     return held.select(id_column, "pos", "token", F.ln(p).alias("log_p"), "rank")
 
 
+#: Pairs that are looked up in a broadcast table (some 80 bytes each), and the part of the texts in which they are looked for.
+MOST_FREQUENT, SAMPLED = 400_000, 16
+
+
+def frequent_pairs(tokens: DataFrame, id_column: str = "doc_id", most: int = MOST_FREQUENT) -> DataFrame:
+    """prev and token of at most `most` pairs that are frequent in a part of the texts.  A guess, on which no result hangs."""
+    part = tokens.where(F.pmod(F.xxhash64(id_column), F.lit(SAMPLED)) == 0).groupBy("prev", "token").agg(F.count("*").alias("n")).where("n > 1")
+    part = materialize(part, "frequent-pairs")
+    above = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)  # a row for each different count
+    least = part.groupBy("n").agg(F.count("*").alias("m")).withColumn("m", F.sum("m").over(above)).where(F.col("m") <= most).agg(F.min("n")).first()[0]
+    return part.where(F.lit(False) if least is None else F.col("n") >= least).select("prev", "token")
+
+
+def own_scores(tokens: DataFrame, vocabulary: int, alpha: float = 0.1, id_column: str = "doc_id", ranks: bool = True, most: int = MOST_FREQUENT) -> DataFrame:
+    """id, pos (0 or, for all that follow, 1), log_p and, if asked for, rank of each token under the model of these tokens: what score gives with fit_bigrams.
+
+    Frequent pairs are counted and looked up where the tokens are read, by a broadcast.  A row for each of them and
+    the other tokens are shuffled once, by prev, and windows there tell counts and ranks, so no model meets the tokens
+    in a join.  tokens are a pair_table that is written out; they are read four times.
+    """
+    frequent = F.broadcast(frequent_pairs(tokens, id_column, most))
+    counted = tokens.join(frequent, ["prev", "token"]).groupBy("prev", "token").agg(F.count("*").alias("n"))
+    rest = tokens.join(frequent, ["prev", "token"], "left_anti").select(id_column, "prev", "token", F.lit(1).cast("long").alias("own"), F.lit(False).alias("pair"))
+    rows = rest.unionByName(counted.select(F.lit(None).cast(tokens.schema[id_column].dataType).alias(id_column), "prev", "token", F.col("n").alias("own"), F.lit(True).alias("pair"))).repartition("prev")
+    # sorted by prev and token: both sums come of one sort
+    same, all_of = Window.partitionBy("prev", "token").orderBy("token"), (Window.unboundedPreceding, Window.unboundedFollowing)
+    one = {"one": (F.row_number().over(same) == 1).cast("int")} if ranks else {}
+    rows = rows.withColumns({"n": F.sum("own").over(same.rowsBetween(*all_of)), **one}).withColumn("n_prev", F.sum("own").over(Window.partitionBy("prev")))
+    if ranks:
+        above = Window.partitionBy("prev").orderBy(F.desc("n")).rangeBetween(Window.unboundedPreceding, -1)
+        rows = rows.withColumn("rank", 1 + F.coalesce(F.sum("one").over(above), F.lit(0)))
+    pos, out = F.when(F.col("prev") == "", 0).otherwise(1).alias("pos"), ["n", "n_prev", *(["rank"] if ranks else [])]
+    told = materialize(rows.select(id_column, F.when(F.col("pair"), F.col("prev")).alias("prev"), F.when(F.col("pair"), F.col("token")).alias("token"), pos, *out, "pair"), "own-scores")
+    model = F.broadcast(told.where("pair").select("prev", "token", *out))
+    held = tokens.select(id_column, "prev", "token", pos).join(model, ["prev", "token"]).select(id_column, "pos", *out)
+    held = held.unionByName(told.where("not pair").select(id_column, "pos", *out))
+    return held.select(id_column, "pos", F.ln((F.col("n") + alpha) / (F.col("n_prev") + alpha * vocabulary)).alias("log_p"), *out[2:])
+
+
 def perplexity(scored: DataFrame, id_column: str = "doc_id") -> DataFrame:
     return scored.groupBy(id_column).agg(F.count("*").alias("n_tokens"), F.exp(-F.avg("log_p")).alias("perplexity"))
 

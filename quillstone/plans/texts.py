@@ -203,9 +203,8 @@ def document_pairs(spark: SparkSession, sf_dir: str, back: int = 1) -> DataFrame
     return materialize(comments.pair_table(documents(spark, sf_dir), back=back), "pairs")
 
 
-def scored(spark, sf_dir):
-    t = document_pairs(spark, sf_dir)
-    return L.score(t, L.fit_bigrams(t), 5000)
+def scored(spark, sf_dir, ranks: bool = False):
+    return L.own_scores(document_pairs(spark, sf_dir), 5000, ranks=ranks)
 
 
 @query(f"WITH {_BI} SELECT doc_id, n_tokens, round(pp, 4) AS perplexity FROM pp")
@@ -215,7 +214,7 @@ def q_bigram_perplexity(spark, sf_dir):
 
 @query(f"WITH {_BI} SELECT doc_id, CASE WHEN count(*) > 1 THEN round(count(*) FILTER (WHERE pos > 0 AND rk <= 10) / (count(*) - 1), 6) END AS top10_share, CASE WHEN count(*) > 1 THEN round(count(*) FILTER (WHERE pos > 0 AND rk <= 100) / (count(*) - 1), 6) END AS top100_share FROM sc GROUP BY doc_id")
 def q_rank_share(spark, sf_dir):
-    return L.rank_shares(scored(spark, sf_dir)).select("doc_id", *r6("top10_share", "top100_share"))
+    return L.rank_shares(scored(spark, sf_dir, ranks=True)).select("doc_id", *r6("top10_share", "top100_share"))
 
 
 _LB = f"""{_BI}, lb AS (SELECT ((n_tokens // 10) * 10 + 5)::INT AS center, avg(ln(pp)) AS mu, stddev_pop(ln(pp)) + 1e-6 AS sigma FROM pp WHERE n_tokens >= 4 AND pp > 1 GROUP BY 1 HAVING count(*) >= 5)"""
