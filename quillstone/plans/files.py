@@ -164,19 +164,20 @@ def q_service(spark, sf_dir):
 
 @query(f"WITH {spaces._PTS} SELECT (id % 4)::VARCHAR AS path, count(*) AS n, round(sum(x), 3) AS x, round(sum(y), 3) AS y, round(sum(z), 3) AS z, sum(id % 256)::BIGINT AS r FROM pts GROUP BY 1")
 def q_cloud_files(spark, sf_dir):
-    """Clouds encoded as binary files with colours, and parsed again."""
+    """Clouds encoded as binary files with colours, large ones as several, and parsed again."""
     shade = (F.col("id") % 256).cast("short")
-    files = clouds.encode_ply(spaces.cloud(spark, sf_dir).select((F.col("id") % 4).alias("key"), "x", "y", "z", shade.alias("r"), F.lit(0).cast("short").alias("g"), F.lit(255).cast("short").alias("b")), "key")
+    points = clouds.dealt(spaces.cloud(spark, sf_dir), "id").select((F.col("id") % 4).alias("key"), "part", "x", "y", "z", shade.alias("r"), F.lit(0).cast("short").alias("g"), F.lit(255).cast("short").alias("b"))
+    files = clouds.encode_ply(points, "key", "part")
     v = clouds.vertices(files.select(F.col("key").alias("path"), "content"))
     return v.groupBy("path").agg(F.count("*").alias("n"), *[F.round(F.sum(F.round(a, 3)), 3).alias(a) for a in "xyz"], F.sum("r").alias("r"))
 
 
 @query(f"WITH {spaces._PTS} SELECT id % 256 AS r, count(*) AS n, round(sum(x), 3) AS x, round(sum(y), 3) AS y, round(sum(z), 3) AS z FROM pts GROUP BY 1")
 def q_cloud_ranges(spark, sf_dir):
-    """A cloud written and read by the data source; its one file is read in ranges of 100 records by as many tasks."""
+    """A cloud written and read by the data source; its files are read in ranges of 100 records by as many tasks, or by MOST_TASKS of longer ranges."""
     path = fresh(spark, "cloud")
     shade = (F.col("id") % 256).cast("short")
-    ply.write(spaces.cloud(spark, sf_dir).select("x", "y", "z", shade.alias("r"), F.lit(0).cast("short").alias("g"), F.lit(255).cast("short").alias("b")).coalesce(1), path)
+    ply.write(spaces.cloud(spark, sf_dir).select("x", "y", "z", shade.alias("r"), F.lit(0).cast("short").alias("g"), F.lit(255).cast("short").alias("b")), path)
     v = ply.read(spark, path, 100)
     return v.groupBy(F.col("r").cast("long").alias("r")).agg(F.count("*").alias("n"), *[F.round(F.sum(F.round(a, 3)), 3).alias(a) for a in "xyz"])
 

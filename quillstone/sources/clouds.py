@@ -78,17 +78,27 @@ def ply_bytes(rows, binary: bool = True) -> bytes:
     return out + "".join(" ".join([*(f"{x:.6f}" for x in r[:3]), *(str(int(x)) for x in (r[3:6] if colour else ()))]) + "\n" for r in rows).encode()
 
 
-def encode_ply(points: DataFrame, key: str, binary: bool = True) -> DataFrame:
-    """key and content: one PLY file for each key, whose cloud fits in memory as its file must."""
+#: Points of a file where a cloud is dealt into several (some 300 bytes each while they are encoded).
+MOST_IN_FILE = 25_000
+
+
+def dealt(points: DataFrame, by: str, most: int = MOST_IN_FILE) -> DataFrame:
+    """points with `part`, by the hash of a column: about `most` points at most, however many there are."""
+    parts = max(1, -(-points.count() // most))
+    return points.withColumn("part", F.pmod(F.xxhash64(by), F.lit(parts)).cast("int"))
+
+
+def encode_ply(points: DataFrame, *keys: str, binary: bool = True) -> DataFrame:
+    """The keys and content: one PLY file for each, whose points fit in memory as its file must; `part` (see dealt) as a further key bounds them."""
     import pandas as pd
 
-    coloured = all(c in points.columns for c in "rgb")
+    coloured, kinds = all(c in points.columns for c in "rgb"), dict(points.dtypes)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         names = [*"xyz", *("rgb" if coloured else "")]
-        return pd.DataFrame({key: [group[key].iloc[0]], "content": [ply_bytes(list(group[names].itertuples(index=False, name=None)), binary)]})
+        return pd.DataFrame({k: [group[k].iloc[0]] for k in keys} | {"content": [ply_bytes(list(group[names].itertuples(index=False, name=None)), binary)]})
 
-    return points.groupBy(key).applyInPandas(run, f"{key} {dict(points.dtypes)[key]}, content binary")
+    return points.groupBy(*keys).applyInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "content binary"]))
 
 
 def write_xyz(points: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -28,6 +28,8 @@ from quillstone.sources.clouds import CLOUD, COLOURS, PLY_TYPES
 
 #: Records of a task and of a batch, and bytes in which a header must end.
 EACH, BATCH, MOST_HEADER = 1_000_000, 65_536, 1 << 16
+#: Tasks of a read, beside one for each file: ranges are longer where there would be more.
+MOST_TASKS = 1_000
 ORDERS = {"binary_little_endian": "<", "binary_big_endian": ">", "ascii": ""}
 
 
@@ -117,18 +119,20 @@ class PlyReader(DataSourceReader):
         return sorted(prefix + f.path for f in found if f.type == fs.FileType.File and f.path.endswith(".ply"))
 
     def partitions(self) -> list[Range]:
-        out = []
+        found = []
         for path in self._files():
             system, inside = opened(path)
             with system.open_input_file(inside) as f:
                 size = f.size()
-                h = read_header(f.read(min(size, MOST_HEADER)), path)
+                found.append((path, size, read_header(f.read(min(size, MOST_HEADER)), path)))
+        each, out = max(self.each, -(-sum(h.count for *_, h in found) // MOST_TASKS)), []
+        for path, size, h in found:
             if h.form == "ascii":
                 # some 30 bytes a line
-                step = self.each * 30 if h.alone else max(1, size)
+                step = each * 30 if h.alone else max(1, size)
                 out += [Range(path, h, a, min(a + step, size)) for a in range(h.start, size, step)] if h.count else []
             else:
-                out += [Range(path, h, a, min(a + self.each, h.count)) for a in range(0, h.count, self.each)]
+                out += [Range(path, h, a, min(a + each, h.count)) for a in range(0, h.count, each)]
         return out or [Range("", Header("ascii", 0, 0, [], True), 0, 0)]
 
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:

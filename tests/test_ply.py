@@ -64,3 +64,22 @@ def test_empty_and_wrong_files(spark, tmp_path):
     (tmp_path / "cut.ply").write_bytes(cut)
     with pytest.raises(Exception, match="ends before its vertices"):
         ply.read(spark, str(tmp_path / "cut.ply"), 10**6).select(F.sum("x")).collect()
+
+
+def test_tasks_of_a_read_are_bounded(spark, tmp_path):
+    df = spark.range(0, 12_000, 1, 1).select(F.col("id").cast("double").alias("x"), F.lit(0.5).alias("y"), F.lit(1.0).alias("z"), (F.col("id") % 200).cast("short").alias("r"), F.lit(0).cast("short").alias("g"), F.lit(255).cast("short").alias("b"))
+    ply.write(df, out := str(tmp_path / "many"))
+    got = ply.read(spark, out, 10)
+    parts = ply.PlyReader({"path": out, "recordspertask": "10"}).partitions()
+    assert len(parts) == ply.MOST_TASKS and sum(p.last - p.first for p in parts) == 12_000
+    assert [p.last - p.first for p in ply.PlyReader({"path": out, "recordspertask": "5000"}).partitions()] == [5000, 5000, 2000]
+    assert got.agg(F.count("*"), F.sum("x")).first()[:] == (12_000, 12_000 * 11_999 / 2)
+
+
+def test_a_large_cloud_is_dealt_into_files(spark):
+    df = spark.range(3000).select((F.col("id") % 2).alias("key"), "id", F.col("id").cast("double").alias("x"), F.lit(0.5).alias("y"), F.lit(1.0).alias("z"))
+    files = clouds.encode_ply(clouds.dealt(df, "id", 300), "key", "part")
+    sizes = files.select("key", F.length("content").alias("n")).collect()
+    assert len(sizes) == 20 and max(r.n for r in sizes) < 300 * 12 + 200
+    got = clouds.vertices(files.select(F.col("key").alias("path"), "content")).groupBy("path").agg(F.count("*").alias("n"), F.sum("x").alias("x")).collect()
+    assert sorted((r.path, r.n, r.x) for r in got) == [("0", 1500, 1500 * 1499.0), ("1", 1500, 1500 * 1499.0 + 1500)]
