@@ -27,7 +27,7 @@ shuffled once, by gram: in the order of gram, block and place, windows tell refe
 later blocks and count a gram's blocks, and what meets no other block is never written.  The
 rows of a gram are sorted in one task, which spills and holds no gram as a whole in memory.
 The texts are shuffled once, by
-document, for the edges and for the result.  Hashes have 64 bits, so two different windows
+document, for the edges of either way and for the result.  Hashes have 64 bits, so two different windows
 are taken for equal with probability n ** 2 / 2 ** 65 for n of them.
 
 Defined results.  Null or empty text: no words.  Texts under 20 words: nothing removed.
@@ -254,9 +254,9 @@ def _compared(edges: DataFrame) -> DataFrame:
                 code = window_codes(total, rows, start, WINDOW, gram).view(np.int64)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").take(at), b.column("text_hash").take(at), pa.array(lo), pa.array(lo + np.int32(WINDOW)), pa.array(code)], names=["doc_id", "text_hash", "lo", "hi", "window"])
 
-    windows = materialize(edges.mapInArrow(run, SPAN + ", window long"), "rlz-windows")
-    first = windows.groupBy("window").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_hash", "lo")).alias("first"))
-    first = materialize(first.where("n > 1").select("window", "first"), "rlz-first")
+    # in one plan with all that meets the texts, so that these are shuffled once; found twice, which costs less than a table of windows
+    windows = edges.mapInArrow(run, SPAN + ", window long")
+    first = windows.groupBy("window").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_hash", "lo")).alias("first")).where("n > 1").select("window", "first")
     own = F.struct("doc_id", "text_hash", "lo")
     return windows.join(first, "window").where(~own.eqNullSafe(F.col("first"))).select("doc_id", "text_hash", "lo", "hi")
 

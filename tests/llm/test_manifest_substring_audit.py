@@ -164,6 +164,15 @@ def test_blocks_are_shuffled_once(spark):
     assert got == want and any(x[1] for x in got) and not all(x[1] for x in got)
 
 
+def test_wide_grams_meet_the_texts_in_the_plan_of_the_result(spark, monkeypatch):
+    rows, written, write = passages(1) + [(i + 1000, t) for i, t in passages(2)], [], substring.materialize
+    monkeypatch.setattr(substring, "materialize", lambda df, label: written.append(label) or write(df, label))
+    out = substring.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), 2)
+    # a table written on the way would shuffle the texts once more
+    assert written == ["rlz-met"]
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in out.collect()} == plain_removal(rows)
+
+
 def test_factors_are_the_longest_earlier_ones():
     rng = np.random.default_rng(2)
     words = rng.integers(1, 3, (300, substring.BLOCK)).astype(np.uint64)
