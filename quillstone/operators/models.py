@@ -138,7 +138,9 @@ def fit_head(df: DataFrame, features: list[str], label: str, key: str, n: int =
     All folds, inner folds and penalties are fitted together, and so are the final models
     and the Platt lines: three sets of Newton steps, whatever their number.
     """
-    held = folds(folds(df.where(F.col(label).isNotNull()), label, key, n, seed + 100).withColumnRenamed("fold", "inner"), label, key, n, seed)
+    df = df.where(F.col(label).isNotNull()).select(key, label, *features)
+    # written out: medians, deviations and the rows themselves are taken from it
+    held = materialize(folds(folds(df, label, key, n, seed + 100).withColumnRenamed("fold", "inner"), label, key, n, seed), "head-folds")
     medians = list(held.agg(*[F.median(F.col(c).cast("double")) for c in features]).first())
     medians = [m if m is not None else 0.0 for m in medians]
     filled = held.select(key, label, "fold", "inner", *[F.coalesce(F.col(c).cast("double"), F.lit(m)).alias(c) for c, m in zip(features, medians, strict=True)])
@@ -190,8 +192,9 @@ def load_head(spark: SparkSession, path: str) -> Head:
 
 
 def out_of_fold(df: DataFrame, features: list[str], label: str, key: str, n: int = 5, penalties=(1.0,), seed: int = 0) -> DataFrame:
-    """key, label and the probability from a head that has not seen the row."""
-    held = folds(df.where(F.col(label).isNotNull()), label, key, n, seed).withColumnRenamed("fold", "outer")
+    """key, label and the probability from a head that has not seen the row.  What df is made of is read once."""
+    df = materialize(df.where(F.col(label).isNotNull()).select(key, label, *features), "labelled")
+    held = materialize(folds(df, label, key, n, seed).withColumnRenamed("fold", "outer"), "outer-folds")
     parts = [fit_head(held.where(F.col("outer") != k), features, label, key, n, penalties, seed + 1).score(held.where(F.col("outer") == k), "p") for k in range(n)]
     out = parts[0]
     for p in parts[1:]:

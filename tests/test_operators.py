@@ -375,3 +375,14 @@ def test_ablation_drops_what_tells(spark):
     df = spark.createDataFrame(rows, "k int, y int, a double, b double")
     got = {r.dropped: r.auc for r in models.ablation(df, {"telling": ["a"], "noise": ["b"]}, "y", "k", n=2).collect()}
     assert got["all"] > 0.85 and got["noise"] > 0.85 and got["telling"] < 0.75
+
+
+def test_out_of_fold_reads_its_table_once(spark):
+    from quillstone.operators import models
+
+    read = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda k: read.add(1) or float(k % 7), "double")
+    df = spark.range(60).select(F.col("id").alias("k"), seen("id").alias("a"), (F.col("id") % 2).cast("int").alias("y"))
+    out = models.out_of_fold(df, ["a"], "y", "k", n=2).collect()
+    assert sorted(r.k for r in out) == list(range(60)) and all(0 < r.p < 1 for r in out)
+    assert read.value == 60
