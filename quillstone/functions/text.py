@@ -112,6 +112,10 @@ def tokens(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda x: F.lower(x))
 
 
+def n_tokens(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(TOKEN))
+
+
 def stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
@@ -233,9 +237,21 @@ def length_ratio(part: Column, whole: Column) -> Column:
     return F.least(F.lit(1.0), F.length(part) / F.greatest(F.lit(1), F.length(whole)))
 
 
+def certain_part(pattern: str) -> str:
+    """The longest run of plain characters that every match of the pattern holds, in lower case; empty if none is told."""
+    plain = re.sub(r"\\b", "\0", pattern)
+    if re.search(r"[\\()|\[\]{}^$.+]", plain):
+        return ""
+    return max(re.split(r"\0|[a-zA-Z0-9' ,-][?*]|[^a-zA-Z0-9' ,-]", plain), key=len).lower()
+
+
 def distinct_pattern_hits(text: Column, patterns) -> Column:
-    """How many of the patterns match at least once."""
-    return sum((text.rlike(bounded(f"(?i){p}")).cast("int") for p in patterns), F.lit(0))
+    """How many of the patterns match at least once.
+
+    A text without the part that every match holds is not searched; in lower case a text has all that the pattern takes for equal.
+    """
+    found = lambda p: (F.contains(F.lower(text), F.lit(part)) if (part := certain_part(p)) else F.lit(True)) & text.rlike(bounded(f"(?i){p}"))
+    return sum((found(p).cast("int") for p in patterns), F.lit(0))
 
 
 def slug(name: Column) -> Column:

@@ -87,7 +87,8 @@ def q_scored_service(spark, sf_dir):
         scored = scores(spark, sf_dir, told.where("status = 200").select("doc_id", "text"), head).select("doc_id", F.round("p", 6).alias("p"))
         return told.select("doc_id", "status").join(scored, "doc_id", "left")
 
-    stream = scoring.file_stream(spark, requests, "doc_id long, text string", form="parquet", files_each=2)
+    # a batch has files for all cores, or a larger cluster would not be faster
+    stream = scoring.file_stream(spark, requests, "doc_id long, text string", form="parquet", files_each=max(2, spark.sparkContext.defaultParallelism))
     scoring.serve(stream, answer, out, state).awaitTermination()
     return spark.read.parquet(f"{out}/*")
 

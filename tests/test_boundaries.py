@@ -1,5 +1,6 @@
 """Boundaries of words in patterns: the short forms find what the long one finds."""
 
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -41,3 +42,22 @@ def test_hashed_counts_take_each_hash_once(spark):
     # no pass over the text for each place
     shown = df.select(comments.hashed_counts(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
     assert "replace(" not in shown and "md5(" not in shown
+
+
+def test_part_of_every_match():
+    told = {r"\bof the\b": "of the", r"\bit'?s worth\b": "s worth", "a|bcd": "", "(ab)c": "", "ab?cd*ef": "ef", r"AB\bcdE": "cde", r"\d+ab": "", "x.y": "", "ab{0}": "", "": ""}
+    assert {p: T.certain_part(p) for p in told} == told
+
+
+def test_row_features_take_one_pass(spark):
+    from quillstone.operators import features
+    from quillstone.plans import wide
+
+    df = spark.createDataFrame([(1, "OF THE end perhaps"), (2, " \n"), (3, None), (4, "Moreover, iT'S WORTH; of  the"), (5, "often")], "doc_id long, text string")
+    skip = {name for name, *_ in features.COMMENT_FEATURES} - {"phrases", "hedges"}
+    out = features.comment_features(df, wide.lexicons(spark, "/root/testdata/sf0.001"), skip=skip)
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r.doc_id: (r.psi_6, r.psi_8) for r in out.collect()}
+    log = lambda hits, n: math.log1p(hits / (n / 20))
+    assert got[2] == got[3] == (None, None) and got[5] == (0, 0)
+    assert abs(got[1][0] - log(1, 4)) < 1e-12 and abs(got[1][1] - 25) < 1e-12 and abs(got[4][0] - log(2, 6)) < 1e-12
