@@ -174,21 +174,45 @@ class StageModel:
 
     def counts(self, symbols):
         """Expected starts, moves and emissions of one sequence."""
+        return self.counts_of([symbols])
+
+    def counts_of(self, sequences):
+        """Log likelihood and expected starts, moves and emissions of sequences of one length, all worked through together."""
         import numpy as np
 
-        like, alpha, scale = self.forward(symbols)
-        beta = np.ones_like(alpha)
-        for t in range(len(symbols) - 2, -1, -1):
-            beta[t] = self.moves @ (self.emit[:, symbols[t + 1]] * beta[t + 1]) / scale[t + 1]
+        s = np.asarray(sequences, dtype=np.int64)
+        length, states = s.shape[1], len(self.start)
+        seen = self.emit.T[s]  # sequence, place, state
+        alpha, scale = np.zeros((len(s), length, states)), np.zeros((len(s), length))
+        for t in range(length):
+            a = (self.start if t == 0 else alpha[:, t - 1] @ self.moves) * seen[:, t]
+            scale[:, t] = np.maximum(a.sum(1), 1e-300)
+            alpha[:, t] = a / scale[:, t, None]
+        beta, xi = np.ones_like(alpha), np.zeros_like(self.moves)
+        for t in range(length - 2, -1, -1):
+            ahead = seen[:, t + 1] * beta[:, t + 1] / scale[:, t + 1, None]
+            beta[:, t] = ahead @ self.moves.T
+            xi += self.moves * (alpha[:, t].T @ ahead)
         gamma = alpha * beta
-        gamma /= gamma.sum(1, keepdims=True)
-        xi = np.zeros_like(self.moves)
-        for t in range(len(symbols) - 1):
-            xi += alpha[t][:, None] * self.moves * (self.emit[:, symbols[t + 1]] * beta[t + 1])[None, :] / scale[t + 1]
-        emit = np.zeros_like(self.emit)
-        for t, s in enumerate(symbols):
-            emit[:, s] += gamma[t]
-        return like, gamma[0], xi, emit
+        gamma /= gamma.sum(2, keepdims=True)
+        emit = np.zeros((self.SYMBOLS, states))
+        np.add.at(emit, s.ravel(), gamma.reshape(-1, states))
+        return float(np.log(scale).sum()), gamma[:, 0].sum(0), xi, emit.T
+
+
+#: Symbols of sequences that are worked through together.
+TOGETHER = 100_000
+
+
+def _of_one_length(sequences):
+    """Sequences that are not empty, in lists of one length and TOGETHER symbols at most (or one sequence)."""
+    held = {}
+    for s in sequences:
+        if len(s):
+            held.setdefault(len(s), []).append(s)
+    for length, own in held.items():
+        step = max(1, TOGETHER // length)
+        yield from (own[k : k + step] for k in range(0, len(own), step))
 
 
 def fit_stages(sequences: DataFrame, rounds: int = 30, symbols: str = "symbols") -> StageModel:
@@ -203,10 +227,9 @@ def fit_stages(sequences: DataFrame, rounds: int = 30, symbols: str = "symbols")
         def add(batches: Iterator[pd.DataFrame], m: StageModel = now) -> Iterator[pd.DataFrame]:
             like, first, moves, emit, seen = 0.0, np.zeros(len(m.start)), np.zeros_like(m.moves), np.zeros_like(m.emit), False
             for b in batches:
-                for s in b[symbols]:
-                    if len(s):
-                        one = m.counts(list(s))
-                        like, first, moves, emit, seen = like + one[0], first + one[1], moves + one[2], emit + one[3], True
+                for s in _of_one_length(b[symbols]):
+                    one = m.counts_of(s)
+                    like, first, moves, emit, seen = like + one[0], first + one[1], moves + one[2], emit + one[3], True
             if seen:
                 yield pd.DataFrame({"v": [np.concatenate([[like], first, moves.ravel(), emit.ravel()]).tolist()]})
 

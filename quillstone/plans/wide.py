@@ -30,7 +30,8 @@ def fitted_topics(docs, lex: features.Lexicons) -> tuple[list[float], float]:
 def fitted_stages(messages) -> tuple[C.StageModel, C.StageModel]:
     """The two stage models; conversations have no label here, so their own messages' even or odd number stands for it."""
     own = C.stage_symbols(messages.where("speaker = 'S'"), FINANCE).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "symbol"))).alias("s"))
-    symbols = own.select("conv_id", F.transform("s", lambda x: x["symbol"].cast("int")).alias("symbols"))
+    # written out: each round of both fits reads it
+    symbols = materialize(own.select("conv_id", F.transform("s", lambda x: x["symbol"].cast("int")).alias("symbols")), "stage-symbols")
     odd = F.size("symbols") % 2 == 1
     return C.fit_stages(symbols.where(odd), 5), C.fit_stages(symbols.where(~odd), 5)
 

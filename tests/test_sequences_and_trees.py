@@ -129,3 +129,17 @@ def test_separable_rows_end(spark):
     df = spark.createDataFrame([(float(k % 2), 0, 0, [float(k % 2)]) for k in range(20)], "label double, fold int, inner int, x array<double>")
     w = models.newton(df, np.ones((1, 1, 1), dtype=bool), [1e9])
     assert np.isfinite(w).all() and w[0][0] > 0
+
+
+def test_sequences_of_one_length_are_counted_together():
+    from quillstone.operators import conversations as C
+
+    rng, model = random.Random(3), C.StageModel()
+    rows = [[rng.randrange(162) for _ in range(rng.randint(0, 5))] for _ in range(200)]
+    groups = list(C._of_one_length(rows))
+    assert sorted(map(tuple, (s for g in groups for s in g))) == sorted(tuple(s) for s in rows if s) and len(groups) == 5
+    for g in groups:
+        one, alone = model.counts_of(g), [model.counts_of([s]) for s in g]
+        for k in range(4):
+            assert np.allclose(one[k], sum(x[k] for x in alone), rtol=1e-9, atol=1e-12)
+        assert np.isclose(one[0], sum(model.forward(s)[0] for s in g))
