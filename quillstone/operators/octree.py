@@ -15,7 +15,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.sources.shared import materialize
@@ -112,6 +114,46 @@ class Tree:
         return done, done.where("false") if single is None else single.select("akey", "bkey")
 
 
+def _nearest(tree: Tree, of_leaves: DataFrame, of_places: DataFrame, k: int) -> DataFrame:
+    """place and mean_distance: leaves with one parent, and their places that go alone, meet all that theirs are paired with in one group.
+
+    Places met by one of them do not harm another, as the pairs hold all that can be nearest; a group holds
+    its places and those of the leaves around, and no pair of places is a row.
+    """
+    axes = tree.axes
+    up = lambda key: F.expr(f"left({key}, greatest(1, length({key}) - {len(axes)}))")
+    alone = of_places.join(tree.places.select(F.concat(F.lit("p"), "place").alias("akey"), "leaf"), "akey").select(up("leaf").alias("tile"), "bkey")
+    met = of_leaves.select(up("akey").alias("tile"), "bkey").unionByName(alone).distinct()
+    near = met.join(tree.places.withColumnRenamed("leaf", "bkey"), "bkey").select("tile", "place", "n", *axes)
+    mine = tree.places.select(up("leaf").alias("tile"), "place", *axes)
+
+    def nearest(own: pa.Table, other: pa.Table) -> pa.Table:
+        p, q = (np.column_stack([t.column(a).to_numpy() for a in axes]) for t in (own, other))
+        at, there, n = own.column("place").to_numpy(), other.column("place").to_numpy(), other.column("n").to_numpy()
+        out = np.zeros(len(p))
+        for i in range(0, len(p), 256):
+            d = np.zeros((len(p[i : i + 256]), len(q)))
+            for axis in range(len(axes)):
+                gap = np.subtract.outer(p[i : i + 256, axis], q[:, axis])
+                gap *= gap
+                d += gap
+            d = np.sqrt(d)
+            # of its own place a point has one neighbour less
+            there_are = n[None, :] - (at[i : i + 256, None] == there[None, :])
+            d[there_are < 1] = np.inf
+            best = np.argpartition(d, k - 1, axis=1)[:, :k] if len(q) > k else np.tile(np.arange(len(q)), (len(d), 1))
+            d, left = np.take_along_axis(d, best, 1), np.take_along_axis(there_are, best, 1)
+            order = np.argsort(d, axis=1, kind="stable")
+            d, left, open_ = np.take_along_axis(d, order, 1), np.take_along_axis(left, order, 1), np.full(len(d), k)
+            for c in range(d.shape[1]):
+                took = np.where(np.isfinite(d[:, c]), np.minimum(left[:, c], open_), 0)
+                out[i : i + 256] += np.where(took > 0, d[:, c], 0.0) * took
+                open_ = open_ - took
+        return pa.table({"place": own.column("place"), "mean_distance": pa.array(out / k)})
+
+    return mine.groupBy("tile").cogroup(near.groupBy("tile")).applyInArrow(nearest, "place long, mean_distance double")
+
+
 def mean_distances(points: DataFrame, k: int, id_column: str, axes: list[str]) -> DataFrame:
     """id and the mean distance of the k nearest other points, exact.
 
@@ -126,16 +168,6 @@ def mean_distances(points: DataFrame, k: int, id_column: str, axes: list[str]) -
         return held.select("id", F.lit(0.0).alias("mean_distance"))
     tree = Tree(held, axes)
     of_leaves, of_places = tree.pairs(k)
-    mine = tree.places.select(F.col("leaf").alias("akey"), "place", *[F.col(a).alias(f"_a{a}") for a in axes])
-    alone = tree.places.select(F.concat(F.lit("p"), "place").alias("akey"), "place", *[F.col(a).alias(f"_a{a}") for a in axes])
-    other = tree.places.select(F.col("leaf").alias("bkey"), F.col("place").alias("near"), F.col("n").alias("n"), *[F.col(a).alias(f"_b{a}") for a in axes])
-    met = of_leaves.join(mine, "akey").unionByName(of_places.join(alone, "akey")).join(other, "bkey")
-    d = F.sqrt(sum(((F.col(f"_a{a}") - F.col(f"_b{a}")) * (F.col(f"_a{a}") - F.col(f"_b{a}")) for a in axes), F.lit(0.0)))
-    # of its own place a point has one neighbour less
-    met = met.select("place", "near", d.alias("d"), (F.col("n") - (F.col("place") == F.col("near")).cast("int")).alias("n")).where("n > 0")
-    best = met.withColumn("_r", F.row_number().over(Window.partitionBy("place").orderBy("d", "near"))).where(F.col("_r") <= k)
-    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("s"))
-    take = lambda acc, x: F.struct((acc["n"] + F.least(x["n"], k - acc["n"])).alias("n"), (acc["s"] + x["d"] * F.least(x["n"], k - acc["n"])).alias("s"))
-    told = best.groupBy("place").agg(F.aggregate(F.array_sort(F.collect_list(F.struct("d", "n"))), start, take, lambda acc: acc["s"] / k).alias("mean_distance"))
+    told = _nearest(tree, of_leaves, of_places, k)
     named = tree.places.join(told, "place").select(*axes, "mean_distance")
     return held.join(named, axes).select("id", "mean_distance")

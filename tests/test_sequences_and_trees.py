@@ -143,3 +143,16 @@ def test_sequences_of_one_length_are_counted_together():
         for k in range(4):
             assert np.allclose(one[k], sum(x[k] for x in alone), rtol=1e-9, atol=1e-12)
         assert np.isclose(one[0], sum(model.forward(s)[0] for s in g))
+
+
+def test_nearest_places_are_no_rows_of_pairs(spark):
+    from quillstone.operators import octree
+
+    rng = random.Random(9)
+    points = [(i, rng.gauss(0, 1), rng.gauss(0, 1)) for i in range(300)] + [(300 + i, 0.5, 0.5) for i in range(4)] + [(400, 90.0, 90.0)]
+    out = octree.mean_distances(spark.createDataFrame(points, "id long, x double, y double"), 5, "id", ["x", "y"])
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r.id: r.mean_distance for r in out.collect()}
+    for i, x, y in points:
+        want = sorted(math.sqrt((x - a) ** 2 + (y - b) ** 2) for j, a, b in points if j != i)[:5]
+        assert abs(got[i] - sum(want) / 5) < 1e-12
