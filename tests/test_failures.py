@@ -16,6 +16,10 @@ def texts_of(spark):
     return spark.createDataFrame([(1, "Perhaps this is it! Or not."), (2, "no")], "doc_id long, text string")
 
 
+def messages_of(spark):
+    return spark.createDataFrame([(c, t, "SV"[t % 2], f"good words {t}") for c in (1, 2) for t in range(8)], "conv_id long, turn int, speaker string, text string")
+
+
 def unplanned(s):
     return s.df.select(s.key, F.col("no_such_column").alias("chi_5"))
 
@@ -29,6 +33,15 @@ def test_comment_extractor_without_a_plan_is_an_error(spark):
     assert set(failed) == {"rhetoric"} and all(r.chi_5 is None and r.psi_8 is not None for r in got)
 
 
+def test_conversation_extractor_without_a_plan_is_an_error(spark):
+    lex, bad = wide.lexicons(spark, DATA), {"slope": lambda s: s.df.select(s.key, F.col("no_such_column").alias("phi_12"))}
+    with pytest.raises(AnalysisException):
+        features.conversation_features(messages_of(spark), lex, skip=OTHERS_C, instead=bad)
+    failed = {}
+    got = features.conversation_features(messages_of(spark), lex, skip=OTHERS_C, instead=bad, failed=failed).collect()
+    assert set(failed) == {"slope"} and all(r.phi_12 is None and r.phi_9 is not None for r in got)
+
+
 def test_failed_job_of_an_extractor_is_an_error(spark):
     fails = F.udf(lambda t: 1 / 0, "double")
     written = lambda s: shared.materialize(s.df.select(s.key, fails("text").alias("chi_5")), "fails")
