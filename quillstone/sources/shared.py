@@ -8,12 +8,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+class NoSharedFolder(RuntimeError):
+    """Tables cannot be written where all executors see them.  No ValueError, so that no code that takes those for a bad row or plan passes over it."""
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The session's checkpoint folder; a new one of our own only where none is set and all runs in one process."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
         if not (spark.sparkContext.master + "[").startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            raise NoSharedFolder("set spark.checkpoint.dir to a folder that the driver and all executors share")
         place = tempfile.mkdtemp(prefix="quillstone-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")

@@ -47,3 +47,24 @@ def test_failed_job_of_an_extractor_is_an_error(spark):
     written = lambda s: shared.materialize(s.df.select(s.key, fails("text").alias("chi_5")), "fails")
     with pytest.raises(PythonException):
         features.comment_features(texts_of(spark), wide.lexicons(spark, DATA), skip=OTHERS, instead={"rhetoric": written}, failed={})
+
+
+class Cluster:
+    """A session on a cluster without a shared folder, as far as shared_dir asks."""
+
+    class conf:
+        get = staticmethod(lambda key, default=None: default)
+
+    class sparkContext:
+        master = "spark://host:7077"
+
+
+@pytest.mark.parametrize("rows", ["comments"])
+def test_missing_shared_folder_is_an_error(spark, monkeypatch, rows):
+    monkeypatch.setattr(shared, "shared_dir", lambda session, f=shared.shared_dir: f(Cluster))
+    lex = wide.lexicons(spark, DATA)
+    with pytest.raises(shared.NoSharedFolder):
+        if rows == "comments":
+            features.comment_features(texts_of(spark), lex, skip={n for n, *_ in features.COMMENT_FEATURES} - {"punctuation"}, failed={})
+        else:
+            features.conversation_features(messages_of(spark), lex, skip={n for n, *_ in features.CONVERSATION_FEATURES} - {"yule"}, failed={})
