@@ -59,7 +59,7 @@ class Cluster:
         master = "spark://host:7077"
 
 
-@pytest.mark.parametrize("rows", ["comments"])
+@pytest.mark.parametrize("rows", ["comments", "conversations"])
 def test_missing_shared_folder_is_an_error(spark, monkeypatch, rows):
     monkeypatch.setattr(shared, "shared_dir", lambda session, f=shared.shared_dir: f(Cluster))
     lex = wide.lexicons(spark, DATA)
