@@ -79,7 +79,7 @@ def _sums(x: np.ndarray, y: np.ndarray, beta: np.ndarray) -> np.ndarray:
     return np.concatenate([loss.sum(0)[:, None], (p - y[:, None]).T @ x, (p * (1 - p)).T @ (x[:, i] * x[:, j])], axis=1)
 
 
-def newton(rows: DataFrame, allowed: np.ndarray, penalties: Sequence[float]) -> np.ndarray:
+def newton(rows: DataFrame, allowed: np.ndarray, penalties: Sequence[float], strict: bool = False) -> np.ndarray:
     """Weights (the intercept last) of many logistic regressions over one table, fitted side by side.
 
     rows: label, fold, inner and x (array of features).  allowed[m, fold, inner] says whether
@@ -87,6 +87,7 @@ def newton(rows: DataFrame, allowed: np.ndarray, penalties: Sequence[float]) ->
     intercept.  Each step is one aggregation: a partition adds up loss, gradient and Hessian
     of every model that has not settled, and the sums (models x features ** 2 numbers) go to
     the driver, which solves the small systems.  A step that makes the loss larger is halved.
+    strict: a model that has not settled after the last step is an error.
     """
     first = rows.select(F.size("x")).first()
     if first is None:
@@ -129,6 +130,8 @@ def newton(rows: DataFrame, allowed: np.ndarray, penalties: Sequence[float]) ->
             before[m], least[m] = w, loss
             beta[m] = w - step * min(1.0, 20 / max(np.abs(step).max(), 1e-300))
             open_[m] = np.abs(step).max() > SETTLED
+    if strict and open_.any():
+        raise ArithmeticError(f"{int(open_.sum())} of {len(open_)} regressions did not settle in {MOST_STEPS} steps")
     return beta
 
 
@@ -136,16 +139,20 @@ def fit_head(df: DataFrame, features: list[str], label: str, key: str, n: int =
     """One model and one Platt line for each fold; each fold's training rows choose their penalty by the mean AUC over folds of their own.
 
     All folds, inner folds and penalties are fitted together, and so are the final models
-    and the Platt lines: three sets of Newton steps, whatever their number.
+    and the Platt lines: three sets of Newton steps, whatever their number.  What cannot be fitted (no
+    labelled rows, one class alone, a feature without any value, no fold to choose a penalty by) is an error.
     """
     df = df.where(F.col(label).isNotNull()).select(key, label, *features)
     # written out: medians, deviations and the rows themselves are taken from it
     held = materialize(folds(folds(df, label, key, n, seed + 100).withColumnRenamed("fold", "inner"), label, key, n, seed), "head-folds")
-    medians = list(held.agg(*[F.median(F.col(c).cast("double")) for c in features]).first())
-    medians = [m if m is not None else 0.0 for m in medians]
+    *medians, low, high = held.agg(*[F.median(F.col(c).cast("double")) for c in features], F.min(F.col(label).cast("double")), F.max(F.col(label).cast("double"))).first()
+    if low is None or low == high:
+        raise ValueError(f"no head for {label}: " + ("no labelled rows" if low is None else f"all labels are {low:g}"))
+    if missing := [c for c, m in zip(features, medians, strict=True) if m is None]:
+        raise ValueError(f"no head for {label}: no labelled row has a value of {', '.join(missing)}")
     filled = held.select(key, label, "fold", "inner", *[F.coalesce(F.col(c).cast("double"), F.lit(m)).alias(c) for c, m in zip(features, medians, strict=True)])
     stats = filled.agg(*[F.avg(c) for c in features], *[F.stddev_pop(c) for c in features]).first()
-    means, deviations = [m or 0.0 for m in stats[: len(features)]], [s if s else 1.0 for s in stats[len(features) :]]
+    means, deviations = list(stats[: len(features)]), [s or 1.0 for s in stats[len(features) :]]  # a constant feature is 0 after scaling
     x = F.array(*[(F.col(c) - m) / s for c, m, s in zip(features, means, deviations, strict=True)])
     ready = materialize(filled.select(F.col(label).cast("double").alias("label"), "fold", "inner", x.alias("x")), "head")
     fold, inner = np.arange(n)[None, :, None], np.arange(n)[None, None, :]
@@ -154,11 +161,15 @@ def fit_head(df: DataFrame, features: list[str], label: str, key: str, n: int =
         tried = [(k, i, c) for k in range(n) for i in range(n) for c in penalties]
         seen = np.concatenate([(fold != k) & (inner != i) for k, i, _ in tried])
         asked = np.concatenate([(fold != k) & (inner == i) for k, i, _ in tried])
-        told = {r.model: r.auc or 0.0 for r in metrics.auc_by(margins(ready, asked, newton(ready, seen, [c for *_, c in tried])), "model", "margin", "label").collect()}
+        told = {r.model: r.auc for r in metrics.auc_by(margins(ready, asked, newton(ready, seen, [c for *_, c in tried])), "model", "margin", "label").collect()}
         for k in range(n):
-            sums = {c: sum(told.get(m, 0.0) for m, (q, _, d) in enumerate(tried) if (q, d) == (k, c)) for c in penalties}
+            # an inner fold without both classes has no AUC, whatever the penalty
+            sums = {c: [told[m] for m, (q, _, d) in enumerate(tried) if (q, d) == (k, c) and told.get(m) is not None] for c in penalties}
+            if not all(sums.values()):
+                raise ValueError(f"no head for {label}: no inner fold beside fold {k} holds both classes")
+            sums = {c: sum(found) for c, found in sums.items()}
             best[k] = -max((s, -c) for c, s in sums.items())[1]  # of equals the strongest penalty
-    weights = newton(ready, np.concatenate([(fold != k) & (inner >= 0) for k in range(n)]), [best[k] for k in range(n)])
+    weights = newton(ready, np.concatenate([(fold != k) & (inner >= 0) for k in range(n)]), [best[k] for k in range(n)], strict=True)
     own = np.concatenate([(fold == k) & (inner >= 0) for k in range(n)])
     lines = materialize(margins(ready, own, weights).select("label", F.col("model").cast("int").alias("fold"), F.lit(0).alias("inner"), F.array("margin").alias("x")), "platt")
     platt = newton(lines, own[:, :, :1], [1e9] * n)

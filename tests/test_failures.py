@@ -3,7 +3,7 @@
 import pytest
 from pyspark.errors import AnalysisException, PythonException
 from pyspark.sql import functions as F
-from quillstone.operators import features
+from quillstone.operators import features, models
 from quillstone.plans import wide
 from quillstone.sources import shared
 
@@ -68,3 +68,15 @@ def test_missing_shared_folder_is_an_error(spark, monkeypatch, rows):
             features.comment_features(texts_of(spark), lex, skip={n for n, *_ in features.COMMENT_FEATURES} - {"punctuation"}, failed={})
         else:
             features.conversation_features(messages_of(spark), lex, skip={n for n, *_ in features.CONVERSATION_FEATURES} - {"yule"}, failed={})
+
+
+@pytest.mark.parametrize(("said", "rows"), [("no labelled rows", [(k, None, 1.0) for k in range(20)]), ("all labels are 1", [(k, 1, float(k)) for k in range(20)]), ("no labelled row has a value of a", [(k, k % 2, None) for k in range(20)])])
+def test_head_that_cannot_be_fitted_is_an_error(spark, said, rows):
+    with pytest.raises(ValueError, match=said):
+        models.fit_head(spark.createDataFrame(rows, "k int, y int, a double"), ["a"], "y", "k", n=2)
+
+
+def test_head_without_a_fold_to_choose_by_is_an_error(spark):
+    rows = [(k, int(k == 0), float(k)) for k in range(20)]
+    with pytest.raises(ValueError, match="holds both classes"):
+        models.fit_head(spark.createDataFrame(rows, "k int, y int, a double"), ["a"], "y", "k", n=2)
