@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
-from quillstone.operators import comments, conversations as C, likelihood as L
+from quillstone.operators import comments, conversations as C, likelihood as L, packed
 from quillstone.plans.lexicons import AI_PATTERNS, ANCHORS, FINANCE, HEDGES, INSULTS, STEMS, VALUED
 from quillstone.plans.registry import listed, query, sql_list, sql_values, table
 from quillstone.sources.shared import materialize
@@ -253,8 +253,9 @@ cu AS (SELECT {key}, CASE WHEN count(*) >= 3 THEN (max(lp) FILTER (WHERE copy =
 
 @query(f"WITH {curvature_sql(_BI, 10)} SELECT doc_id, round(curvature, 4) AS curvature FROM cu")
 def q_curvature(spark, sf_dir):
-    t = document_pairs(spark, sf_dir, back=2)
-    return L.curvature(L.copy_scores(t, L.fit_bigrams(t), 5000, 10), "doc_id").select("doc_id", F.round("curvature", 4).alias("curvature"))
+    coded = packed.chunks(documents(spark, sf_dir), "doc_id", sentences=False)
+    of_texts = packed.PackedBigrams.fit(coded).of_chunks(coded, "doc_id", 10)
+    return L.curvature(packed.copy_scores(of_texts, "doc_id"), "doc_id").select("doc_id", F.round("curvature", 4).alias("curvature"))
 
 
 CONV = "m AS (SELECT conv_id, turn, CASE role WHEN 'assistant' THEN 'S' WHEN 'user' THEN 'V' END AS speaker, text FROM conversations)"
