@@ -90,10 +90,18 @@ def perplexity(scored: DataFrame, id_column: str = "doc_id") -> DataFrame:
     return scored.groupBy(id_column).agg(F.count("*").alias("n_tokens"), F.exp(-F.avg("log_p")).alias("perplexity"))
 
 
+def rank_counts(scored: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """n tokens, but for the first of each text, and how many of them rank among the first 10 (a) and 100 (b)."""
+    return scored.groupBy(id_column).agg(F.count_if(F.col("pos") > 0).alias("n"), F.count_if((F.col("pos") > 0) & (F.col("rank") <= 10)).alias("a"), F.count_if((F.col("pos") > 0) & (F.col("rank") <= 100)).alias("b"))
+
+
+def shares_of(counts: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    return counts.select(id_column, F.when(F.col("n") >= 1, F.col("a") / F.col("n")).alias("top10_share"), F.when(F.col("n") >= 1, F.col("b") / F.col("n")).alias("top100_share"))
+
+
 def rank_shares(scored: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """Shares of tokens, but for the first of each text, that rank among the first 10 and 100; null where there are none."""
-    rest = scored.groupBy(id_column).agg(F.count_if(F.col("pos") > 0).alias("n"), F.count_if((F.col("pos") > 0) & (F.col("rank") <= 10)).alias("a"), F.count_if((F.col("pos") > 0) & (F.col("rank") <= 100)).alias("b"))
-    return rest.select(id_column, F.when(F.col("n") >= 1, F.col("a") / F.col("n")).alias("top10_share"), F.when(F.col("n") >= 1, F.col("b") / F.col("n")).alias("top100_share"))
+    return shares_of(rank_counts(scored, id_column), id_column)
 
 
 def length_baseline(scores: DataFrame, length: str = "n_tokens", value: str = "perplexity", least: int = 5) -> DataFrame:

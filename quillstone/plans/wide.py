@@ -21,12 +21,6 @@ def lexicons(spark, sf_dir) -> features.Lexicons:
     )
 
 
-def fitted_topics(docs, lex: features.Lexicons) -> tuple[list[float], float]:
-    """What a text's vector predicts of its arousal, fitted on all texts that have one."""
-    arousal = comments.affect(comments.token_table(docs), lex.valued).where(F.col("mean_arousal").isNotNull())
-    return comments.ridge(docs.select("doc_id", lex.embed(F.col("text")).alias("v")).join(arousal, "doc_id"), "v", "mean_arousal", 64)
-
-
 def fitted_stages(messages) -> tuple[C.StageModel, C.StageModel]:
     """The two stage models; conversations have no label here, so their own messages' even or odd number stands for it."""
     own = C.stage_symbols(messages.where("speaker = 'S'"), FINANCE).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "symbol"))).alias("s"))
@@ -45,7 +39,7 @@ def rounded(out, digits: dict[str, int]):
 def q_comment_features(spark, sf_dir):
     """All 18 columns with a topic model, which SQL cannot fit."""
     docs, lex = texts.documents(spark, sf_dir), lexicons(spark, sf_dir)
-    lex.topic_model = fitted_topics(docs, lex)
+    lex.topic_model = features.fitted_topics
     return rounded(features.comment_features(docs, lex), {"psi_1": 5, "psi_2": 5, "psi_3": 4})
 
 
@@ -288,7 +282,7 @@ AI_FEATURES, RB_FEATURES = [f"psi_{k}" for k in range(1, 9)], [f"chi_{k}" for k
 def q_scored_comments(spark, sf_dir):
     """From texts to answers: all 18 features with a topic model, two heads fitted on the labels (five folds, ten penalties), joint score, verdict, red flags and the JSON response."""
     docs, lex = texts.documents(spark, sf_dir), lexicons(spark, sf_dir)
-    lex.topic_model = fitted_topics(docs, lex)
+    lex.topic_model = features.fitted_topics
     rows = materialize(features.comment_features(docs, lex), "scored-features")
     known = materialize(rows.join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("ai"), F.col("toxic").alias("rb")), "doc_id"), "scored-labels")
     scored = models.joint(rows, models.fit_head(known, AI_FEATURES, "ai", "doc_id"), models.fit_head(known, RB_FEATURES, "rb", "doc_id"))
