@@ -8,10 +8,14 @@ too (`bounded`), since what `\\b` means hangs on the Java version.
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillstone.functions import numeric
+
 TOKEN = r"[\p{L}\p{N}_]+"
 SENTENCE_END = r"(?<=[.!?])\s+"
 BOUNDARY = r"(?:(?<=[\p{L}\p{N}_])(?![\p{L}\p{N}_])|(?<![\p{L}\p{N}_])(?=[\p{L}\p{N}_]))"
@@ -35,6 +39,8 @@ HYPERBOLE = (
     r"(?i)\b(literally|every (single|last) (one|time)|always|never|nobody|everybody|everyone|no one|all of them|the worst|the best|the most|"
     r"absolutely (everyone|nobody|nothing|everything)|insane|outrageous|unbelievable|insanity|madness)\b"
 )
+#: One of these stands in the lower-case text wherever a word of exaggeration does.
+HYPERBOLE_PARTS = ("literally", "every", "always", "never", "nobody", "no one", "all of them", "the worst", "the best", "the most", "absolutely ", "insan", "outrageous", "unbelievable", "madness")
 #: Capitalised words inside a sentence, pairs of them, numerals and quoted spans.
 INNER_CAPITAL = r"(?=[A-Z])(?<![.!?]\s)(?<!^)\b[A-Z][a-z]+\b"
 CAPITAL_PAIR = r"\b[A-Z][a-z]+\s+[A-Z][a-z]+\b"
@@ -103,6 +109,11 @@ def count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(bounded(pattern)))
 
 
+def holds(text: Column, parts) -> Column:
+    """Whether the text in lower case has one of these strings.  Searching them is much cheaper than the patterns that need them."""
+    return numeric.let(F.lower(text), lambda t: reduce(or_, [F.contains(t, F.lit(p)) for p in parts]))
+
+
 def occurrences(text: Column, part: str) -> Column:
     """Non-overlapping occurrences of a fixed string."""
     return ((F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))) / len(part)).cast("int")
@@ -191,19 +202,22 @@ def is_rhetorical(sentence: Column) -> Column:
 
 def rhetoric(text: Column) -> Column:
     """Rhetorical questions, hyperboles and exclamation marks by sentence plus capital runs by token."""
-    found = sentences(text)
-    n, t = F.greatest(F.lit(1), F.size(found)), F.greatest(F.lit(1), F.size(tokens(text)))
-    questions = F.size(F.filter(found, is_rhetorical))
-    score = questions / n + count(text, HYPERBOLE) / n + count(text, CAPS_RUN) / t + count(text, "!") / n
-    return F.when(stripped(text) != "", score)
+    t = F.greatest(F.lit(1), n_tokens(text))
+    hyperboles = F.when(holds(text, HYPERBOLE_PARTS), count(text, HYPERBOLE)).otherwise(0)
+
+    def score(found: Column) -> Column:
+        n = F.greatest(F.lit(1), F.size(found))
+        questions = F.when(F.contains(text, F.lit("?")), F.size(F.filter(found, is_rhetorical))).otherwise(0)
+        return questions / n + hyperboles / n + count(text, CAPS_RUN) / t + count(text, "!") / n
+
+    return F.when(stripped(text) != "", numeric.let(sentences(text), score))
 
 
 def information(text: Column) -> Column:
     """Named-entity proxies, numerals and quoted spans by token."""
     parts = F.filter(F.split(text, SENTENCE_END), lambda s: s != "")
     names = F.aggregate(parts, F.lit(0), lambda a, s: a + count(F.substr(s, F.lit(2)), INNER_CAPITAL) + count(s, CAPITAL_PAIR))
-    t = F.size(tokens(text))
-    return F.when(t > 0, (names + count(text, NUMERAL) + count(text, QUOTED)) / t)
+    return numeric.let(n_tokens(text), lambda t: F.when(t > 0, (names + count(text, NUMERAL) + count(text, QUOTED)) / t))
 
 
 #: Fixed values, in this order: what the neutral form leaves out.
@@ -219,17 +233,32 @@ NEUTRALIZED = (
     r"\b(omg|wtf|smh)\b",
 )
 
+#: One of these stands in the lower-case text wherever one of the patterns matches.
+NEUTRALIZED_PARTS = ("how ", "why ", "make it make sense", "you can", "seriously?", "really?", "wake up", "these ", "omg", "wtf", "smh")
+
 
 def neutral(text: Column, strong_words: list[str]) -> Column:
     """The text without rhetorical questions, set phrases, hyperboles and strongly affective words; capitals lowered."""
-    for p in NEUTRALIZED:
-        text = F.regexp_replace(text, bounded(f"(?i){p}"), "")
-    # pieces between capital runs alternate with the runs, which are lowered
-    pieces = F.split(F.regexp_replace(text, bounded(f"({CAPS_RUN})"), "\u0001$1\u0001"), "\u0001")
-    text = F.array_join(F.transform(pieces, lambda x, i: F.when(i % 2 == 1, F.lower(x)).otherwise(x)), "")
-    text = F.regexp_replace(text, bounded(HYPERBOLE), "")
+
+    def changed(text: Column, needed: Column, change) -> Column:
+        return F.when(needed, change(text)).otherwise(text)
+
+    def without_phrases(text: Column) -> Column:
+        return reduce(lambda t, p: F.regexp_replace(t, bounded(f"(?i){p}"), ""), NEUTRALIZED, text)
+
+    def lowered(text: Column) -> Column:
+        # pieces between capital runs alternate with the runs, which are lowered
+        pieces = F.split(F.regexp_replace(text, bounded(f"({CAPS_RUN})"), "\u0001$1\u0001"), "\u0001")
+        return F.array_join(F.transform(pieces, lambda x, i: F.when(i % 2 == 1, F.lower(x)).otherwise(x)), "")
+
+    text = changed(text, holds(text, NEUTRALIZED_PARTS), without_phrases)
+    text = numeric.let(text, lambda t: changed(t, t.rlike("[A-Z]{3}|\u0001"), lowered))
+    text = numeric.let(text, lambda t: changed(t, holds(t, HYPERBOLE_PARTS), lambda t: F.regexp_replace(t, bounded(HYPERBOLE), "")))
     if strong_words:
-        text = F.regexp_replace(text, r"(?i)(?<![\p{L}\p{N}_])(" + "|".join(sorted(strong_words)) + r")(?![\p{L}\p{N}_])", "")
+        without = lambda t: F.regexp_replace(t, r"(?i)(?<![\p{L}\p{N}_])(" + "|".join(sorted(strong_words)) + r")(?![\p{L}\p{N}_])", "")
+        # words without characters that mean something in a pattern, and few enough to be searched one by one
+        plain = len(strong_words) <= 40 and all(re.fullmatch(r"[A-Za-z0-9' -]+", w) for w in strong_words)
+        text = numeric.let(text, lambda t: changed(t, holds(t, sorted({w.lower() for w in strong_words})), without)) if plain else without(text)
     return stripped(F.regexp_replace(F.regexp_replace(text, r"([!?]){2,}", "$1"), r"\s+", " "))
 
 
